@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tandem.llm import byte_bpe, packing, token_output
+from tandem.llm import byte_bpe, language_id, packing, token_output, toxicity
 
 QUERIES = {
     "op1_grammar_token_output": token_output.op1_grammar_token_output,
     "op4_tree_bpe": byte_bpe.op4_tree_bpe,
+    "op5_factorization_machine": toxicity.op5_factorization_machine,
+    "op6_segmentation_marginalised_language": language_id.op6_segmentation_marginalised_language,
     "op7_cost_balanced_packing": packing.op7_cost_balanced_packing,
 }
 
