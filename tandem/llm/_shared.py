@@ -69,13 +69,17 @@ class BatchMemo:
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         found = list(map(self.young.get, keys))
-        if None in found:
-            new = {k for k, v in zip(keys, found) if v is None}
-            again = [k for k in new if k in self.old]
+        gaps, at = [], -1
+        for _ in range(found.count(None)):
+            gaps.append(at := found.index(None, at + 1))
+        if gaps:
+            new = {keys[i] for i in gaps}
+            again = {k for k in new if k in self.old}
             self.young.update((k, self.old[k]) for k in again)
-            missing = list(new.difference(again))
+            missing = list(new - again)
             self.young.update(zip(missing, self.make(missing)))
-            found = list(map(self.young.__getitem__, keys))
+            for i in gaps:
+                found[i] = self.young[keys[i]]
         return found
 
 
@@ -107,7 +111,7 @@ def texts_of(batch: pa.RecordBatch):
         yield doc_id, text or ""
 
 
-def sliced(rows, most_chars: int = 2_000_000):
+def sliced(rows, most_chars: int = 300_000):
     """Lists of (key, text) pairs with about ``most_chars`` characters each."""
     held, chars = [], 0
     for row in rows:

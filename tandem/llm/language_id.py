@@ -188,6 +188,8 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
+        if not self.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
         split = [t.split() for t in texts]
         values = self.chunks.values([c for own in split for c in own])
         out, at = [], 0
@@ -195,7 +197,7 @@ class Model:
             rows = np.frombuffer(b"".join(values[at : at + len(own)]), float).reshape(-1, len(self.languages) + 1)
             at += len(own)
             sums = rows.sum(0)
-            if not sums[-1] or not self.languages:
+            if not sums[-1]:
                 out.append((UNDETERMINED, 0.0))
                 continue
             z = sums[:-1] / np.sqrt(sums[-1])

@@ -71,6 +71,8 @@ def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Mac
     strong = strong[np.argsort(-off[strong], kind="stable")][: MOST_TERMS - FREQUENT_TERMS]
     frequent = np.argsort(-df, kind="stable")[:FREQUENT_TERMS]
     kept = np.unique(np.r_[strong, frequent])
+    # Terms kept for being frequent get a firm penalty, so that they act in pairs and don't take over the bias.
+    penalty = np.where(np.isin(kept, strong), 1e-5, 3e-2).astype(np.float32)
     place = np.full(len(buckets), -1)
     place[kept] = np.arange(len(kept))
     use = place[column] >= 0
@@ -92,7 +94,7 @@ def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Mac
             z = w0 + xb @ w + 0.5 * ((xv**2).sum(1) - (xb @ (v**2)).sum(1))
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) / len(own)
             gx = xb * g[:, None]
-            grads = [np.array([g.sum()]), gx.sum(0) + 1e-5 * w, gx.T @ xv - gx.sum(0)[:, None] * v + 1e-4 * v]
+            grads = [np.array([g.sum()]), gx.sum(0) + penalty * w, gx.T @ xv - gx.sum(0)[:, None] * v + 1e-2 * v]
             for p, d, a1, a2 in zip(params, grads, m, s):
                 a1 *= 0.9
                 a1 += 0.1 * d

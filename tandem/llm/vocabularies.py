@@ -21,15 +21,15 @@ def load(path: str) -> tuple[str, bytes]:
     return hashlib.sha1(content).hexdigest(), content
 
 
-def spaced_chunks(text: str) -> list[str]:
+def spaced_chunks(text: str) -> list[str] | None:
     """The text cut before each single blank or line break that stands between other characters.
 
-    Byte-level patterns never match across such a cut. A text with any other
-    white space stays whole.
+    Byte-level patterns never match across such a cut. None for a text with any
+    other white space: it must stay whole.
     """
     parts, words = text.replace("\n", " \n").split(" "), text.split()
     if len(parts) != len(words) or "" in parts or sum(map(len, words)) + text.count(" ") + text.count("\n") != len(text):
-        return [text] if text else []
+        return None
     return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
 
 
@@ -52,39 +52,44 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.drops_space = drops_space
         self.memo = BatchMemo(self._encode)
+        tokens = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(tokens.values()) + 1, np.int64)
+        self.sizes[list(tokens.values())] = [len(t) for t in tokens]
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        # Chunks that can't be told from their neighbours when joined go alone.
-        joined = chunks if self.drops_space else [c for c in chunks if c[0] in " \n" and len(c.split()) == 1]
-        known = dict.fromkeys(chunks)
-        for i in range(0, len(joined), 1_000):
-            part = joined[i : i + 1_000]
-            e = self.tokenizer.encode((" " if self.drops_space else "").join(part), add_special_tokens=False)
-            stops = np.cumsum([len(c) + self.drops_space for c in part])
-            starts = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-            of = np.searchsorted(stops, starts, "right")
-            cuts = np.searchsorted(of, np.arange(len(part) + 1))
-            ids = np.array(e.ids, "<u4").tobytes()
-            known.update((c, ids[4 * a : 4 * b]) for c, a, b in zip(part, cuts, cuts[1:]))
-        alone = [c for c, v in known.items() if v is None]
-        for i in range(0, len(alone), 1_000):
-            encoded = self.tokenizer.encode_batch(alone[i : i + 1_000], add_special_tokens=False)
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone[i : i + 1_000], encoded))
-        return [known[c] for c in chunks]
-
-    def chunks(self, text: str) -> list[str]:
         if self.drops_space:
-            return [c for c in text.replace("\n", " ").split(" ") if c]
-        return spaced_chunks(text)
+            return [ids for i in range(0, len(chunks), 1_000) for ids in self._joined(chunks[i : i + 1_000], " ")]
+        # A text's first word would grow together with what stands before it.
+        inner = [c for c in chunks if c[0] in " \n"]
+        known = dict(zip(inner, [ids for i in range(0, len(inner), 1_000) for ids in self._joined(inner[i : i + 1_000], "")]))
+        return [known[c] if c in known else self._whole(c) for c in chunks]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _joined(self, chunks: list[str], between: str) -> list[bytes]:
+        """Ids of each chunk, from one call."""
+        e = self.tokenizer.encode(between.join(chunks), add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        if self.drops_space:
+            starts = np.array([a for a, _ in e.offsets], np.int64)
+            stops = np.cumsum([len(c) + 1 for c in chunks])
+        else:  # a byte-level token stands for as many bytes as its entry has characters
+            size = self.sizes[ids]
+            starts = np.cumsum(size) - size
+            stops = np.cumsum([len(c.encode()) for c in chunks])
+        cuts = np.searchsorted(starts, np.r_[0, stops]).tolist()
+        ids = ids.tobytes()
+        return [ids[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; what the memo lacks is encoded for all texts together."""
-        chunks = [self.chunks(t) for t in texts]
-        values = self.memo.values([c for own in chunks for c in own])
+        split = [t.replace("\n", " ").split(" ") if self.drops_space else spaced_chunks(t) for t in texts]
+        values = self.memo.values([c for own in split if own for c in own])
         out, at = [], 0
-        for own in chunks:
-            out.append(b"".join(values[at : at + len(own)]))
-            at += len(own)
+        for text, own in zip(texts, split):
+            out.append(self._whole(text) if own is None else b"".join(values[at : at + len(own)]))
+            at += len(own or ())
         return out
 
     def encoded(self, rows):
