@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tandem.llm import byte_bpe, language_id, packing, token_output, toxicity
+from tandem.llm import byte_bpe, jaccard_join, language_id, packing, token_output, toxicity
 
 QUERIES = {
     "op1_grammar_token_output": token_output.op1_grammar_token_output,
@@ -10,6 +10,24 @@ QUERIES = {
     "op5_factorization_machine": toxicity.op5_factorization_machine,
     "op6_segmentation_marginalised_language": language_id.op6_segmentation_marginalised_language,
     "op7_cost_balanced_packing": packing.op7_cost_balanced_packing,
+    "op9_parity_sketch_join": jaccard_join.op9_parity_sketch_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_parity_sketch_join": r"""WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) END AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+edges AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (na + nb - shared)),
+sides AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM reach r JOIN sides e ON r.seen = e.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(seen) FROM reach WHERE node = s.doc_id) AS component_id FROM sets s
+""",
+}
