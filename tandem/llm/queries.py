@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tandem.llm import byte_bpe, jaccard_join, language_id, packing, token_output, topk_search, toxicity
+from tandem.llm import byte_bpe, chat_format, jaccard_join, language_id, packing, token_output, topk_search, toxicity
 
 QUERIES = {
     "op1_grammar_token_output": token_output.op1_grammar_token_output,
+    "op2_grammar_round_trip": chat_format.op2_grammar_round_trip,
     "op4_tree_bpe": byte_bpe.op4_tree_bpe,
     "op5_factorization_machine": toxicity.op5_factorization_machine,
     "op6_segmentation_marginalised_language": language_id.op6_segmentation_marginalised_language,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_grammar_round_trip": chat_format.ORACLE,
     "op8_block_max_top_k": r"""WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
