@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tandem.llm import byte_bpe, chat_format, jaccard_join, language_id, packing, token_output, topk_search, toxicity
+from tandem.llm import byte_bpe, chat_format, jaccard_join, language_id, packing, quality_rules, token_output, topk_search, toxicity
 
 QUERIES = {
     "op1_grammar_token_output": token_output.op1_grammar_token_output,
     "op2_grammar_round_trip": chat_format.op2_grammar_round_trip,
+    "op3_risk_controlled_quality": quality_rules.op3_risk_controlled_quality,
     "op4_tree_bpe": byte_bpe.op4_tree_bpe,
     "op5_factorization_machine": toxicity.op5_factorization_machine,
     "op6_segmentation_marginalised_language": language_id.op6_segmentation_marginalised_language,
