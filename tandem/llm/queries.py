@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tandem.llm import byte_bpe, chat_format, jaccard_join, language_id, packing, quality_rules, token_output, topk_search, toxicity
+from tandem.llm import byte_bpe, chat_format, jaccard_join, language_id, packing, quality_rules, token_output, topk_search, toxicity, warc_derivatives
 
 QUERIES = {
     "op1_grammar_token_output": token_output.op1_grammar_token_output,
@@ -14,9 +14,11 @@ QUERIES = {
     "op7_cost_balanced_packing": packing.op7_cost_balanced_packing,
     "op8_block_max_top_k": topk_search.op8_block_max_top_k,
     "op9_parity_sketch_join": jaccard_join.op9_parity_sketch_join,
+    "op10_warc_derivatives": warc_derivatives.op10_warc_derivatives,
 }
 
 ORACLES: dict[str, str] = {
+    "op10_warc_derivatives": warc_derivatives.ORACLE,
     "op2_grammar_round_trip": chat_format.ORACLE,
     "op8_block_max_top_k": r"""WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
