@@ -11,6 +11,11 @@ SUB_PART = r"^(\d+)\s*[.(\-\s]*\(?\s*([a-zA-Z0-9])\)?\s*$"
 NO_NUMBER = 9007199254740991
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once: a nested expression would be copied into every use."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -23,18 +28,24 @@ def _bare(raw: Column) -> Column:
 
 def canonical(raw: Column) -> Column:
     """The label that equal labels share: ``5``, ``4(a)``, or the lower-cased rest; null for a null or blank label."""
-    s = _bare(raw)
-    with_part = F.concat(F.regexp_extract(s, SUB_PART, 1), F.lit("("), F.lower(F.regexp_extract(s, SUB_PART, 2)), F.lit(")"))
-    return F.when(trimmed(raw) == "", None).when(raw.isNotNull(), F.when(s.rlike(SUB_PART), with_part).otherwise(F.lower(s)))
+
+    def of(s: Column) -> Column:
+        with_part = F.concat(F.regexp_extract(s, SUB_PART, 1), F.lit("("), F.lower(F.regexp_extract(s, SUB_PART, 2)), F.lit(")"))
+        return F.when(s.rlike(SUB_PART), with_part).otherwise(F.lower(s))
+
+    return F.when(raw.isNotNull() & (trimmed(raw) != ""), let(_bare(raw), of))
 
 
 def sort_key(raw: Column) -> Column:
     """Order of labels: number * 100 plus the sub-part; labels without a number, and null ones, come last."""
-    c = canonical(raw)
-    part = F.regexp_extract(c, r"^(\d+)\((.)\)$", 2)
-    number = F.regexp_extract(c, r"^(\d+)", 1).cast("long") * 100
-    offset = F.when(part.rlike("[a-z]"), F.ascii(part) - 96).otherwise(50 + F.ascii(part))
-    return F.coalesce(F.when(c.rlike(r"^\d+\(.\)$"), number + offset).when(c.rlike(r"^\d+$"), number), F.lit(NO_NUMBER)).cast("long")
+
+    def of(c: Column) -> Column:
+        part = F.regexp_extract(c, r"^(\d+)\((.)\)$", 2)
+        number = F.regexp_extract(c, r"^(\d+)", 1).cast("long") * 100
+        offset = F.when(part.rlike("[a-z]"), F.ascii(part) - 96).otherwise(50 + F.ascii(part))
+        return F.when(c.rlike(r"^\d+\(.\)$"), number + offset).when(c.rlike(r"^\d+$"), number)
+
+    return F.coalesce(let(canonical(raw), of), F.lit(NO_NUMBER)).cast("long")
 
 
 def same_label(a: Column, b: Column) -> Column:
@@ -44,9 +55,12 @@ def same_label(a: Column, b: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length of two canonical labels, which are normalized once more."""
-    x, y = F.coalesce(canonical(a), a), F.coalesce(canonical(b), b)
-    longer = F.greatest(F.length(x), F.length(y), F.lit(1)).cast("double")
-    return F.when(x == y, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / longer)
+
+    def of(p: Column) -> Column:
+        longer = F.greatest(F.length(p["x"]), F.length(p["y"]), F.lit(1)).cast("double")
+        return F.when(p["x"] == p["y"], F.lit(1.0)).otherwise(1 - F.levenshtein(p["x"], p["y"]) / longer)
+
+    return let(F.struct(F.coalesce(canonical(a), a).alias("x"), F.coalesce(canonical(b), b).alias("y")), of)
 
 
 def digits(label: Column) -> Column:

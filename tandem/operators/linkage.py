@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.labels import canonical, similarity, trimmed
 from tandem.functions.text import overlap_ratio, tokens
+from tandem.sources.tables import written
 
 # Fixed values of the method.
 EXACT_BASE, FUZZY_LEAST, CONTENT_LEAST, CONTENT_ACCEPT, RESIDUAL_BASE, REVIEW_BELOW, LARGEST_GAP = 0.95, 0.72, 0.08, 0.25, 0.35, 0.55, 3
@@ -90,11 +91,11 @@ MAPPING = ["session_id", "question_id", "ordinal", "marks", "canonical", "answer
 
 def by_label(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """One row per question: matched by exact label, else by near label, else empty."""
-    g = groups(answers)
+    g = written(groups(answers), "groups")  # probed three times
     e = exact(questions, g).withColumn("near", F.lit(None).cast("string")).withColumn("similarity", F.lit(None).cast("double"))
-    f = fuzzy(questions, g).select("question_id", *[F.col(c).alias(f"f_{c}") for c in ("answer_id", "method", "confidence", "near", "similarity", "n_additional", "full_text", "merged_ids", "session_id")])
-    joined = e.join(f, (F.col("session_id") == F.col("f_session_id")) & (e.question_id == f.question_id), "left").drop(f.question_id)
-    return joined.select(*[F.coalesce(c, f"f_{c}").alias(c) if f"f_{c}" in joined.columns and c != "session_id" else F.col(c) for c in MAPPING])
+    f = fuzzy(questions, g).select(*[F.col(c).alias(f"f_{c}") for c in ("question_id", "answer_id", "method", "confidence", "near", "similarity", "n_additional", "full_text", "merged_ids", "session_id")])
+    joined = e.join(f, (F.col("session_id") == F.col("f_session_id")) & (F.col("question_id") == F.col("f_question_id")), "left")
+    return joined.select(*[F.coalesce(c, f"f_{c}").alias(c) if f"f_{c}" in joined.columns and c not in ("session_id", "question_id") else F.col(c) for c in MAPPING])
 
 
 def by_content(questions: DataFrame, pool: DataFrame) -> DataFrame:
@@ -137,11 +138,11 @@ def consumed(mappings: DataFrame) -> DataFrame:
 
 def link(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """All four phases; one row per question (see MAPPING, and needs_review)."""
-    m = by_label(questions, answers)
+    m = written(by_label(questions, answers), "by-label")
     free = answers.join(consumed(m), ["session_id", "answer_id"], "left_anti")
     texts = questions.select("session_id", "question_id", "text", F.col("low_confidence").alias("q_low"))
     open_ = m.filter("answer_id is null").select("session_id", "question_id", "ordinal", "marks").join(texts, ["session_id", "question_id"])
-    picked = by_content(open_, free)
+    picked = written(by_content(open_, free), "by-content")
     still = open_.join(picked, ["session_id", "question_id"], "left_anti")
     left = free.join(picked, ["session_id", "answer_id"], "left_anti")
     pairs = picked.select("*", F.lit("semantic").alias("m2"), F.least(F.col("ratio") * 1.5, F.lit(0.6)).alias("base"))
@@ -155,7 +156,7 @@ def link(questions: DataFrame, answers: DataFrame) -> DataFrame:
         F.coalesce("full_text", "a_text").alias("full_text"), F.coalesce("merged_ids", F.when(F.col("p_id").isNotNull(), F.array("p_id"))).alias("merged_ids"),
     )
     review = F.when(F.col("method") == "sequence-fallback", True).when(F.col("answer_id").isNull(), False).otherwise(needs_review(F.col("confidence")))
-    return out.withColumn("needs_review", review)
+    return written(out.withColumn("needs_review", review), "links")
 
 
 def orphans(mappings: DataFrame, answers: DataFrame) -> DataFrame:

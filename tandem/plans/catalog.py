@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.functions import formats as O
 from tandem.functions import labels as L
 from tandem.functions import text as X
+from tandem.operators import geometry as G
+from tandem.operators import history as H
 from tandem.operators import linkage as K
 from tandem.operators import scoring as S
 from tandem.sources import fixtures as D
@@ -172,11 +175,91 @@ def segment_lines(spark, d):
     return X.segment_lines(D.table(spark, d, "documents").select("doc_id", F.array_join(numbered, "\n").alias("text")))
 
 
+def box_clip(spark, d):
+    return G.clipped(D.answers(spark, d)).select("session_id", "page", "answer_id", "y", "h")
+
+
+def block_extent(spark, d):
+    return G.extents(D.answers(spark, d))
+
+
+def gap_insertions(spark, d):
+    return G.gap_insertions(D.answers(spark, d)).select("session_id", "page", "answer_id", S.half_up(F.col("at_y") * 1000).alias("at_e3"), S.half_up(F.col("amount") * 1000).alias("amount_e3"))
+
+
+def answer_span(spark, d):
+    return G.answer_spans(K.labelled(D.answers(spark, d)))
+
+
+def page_count(spark, d):
+    return D.answers(spark, d).groupBy("session_id").agg(F.greatest(F.max("page"), F.lit(1)).alias("pages"))
+
+
+def history_topk(spark, d):
+    return H.newest(D.history(spark, d)).select("owner", "session_id", "percent", "place")
+
+
+def history_window(spark, d):
+    return H.within(D.history(spark, d), "1996-01-01 00:00:00").select("owner", "session_id", "percent")
+
+
+def history_page(spark, d):
+    return H.page(D.history(spark, d), 2)
+
+
+def most_recent(spark, d):
+    return H.newest(D.history(spark, d), 1).select("owner", "session_id", "percent")
+
+
+def history_stats(spark, d):
+    return H.statistics(D.history(spark, d))
+
+
+def history_tiers(spark, d):
+    return D.history(spark, d).select("session_id", "percent", S.history_tier(F.col("percent")).alias("tier"))
+
+
+def history_upsert(spark, d):
+    return H.upserted(D.history(spark, d)).select("owner", "session_id", "percent", (F.col("created_at") == F.col("last_saved")).alias("saved_once"))
+
+
+def progress_latest(spark, d):
+    return D.progress(spark, d).groupBy("session_id").agg(F.max_by(F.struct("stage", "percent", "event_id"), F.struct("ts", "event_id")).alias("e")).select("session_id", "e.*")
+
+
+def json_props(spark, d):
+    return D.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+def format_bytes(spark, d):
+    n = F.floor(F.col("l_extendedprice") * F.col("l_quantity")).cast("long")
+    return D.table(spark, d, "lineitem").select(n.alias("n"), O.bytes_text(n).alias("shown")).distinct()
+
+
+def format_marks(spark, d):
+    x = F.floor(F.col("l_quantity") * 2) / 4.0
+    return D.table(spark, d, "lineitem").select(x.alias("x"), O.marks_text(x).alias("shown")).distinct()
+
+
+def upload_validation(spark, d):
+    name = F.concat("url", F.get(F.array(F.lit(".pdf"), F.lit(".PNG"), F.lit(".jpeg"), F.lit("")), (F.col("page_id") % 4).cast("int")))
+    size = F.when(F.col("page_id") % 7 == 0, 0).otherwise(F.length("html") * F.when(F.col("page_id") % 5 == 0, 10_000).otherwise(1))
+    return D.table(spark, d, "pages").select("page_id", O.upload_error(F.lit("text/plain"), name, size).alias("error"))
+
+
+def mime_resolution(spark, d):
+    name = F.concat("url", F.get(F.array(F.lit(".pdf"), F.lit(".PNG"), F.lit(".jpeg"), F.lit("")), (F.col("page_id") % 4).cast("int")))
+    declared = F.get(F.array(F.lit("image/jpg"), F.lit("text/plain"), F.lit(None).cast("string")), (F.col("page_id") % 3).cast("int"))
+    return D.table(spark, d, "pages").select("page_id", O.mime_type(declared, name).alias("mime"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_label, label_similarity, same_label, question_order, assign_sequence, answer_groups, seq_gaps, duplicate_rank, resolve_groups, map_exact, map_fuzzy, score_mapping,
         needs_review, reasoning, consumed_ids, unanswered, orphans, method_counts, grade_length, grade_lookup, summary, strong_weak, badge_tiers, result_cards, tokenize,
         keyword_overlap, map_semantic, map_residual, merge_text, clamp_marks, split_labels, segment_lines,
+        box_clip, block_extent, gap_insertions, answer_span, page_count, history_topk, history_window, history_page, most_recent, history_stats, history_tiers, history_upsert,
+        progress_latest, json_props, format_bytes, format_marks, upload_validation, mime_resolution,
     )
 }

@@ -125,6 +125,8 @@ walk(session_id, i, used, question_id, answer_id, ratio) AS (
 picks AS (SELECT session_id, question_id, answer_id, ratio FROM walk WHERE answer_id IS NOT NULL)"""
 REC = "WITH RECURSIVE " + QA + "," + WALK
 
+HISTORY = "WITH placed AS (SELECT o_custkey AS owner, o_orderkey AS session_id, o_orderdate AS saved_at, floor(o_totalprice)::BIGINT % 101 AS percent, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders)"
+
 ORACLES = {
     "normalize_label": f"WITH {ANSWERS}, c AS (SELECT *, {canonical('raw_label')} AS canonical FROM answers) SELECT answer_id, raw_label, canonical, {sort_key('canonical')} AS sort_key FROM c",
     "label_similarity": f"WITH {ANSWERS}, {QUESTIONS}, d AS (SELECT DISTINCT q.label AS a, r.raw_label AS b FROM questions q JOIN answers r ON q.session_id = r.session_id WHERE r.raw_label IS NOT NULL) SELECT a, b, {similarity('a', 'b')} AS similarity FROM d",
@@ -179,4 +181,30 @@ ORACLES = {
         i AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS item FROM s)
         SELECT doc_id, item::BIGINT AS item, max(CASE WHEN starts THEN regexp_replace(regexp_extract(line, '^\s*(\d{1,2}\s*\.?\s*\(?[a-d]?\)?)\s*[.).:-]?\s+', 1), '\s+', '', 'g') END) AS label,
           string_agg(CASE WHEN starts THEN regexp_replace(regexp_replace(line, '^\s*(\d{1,2}\s*\.?\s*\(?[a-d]?\)?)\s*[.).:-]?\s+', ''), '^\s+|\s+$', '', 'g') ELSE line END, ' ' ORDER BY pos) AS body FROM i WHERE item > 0 GROUP BY 1, 2""",
+    "box_clip": f"""WITH {ANSWERS}, n AS (SELECT *, lead(y) OVER p AS ny, lead(answer_id) OVER p AS na FROM answers WINDOW p AS (PARTITION BY session_id, page ORDER BY y, seq))
+        SELECT session_id, page, answer_id, y, CASE WHEN na <> answer_id AND y + h > ny AND ny > y THEN ny - y ELSE h END AS h FROM n""",
+    "block_extent": f"WITH {ANSWERS} SELECT session_id, page, answer_id, min(y) AS top, max(y + h) AS bottom FROM answers GROUP BY 1, 2, 3",
+    "gap_insertions": f"""WITH {ANSWERS}, e AS (SELECT session_id, page, answer_id, min(y) * 2000::DOUBLE AS top, max(y + h) * 2000::DOUBLE AS bottom FROM answers GROUP BY 1, 2, 3),
+        n AS (SELECT *, 50::DOUBLE - (lead(top) OVER (PARTITION BY session_id, page ORDER BY top, answer_id) - bottom) AS amount FROM e)
+        SELECT session_id, page, answer_id, floor(bottom * 1000 + 0.5)::BIGINT AS at_e3, floor(amount * 1000 + 0.5)::BIGINT AS amount_e3 FROM n WHERE amount > 0""",
+    "answer_span": f"WITH {ANSWERS}, {GROUPS} SELECT session_id, canonical, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages, count(DISTINCT page) > 1 AS several FROM resolved GROUP BY 1, 2",
+    "page_count": f"WITH {ANSWERS} SELECT session_id, greatest(max(page), 1) AS pages FROM answers GROUP BY 1",
+    "history_topk": f"{HISTORY} SELECT owner, session_id, percent, place FROM placed WHERE place <= 20",
+    "history_window": f"{HISTORY} SELECT owner, session_id, percent FROM placed WHERE saved_at > TIMESTAMP '1995-12-25 00:00:00'",
+    "history_page": f"{HISTORY}, k AS (SELECT *, ((count(*) OVER (PARTITION BY owner)) + 5) // 6 AS pages FROM placed WHERE place <= 20) SELECT owner, session_id, place, pages FROM k WHERE (place + 5) // 6 = least(2, pages)",
+    "most_recent": f"{HISTORY} SELECT owner, session_id, percent FROM placed WHERE place = 1",
+    "history_stats": f"{HISTORY} SELECT owner, count(*) AS n, ((2 * sum(percent) + count(*)) // (2 * count(*)))::BIGINT AS mean_percent, max(percent) AS best_percent FROM placed GROUP BY 1",
+    "history_tiers": f"{HISTORY} SELECT session_id, percent, CASE WHEN percent >= 80 THEN 'Excellent' WHEN percent >= 50 THEN 'Average' ELSE 'Needs work' END AS tier FROM placed",
+    "history_upsert": f"{HISTORY} SELECT owner, session_id, arg_max(percent, saved_at) AS percent, min(saved_at) = max(saved_at) AS saved_once FROM placed GROUP BY 1, 2",
+    "progress_latest": """SELECT user_id AS session_id, CASE event_type WHEN 'signup' THEN 'idle' WHEN 'view' THEN 'extracting-questions' WHEN 'click' THEN 'extracting-answers' WHEN 'purchase' THEN 'done' ELSE 'error' END AS stage,
+        json_extract_string(props, '$.k')::BIGINT AS percent, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "json_props": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
+    "format_bytes": """WITH d AS (SELECT DISTINCT floor(l_extendedprice * l_quantity)::BIGINT AS n FROM lineitem), t AS (SELECT n, floor(n / 1024::DOUBLE / 1024 * 10 + 0.5)::BIGINT AS m FROM d)
+        SELECT n, CASE WHEN n < 1024 THEN n || 'B' WHEN n / 1024::DOUBLE < 1024 THEN floor(n / 1024::DOUBLE + 0.5)::BIGINT || 'KB' ELSE (m // 10) || '.' || (m % 10) || 'MB' END AS shown FROM t""",
+    "format_marks": """WITH d AS (SELECT DISTINCT floor(l_quantity * 2) / 4::DOUBLE AS x FROM lineitem), t AS (SELECT x, floor(x * 10 + 0.5)::BIGINT AS m FROM d)
+        SELECT x, CASE WHEN x = floor(x) THEN x::BIGINT::VARCHAR ELSE (m // 10) || '.' || (m % 10) END AS shown FROM t""",
+    "upload_validation": """WITH u AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpeg' ELSE '' END AS name, CASE WHEN page_id % 7 = 0 THEN 0 ELSE length(html) * CASE WHEN page_id % 5 = 0 THEN 10000 ELSE 1 END END AS size FROM pages)
+        SELECT page_id, CASE WHEN NOT regexp_matches(name, '\\.(pdf|png|jpe?g)$', 'i') THEN 'type' WHEN size > 10485760 THEN 'too-large' WHEN size = 0 THEN 'empty' END AS error FROM u""",
+    "mime_resolution": """WITH u AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpeg' ELSE '' END AS name, CASE page_id % 3 WHEN 0 THEN 'image/jpg' WHEN 1 THEN 'text/plain' END AS declared FROM pages)
+        SELECT page_id, CASE WHEN declared = 'image/jpg' THEN declared WHEN regexp_matches(name, '\\.pdf$', 'i') THEN 'application/pdf' WHEN regexp_matches(name, '\\.png$', 'i') THEN 'image/png' WHEN regexp_matches(name, '\\.jpe?g$', 'i') THEN 'image/jpeg' ELSE coalesce(declared, 'application/octet-stream') END AS mime FROM u""",
 }
