@@ -62,3 +62,14 @@ def gap_insertions(boxes: DataFrame, pixels: float = PAGE_PIXELS) -> DataFrame:
 def answer_spans(boxes: DataFrame) -> DataFrame:
     """Distinct pages of every answer label's boxes, in order."""
     return boxes.groupBy("session_id", "canonical").agg(F.array_join(F.sort_array(F.collect_set("page")), ",").alias("pages"), (F.count_distinct("page") > 1).alias("several"))
+
+
+def shifts(boxes: DataFrame, insertions: DataFrame, pixels: float = PAGE_PIXELS) -> DataFrame:
+    """How far (in thousandths of a pixel) each box moves down: the sum of all insertions at or above its top.
+
+    A running sum over box tops and insertions in one order, not a range join.
+    """
+    tops = boxes.select("session_id", "page", "answer_id", (F.col("y") * pixels).alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("e3"))
+    cuts = insertions.select("session_id", "page", F.lit(None).cast("string").alias("answer_id"), F.col("at_y").alias("at"), F.lit(0).alias("kind"), F.floor(F.col("amount") * 1000 + 0.5).alias("e3"))
+    upto = _page().orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return tops.unionByName(cuts).withColumn("shift_e3", F.sum("e3").over(upto)).filter("kind = 1").select("session_id", "page", "answer_id", "shift_e3")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import formats as O
+from tandem.functions import json_repair as J
 from tandem.functions import labels as L
 from tandem.functions import text as X
 from tandem.operators import geometry as G
@@ -13,6 +14,7 @@ from tandem.operators import history as H
 from tandem.operators import linkage as K
 from tandem.operators import scoring as S
 from tandem.sources import fixtures as D
+from tandem.streaming import progress as P
 
 
 def _mappings(spark, d) -> DataFrame:
@@ -224,7 +226,7 @@ def history_upsert(spark, d):
 
 
 def progress_latest(spark, d):
-    return D.progress(spark, d).groupBy("session_id").agg(F.max_by(F.struct("stage", "percent", "event_id"), F.struct("ts", "event_id")).alias("e")).select("session_id", "e.*")
+    return P.latest(D.progress(spark, d))
 
 
 def json_props(spark, d):
@@ -253,6 +255,79 @@ def mime_resolution(spark, d):
     return D.table(spark, d, "pages").select("page_id", O.mime_type(declared, name).alias("mime"))
 
 
+def box_pad(spark, d):
+    return G.padded(D.answers(spark, d))
+
+
+def page_growth(spark, d):
+    g = G.gap_insertions(D.answers(spark, d)).groupBy("session_id", "page").agg(F.sum(S.half_up(F.col("amount") * 1000)).alias("e3"))
+    return g.select("session_id", "page", F.ceil(2000 + F.col("e3") / 1000.0).alias("pixels"))
+
+
+def gap_remap(spark, d):
+    boxes = D.answers(spark, d)
+    return G.shifts(boxes, G.gap_insertions(boxes))
+
+
+def page_boxes(spark, d):
+    return D.answers(spark, d).filter("page = 1").select("session_id", "answer_id", (F.col("y") * 100).alias("top_percent"), (F.col("h") * 100).alias("height_percent"))
+
+
+def _broken(spark, d):
+    kinds = F.array(F.col("props"), F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.regexp_replace("props", "}$", ",}"), F.concat(F.lit("Here it is: "), "props", F.lit(" as asked.")), F.concat(F.lit('{"items": ['), "props", F.lit(", "), "props", F.lit(", ")))
+    return D.table(spark, d, "events").select("event_id", F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("raw"))
+
+
+def strip_fences(spark, d):
+    return _broken(spark, d).select("event_id", J.without_fences(F.col("raw")).alias("clean"))
+
+
+def fix_commas(spark, d):
+    return _broken(spark, d).select("event_id", J.plain_quotes_no_trailing_commas(F.col("raw")).alias("clean"))
+
+
+def json_repair(spark, d):
+    return _broken(spark, d).select("event_id", J.repaired(F.col("raw")).alias("value"))
+
+
+def progress_percent(spark, d):
+    done, total = F.col("event_id") % 7, F.col("event_id") % 5 + 7
+    return D.table(spark, d, "events").select("event_id", (5 + S.half_up(30 * done / total)).alias("questions_percent"), (35 + S.half_up(30 * done / total)).alias("answers_percent"))
+
+
+def ttl_sweep(spark, d):
+    p = D.progress(spark, d).groupBy("session_id").agg(F.min("ts").alias("created"), F.max("ts").alias("seen"))
+    return p.select("session_id", (F.col("seen") - F.col("created") > F.expr("interval 120 minutes")).alias("expired"))
+
+
+def session_latest(spark, d):
+    p = D.progress(spark, d)
+    done = F.col("stage") == "done"
+    return p.groupBy("session_id").agg(F.max_by(F.when(done, F.col("percent")), F.when(done, F.struct("ts", "event_id"))).alias("done_percent"), F.count("*").alias("updates"))
+
+
+def guard_index(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return D.table(spark, d, "events").select("event_id", F.when((k >= 0) & (k < 50), k).alias("index"))
+
+
+def orphan_caption(spark, d):
+    text = F.when(F.col("reason") == "duplicate-of-mapped", F.concat(F.lit("Duplicate of "), "guess_question_id")).otherwise("No matching question")
+    return orphans(spark, d).select("session_id", "answer_id", text.alias("caption"))
+
+
+def union_pages(spark, d):
+    t = D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return t.filter("l_linenumber % 2 = 0").unionByName(t.filter("l_linenumber % 2 = 1"))
+
+
+def array_ops(spark, d):
+    g = D.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("a"))
+    a = F.col("a")
+    rest = F.array_join(F.slice(a, 2, 1_000_000), ",")
+    return g.select("l_orderkey", F.size(F.array_distinct(a)).cast("long").alias("n_distinct"), F.forall(a, lambda x: x > 1).alias("all_above_1"), F.exists(a, lambda x: x == 3).alias("has_3"), rest.alias("rest"), F.array_position(a, 2).alias("at_2"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -260,6 +335,7 @@ QUERIES = {
         needs_review, reasoning, consumed_ids, unanswered, orphans, method_counts, grade_length, grade_lookup, summary, strong_weak, badge_tiers, result_cards, tokenize,
         keyword_overlap, map_semantic, map_residual, merge_text, clamp_marks, split_labels, segment_lines,
         box_clip, block_extent, gap_insertions, answer_span, page_count, history_topk, history_window, history_page, most_recent, history_stats, history_tiers, history_upsert,
+        box_pad, page_growth, gap_remap, page_boxes, strip_fences, fix_commas, json_repair, progress_percent, ttl_sweep, session_latest, guard_index, orphan_caption, union_pages, array_ops,
         progress_latest, json_props, format_bytes, format_marks, upload_validation, mime_resolution,
     )
 }

@@ -127,6 +127,12 @@ REC = "WITH RECURSIVE " + QA + "," + WALK
 
 HISTORY = "WITH placed AS (SELECT o_custkey AS owner, o_orderkey AS session_id, o_orderdate AS saved_at, floor(o_totalprice)::BIGINT % 101 AS percent, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders)"
 
+INSERTIONS = f"""WITH {ANSWERS}, e AS (SELECT session_id, page, answer_id, min(y) * 2000::DOUBLE AS top, max(y + h) * 2000::DOUBLE AS bottom FROM answers GROUP BY 1, 2, 3),
+n AS (SELECT *, 50::DOUBLE - (lead(top) OVER (PARTITION BY session_id, page ORDER BY top, answer_id) - bottom) AS amount FROM e),
+ins AS (SELECT *, floor(amount * 1000 + 0.5)::BIGINT AS amount_e3 FROM n WHERE amount > 0)"""
+BROKEN = r"""WITH broken AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN regexp_replace(props, '}$', ',}')
+  WHEN 3 THEN 'Here it is: ' || props || ' as asked.' ELSE '{"items": [' || props || ', ' || props || ', ' END AS raw FROM events)"""
+
 ORACLES = {
     "normalize_label": f"WITH {ANSWERS}, c AS (SELECT *, {canonical('raw_label')} AS canonical FROM answers) SELECT answer_id, raw_label, canonical, {sort_key('canonical')} AS sort_key FROM c",
     "label_similarity": f"WITH {ANSWERS}, {QUESTIONS}, d AS (SELECT DISTINCT q.label AS a, r.raw_label AS b FROM questions q JOIN answers r ON q.session_id = r.session_id WHERE r.raw_label IS NOT NULL) SELECT a, b, {similarity('a', 'b')} AS similarity FROM d",
@@ -207,4 +213,21 @@ ORACLES = {
         SELECT page_id, CASE WHEN NOT regexp_matches(name, '\\.(pdf|png|jpe?g)$', 'i') THEN 'type' WHEN size > 10485760 THEN 'too-large' WHEN size = 0 THEN 'empty' END AS error FROM u""",
     "mime_resolution": """WITH u AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpeg' ELSE '' END AS name, CASE page_id % 3 WHEN 0 THEN 'image/jpg' WHEN 1 THEN 'text/plain' END AS declared FROM pages)
         SELECT page_id, CASE WHEN declared = 'image/jpg' THEN declared WHEN regexp_matches(name, '\\.pdf$', 'i') THEN 'application/pdf' WHEN regexp_matches(name, '\\.png$', 'i') THEN 'image/png' WHEN regexp_matches(name, '\\.jpe?g$', 'i') THEN 'image/jpeg' ELSE coalesce(declared, 'application/octet-stream') END AS mime FROM u""",
+    "box_pad": f"""WITH {ANSWERS}, g AS (SELECT a.session_id, a.page, a.answer_id, a.seq, a.x, a.y, a.w, a.h, min(a.y - (b.y + b.h)) FILTER (b.y + b.h <= a.y) AS above, min(b.y - (a.y + a.h)) FILTER (b.y >= a.y + a.h) AS below
+          FROM answers a JOIN answers b ON a.session_id = b.session_id AND a.page = b.page GROUP BY ALL)
+        SELECT session_id, page, answer_id, seq, greatest(0::DOUBLE, x - 0.01::DOUBLE) AS left, least(1::DOUBLE, x + w + 0.01::DOUBLE) AS right, greatest(0::DOUBLE, y - least(0.012::DOUBLE, coalesce(above / 2, 0.012::DOUBLE))) AS top,
+          least(1::DOUBLE, y + h + least(0.012::DOUBLE, coalesce(below / 2, 0.012::DOUBLE))) AS bottom FROM g""",
+    "page_growth": f"{INSERTIONS} SELECT session_id, page, ceil(2000 + sum(amount_e3) / 1000::DOUBLE)::BIGINT AS pixels FROM ins GROUP BY 1, 2",
+    "gap_remap": f"{INSERTIONS} SELECT a.session_id, a.page, a.answer_id, coalesce(sum(i.amount_e3), 0)::BIGINT AS shift_e3 FROM answers a LEFT JOIN ins i ON a.session_id = i.session_id AND a.page = i.page AND i.bottom <= a.y * 2000::DOUBLE GROUP BY 1, 2, 3",
+    "page_boxes": f"WITH {ANSWERS} SELECT session_id, answer_id, y * 100 AS top_percent, h * 100 AS height_percent FROM answers WHERE page = 1",
+    "strip_fences": BROKEN + r" SELECT event_id, regexp_replace(regexp_replace(regexp_replace(raw, '^\s*```(?:json)?\s*', '', 'i'), '\s*```\s*$', ''), '^\s+|\s+$', '', 'g') AS clean FROM broken",
+    "fix_commas": BROKEN + r" SELECT event_id, regexp_replace(translate(raw, '“”', '" + '""' + r"'), ',\s*([}\]])', '\1', 'g') AS clean FROM broken",
+    "progress_percent": "SELECT event_id, 5 + floor(30 * (event_id % 7) / (event_id % 5 + 7)::DOUBLE + 0.5)::BIGINT AS questions_percent, 35 + floor(30 * (event_id % 7) / (event_id % 5 + 7)::DOUBLE + 0.5)::BIGINT AS answers_percent FROM events",
+    "ttl_sweep": "SELECT user_id AS session_id, max(ts) - min(ts) > INTERVAL 120 MINUTE AS expired FROM events GROUP BY 1",
+    "session_latest": "SELECT user_id AS session_id, (arg_max(json_extract_string(props, '$.k')::BIGINT, {'a': ts, 'b': event_id}) FILTER (event_type = 'purchase')) AS done_percent, count(*) AS updates FROM events GROUP BY 1",
+    "guard_index": "SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::BIGINT BETWEEN 0 AND 49 THEN json_extract_string(props, '$.k')::BIGINT END AS index FROM events",
+    "union_pages": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
+    "array_ops": """WITH g AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS a FROM lineitem GROUP BY 1)
+        SELECT l_orderkey, len(list_distinct(a))::BIGINT AS n_distinct, list_min(a) > 1 AS all_above_1, list_contains(a, 3) AS has_3, array_to_string(a[2:], ',') AS rest, coalesce(list_position(a, 2), 0)::BIGINT AS at_2 FROM g""",
 }
+ORACLES["orphan_caption"] = f"SELECT session_id, answer_id, CASE WHEN reason = 'duplicate-of-mapped' THEN 'Duplicate of ' || guess_question_id ELSE 'No matching question' END AS caption FROM ({ORACLES['orphans']})"
