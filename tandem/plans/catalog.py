@@ -328,6 +328,18 @@ def array_ops(spark, d):
     return g.select("l_orderkey", F.size(F.array_distinct(a)).cast("long").alias("n_distinct"), F.forall(a, lambda x: x > 1).alias("all_above_1"), F.exists(a, lambda x: x == 3).alias("has_3"), rest.alias("rest"), F.array_position(a, 2).alias("at_2"))
 
 
+def sse_parse(spark, d):
+    e = D.progress(spark, d).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "stage", "percent"))).alias("e"))
+    frame = lambda x: F.concat(F.lit("data: "), F.to_json(F.struct(x["event_id"].alias("event_id"), x["stage"].alias("stage"), x["percent"].alias("percent"))), F.lit("\n\n"))
+    return P.parse_frames(e.select("session_id", F.array_join(F.transform("e", frame), "").alias("chunk")))
+
+
+def highlight_boxes(spark, d):
+    boxes = D.answers(spark, d).select("session_id", "answer_id", "page", "y", "h")
+    m = _mappings(spark, d).filter("answer_id is not null").select("session_id", "question_id", F.posexplode("merged_ids").alias("pos", "answer_id"))
+    return m.join(boxes, ["session_id", "answer_id"]).select("session_id", "question_id", F.col("pos").cast("long").alias("pos"), "answer_id", "page", "y", "h")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -335,7 +347,7 @@ QUERIES = {
         needs_review, reasoning, consumed_ids, unanswered, orphans, method_counts, grade_length, grade_lookup, summary, strong_weak, badge_tiers, result_cards, tokenize,
         keyword_overlap, map_semantic, map_residual, merge_text, clamp_marks, split_labels, segment_lines,
         box_clip, block_extent, gap_insertions, answer_span, page_count, history_topk, history_window, history_page, most_recent, history_stats, history_tiers, history_upsert,
-        box_pad, page_growth, gap_remap, page_boxes, strip_fences, fix_commas, json_repair, progress_percent, ttl_sweep, session_latest, guard_index, orphan_caption, union_pages, array_ops,
+        sse_parse, highlight_boxes, box_pad, page_growth, gap_remap, page_boxes, strip_fences, fix_commas, json_repair, progress_percent, ttl_sweep, session_latest, guard_index, orphan_caption, union_pages, array_ops,
         progress_latest, json_props, format_bytes, format_marks, upload_validation, mime_resolution,
     )
 }

@@ -15,3 +15,12 @@ def latest(events: DataFrame) -> DataFrame:
 def active_counts(events: DataFrame, width: str = "10 minutes", late: str = "120 minutes") -> DataFrame:
     """Events per stage and window of event time; state of windows older than ``late`` is dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "stage").agg(F.count("*").alias("n")).select("window.start", "stage", "n")
+
+
+def parse_frames(chunks: DataFrame) -> DataFrame:
+    """Events of ``session_id, chunk`` (server-sent event frames): frames end at a blank line, other lines than data are skipped, and so is an unfinished tail."""
+    frames = F.split("chunk", "\n\n")
+    whole = chunks.select("session_id", F.posexplode(F.slice(frames, 1, F.size(frames) - 1)).alias("pos", "frame"))
+    data = F.filter(F.split("frame", "\n"), lambda line: F.startswith(line, F.lit("data:")))
+    parsed = whole.select("session_id", F.col("pos").cast("long").alias("pos"), F.from_json(F.substr(F.get(data, F.lit(0)), F.lit(6)), "event_id long, stage string, percent long").alias("e"))
+    return parsed.filter("e is not null").select("session_id", "pos", "e.*")
