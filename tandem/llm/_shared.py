@@ -38,7 +38,7 @@ class Memo(dict):
     documents so that the memo never holds more than ``most`` keys for long.
     """
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -87,8 +87,13 @@ _PER_WORKER: dict = {}
 
 
 def per_worker(key, make):
-    """One object per Python worker, kept between tasks (tokenizers and their memos)."""
+    """The Python worker's object of this key, kept between tasks until another operator asks for its own.
+
+    So a worker that runs stage after stage holds one tokenizer or model with its
+    memos, not all of them.
+    """
     if key not in _PER_WORKER:
+        _PER_WORKER.clear()
         _PER_WORKER[key] = make()
     return _PER_WORKER[key]
 

@@ -168,8 +168,8 @@ class Model:
     def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray):
         self.languages, self.pieces, self.p = languages, pieces, p
         self.lattice = Lattice(pieces)
-        self.words = BatchMemo(self._words, most=200_000)
-        self.chunks = BatchMemo(self._chunks)
+        self.words = BatchMemo(self._words, most=60_000)
+        self.chunks = BatchMemo(self._chunks, most=150_000)
 
     def _words(self, words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)

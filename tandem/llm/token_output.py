@@ -31,6 +31,8 @@ END_ID = 1
 BLOCK_IDS = 1 << 20
 #: A pair that occurs less often in a block gets no rule.
 LEAST_PAIRS = 8
+#: Hash buckets that count pairs.
+BUCKETS = 1 << 20
 #: Nonterminals are numbered from here on; token ids are below.
 BASE = 1 << 24
 
@@ -52,7 +54,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, end_id: int = END_ID, leas
 
     Pairs are replaced in rounds of falling frequency: a round replaces, from
     left to right, every pair that occurs at least ``floor`` times; the floor
-    halves until it is ``least``. A pair whose left symbol is or ends a
+    falls to a quarter each time until it is ``least``. A pair whose left symbol is or ends a
     document's last id is never replaced, so documents stay apart.
     """
     s = ids.astype(np.uint32)
@@ -60,35 +62,33 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, end_id: int = END_ID, leas
     if len(s):
         ends[np.cumsum(doc_tokens) - 1] = True
     lefts, rights, tokens, made = [], [], [], 0
+    stands, number = np.zeros(BUCKETS + 1, np.intp), np.zeros(BUCKETS + 1, np.intp)
     floor = None
     while len(s) > 1:
         # Hashed buckets find the frequent pairs; one occurrence in a bucket stands for the pair that is counted.
-        h = (s[:-1] * np.uint32(2654435761) ^ s[1:] * np.uint32(2246822519)) >> np.uint32(12)
-        h[ends[:-1]] = np.uint32(1 << 20)
-        count = np.bincount(h, minlength=(1 << 20) + 1)
-        count[1 << 20] = 0
+        h = ((s[:-1] * np.uint32(2654435761) ^ s[1:] * np.uint32(2246822519)) >> np.uint32(12)).astype(np.intp)
+        np.putmask(h, ends[:-1], BUCKETS)
+        count = np.bincount(h, minlength=BUCKETS + 1)
+        count[BUCKETS] = 0
         top = int(count.max())
         if top < least:
             break
-        floor = max(least, top // 4 if floor is None else floor // 2)
-        at = np.flatnonzero(count[h] >= floor)
+        floor = max(least, top // 4 if floor is None else floor // 4)
+        at = np.flatnonzero((count >= floor)[h])
         if len(at):
-            hat = h[at]
-            stands = np.zeros((1 << 20) + 1, np.int64)
-            stands[hat[::-1]] = at[::-1]  # the first occurrence
-            first = stands[hat]
-            same = (s[at] == s[first]) & (s[at + 1] == s[first + 1])
-            at, first = at[same], first[same]
+            stands[h[at[::-1]]] = at[::-1]  # the first occurrence
+            first = stands[h[at]]
+            at = at[(s[at] == s[first]) & (s[at + 1] == s[first + 1])]
         if len(at):
             # Of overlapping occurrences every second one goes, from the left.
             new_run = np.r_[True, np.diff(at) > 1]
-            start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-            keep = (np.arange(len(at)) - start) % 2 == 0
-            at, first = at[keep], first[keep]
-            rule_first, rule, uses = np.unique(first, return_inverse=True, return_counts=True)
-            good = uses >= least
-            at, rule = at[good[rule]], (np.cumsum(good) - 1)[rule[good[rule]]]
-            rule_first = rule_first[good]
+            place = np.arange(len(at))
+            at = at[((place - np.maximum.accumulate(np.where(new_run, place, 0))) & 1) == 0]
+            uses = np.bincount(h[at], minlength=BUCKETS + 1)
+            buckets = np.flatnonzero(uses >= least)
+            at = at[uses[h[at]] >= least]
+            number[buckets] = np.arange(len(buckets))
+            rule, rule_first = number[h[at]], stands[buckets]
         if len(at):
             left, right = s[rule_first], s[rule_first + 1]
             known = np.concatenate([np.ones(0, np.uint32), *tokens]) if tokens else np.ones(0, np.uint32)

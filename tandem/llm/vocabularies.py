@@ -14,6 +14,10 @@ from tandem.llm._shared import BatchMemo, per_worker, sliced
 
 
 
+#: A character that is one token by itself in the vocabulary that drops white space.
+MARK = "~"
+
+
 def load(path: str) -> tuple[str, bytes]:
     """Name (a digest) and content of a vocabulary file."""
     with open(path, "rb") as f:
@@ -51,8 +55,9 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.drops_space = drops_space
-        self.memo = BatchMemo(self._encode)
+        self.memo = BatchMemo(self._encode, most=700_000)
         tokens = self.tokenizer.get_vocab()
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids if drops_space else (None,)
         self.sizes = np.zeros(max(tokens.values()) + 1, np.int64)
         self.sizes[list(tokens.values())] = [len(t) for t in tokens]
 
@@ -69,16 +74,19 @@ class ChunkEncoder:
 
     def _joined(self, chunks: list[str], between: str) -> list[bytes]:
         """Ids of each chunk, from one call."""
-        e = self.tokenizer.encode(between.join(chunks), add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
         if self.drops_space:
-            starts = np.array([a for a, _ in e.offsets], np.int64)
-            stops = np.cumsum([len(c) + 1 for c in chunks])
-        else:  # a byte-level token stands for as many bytes as its entry has characters
-            size = self.sizes[ids]
-            starts = np.cumsum(size) - size
-            stops = np.cumsum([len(c.encode()) for c in chunks])
-        cuts = np.searchsorted(starts, np.r_[0, stops]).tolist()
+            # A mark, which is one token, ends each chunk; chunks that have it themselves go alone.
+            text = f" {MARK} ".join(chunks) + f" {MARK}"
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(ids == self.mark)
+            if len(stops) != len(chunks):
+                return [self._whole(c) for c in chunks]
+            ids, stops = ids.tobytes(), stops.tolist()
+            return [ids[4 * a : 4 * b] for a, b in zip([0, *[x + 1 for x in stops]], stops)]
+        ids = np.array(self.tokenizer.encode(between.join(chunks), add_special_tokens=False).ids, "<u4")
+        # A byte-level token stands for as many bytes as its entry has characters.
+        size = self.sizes[ids]
+        cuts = np.searchsorted(np.cumsum(size) - size, np.cumsum([0, *[len(c.encode()) for c in chunks]])).tolist()
         ids = ids.tobytes()
         return [ids[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
 
