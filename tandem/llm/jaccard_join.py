@@ -39,6 +39,8 @@ from tandem.llm._shared import Memo, batches, texts_of, written
 #: A size band reaches from its lower end to WIDTH times that; sizes near an end are in two bands.
 WIDTH = 1.5
 FOLDED = 16
+#: Rows of ids and fingerprints (three longs each) that are broadcast at most; more of them meet the texts in a shuffle.
+MOST_BROADCAST = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 M64 = 0xFFFFFFFFFFFFFFFF
 
@@ -176,6 +178,10 @@ def _possible(a: str, b: str, threshold: int):
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) of heads whose sets reach the threshold, compared as sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(heads, "doc_id").select("doc_id", "set_a", "set_b")
+    wanted = written(wanted, "wanted")
+    if wanted.count() <= MOST_BROADCAST:
+        # Few documents are compared, so the texts need not be shuffled to find them.
+        wanted = F.broadcast(wanted)
     sets = written(shingle_sets(docs, wanted, words), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")

@@ -54,8 +54,10 @@ def rows_of(seed):
     return [(3 * i + 1, t) for i, t in enumerate(texts)]
 
 
-def test_components_equal_brute_force(spark):
-    for seed, words, threshold in ((1, 4, 85), (2, 5, 80)):
+def test_components_equal_brute_force(spark, monkeypatch):
+    """Also where the texts to compare are found by a shuffle, as for more ids than are broadcast."""
+    for seed, words, threshold, broadcast in ((1, 4, 85, J.MOST_BROADCAST), (2, 5, 80, 0)):
+        monkeypatch.setattr(J, "MOST_BROADCAST", broadcast)
         rows = rows_of(seed)
         docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, n string")
         got = J.linked_components(docs, words, threshold).select("doc_id", "n_shingles", "component_id").collect()
