@@ -163,15 +163,24 @@ def clamp_marks(spark, d):
     return D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", S.clamp_marks(F.col("l_quantity") / 7 - 1, F.col("l_linenumber")).alias("marks"))
 
 
-def split_labels(spark, d):
+def _embedded(spark, d, text) -> DataFrame:
     n = (F.col("doc_id") % 9 + 1).cast("string")
     more = F.get(F.array(F.concat(F.lit(" Diagram for Answer "), (F.col("doc_id") % 9 + 2).cast("string"), F.lit(": fig")), F.concat(F.lit(" Q"), n, F.lit(". again")), F.lit("")), (F.col("doc_id") % 3).cast("int"))
     label = F.concat(F.lit("Ans "), n, F.lit("."))
-    body = F.concat(label, F.lit(" "), F.regexp_replace(F.substring("text", 1, 200), "\n", " "), more)
+    body = F.concat(label, F.lit(" "), F.regexp_replace(text, "\n", " "), more)
     blocks = D.table(spark, d, "documents").select(F.col("doc_id").alias("block_id"), label.alias("raw_label"), n.alias("number"), body.alias("body_text"), (F.col("doc_id") % 2 == 0).alias("has_diagram"))
     return X.split_embedded(blocks)
 
 
+def split_labels(spark, d):
+    """Only the first 200 characters of each text, as its SQL has it."""
+    return _embedded(spark, d, F.substring("text", 1, 200))
+
+
+def split_labels_whole(spark, d):
+    return _embedded(spark, d, F.col("text"))
+
+
 def segment_lines(spark, d):
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat((F.floor(i / 3) + 1).cast("string"), F.lit(". "), x)).otherwise(x))
     return X.segment_lines(D.table(spark, d, "documents").select("doc_id", F.array_join(numbered, "\n").alias("text")))
@@ -345,7 +354,7 @@ QUERIES = {
     for f in (
         normalize_label, label_similarity, same_label, question_order, assign_sequence, answer_groups, seq_gaps, duplicate_rank, resolve_groups, map_exact, map_fuzzy, score_mapping,
         needs_review, reasoning, consumed_ids, unanswered, orphans, method_counts, grade_length, grade_lookup, summary, strong_weak, badge_tiers, result_cards, tokenize,
-        keyword_overlap, map_semantic, map_residual, merge_text, clamp_marks, split_labels, segment_lines,
+        keyword_overlap, map_semantic, map_residual, merge_text, clamp_marks, split_labels, split_labels_whole, segment_lines,
         box_clip, block_extent, gap_insertions, answer_span, page_count, history_topk, history_window, history_page, most_recent, history_stats, history_tiers, history_upsert,
         sse_parse, highlight_boxes, box_pad, page_growth, gap_remap, page_boxes, strip_fences, fix_commas, json_repair, progress_percent, ttl_sweep, session_latest, guard_index, orphan_caption, union_pages, array_ops,
         progress_latest, json_props, format_bytes, format_marks, upload_validation, mime_resolution,

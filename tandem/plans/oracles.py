@@ -235,3 +235,4 @@ ORACLES["sse_parse"] = """SELECT user_id AS session_id, row_number() OVER (PARTI
     CASE event_type WHEN 'signup' THEN 'idle' WHEN 'view' THEN 'extracting-questions' WHEN 'click' THEN 'extracting-answers' WHEN 'purchase' THEN 'done' ELSE 'error' END AS stage, json_extract_string(props, '$.k')::BIGINT AS percent FROM events"""
 ORACLES["highlight_boxes"] = f"""{LINK}, used AS (SELECT *, row_number() OVER (PARTITION BY session_id, canonical ORDER BY seq) - 1 AS pos FROM resolved WHERE role <> 'duplicate')
     SELECT m.session_id, m.question_id, u.pos, u.answer_id, u.page, u.y, u.h FROM mappings m JOIN used u ON m.session_id = u.session_id AND coalesce(m.near, m.canonical) = u.canonical WHERE m.answer_id IS NOT NULL"""
+ORACLES["split_labels_whole"] = ORACLES["split_labels"].replace("left(text, 200)", "text")
