@@ -4,7 +4,8 @@ For each response record (id, target, date, HTTP header and body) two records
 are made, both tied to it by ``WARC-Refers-To``:
 
 * ``metadata``: warc-fields with the source's digests, HTTP status line, content
-  type, title and outlinks;
+  type, title and outlinks, and every header of the source in order: WARC headers
+  as ``warc-header``, HTTP headers as ``http-header``;
 * ``conversion``: the page's text as text/plain.
 
 Both keep the source's target, date and digests (``source_block_digest``,
@@ -31,11 +32,22 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
+def made_header(body: Column) -> Column:
+    """The HTTP header given to a page, which has none of its own."""
+    return F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(body), F.lit(CRLF + CRLF))
+
+
+def header_lines(header: Column) -> Column:
+    """The lines of a header in order, without the first one; folded lines are joined."""
+    unfolded = F.regexp_replace(header, r"\r?\n[ \t]+(?=[^ \t\r\n])", " ")
+    lines = F.split(unfolded, r"\r?\n")
+    return F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x) != "")
+
+
 def responses_from_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Response records (page_id, record_id, target_uri, date, http_header, body) of page_id, url, html; a null html is an empty body."""
     body, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
-    header = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(body), F.lit(CRLF + CRLF))
-    return pages.select("page_id", record_id(F.lit("response"), url, F.coalesce(F.col("page_id").cast("string"), F.lit("")), body).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("date"), header.alias("http_header"), body.alias("body"))
+    return pages.select("page_id", record_id(F.lit("response"), url, F.coalesce(F.col("page_id").cast("string"), F.lit("")), body).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("date"), made_header(body).alias("http_header"), body.alias("body"))
 
 
 def decoded_entities(text: Column) -> Column:
@@ -59,9 +71,14 @@ def title_of(html: Column) -> Column:
     return F.trim(F.regexp_replace(decoded_entities(t), r"[ \t\r\n\f]+", " "))
 
 
+#: A link up to its target: attributes other than href, then href with its value in either quotes or none. Possessive, so that long tags need no stack.
+LINK = r"""(?i)<a(?=[\s/])(?:[\s/]*+(?!href\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+)*+[\s/]*+href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+
+
 def outlinks_of(html: Column) -> Column:
-    """Targets of links as written, each once, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s+href="([^"]*)"'), 1))
+    """Targets of links as written, each once, in order of appearance; href may stand anywhere in the tag, in either quotes or none."""
+    bare = lambda u: F.when(F.substring(u, 1, 1).isin('"', "'"), F.substring(u, F.lit(2), F.length(u) - 2)).otherwise(u)
+    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(LINK), 1), bare))
 
 
 def record_bytes(fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -70,14 +87,18 @@ def record_bytes(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
-    """Two rows per response: page_id, record_type, record_id, refers_to, target_uri, date, the source's and the own digests, block, record.
+    """Two rows per response: page_id, record_type, record_id, refers_to, target_uri, date, the source's headers and digests, the own digest, block, record.
 
-    ``record`` is the whole record as text. Null header, body, target or date are
-    empty; every row of a response is taken, also repeated ones (their records
+    ``record`` is the whole record as text. The source's headers are whole in
+    ``source_http_header`` and ``source_warc_header``; the latter is empty unless
+    ``responses`` have a column ``warc_header`` (version line and named fields as
+    in the file). Metadata name all of them but those that ``made_header`` gave a
+    page. Null headers, body, target or date are empty; every row of a response is taken, also repeated ones (their records
     have equal ids); other columns are ignored; no responses, no records.
     """
     names = ("record_id", "target_uri", "date", "http_header", "body")
-    source = responses.select("page_id", *[F.coalesce(n, F.lit("")).alias(n) for n in names])
+    warc_header = F.coalesce("warc_header", F.lit("")) if "warc_header" in responses.columns else F.lit("")
+    source = responses.select("page_id", *[F.coalesce(n, F.lit("")).alias(n) for n in names], warc_header.alias("warc_header"))
     source = source.select(
         "*",
         digest(F.concat("http_header", "body")).alias("source_block_digest"),
@@ -94,6 +115,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
         line("source-payload-digest", F.col("source_payload_digest")),
         line("http-status", status),
         line("http-content-type", content_type),
+        F.array_join(F.transform(header_lines(F.col("warc_header")), lambda x: line("warc-header", x)), ""),
+        F.when(F.col("http_header") == made_header(F.col("body")), "").otherwise(F.array_join(F.transform(header_lines(F.col("http_header")), lambda x: line("http-header", x)), "")),
         line("title", F.col("title")),
         F.array_join(F.transform("outlinks", lambda u: line("outlink", u)), ""),
     )
@@ -101,7 +124,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
-    each = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "source_block_digest", "source_payload_digest", F.explode(kinds).alias("k")).select("*", "k.*").drop("k")
+    each = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_header").alias("source_http_header"), F.col("warc_header").alias("source_warc_header"), "source_block_digest", "source_payload_digest", F.explode(kinds).alias("k")).select("*", "k.*").drop("k")
     each = each.withColumn("block_digest", digest(F.col("block"))).withColumn("record_id", record_id(F.col("refers_to"), F.col("record_type"), F.col("block_digest")))
     fields = [
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
