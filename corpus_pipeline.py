@@ -5,7 +5,7 @@ works on all that its predecessor kept; all but the last return those columns.
 """
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import jaccard_join, language_id, packing, toxicity
@@ -30,14 +30,27 @@ def keep_told_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates (five-word shingles, 80 percent).
+    """One row of each group of near duplicates (five-word shingles, 80 percent), of the smallest id.
 
-    Documents without a word, or without an id, are in no group and stay; of
-    rows that share an id and are their group's smallest, all stay.
+    Documents without a word, or without an id, are in no group and stay. Rows
+    are told apart by id and text: of a group's rows that share the smallest id
+    one stays, and a text of another group stays whatever ids it shares.
     """
-    groups = jaccard_join.linked_components(docs, words=5, threshold=80)
-    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    rows = jaccard_join.grouped_rows(docs, words=5, threshold=80).filter("group_id is not null")
+    rows = written(rows.select("doc_id", "text_hash", "component_id", "group_id"), "grouped")
+    first = rows.filter("doc_id = component_id")
+    repeated = first.groupBy("doc_id", "group_id").agg(F.min("text_hash").alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    repeated = written(repeated.select("doc_id", "group_id", "kept"), "repeated")
+    key = ["doc_id", "text_hash"]
+    others = rows.filter("doc_id > component_id").select(key).union(first.join(repeated, ["doc_id", "group_id"]).filter("text_hash <> kept").select(key)).distinct()
+    stay = docs.withColumn("text_hash", jaccard_join.text_hash()).join(others, key, "left_anti")
+    if repeated.isEmpty():
+        return stay.select(docs.columns)
+    # The same text under the same id more than once: the first of the rows, in the order of their columns.
+    again = repeated.select("doc_id", F.col("kept").alias("text_hash"))
+    order = Window.partitionBy(key).orderBy(docs.columns)
+    one = stay.join(again, key, "left_semi").withColumn("row", F.row_number().over(order)).filter("row = 1")
+    return stay.join(again, key, "left_anti").select(docs.columns).union(one.select(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ The band's ``spare`` is what nearly all of its documents stay below.
 Steps, none of which forms all pairs of a group:
 
 1. one map over the texts: set size, set fingerprint, a folded sketch and the
-   segment keys; documents with equal sets are one class (its smallest id);
+   segment keys; a node is an id with one of its sets, nodes with equal sets are
+   one class, headed by its smallest node;
 2. in each group of equal keys the smallest class is paired with the others;
 3. pairs whose sizes and folded sketches allow a link are verified on the sets;
    links make components (large star, small star);
@@ -26,6 +27,7 @@ So every link between documents of different components is found or excluded by
 a lower bound or by verification. Nothing is dropped or capped.
 """
 
+import itertools
 import math
 
 import numpy as np
@@ -39,7 +41,7 @@ from tandem.llm._shared import Memo, batches, texts_of, written
 #: A size band reaches from its lower end to WIDTH times that; sizes near an end are in two bands.
 WIDTH = 1.5
 FOLDED = 16
-#: Rows of ids and fingerprints (three longs each) that are broadcast at most; more of them meet the texts in a shuffle.
+#: Rows of ids, nodes and fingerprints (four longs each) that are broadcast at most; more of them meet the texts in a shuffle.
 MOST_BROADCAST = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 M64 = 0xFFFFFFFFFFFFFFFF
@@ -133,39 +135,45 @@ def fingerprint(shingles: np.ndarray) -> list[int]:
     return _longs(np.array([np.bitwise_xor.reduce(_mix(shingles)) if len(shingles) else 0, np.sum(_mix(shingles ^ MIX), dtype=np.uint64)], np.uint64))
 
 
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+def text_hash():
+    """What tells texts apart that share a doc_id."""
+    return F.xxhash64("text")
+
+
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
 
 def sketches(docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Size, fingerprint, folded sketch and segment keys of every document."""
+    """Hash of the text, size, fingerprint, folded sketch and segment keys of every document."""
 
     def rows(arrow):
         memo, bands = Memo(word_hash), Memo(lambda n: bands_of(n, threshold))
         for batch in arrow:
-            for doc_id, text in texts_of(batch):
+            for (doc_id, text), text_hash in zip(texts_of(batch), batch.column("text_hash").to_pylist()):
                 s = shingle_hashes(text, words, memo)
                 keys = segment_keys(s, bands[len(s)]) if doc_id is not None else np.zeros(0, np.uint64)
-                yield doc_id, len(s), *fingerprint(s), folded_sketch(s).tolist(), _longs(keys)
+                yield doc_id, text_hash, len(s), *fingerprint(s), folded_sketch(s).tolist(), _longs(keys)
 
-    ddl = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>, keys array<long>"
-    return docs.select("doc_id", "text").mapInArrow(lambda arrow: batches(SKETCHES, rows(arrow), most=1_000), ddl)
+    ddl = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sketch array<long>, keys array<long>"
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(lambda arrow: batches(SKETCHES, rows(arrow), most=1_000), ddl)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id and sorted shingle hashes of the rows whose id and set are ``wanted`` (doc_id, n, set_a, set_b)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """node and sorted shingle hashes of the sets that are ``wanted`` (doc_id, node, set_a, set_b)."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def rows(arrow):
         memo = Memo(word_hash)
         for batch in arrow:
-            prints = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())
-            for (doc_id, text), own in zip(texts_of(batch), prints):
+            prints = zip(*[batch.column(c).to_pylist() for c in ("node", "set_a", "set_b")])
+            for (_, text), (node, *own) in zip(texts_of(batch), prints):
                 s = shingle_hashes(text, words, memo)
-                if fingerprint(s) == list(own):
-                    yield doc_id, _longs(s)
+                if fingerprint(s) == own:
+                    yield node, _longs(s)
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "set_a", "set_b")
-    return texts.mapInArrow(lambda arrow: batches(schema, rows(arrow), most=1_000), "doc_id long, shingles array<long>")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "node", "set_a", "set_b")
+    # Repeated rows of an id give their set more than once.
+    return texts.mapInArrow(lambda arrow: batches(schema, rows(arrow), most=1_000), "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def _possible(a: str, b: str, threshold: int):
@@ -177,14 +185,14 @@ def _possible(a: str, b: str, threshold: int):
 
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) of heads whose sets reach the threshold, compared as sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(heads, "doc_id").select("doc_id", "set_a", "set_b")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads, "node").select("doc_id", "node", "set_a", "set_b")
     wanted = written(wanted, "wanted")
     if wanted.count() <= MOST_BROADCAST:
         # Few documents are compared, so the texts need not be shuffled to find them.
         wanted = F.broadcast(wanted)
     sets = written(shingle_sets(docs, wanted, words), "sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * threshold).select("a", "b")
 
@@ -215,53 +223,86 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
 
 
-def linked_components(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id and component_id of every row of ``docs`` (doc_id, text).
+def with_nodes(every: DataFrame) -> DataFrame:
+    """``every`` with ``node``, a long of its own for each doc_id and set; null for rows without words or id.
 
-    Two documents link when 100 * intersection >= threshold * union of their sets
-    of distinct ``words``-word shingles. ``class_id`` is the smallest doc_id with
-    the same set, ``component_id`` the smallest that links reach. A document
-    without words links with nothing. Rows without doc_id have null class and
-    component; rows that share a doc_id keep their own sizes, and the id has
-    the class of the least of their sets by size and fingerprint. An empty table stays empty.
+    It is the doc_id where that has one set. Sets of ids that have more get a
+    hash; should it be another node already, they are hashed anew.
     """
-    every = written(sketches(docs, words, threshold), "sketches")
-    full = every.filter("n_shingles > 0 and doc_id is not null")
-    chosen = full.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "set_a", "set_b")).alias("s")).select("doc_id", "s.*")
-    classes = chosen.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
-    member = written(chosen.join(classes, ["n_shingles", "set_a", "set_b"]), "classes")
-    heads = member.filter("doc_id = class_id").select("doc_id", F.col("n_shingles").alias("n"), "set_a", "set_b")
-    of_heads = full.select("doc_id", "n_shingles", "set_a", "set_b", "sketch").join(heads, ["doc_id", "set_a", "set_b"], "left_semi")
-    sketch = written(of_heads.select("doc_id", F.col("n_shingles").alias("n"), "sketch").distinct(), "heads")
-
-    # A copy has all keys of its head, so each group's smallest document is a head; copies then leave the groups.
+    placed = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("doc_id"))
+    every = every.withColumn("node", placed)
+    same = ["n_shingles", "set_a", "set_b"]
+    per_id = every.filter("node is not null").groupBy("doc_id").agg(*[F.min(c).alias(f"lo_{c}") for c in same], *[F.max(c).alias(f"hi_{c}") for c in same])
+    clashing = written(per_id.filter(" or ".join(f"lo_{c} < hi_{c}" for c in same)).select("doc_id", F.lit(True).alias("clashes")), "clashing")
+    if clashing.isEmpty():
+        return every
+    marked = every.join(clashing, "doc_id", "left")
+    for salt in itertools.count():
+        found = marked.withColumn("node", F.when(F.col("clashes") & F.col("node").isNotNull(), F.xxhash64("doc_id", *same, F.lit(salt))).otherwise(F.col("node")))
+        if found.filter("node is not null").select("node", "doc_id", *same).distinct().groupBy("node").count().filter("count > 1").isEmpty():
+            return written(found.drop("clashes"), "noded")
+
+
+def grouped_rows(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """As ``linked_components``, with ``text_hash`` of every row and ``group_id``.
+
+    Rows of a component, and no others, have the same ``group_id``; so unlike
+    ``component_id`` it tells apart components whose smallest doc_id is the same
+    id with different texts. It is null for rows without words or id.
+    """
+    every = with_nodes(written(sketches(docs, words, threshold), "sketches"))
+    full = every.filter("node is not null")
+    chosen = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("set_a").alias("set_a"), F.min("set_b").alias("set_b"))
+    classes = chosen.groupBy("n", "set_a", "set_b").agg(F.min("node").alias("head"), F.min("doc_id").alias("class_id"))
+    member = written(chosen.join(classes, ["n", "set_a", "set_b"]), "classes")
+    heads = member.filter("node = head")
+    sketch = written(full.select("node", F.col("n_shingles").alias("n"), "sketch").join(heads.select("node"), "node", "left_semi").distinct(), "heads")
+
+    # A copy has all keys of its head, so each group's smallest node is a head; copies then leave the groups.
     group = Window.partitionBy("key")
-    keyed = full.select(F.explode("keys").alias("key"), "doc_id").withColumn("least", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
-    groups = written(keyed.filter("least < most").select("key", "doc_id", "least").join(heads.select("doc_id"), "doc_id", "left_semi"), "groups")
+    keyed = full.select(F.explode("keys").alias("key"), "node").withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group))
+    groups = written(keyed.filter("least < most").select("key", "node", "least").distinct().join(heads.select("node"), "node", "left_semi"), "groups")
 
     def links(pairs: DataFrame) -> DataFrame:
         return written(verified(written(pairs, "pairs"), heads, docs, words, threshold), "links")
 
-    star = groups.filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = star.join(sketch.alias("x"), F.col("a") == F.col("x.doc_id")).join(sketch.alias("y"), F.col("b") == F.col("y.doc_id"))
+    star = groups.filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    star = star.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node"))
     found = links(star.filter(_possible("x", "y", threshold)).select("a", "b"))
     parts = components(found)
 
     # Groups that still hold more than one component.
-    placed = groups.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = groups.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_rows = written(placed.join(spread, "key", "left_semi").join(sketch, "doc_id"), "open-groups")
+    open_rows = written(placed.join(spread, "key", "left_semi").join(sketch, "node"), "open-groups")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", threshold))
-    across = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = links(across)
     if not more.isEmpty():
         parts = components(found.union(more))
 
-    member = member.select("doc_id", "class_id")
-    to_component = member.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    rows = every.select("doc_id", "n_shingles").join(to_component, "doc_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # A component is called by the smallest doc_id of its classes, which is not its node where that is a hash.
+    called = parts.join(heads.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    called = parts.join(called, "component").withColumnRenamed("node", "head")
+    member = member.select("node", "head", "class_id").join(called, "head", "left")
+    member = member.select("node", "class_id", F.coalesce("component", "head").alias("group_id"), F.coalesce("component_id", "class_id").alias("component_id"))
+    rows = every.select("doc_id", "text_hash", "n_shingles", "node").join(member, "node", "left")
+    named = [F.coalesce(c, "doc_id").alias(c) for c in ("class_id", "component_id")]
+    return rows.select("doc_id", "text_hash", "n_shingles", *named, "group_id")
+
+
+def linked_components(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of every row of ``docs`` (doc_id, text).
+
+    Two documents link when 100 * intersection >= threshold * union of their sets
+    of distinct ``words``-word shingles. ``class_id`` is the smallest doc_id with
+    the same set, ``component_id`` the smallest that links reach. A document
+    without words links with nothing. Rows without doc_id have null class and
+    component; rows that share a doc_id are placed each by its own set. An empty
+    table stays empty.
+    """
+    return grouped_rows(docs, words, threshold).select("doc_id", "n_shingles", "class_id", "component_id")
 
 
 def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
