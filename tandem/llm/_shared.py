@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import gc
+import re
+import sys
+import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where Spark keeps written intermediates when the session names no shared folder (tests).
-LOCAL_SHARED_DIR = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    """A new folder's path below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only in local mode, where there are no other machines, may it be unset.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/tandem/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,51 +43,58 @@ class Memo(dict):
     """A bounded memo of ``make(key)`` for the keys of one Python worker.
 
     ``map(memo.__getitem__, keys)`` runs at dict speed; call ``trim()`` between
-    documents so that the memo never holds more than ``most`` keys for long.
+    documents so that the memo never holds more than ``most_bytes`` (about) for long.
     """
 
-    def __init__(self, make, most: int = 200_000):
+    def __init__(self, make, most_bytes: int = 32 << 20):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most_bytes, self.bytes = make, most_bytes, 0
 
     def __missing__(self, key):
         self[key] = value = self.make(key)
+        self.bytes += 2 * ENTRY + sys.getsizeof(key)
         return value
 
     def trim(self) -> None:
-        if len(self) > self.most:
+        if self.bytes > self.most_bytes:
             self.clear()
+            self.bytes = 0
+
+
+#: Bytes of a dict's entry besides its key and value, about.
+ENTRY = 100
 
 
 class BatchMemo:
     """A bounded memo whose missing keys are made many at a time by ``make(list of keys)``.
 
-    Two generations of at most ``most`` keys: when the young one is full it
-    becomes the old one, and keys that are met again move back. So frequent
-    keys stay and rare ones go.
+    Two generations of about ``most_bytes``, keys and values counted: when the
+    young one is full it becomes the old one, and keys that are met again move
+    back. So frequent keys stay and rare ones go.
     """
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most_bytes: int = 40 << 20):
         self.young: dict = {}
         self.old: dict = {}
-        self.make, self.most = make, most
+        self.make, self.most_bytes, self.bytes = make, most_bytes, 0
 
     def values(self, keys: list) -> list:
         """The value of each key, in order."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        if self.bytes > self.most_bytes:
+            self.old, self.young, self.bytes = self.young, {}, 0
         found = list(map(self.young.get, keys))
         gaps, at = [], -1
         for _ in range(found.count(None)):
             gaps.append(at := found.index(None, at + 1))
         if gaps:
             new = {keys[i] for i in gaps}
-            again = {k for k in new if k in self.old}
-            self.young.update((k, self.old[k]) for k in again)
-            missing = list(new - again)
-            self.young.update(zip(missing, self.make(missing)))
+            added = {k: self.old[k] for k in new if k in self.old}
+            missing = list(new - added.keys())
+            added.update(zip(missing, self.make(missing)))
+            self.bytes += ENTRY * len(added) + sum(map(sys.getsizeof, added)) + sum(map(sys.getsizeof, added.values()))
+            self.young.update(added)
             for i in gaps:
-                found[i] = self.young[keys[i]]
+                found[i] = added[keys[i]]
         return found
 
 
@@ -87,13 +102,15 @@ _PER_WORKER: dict = {}
 
 
 def per_worker(key, make):
-    """The Python worker's object of this key, kept between tasks until another operator asks for its own.
+    """The Python worker's object of this key, kept between tasks until an operator asks for another one.
 
-    So a worker that runs stage after stage holds one tokenizer or model with its
-    memos, not all of them.
+    Every operator of this subpackage that runs Python asks for one, so a worker
+    that runs stage after stage holds one model or tokenizer with its memos.
     """
     if key not in _PER_WORKER:
         _PER_WORKER.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _PER_WORKER[key] = make()
     return _PER_WORKER[key]
 

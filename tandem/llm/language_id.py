@@ -168,8 +168,8 @@ class Model:
     def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray):
         self.languages, self.pieces, self.p = languages, pieces, p
         self.lattice = Lattice(pieces)
-        self.words = BatchMemo(self._words, most=60_000)
-        self.chunks = BatchMemo(self._chunks, most=150_000)
+        self.words = BatchMemo(self._words, most_bytes=16 << 20)
+        self.chunks = BatchMemo(self._chunks, most_bytes=40 << 20)
 
     def _words(self, words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
@@ -223,6 +223,7 @@ def train(docs: DataFrame, usable: Column, vocabulary: str) -> Model:
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def count(arrow):
+        per_worker("language-count", dict)
         found: Counter = Counter()
         for batch in arrow:
             for lang, (_, text) in zip(batch.column("lang").to_pylist(), texts_of(batch)):

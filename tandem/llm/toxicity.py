@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm._shared import Memo, batches, crc32_mod, texts_of
+from tandem.llm._shared import Memo, batches, crc32_mod, per_worker, texts_of
 
 #: Labelled rows that a machine is fitted on, at most; those of lowest xxhash64(doc_id) are taken.
 SAMPLE_ROWS = 12_000
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Machine:
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
 
     def terms(arrow):
-        memo = Memo(term_buckets)
+        memo = per_worker("terms", lambda: Memo(term_buckets))
         schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int32()))])
         for batch in arrow:
             toxic = batch.column("toxic").to_pylist()
@@ -134,6 +134,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((machine.buckets, machine.w0, machine.w, machine.v))
 
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        per_worker("toxicity", dict)
         machine = Machine(*shared.value)
         kept = machine.at
         memo = Memo(lambda chunk: tuple(b for b in term_buckets(chunk) if b in kept))
