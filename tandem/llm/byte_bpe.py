@@ -112,11 +112,11 @@ class TreeBpe:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [spaced_chunks(text) for text in texts]
-        values = self.memo.values([c for own in split if own for c in own])
+        values = self.memo.values([c for own in split for c in own])
         out, at = [], 0
-        for text, own in zip(texts, split):
-            out.append(self._chunk(text) if own is None else b"".join(values[at : at + len(own)]))
-            at += len(own or ())
+        for own in split:
+            out.append(b"".join(values[at : at + len(own)]))
+            at += len(own)
         return out
 
     def decode(self, ids: bytes) -> bytes:

@@ -19,14 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm._shared import batches, texts_of
-from tandem.llm.vocabularies import chunk_encoder, load
+from tandem.llm.vocabularies import chunk_encoder, gathered, load
 
 LENGTH = 1024
 END_ID = 0
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 UNIT_TOKENS = 1 << 21
+#: Pieces in one Arrow batch.
+PIECES_TOGETHER = 5_000
 
 PIECES = pa.schema(
     [
@@ -81,24 +82,32 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_i
 
     def rows(arrow):
         encoder = chunk_encoder(vocab, drops_space=False)
-        first, end = TaskContext.get().partitionId() << 40, np.array([end_id], "<u4").tobytes()
-        unit, held = [], 0
-        for doc_id, ids in encoder.encoded(row for batch in arrow for row in texts_of(batch)):
-            unit.append((doc_id, ids + end))
-            held += len(ids) // 4 + 1
-            if held >= unit_tokens:
-                found = list(packed(unit, first))
-                first = max(f[4] for f in found) + 1
-                yield from found
-                unit, held = [], 0
-        yield from packed(unit, first)
-
-    def packed(unit, first):
-        for doc, start, n, sequence, offset, capacity in pack([len(ids) // 4 for _, ids in unit], length):
-            doc_id, ids = unit[doc]
-            yield doc_id, start, n, len(ids) // 4, first + sequence, offset, capacity, ids[4 * start : 4 * (start + n)]
-
-    return docs.select("doc_id", "text").mapInArrow(lambda arrow: batches(PIECES, rows(arrow), most=5_000), PIECES_DDL)
+        first, doc_ids, lengths, ids = TaskContext.get().partitionId() << 40, [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+        def packed(n):
+            """The pieces of a unit of the first ``n`` documents held."""
+            nonlocal first, doc_ids, lengths, ids
+            own = int(lengths[:n].sum())
+            doc, start, size, sequence, offset, capacity = np.array(pack(lengths[:n].tolist(), length), np.int64).T
+            begin = (np.cumsum(lengths[:n]) - lengths[:n])[doc] + start
+            for a in range(0, len(doc), PIECES_TOGETHER):
+                at = slice(a, a + PIECES_TOGETHER)
+                stops = pa.array(np.concatenate([[0], 4 * np.cumsum(size[at])]), pa.int32())
+                content = gathered(ids[:own], begin[at], size[at]).astype("<u4").tobytes()
+                binaries = pa.BinaryArray.from_buffers(pa.binary(), len(doc[at]), [None, stops.buffers()[1], pa.py_buffer(content)])
+                columns = [pa.array(doc_ids[:n], pa.int64()).take(pa.array(doc[at])), *map(pa.array, (start[at], size[at], lengths[doc[at]], first + sequence[at], offset[at], capacity[at]))]
+                yield pa.RecordBatch.from_arrays([*columns, binaries], schema=PIECES)
+            first += int(sequence.max()) + 1
+            doc_ids, lengths, ids = doc_ids[n:], lengths[n:], ids[own:]
+
+        for more, more_ids, more_lengths in encoder.encoded(arrow, end_id):
+            doc_ids, lengths, ids = doc_ids + more, np.concatenate([lengths, more_lengths]), np.concatenate([ids, more_ids])
+            while int(lengths.sum()) >= unit_tokens:
+                yield from packed(int(np.searchsorted(np.cumsum(lengths), unit_tokens)) + 1)
+        if doc_ids:
+            yield from packed(len(doc_ids))
+
+    return docs.select("doc_id", "text").mapInArrow(rows, PIECES_DDL)
 
 
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

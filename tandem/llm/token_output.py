@@ -1,8 +1,8 @@
 """Token ids as grammar-compressed shards (Re-Pair) with random access.
 
 File format: a Parquet dataset with one row per block of whole documents in
-ascending order of ``doc_id`` (columns ``part``, ``block`` give the order). A
-block holds its documents' ids as a grammar:
+ascending order of ``doc_id`` (columns ``part``, ``block`` give the order;
+``block_start`` counts the ids of its part's blocks before it). A block holds its documents' ids as a grammar:
 
 * ``doc_ids``, ``doc_tokens``, ``doc_symbols``: per document its id, its number
   of token ids and its number of grammar symbols;
@@ -23,96 +23,151 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm._shared import batches, shared_dir, texts_of
+from tandem.llm._shared import per_worker, shared_dir
 from tandem.llm.vocabularies import chunk_encoder, load
 
 END_ID = 1
+#: Characters of a text that tell tasks apart where rows share an id.
+ORDER_CHARS = 256
 #: A block is closed by the document that brings it to this many ids.
 BLOCK_IDS = 1 << 20
-#: A pair that occurs less often in a block gets no rule.
-LEAST_PAIRS = 8
-#: Hash buckets that count pairs.
-BUCKETS = 1 << 20
+#: A pair that is used less often in a block gets no rule.
+LEAST_USES = 2
+#: The floor of a round is the one before divided by this.
+STEP = 8
+#: Binary logarithm of the number of hash buckets that count pairs, at most.
+MOST_BITS = 20
 #: Nonterminals are numbered from here on; token ids are below.
 BASE = 1 << 24
+#: Parts (tasks that wrote blocks) whose first ids are broadcast at most; their number is that of shuffle partitions.
+MOST_PARTS = 1 << 20
 
 BLOCKS = pa.schema(
     [
-        ("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
+        ("part", pa.int32()), ("block", pa.int32()), ("block_start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("doc_symbols", pa.list_(pa.int64())),
         ("rule_left", pa.binary()), ("rule_right", pa.binary()), ("rule_tokens", pa.binary()), ("symbols", pa.binary()),
     ]
 )
 BLOCKS_DDL = (
-    "part int, block int, n_docs long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>, "
+    "part int, block int, block_start long, n_docs long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>, "
     "rule_left binary, rule_right binary, rule_tokens binary, symbols binary"
 )
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, end_id: int = END_ID, least: int = LEAST_PAIRS):
+def _buckets(left: np.ndarray, right: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    """Hash buckets of pairs; every turn has another hash."""
+    mixed = left * np.uint32(2654435761 + 2 * turn)
+    mixed ^= right * np.uint32(2246822519 + 6 * turn)
+    mixed *= np.uint32(0x9E3779B1)
+    mixed >>= np.uint32(32 - bits)
+    return mixed.astype(np.intp)
+
+
+def _first_alike(s: np.ndarray, at: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each place has the pair that stands first in its bucket."""
+    stands = np.empty(1 << bits, np.intp)
+    stands[h[::-1]] = at[::-1]
+    first = stands[h]
+    return (s[at] == s[first]) & (s[at + 1] == s[first + 1])
+
+
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, least: int = LEAST_USES, step: int = STEP):
     """Re-Pair over one block: (symbols, rule_left, rule_right, rule_tokens, doc_symbols).
 
-    Pairs are replaced in rounds of falling frequency: a round replaces, from
-    left to right, every pair that occurs at least ``floor`` times; the floor
-    falls to a quarter each time until it is ``least``. A pair whose left symbol is or ends a
-    document's last id is never replaced, so documents stay apart.
+    Pairs are replaced in rounds of falling frequency. A turn replaces the pairs
+    that stand at ``floor`` places or more, all at once; where two of them
+    overlap the more frequent one is replaced and the other is counted anew. It
+    is repeated for the places that changed until little is left to replace;
+    then the floor falls, down to ``least``, where turns go on until no pair can
+    be used ``least`` times any more. Pairs are counted by hash bucket; of pairs
+    that share one, the first counts and the others wait for the next turn,
+    which has another hash. A pair whose left symbol ends a document is never
+    replaced, so documents stay apart.
     """
     s = ids.astype(np.uint32)
     ends = np.zeros(len(s), bool)
-    if len(s):
-        ends[np.cumsum(doc_tokens) - 1] = True
-    lefts, rights, tokens, made = [], [], [], 0
-    stands, number = np.zeros(BUCKETS + 1, np.intp), np.zeros(BUCKETS + 1, np.intp)
-    floor = None
-    while len(s) > 1:
-        # Hashed buckets find the frequent pairs; one occurrence in a bucket stands for the pair that is counted.
-        h = ((s[:-1] * np.uint32(2654435761) ^ s[1:] * np.uint32(2246822519)) >> np.uint32(12)).astype(np.intp)
-        np.putmask(h, ends[:-1], BUCKETS)
-        count = np.bincount(h, minlength=BUCKETS + 1)
-        count[BUCKETS] = 0
-        top = int(count.max())
-        if top < least:
-            break
-        floor = max(least, top // 4 if floor is None else floor // 4)
-        at = np.flatnonzero((count >= floor)[h])
-        if len(at):
-            stands[h[at[::-1]]] = at[::-1]  # the first occurrence
-            first = stands[h[at]]
-            at = at[(s[at] == s[first]) & (s[at + 1] == s[first + 1])]
-        if len(at):
-            # Of overlapping occurrences every second one goes, from the left.
-            new_run = np.r_[True, np.diff(at) > 1]
+    ends[np.cumsum(doc_tokens) - 1] = True
+    lefts, rights, sizes, made = [], [], np.ones(1 << 12, np.uint32), 0
+    floor, at, turn, last = None, None, 0, False
+    while len(s):
+        turn += 1
+        every = at is None
+        at = np.flatnonzero(~ends[:-1]) if every else at
+        bits = min(MOST_BITS, max(8, int(4 * len(at)).bit_length()))
+        h = _buckets(s[at], s[at + 1], bits, turn)
+        counts = np.bincount(h, minlength=1 << bits)
+        if floor is None:
+            floor = max(least, int(counts.max()) // step)
+        may = (counts >= floor)[h]
+        at, h = at[may], h[may]
+        alike = _first_alike(s, at, h, bits)
+        waiting = at[~alike]
+        at, h = at[alike], h[alike]
+        # Of a pair's overlapping places (as in a a a) every second one goes, from the left.
+        run = np.zeros(len(at), bool)
+        run[1:] = (np.diff(at) == 1) & (h[1:] == h[:-1])
+        if run.any():
             place = np.arange(len(at))
-            at = at[((place - np.maximum.accumulate(np.where(new_run, place, 0))) & 1) == 0]
-            uses = np.bincount(h[at], minlength=BUCKETS + 1)
-            buckets = np.flatnonzero(uses >= least)
-            at = at[uses[h[at]] >= least]
-            number[buckets] = np.arange(len(buckets))
-            rule, rule_first = number[h[at]], stands[buckets]
+            odd = (place - np.maximum.accumulate(np.where(run, 0, place))) & 1 == 1
+            waiting = np.concatenate([waiting, at[odd]])
+            at, h = at[~odd], h[~odd]
+        uses = np.bincount(h, minlength=1 << bits)
+        enough = (uses >= (least if last else floor))[h]
+        at, h = at[enough], h[enough]
+        # Of overlapping pairs the more frequent one goes.
+        worth = uses[h] << np.int64(32) | h
+        beside = np.diff(at) == 1
+        lower = np.zeros(len(at), bool)
+        lower[1:] = beside & (worth[1:] < worth[:-1])
+        lower[:-1] |= beside & (worth[:-1] < worth[1:])
+        waiting = np.concatenate([waiting, at[lower]])
+        at, h = at[~lower], h[~lower]
+        uses = np.bincount(h, minlength=1 << bits)
+        used = np.flatnonzero(uses >= least)
+        good = (uses >= least)[h]
+        waiting = np.concatenate([waiting, at[~good]])
+        at, h = at[good], h[good]
         if len(at):
-            left, right = s[rule_first], s[rule_first + 1]
-            known = np.concatenate([np.ones(0, np.uint32), *tokens]) if tokens else np.ones(0, np.uint32)
-            size = np.ones(len(left), np.uint32) * 0
-            for side in (left, right):
-                nonterminal = side >= BASE
-                size += np.where(nonterminal, known[np.where(nonterminal, side - BASE, 0)] if len(known) else 1, 1).astype(np.uint32)
-            lefts.append(left), rights.append(right), tokens.append(size)
+            number = np.empty(1 << bits, np.intp)
+            number[used] = np.arange(len(used))
+            rule = number[h]
+            first = np.empty(len(used), np.intp)
+            first[rule[::-1]] = at[::-1]
+            left, right = s[first], s[first + 1]
+            if made + len(used) > len(sizes):
+                sizes = np.concatenate([sizes, np.ones(max(len(sizes), len(used)), np.uint32)])
+            size_of = lambda x: np.where(x >= BASE, sizes[np.where(x >= BASE, x - np.uint32(BASE), 0)], 1)
+            sizes[made : made + len(used)] = size_of(left) + size_of(right)
+            lefts.append(left), rights.append(right)
             s[at] = (BASE + made + rule).astype(np.uint32)
             ends[at] = ends[at + 1]
-            made += len(left)
+            made += len(used)
+        elif not len(waiting) and floor == least:
+            if last:
+                break
+            last = True
+        # Places to look at again: those that wait and those beside a new symbol.
+        if floor > least and len(at) <= len(s) >> 7:
+            floor, again = max(least, floor // step), None
+        elif last and not len(at) and not len(waiting):
+            again = None
+        else:
+            again = np.zeros(len(s), bool)
+            again[waiting] = again[at] = again[np.maximum(at - 1, 0)] = True
+            again &= ~ends
+        if len(at):
             stay = np.ones(len(s), bool)
             stay[at + 1] = False
             s, ends = s[stay], ends[stay]
-        if floor == least and not len(at):
-            break
-        if floor == least and len(at) < len(s) // 200:
-            break
+            again = None if again is None else again[stay]
+        at = None if again is None else np.flatnonzero(again[:-1])
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
     doc_symbols = np.diff(np.r_[0, np.flatnonzero(ends) + 1])
-    return s, cat(lefts), cat(rights), cat(tokens), doc_symbols
+    return s, cat(lefts), cat(rights), sizes[:made].copy(), doc_symbols
 
 
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The token ids of ``symbols``, by opening every rule level by level."""
     s = symbols
     while len(s):
@@ -139,7 +194,7 @@ def decode_range(block: dict, doc_index: int, start: int, length: int) -> np.nda
     lengths[nonterminal] = size[own[nonterminal] - BASE]
     stop = np.cumsum(lengths)
     a, b = np.searchsorted(stop, start, "right"), np.searchsorted(stop, start + length, "left") + 1
-    ids = expand(own[a:b], left, right, size)
+    ids = expand(own[a:b], left, right)
     skip = start - int(stop[a - 1] if a else 0)
     return ids[skip : skip + length]
 
@@ -147,38 +202,35 @@ def decode_range(block: dict, doc_index: int, start: int, length: int) -> np.nda
 def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Encode every whole text of ``docs`` (doc_id, text; others are ignored) and write the blocks under ``path``.
 
-    Order: ascending doc_id, null ids first; rows of one id by text. A null or
+    Order: ascending doc_id, null ids first; rows of one id by text. Rows that
+    share the id and the first ORDER_CHARS characters go to one task. A null or
     empty text is the end id alone. An empty table writes no block.
     """
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(load(vocabulary))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    n = min(MOST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("begins", F.substring("text", 1, ORDER_CHARS))
+    ordered = rows.repartitionByRange(n, "doc_id", "begins").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
 
     def encode(arrow):
-        encoder = chunk_encoder(vocab, drops_space=True)
-        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-
-        def blocks():
-            ids, doc_ids, doc_tokens, held, block = [], [], [], 0, 0
-            for doc_id, own in encoder.encoded(row for batch in arrow for row in texts_of(batch)):
-                own += end
-                ids.append(own)
-                doc_ids.append(doc_id)
-                doc_tokens.append(len(own) // 4)
-                held += len(own) // 4
-                if held >= block_ids:
-                    yield packed(part, block, ids, doc_ids, doc_tokens)
-                    ids, doc_ids, doc_tokens, held, block = [], [], [], 0, block + 1
-            if doc_ids:
-                yield packed(part, block, ids, doc_ids, doc_tokens)
-
-        yield from batches(BLOCKS, blocks(), most=1)
-
-    def packed(part, block, ids, doc_ids, doc_tokens):
-        s, left, right, size, doc_symbols = compress(np.frombuffer(b"".join(ids), "<u4"), np.array(doc_tokens), end_id)
-        return (part, block, len(doc_ids), sum(doc_tokens), doc_ids, doc_tokens, doc_symbols.tolist(), *(x.astype("<u4").tobytes() for x in (left, right, size, s)))
+        encoder, part = chunk_encoder(vocab, drops_space=True), TaskContext.get().partitionId()
+        ids, lengths, doc_ids, start, block = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0, 0
+
+        def packed(n):
+            """A block of the first ``n`` documents held."""
+            nonlocal ids, lengths, doc_ids, start, block
+            own = int(lengths[:n].sum())
+            s, left, right, size, doc_symbols = compress(ids[:own], lengths[:n])
+            row = (part, block, start, n, own, doc_ids[:n], lengths[:n], doc_symbols, *(x.astype("<u4").tobytes() for x in (left, right, size, s)))
+            ids, lengths, doc_ids, start, block = ids[own:], lengths[n:], doc_ids[n:], start + own, block + 1
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, BLOCKS.types)], schema=BLOCKS)
+
+        for more, more_ids, more_lengths in encoder.encoded(arrow, end_id):
+            ids, lengths, doc_ids = np.concatenate([ids, more_ids]), np.concatenate([lengths, more_lengths]), doc_ids + more
+            while int(lengths.sum()) >= block_ids:
+                yield packed(int(np.searchsorted(np.cumsum(lengths), block_ids)) + 1)
+        if doc_ids:
+            yield packed(len(doc_ids))
 
     ordered.mapInArrow(encode, BLOCKS_DDL).write.parquet(path)
 
@@ -186,34 +238,36 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a dataset of blocks: doc_id, start, n_tokens, ids (binary, little-endian u32).
 
-    ``start`` counts the ids of all documents before. Sums per part are added up
-    over one row per part; within a part a window adds up its blocks.
+    ``start`` counts the ids of all documents before. Blocks know their place
+    within their part; the parts' first ids, at most MOST_PARTS rows, are
+    broadcast, so the blocks are not shuffled.
     """
     blocks = spark.read.schema(BLOCKS_DDL).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
-    within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        blocks.select("part", "block", "n_tokens")
-        .join(parts, "part")
-        .select("part", "block", (F.col("part_start") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("block_start"))
-    )
 
     def decode(arrow):
+        per_worker("token-shards", dict)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in arrow:
-            for block in batch.to_pylist():
-                left, right, size, symbols = (np.frombuffer(block[c], "<u4") for c in ("rule_left", "rule_right", "rule_tokens", "symbols"))
-                ids = expand(symbols, left, right, size).astype("<u4").tobytes()
-                at, rows = 0, []
-                for doc_id, n in zip(block["doc_ids"], block["doc_tokens"]):
-                    rows.append((doc_id, block["block_start"] + at, n, ids[4 * at : 4 * (at + n)]))
-                    at += n
-                yield from batches(schema, rows)
-
-    joined = blocks.join(starts, ["part", "block"])
-    columns = ["block_start", "doc_ids", "doc_tokens", "rule_left", "rule_right", "rule_tokens", "symbols"]
-    return joined.select(columns).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                left, right, symbols = (np.frombuffer(row[c].as_buffer(), "<u4") for c in ("rule_left", "rule_right", "symbols"))
+                ids, n = expand(symbols, left, right).astype("<u4"), row["doc_tokens"].values.to_numpy()
+                stops = np.cumsum(n)
+                at = 0
+                while at < len(n):  # some documents at a time, as an array of binaries holds less than 2 GB
+                    end = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + (1 << 22), "right")))
+                    first = int(stops[at - 1]) if at else 0
+                    offsets = pa.array(np.concatenate([[0], stops[at:end] - first]) * 4, pa.int32())
+                    binaries = pa.BinaryArray.from_buffers(pa.binary(), end - at, [None, offsets.buffers()[1], pa.py_buffer(ids[first : stops[end - 1]].tobytes())])
+                    starts = row["block_start"].as_py() + stops[at:end] - n[at:end]
+                    yield pa.RecordBatch.from_arrays([row["doc_ids"].values.slice(at, end - at), pa.array(starts), pa.array(n[at:end]), binaries], schema=schema)
+                    at = end
+
+    columns = ["doc_ids", "doc_tokens", "rule_left", "rule_right", "symbols"]
+    placed = blocks.join(F.broadcast(parts), "part").select((F.col("part_start") + F.col("block_start")).alias("block_start"), *columns)
+    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_grammar_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,24 @@ broadcasts (each is under 2 MB); a path is always a parameter.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
+import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from tandem.llm._shared import BatchMemo, per_worker, sliced
-
-
+from tandem.llm._shared import ENTRY, per_worker
 
 #: A character that is one token by itself in the vocabulary that drops white space.
 MARK = "~"
+#: Chunks that the library encodes in one call.
+TOGETHER = 1_000
+#: A single blank between other characters: byte-level patterns never match across the place before it.
+SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: White space that is anything but a single blank or line break between other characters.
+OTHER_SPACE = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def load(path: str) -> tuple[str, bytes]:
@@ -25,85 +34,190 @@ def load(path: str) -> tuple[str, bytes]:
     return hashlib.sha1(content).hexdigest(), content
 
 
-def spaced_chunks(text: str) -> list[str] | None:
-    """The text cut before each single blank or line break that stands between other characters.
+def spaced_chunks(text: str) -> list[str]:
+    """The text cut before each single blank that stands between other characters."""
+    first, *rest = SINGLE_BLANK.split(text)
+    return [first, *[" " + x for x in rest]]
 
-    Byte-level patterns never match across such a cut. None for a text with any
-    other white space: it must stay whole.
-    """
-    parts, words = text.replace("\n", " \n").split(" "), text.split()
-    if len(parts) != len(words) or "" in parts or sum(map(len, words)) + text.count(" ") + text.count("\n") != len(text):
-        return None
-    return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts``, end to end."""
+    stops = np.cumsum(lengths)
+    total = int(stops[-1]) if len(stops) else 0
+    return values[np.repeat(starts - (stops - lengths), lengths) + np.arange(total)]
+
+
+def text_slices(texts: pa.Array, most_bytes: int = 1 << 22):
+    """Slices of a string array with about ``most_bytes`` each; null texts become empty."""
+    texts = pc.fill_null(texts, "")
+    stops, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + most_bytes, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+class _Held:
+    """Ids of chunks, end to end, and where each chunk's ids are."""
+
+    def __init__(self):
+        self.number: dict = {}
+        self.ids, self.starts, self.lengths = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.n_ids = self.bytes = 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.empty(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+    def add(self, chunks: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, end = len(self.number), self.n_ids + len(ids)
+        self.ids, self.starts, self.lengths = self._room(self.ids, end), self._room(self.starts, n + len(chunks)), self._room(self.lengths, n + len(chunks))
+        self.ids[self.n_ids : end] = ids
+        self.lengths[n : n + len(chunks)] = lengths
+        self.starts[n : n + len(chunks)] = self.n_ids + np.cumsum(lengths) - lengths
+        self.number.update(zip(chunks, range(n, n + len(chunks))))
+        self.n_ids = end
+        self.bytes += sum(map(sys.getsizeof, chunks)) + ENTRY * len(chunks) + 4 * len(ids)
 
 
 class ChunkEncoder:
-    """Ids of texts by a file of the tokenizers library, as little-endian unsigned 32-bit integers.
+    """Ids of texts by a file of the tokenizers library.
 
     The library encodes chunks that no token can cross, so each distinct chunk
-    is encoded once per worker, many chunks in one call. ``drops_space`` is for
-    vocabularies that discard white space: every blank or line break separates
-    chunks. Otherwise (byte level) a chunk begins before a single blank or line
-    break that stands between other characters; texts with any other white
-    space are encoded whole.
+    is encoded once, many chunks in one call; ids are kept in two generations of
+    about ``most_bytes``. ``drops_space`` is for vocabularies that discard white
+    space: every blank or line break separates chunks. Otherwise (byte level) a
+    chunk begins before a single blank or line break that stands between other
+    characters; in texts with any other white space only blanks cut.
+
+    Keys: a str is a chunk inside a text, without the blank it begins with; a
+    tuple of one str is the first chunk of a text.
     """
 
-    def __init__(self, content: bytes, drops_space: bool):
+    def __init__(self, content: bytes, drops_space: bool, most_bytes: int = 56 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.drops_space = drops_space
-        self.memo = BatchMemo(self._encode, most=700_000)
+        self.drops_space, self.most_bytes = drops_space, most_bytes
+        self.young, self.old = _Held(), _Held()
         tokens = self.tokenizer.get_vocab()
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids if drops_space else (None,)
+        (self.mark,) = self._library([MARK])[0].tolist() if drops_space else (None,)
+        # A byte-level token stands for as many bytes as its entry has characters.
         self.sizes = np.zeros(max(tokens.values()) + 1, np.int64)
         self.sizes[list(tokens.values())] = [len(t) for t in tokens]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        if self.drops_space:
-            return [ids for i in range(0, len(chunks), 1_000) for ids in self._joined(chunks[i : i + 1_000], " ")]
-        # A text's first word would grow together with what stands before it.
-        inner = [c for c in chunks if c[0] in " \n"]
-        known = dict(zip(inner, [ids for i in range(0, len(inner), 1_000) for ids in self._joined(inner[i : i + 1_000], "")]))
-        return [known[c] if c in known else self._whole(c) for c in chunks]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _joined(self, chunks: list[str], between: str) -> list[bytes]:
-        """Ids of each chunk, from one call."""
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks end to end, and how many each has."""
+        inner = [i for i, c in enumerate(chunks) if type(c) is str]
+        parts = [self._together([chunks[i] for i in inner[a : a + TOGETHER]]) for a in range(0, len(inner), TOGETHER)]
+        lengths = np.zeros(len(chunks), np.int64)
+        # A text's first chunk would grow together with what stands before it.
+        alone = [i for i, c in enumerate(chunks) if type(c) is tuple]
+        own = self._library([chunks[i][0] for i in alone])
+        order = np.array(inner + alone, np.int64)
+        found = [x for _, own_lengths in parts for x in own_lengths] + [len(x) for x in own]
+        ids = np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in parts], *own])
+        lengths[order] = found
+        if not alone:
+            return ids, lengths
+        starts = np.empty(len(chunks), np.int64)
+        starts[order] = np.cumsum(found) - found
+        return gathered(ids, starts, lengths), lengths
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.drops_space:
             # A mark, which is one token, ends each chunk; chunks that have it themselves go alone.
-            text = f" {MARK} ".join(chunks) + f" {MARK}"
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            (ids,) = self._library([f" {MARK} ".join(chunks) + f" {MARK}"])
             stops = np.flatnonzero(ids == self.mark)
             if len(stops) != len(chunks):
-                return [self._whole(c) for c in chunks]
-            ids, stops = ids.tobytes(), stops.tolist()
-            return [ids[4 * a : 4 * b] for a, b in zip([0, *[x + 1 for x in stops]], stops)]
-        ids = np.array(self.tokenizer.encode(between.join(chunks), add_special_tokens=False).ids, "<u4")
-        # A byte-level token stands for as many bytes as its entry has characters.
-        size = self.sizes[ids]
-        cuts = np.searchsorted(np.cumsum(size) - size, np.cumsum([0, *[len(c.encode()) for c in chunks]])).tolist()
-        ids = ids.tobytes()
-        return [ids[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; what the memo lacks is encoded for all texts together."""
-        split = [t.replace("\n", " ").split(" ") if self.drops_space else spaced_chunks(t) for t in texts]
-        values = self.memo.values([c for own in split if own for c in own])
-        out, at = [], 0
-        for text, own in zip(texts, split):
-            out.append(self._whole(text) if own is None else b"".join(values[at : at + len(own)]))
-            at += len(own or ())
-        return out
-
-    def encoded(self, rows):
-        """(key, ids) for each of the (key, text) pairs, some texts at a time."""
-        for part in sliced(rows):
-            yield from zip([key for key, _ in part], self.ids([text for _, text in part]))
+                own = self._library(chunks)
+                return np.concatenate(own), np.array(list(map(len, own)))
+            return np.delete(ids, stops), np.diff(stops, prepend=-1) - 1
+        marked = [c if c[:1] == "\n" else " " + c for c in chunks]
+        (ids,) = self._library(["".join(marked)])
+        stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(c.encode()) for c in marked])) + 1
+        return ids, np.diff(stops, prepend=0)
+
+    def _numbers(self, chunks: list) -> np.ndarray:
+        """The places of distinct chunks among the young ones, after encoding what is missing."""
+        if self.young.bytes > self.most_bytes:
+            self.young, self.old = _Held(), self.young
+        young, old = self.young, self.old
+        missing = [c for c in chunks if c not in young.number]
+        if missing:
+            again = [c for c in missing if c in old.number]
+            if again:
+                at = np.array([old.number[c] for c in again])
+                young.add(again, gathered(old.ids, old.starts[at], old.lengths[at]), old.lengths[at])
+                missing = [c for c in missing if c not in old.number]
+            young.add(missing, *self._encode(missing))
+        return np.fromiter(map(young.number.__getitem__, chunks), np.int64, len(chunks))
+
+    def _assembled(self, codes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts given the places of their chunks and how many chunks each has."""
+        lengths = self.young.lengths[codes]
+        ids = gathered(self.young.ids, self.young.starts[codes], lengths)
+        stops = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per_text)])]
+        return ids, np.diff(stops)
+
+    def _split(self, texts: pa.Array, line_break: str, first_alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of texts that blanks and line breaks cut."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", line_break), " ")
+        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten()
+        distinct = words.dictionary_encode()
+        chunks, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy(zero_copy_only=False)
+        if not first_alone:
+            return self._assembled(self._numbers(chunks)[at], per_text)
+        first = np.cumsum(per_text) - per_text
+        firsts = words.take(pa.array(first)).dictionary_encode()
+        numbers = self._numbers(chunks + [(w,) for w in firsts.dictionary.to_pylist()])
+        codes = numbers[at]
+        codes[first] = numbers[len(chunks) :][firsts.indices.to_numpy(zero_copy_only=False)]
+        return self._assembled(codes, per_text)
+
+    def _cut_at_blanks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of texts with any white space."""
+        split = [[(first,), *rest] for first, *rest in map(SINGLE_BLANK.split, texts)]
+        flat = [c for own in split for c in own]
+        distinct = list(dict.fromkeys(flat))
+        place = dict(zip(distinct, self._numbers(distinct).tolist()))
+        return self._assembled(np.fromiter(map(place.__getitem__, flat), np.int64, len(flat)), np.array(list(map(len, split))))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string array end to end, and how many each has."""
+        if self.drops_space:
+            return self._split(texts, " ", False)
+        other = pc.match_substring_regex(texts, OTHER_SPACE).to_numpy(zero_copy_only=False)
+        if not other.any():
+            return self._split(texts, " \n", True)
+        plain, (more, n_more) = texts.filter(pa.array(~other)), self._cut_at_blanks(texts.filter(pa.array(other)).to_pylist())
+        ids, n_ids = self._split(plain, " \n", True) if len(plain) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        lengths, starts = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        lengths[~other], lengths[other] = n_ids, n_more
+        starts[~other], starts[other] = np.cumsum(n_ids) - n_ids, len(ids) + np.cumsum(n_more) - n_more
+        return gathered(np.concatenate([ids, more]), starts, lengths), lengths
+
+    def encoded(self, arrow, end_id: int):
+        """(doc_ids, ids end to end, ids of each document) for batches of doc_id and text, some documents at a time.
+
+        ``end_id`` is appended to every document; a null text is empty.
+        """
+        for batch in arrow:
+            doc_ids, at = batch.column("doc_id").to_pylist(), 0
+            for texts in text_slices(batch.column("text")):
+                ids, lengths = self.ids(texts)
+                out = np.full(len(ids) + len(texts), end_id, np.uint32)
+                inside = np.ones(len(out), bool)
+                inside[np.cumsum(lengths + 1) - 1] = False
+                out[inside] = ids
+                yield doc_ids[at : at + len(texts)], out, lengths + 1
+                at += len(texts)
 
 
 def chunk_encoder(broadcast, drops_space: bool) -> ChunkEncoder:

@@ -60,7 +60,6 @@ def test_costs_are_balanced():
 
 def test_pieces_are_the_librarys_ids(spark):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     base = "The cat's hat,\nthe  cat <|endoftext|>\n\n Éàß\t\x1c \x0b 12 34　x \r\n!?"
     rows = [(1, base), (2, ""), (3, None), (None, "no id"), (4, "plain words\nof a text. Then more' s"), (5, "x" * 9000), (6, base * 300), (6, "same id"), (7, " lead"), (8, "\nlead\n"), (9, "é ́a ü\ńb")]
     docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, length long, ids string")
@@ -78,7 +77,6 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = P.op7_cost_balanced_packing(spark, sf).toPandas()
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     ids = {r.doc_id: np.array(t.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert set(got.doc_id) == set(ids)
     for r in got.itertuples():

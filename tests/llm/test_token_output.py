@@ -12,7 +12,6 @@ SCHEMA = "doc_id long, text string, start long, n_tokens long"
 
 def reference(rows):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = t.encode(text or "", add_special_tokens=False).ids + [1]
