@@ -9,15 +9,22 @@ are equal (pigeonhole). The join is on equal segments. A segment is joined by
 its Zobrist key (the exclusive or of its shingles' 64-bit hashes), which equal
 parity always makes equal. Segments without a shingle tell nothing; a document
 with at most ``spare`` of them leaves them out, as a linked pair shares another.
+What it has left of ``spare`` is its slack: of its keys it may drop as many, if
+all documents drop the most frequent ones first (of the keys that a linked pair
+shares, the rarest has that many behind it on either side). So keys that many
+unlike documents have, as those of a common passage, are hardly ever joined on.
 The band's ``spare`` is what nearly all of its documents stay below.
 
 Steps, none of which forms all pairs of a group:
 
 1. one map over the texts: set size, set fingerprint, a folded sketch and the
-   segment keys; a node is an id with one of its sets, nodes with equal sets are
-   one class, headed by its smallest node;
-2. in each group of equal keys the smallest class is paired with the others;
-3. pairs whose sizes and folded sketches allow a link are verified on the sets;
+   slack; a node is an id with one of its sets, nodes with equal sets are one
+   class, headed by its smallest node;
+2. a second map makes the keys, which meet in one shuffle; keys that a bounded
+   sample of documents shows to be hot are salted there. Keys of one document
+   alone go, then copies, then each document's most frequent keys by its slack;
+3. in each group of equal keys the smallest class is paired with the others;
+   pairs whose sizes and folded sketches allow a link are verified on the sets;
    links make components (large star, small star);
 4. groups whose members are now in different components join those across
    components only; what the sizes and sketches leave is verified, and
@@ -32,19 +39,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm._shared import Memo, batches, texts_of, written
+from tandem.llm._shared import Memo, per_worker, written
+from tandem.llm.vocabularies import gathered, text_slices
 
 #: A size band reaches from its lower end to WIDTH times that; sizes near an end are in two bands.
 WIDTH = 1.5
 FOLDED = 16
 #: Rows of ids, nodes and fingerprints (four longs each) that are broadcast at most; more of them meet the texts in a shuffle.
 MOST_BROADCAST = 1 << 20
+#: Documents (about) whose keys tell which keys are hot, and how many of them must have a key for that. So there are never
+#: many hot keys; a key that is missed only makes one task larger.
+HOT_SAMPLE, HOT_ROWS, MOST_HOT, HOT_SALTS = 2_000, 20, 1 << 16, 64
+#: The lowest bits of a key are its band.
+BAND_BITS = 6
 MIX = np.uint64(0x9E3779B97F4A7C15)
-M64 = 0xFFFFFFFFFFFFFFFF
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,27 +66,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(text: str, words: int, memo: Memo) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a whole text.
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each whole text, end to end, and how many each text has.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text
     with fewer words than a shingle has is one shingle; without words it has none.
     """
-    memo.trim()
-    own = text.encode("utf-8", "replace").lower().split()
-    if not own:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, own), np.int64, len(own)).view(np.uint64)
-    n = max(1, len(h) - words + 1)
-    mixed = np.full(n, len(h) if len(h) < words else 0, np.uint64)
-    for k in range(min(words, len(h))):
-        mixed = _mix(mixed * MIX + h[k : k + n] + np.uint64(k + 1))
-    return np.unique(mixed)
-
-
-def word_hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = lists.flatten()
+    text_of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    distinct = found.dictionary_encode()
+    codes = distinct.indices.to_numpy(zero_copy_only=False)
+    spelled = [w.encode() for w in distinct.dictionary.to_pylist()]
+    filled = np.fromiter(map(bool, spelled), bool, len(spelled))[codes]
+    h = np.fromiter(map(word_hash, spelled), np.uint64, len(spelled))[codes[filled]]
+    n_words = np.bincount(text_of[filled], minlength=len(texts))
+    first = np.cumsum(n_words) - n_words
+    n = np.where(n_words > 0, np.maximum(n_words - words + 1, 1), 0)
+    out = np.empty(int(n.sum()), np.uint64)
+    begin = np.cumsum(n) - n
+    for have in range(1, words + 1):
+        own = np.flatnonzero(n_words == have if have < words else n_words >= words)
+        at = gathered(np.arange(len(h)), first[own], n[own])
+        mixed = np.full(len(at), have if have < words else 0, np.uint64)
+        for k in range(have):
+            mixed = _mix(mixed * MIX + h[at + k] + np.uint64(k + 1))
+        out[gathered(np.arange(len(out)), begin[own], n[own])] = mixed
+    for a, b in zip(begin.tolist(), (begin + n).tolist()):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[begin[n > 0]] = True
+    sizes = np.bincount(np.repeat(np.arange(len(texts)), n)[new], minlength=len(texts))
+    return out[new], sizes
 
 
 def segments(lower: int, upper: int, reach: int, threshold: int) -> tuple[int, int]:
@@ -102,60 +131,101 @@ def bands_of(size: int, threshold: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def segment_keys(shingles: np.ndarray, bands: list[tuple[int, int, int]]) -> np.ndarray:
-    """Join keys of the segments of a set's sketches, for all its bands."""
-    out = []
-    for band, m, spare in bands:
-        place = (shingles % np.uint64(m)).astype(np.int64)
-        zobrist = _mix(shingles + np.uint64(0x51ED2701))
-        order = np.argsort(place, kind="stable")
-        filled, first = np.unique(place[order], return_index=True)
-        key = np.bitwise_xor.reduceat(zobrist[order], first)
-        if m - len(filled) > spare:
-            every = np.zeros(m, np.uint64)
-            every[filled] = key
-            filled, key = np.arange(m), every
-        out.append(_mix(key ^ _mix((np.uint64(band) << np.uint64(40)) + filled.astype(np.uint64) + np.uint64(1))))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def segment_keys(shingles: np.ndarray, sizes: np.ndarray, bands: Memo) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """Of sets given end to end: the join keys of all segments, how many keys each set has, and its (band, slack)."""
+    plan = [bands[n] for n in sizes.tolist()]
+    of = np.repeat(np.arange(len(sizes)), list(map(len, plan)))
+    band, m, spare = (np.array([b[i] for own in plan for b in own], np.int64) for i in range(3))
+    begin = np.cumsum(sizes) - sizes
+    base = np.cumsum(m) - m
+    own = gathered(shingles, begin[of], sizes[of])
+    at = np.repeat(np.arange(len(of)), sizes[of])
+    slot = base[at] + (own % m.astype(np.uint64)[at]).astype(np.int64)
+    n_slots = int(m.sum())
+    key = np.zeros(n_slots, np.uint64)
+    np.bitwise_xor.at(key, slot, _mix(own + np.uint64(0x51ED2701)))
+    filled = np.bincount(slot, minlength=n_slots) > 0
+    unit = np.repeat(np.arange(len(of)), m)
+    empty = m - np.bincount(unit[filled], minlength=len(of))
+    key = _mix(key ^ _mix((band.astype(np.uint64) << np.uint64(40))[unit] + (np.arange(n_slots) - base[unit]).astype(np.uint64) + np.uint64(1)))
+    key = key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | band.astype(np.uint64)[unit]
+    emitted = filled | (empty > spare)[unit]
+    slack = np.maximum(spare - empty, 0)
+    slacks: list = [[] for _ in sizes]
+    for i, b, x in zip(of.tolist(), band.tolist(), slack.tolist()):
+        slacks[i].append((b, x))
+    return key[emitted].view(np.int64), np.bincount(of[unit[emitted]], minlength=len(sizes)), slacks
+
+
+def folded_sketches(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A parity sketch of FOLDED longs for each set: each shingle flips one bit."""
+    h = _mix(shingles ^ np.uint64(0xA5A5A5A5)) % np.uint64(64 * FOLDED)
+    out = np.zeros(len(sizes) * FOLDED, np.uint64)
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(sizes)) * FOLDED, sizes) + (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, FOLDED)
+
+
+def fingerprints(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs that stand for each set."""
+    a, b = np.zeros((2, len(sizes)), np.uint64)
+    some = sizes > 0
+    if some.any():
+        begin = (np.cumsum(sizes) - sizes)[some]
+        a[some] = np.bitwise_xor.reduceat(_mix(shingles), begin)
+        b[some] = np.add.reduceat(_mix(shingles ^ MIX), begin)
+    return a.view(np.int64), b.view(np.int64)
 
 
-def folded_sketch(shingles: np.ndarray) -> np.ndarray:
-    """A parity sketch of FOLDED longs: each shingle flips one bit."""
-    h = _mix(shingles ^ np.uint64(0xA5A5A5A5))
-    parity = np.bincount((h % np.uint64(64 * FOLDED)).astype(np.int64), minlength=64 * FOLDED) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
+def text_hash():
+    """What tells texts apart that share a doc_id."""
+    return F.xxhash64("text")
 
 
-def _longs(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
+SLACK = pa.list_(pa.struct([("band", pa.int32()), ("slack", pa.int32())]))
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sketch", pa.list_(pa.int64())), ("slack", SLACK)])
 
 
-def fingerprint(shingles: np.ndarray) -> list[int]:
-    """Two longs that stand for the set."""
-    return _longs(np.array([np.bitwise_xor.reduce(_mix(shingles)) if len(shingles) else 0, np.sum(_mix(shingles ^ MIX), dtype=np.uint64)], np.uint64))
+def _parts(arrow, words: int):
+    """(rows, shingles, sizes) for parts of the batches, which have a column text."""
+    per_worker("shingles", dict)
+    for batch in arrow:
+        at = 0
+        for texts in text_slices(batch.column("text")):
+            yield (batch.slice(at, len(texts)), *shingle_hashes(texts, words))
+            at += len(texts)
 
 
-def text_hash():
-    """What tells texts apart that share a doc_id."""
-    return F.xxhash64("text")
+def sketches(docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Hash of the text, size, fingerprint, folded sketch and slack by band of every document."""
 
+    def rows(arrow):
+        bands = Memo(lambda n: bands_of(n, threshold))
+        for part, shingles, sizes in _parts(arrow, words):
+            *_, slack = segment_keys(shingles, sizes, bands)
+            folded = folded_sketches(shingles, sizes)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * FOLDED, pa.int32()), pa.array(folded.ravel()))
+            a, b = fingerprints(shingles, sizes)
+            columns = [part.column("doc_id"), part.column("text_hash"), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), sketch]
+            slack = pa.array([[{"band": b, "slack": x} for b, x in own] for own in slack], SLACK)
+            yield pa.RecordBatch.from_arrays([*columns, slack], schema=SKETCHES)
 
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    ddl = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sketch array<long>, slack array<struct<band:int,slack:int>>"
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(rows, ddl)
 
 
-def sketches(docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Hash of the text, size, fingerprint, folded sketch and segment keys of every document."""
+def keys_of(texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """key and node of every segment of the ``texts`` (node, text)."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
     def rows(arrow):
-        memo, bands = Memo(word_hash), Memo(lambda n: bands_of(n, threshold))
-        for batch in arrow:
-            for (doc_id, text), text_hash in zip(texts_of(batch), batch.column("text_hash").to_pylist()):
-                s = shingle_hashes(text, words, memo)
-                keys = segment_keys(s, bands[len(s)]) if doc_id is not None else np.zeros(0, np.uint64)
-                yield doc_id, text_hash, len(s), *fingerprint(s), folded_sketch(s).tolist(), _longs(keys)
+        bands = Memo(lambda n: bands_of(n, threshold))
+        for part, shingles, sizes in _parts(arrow, words):
+            keys, n, _ = segment_keys(shingles, sizes, bands)
+            nodes = np.repeat(part.column("node").to_numpy(), n)
+            for at in range(0, len(keys), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 17)]), pa.array(nodes[at : at + (1 << 17)])], schema=schema)
 
-    ddl = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sketch array<long>, keys array<long>"
-    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(lambda arrow: batches(SKETCHES, rows(arrow), most=1_000), ddl)
+    return texts.select("node", "text").mapInArrow(rows, "key long, node long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -163,17 +233,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def rows(arrow):
-        memo = Memo(word_hash)
-        for batch in arrow:
-            prints = zip(*[batch.column(c).to_pylist() for c in ("node", "set_a", "set_b")])
-            for (_, text), (node, *own) in zip(texts_of(batch), prints):
-                s = shingle_hashes(text, words, memo)
-                if fingerprint(s) == own:
-                    yield node, _longs(s)
+        for part, shingles, sizes in _parts(arrow, words):
+            a, b = fingerprints(shingles, sizes)
+            same = np.flatnonzero((a == part.column("set_a").to_numpy()) & (b == part.column("set_b").to_numpy()))
+            kept = gathered(shingles, (np.cumsum(sizes) - sizes)[same], sizes[same]).view(np.int64)
+            stops = pa.array(np.concatenate([[0], np.cumsum(sizes[same])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(same)), pa.ListArray.from_arrays(stops, pa.array(kept))], schema=schema)
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "node", "set_a", "set_b")
-    # Repeated rows of an id give their set more than once.
-    return texts.mapInArrow(lambda arrow: batches(schema, rows(arrow), most=1_000), "node long, shingles array<long>").dropDuplicates(["node"])
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "node", "set_a", "set_b")
+    return texts.mapInArrow(rows, "node long, shingles array<long>")
 
 
 def _possible(a: str, b: str, threshold: int):
@@ -183,20 +251,47 @@ def _possible(a: str, b: str, threshold: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (apart * (100 + threshold) <= (n + m) * (100 - threshold))
 
 
-def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) of heads whose sets reach the threshold, compared as sets."""
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, threshold: int, repeated: bool) -> DataFrame:
+    """Those of the pairs (a, b) of heads whose sets reach the threshold, compared as sets; ``repeated`` says that rows repeat."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads, "node").select("doc_id", "node", "set_a", "set_b")
     wanted = written(wanted, "wanted")
     if wanted.count() <= MOST_BROADCAST:
         # Few documents are compared, so the texts need not be shuffled to find them.
         wanted = F.broadcast(wanted)
-    sets = written(shingle_sets(docs, wanted, words), "sets")
+    sets = shingle_sets(docs, wanted, words)
+    sets = written(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * threshold).select("a", "b")
 
 
+def joined_keys(texts: DataFrame, heads: DataFrame, words: int, threshold: int, n_rows: int, repeated: bool) -> DataFrame:
+    """key and node of the keys that heads are joined on: those of several documents, less the most frequent ones by slack.
+
+    Keys that many documents of a bounded sample have are salted, so that no task
+    gets all rows of one.
+    """
+    sampled = texts.sample(min(1.0, HOT_SAMPLE / max(1, n_rows)), 7)
+    hot = keys_of(sampled, words, threshold).groupBy("key").count().filter(F.col("count") >= HOT_ROWS).orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key", F.lit(True).alias("hot"))
+    hot = written(hot, "hot-keys")
+    keyed = keys_of(texts, words, threshold).join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    salt = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SALTS))).otherwise(0)
+    counted = keyed.withColumn("salt", salt).withColumn("n", F.count("*").over(Window.partitionBy("key", "salt")))
+    shared = counted.filter("n > 1 or hot").select("key", "node", "n", "hot")
+    if repeated:
+        shared = shared.groupBy("key", "node").agg(F.max("n").alias("n"), F.first("hot").alias("hot"))
+    # Copies leave; what is left of a document's keys is ordered by how many rows have them.
+    shared = written(shared.join(heads.select("node", "slack"), "node"), "shared")
+    totals = shared.filter("hot").groupBy("key").agg(F.count("*").alias("total"))
+    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1)
+    order = Window.partitionBy("node", "band").orderBy(F.desc("often"), "key")
+    ranked = shared.join(F.broadcast(totals), "key", "left").select("key", "node", "slack", band.alias("band"), F.coalesce("total", "n").alias("often"))
+    ranked = ranked.withColumn("place", F.row_number().over(order))
+    own = F.filter("slack", lambda x: x["band"] == F.col("band"))[0]["slack"]
+    return written(ranked.filter(F.col("place") > own).select("key", "node"), "groups")
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("v", "u").cast("long"))).first())
 
@@ -252,33 +347,39 @@ def grouped_rows(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFr
     """
     every = with_nodes(written(sketches(docs, words, threshold), "sketches"))
     full = every.filter("node is not null")
-    chosen = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("set_a").alias("set_a"), F.min("set_b").alias("set_b"))
-    classes = chosen.groupBy("n", "set_a", "set_b").agg(F.min("node").alias("head"), F.min("doc_id").alias("class_id"))
-    member = written(chosen.join(classes, ["n", "set_a", "set_b"]), "classes")
+    firsts = [F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("set_a").alias("set_a"), F.min("set_b").alias("set_b"), F.first("sketch").alias("sketch"), F.first("slack").alias("slack"), F.count("*").alias("rows")]
+    chosen = written(full.groupBy("node").agg(*firsts), "nodes")
+    n_rows, n_nodes = chosen.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
+    same_set = ["n", "set_a", "set_b"]
+    classes = chosen.groupBy(same_set).agg(F.min("node").alias("head"), F.min("doc_id").alias("class_id"), F.count("*").alias("nodes")).filter("nodes > 1").drop("nodes")
+    member = chosen.join(written(classes, "classes"), same_set, "left")
+    member = written(member.withColumn("head", F.coalesce("head", "node")).withColumn("class_id", F.coalesce("class_id", "doc_id")), "members")
     heads = member.filter("node = head")
-    sketch = written(full.select("node", F.col("n_shingles").alias("n"), "sketch").join(heads.select("node"), "node", "left_semi").distinct(), "heads")
-
-    # A copy has all keys of its head, so each group's smallest node is a head; copies then leave the groups.
-    group = Window.partitionBy("key")
-    keyed = full.select(F.explode("keys").alias("key"), "node").withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group))
-    groups = written(keyed.filter("least < most").select("key", "node", "least").distinct().join(heads.select("node"), "node", "left_semi"), "groups")
+    sketch = heads.select("node", "n", "sketch")
+    texts = docs.select("doc_id", "text").filter("doc_id is not null").withColumn("node", F.col("doc_id"))
+    placed = every.filter("node <> doc_id").select("doc_id", "text_hash", F.col("node").alias("other")).distinct()
+    placed = written(placed, "placed")
+    n_placed = placed.count()
+    if n_placed:
+        texts = texts.withColumn("text_hash", text_hash()).join(F.broadcast(placed) if n_placed <= MOST_BROADCAST else placed, ["doc_id", "text_hash"], "left").withColumn("node", F.coalesce("other", "node"))
+    groups = joined_keys(texts, heads, words, threshold, n_rows, n_rows > n_nodes)
 
     def links(pairs: DataFrame) -> DataFrame:
-        return written(verified(written(pairs, "pairs"), heads, docs, words, threshold), "links")
+        pairs = pairs.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node"))
+        pairs = written(pairs.filter(_possible("x", "y", threshold)).select("a", "b"), "pairs")
+        return written(verified(pairs, heads, docs, words, threshold, n_rows > n_nodes), "links")
 
-    star = groups.filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node"))
-    found = links(star.filter(_possible("x", "y", threshold)).select("a", "b"))
+    least = written(groups.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least"), "least")
+    found = links(groups.join(least, "key").filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     parts = components(found)
 
     # Groups that still hold more than one component.
-    placed = groups.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = written(groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_rows = written(placed.join(spread, "key", "left_semi").join(sketch, "node"), "open-groups")
+    open_rows = written(placed.join(written(spread, "spread"), "key"), "open-groups")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", threshold))
-    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = links(across)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+    more = links(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     if not more.isEmpty():
         parts = components(found.union(more))
 

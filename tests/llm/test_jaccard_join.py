@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tandem.llm import jaccard_join as J
 
@@ -64,19 +65,49 @@ def test_components_equal_brute_force(spark, monkeypatch):
         assert sorted(map(tuple, got)) == brute_force(rows, words, threshold)
 
 
+def kept_keys(shingles, frequency, bands):
+    """Keys of one set by band, without the most frequent ones by its slack."""
+    keys, _, ((*slack,),) = J.segment_keys(shingles, np.array([len(shingles)]), bands)
+    kept = set()
+    for band, n in slack:
+        own = sorted((k for k in keys.tolist() if k & 63 == band), key=lambda k: (-frequency.get(k, 0), k))
+        kept |= set(own[n:])
+    return kept
+
+
 def test_sketch_bounds():
-    """Bit sketches never show more than the symmetric difference, and linked sets share enough segments."""
-    rng = np.random.default_rng(4)
+    """Bit sketches never show more than the symmetric difference, and linked sets share keys whichever keys are frequent."""
+    rng, bands = np.random.default_rng(4), J.Memo(lambda n: J.bands_of(n, 85))
     for size in (1, 3, 9, 30, 200, 1500):
         a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
         for _ in range(20):
             gone = rng.integers(0, max(1, int(size * 0.15)) + 1)
             b = np.unique(np.r_[a[gone // 2 :], rng.integers(0, 1 << 63, gone - gone // 2).astype(np.uint64)])
             shared, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-            apart = sum(bin(int(x) & J.M64).count("1") for x in (J.folded_sketch(a) ^ J.folded_sketch(b)))
+            x, y = J.folded_sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+            apart = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y)
             assert apart <= union - shared
             if 100 * shared >= 85 * union:
-                assert len(np.intersect1d(J.segment_keys(a, J.bands_of(len(a), 85)), J.segment_keys(b, J.bands_of(len(b), 85)))) > 0
+                both = {*J.segment_keys(a, np.array([len(a)]), bands)[0].tolist()} & {*J.segment_keys(b, np.array([len(b)]), bands)[0].tolist()}
+                # The worst order: all that they share is frequent.
+                frequency = {k: int(rng.integers(1, 9)) for k in both}
+                assert kept_keys(a, frequency, bands) & kept_keys(b, frequency, bands)
+
+
+def test_shingles_of_many_texts():
+    texts = ["", " a  b\tc\x0bd\x0ce ", "A B c D e", "a b", "a b\x1cc d e f", "é É x", "a b c d e a b c d e a"]
+    found, sizes = J.shingle_hashes(pa.array(texts), 4)
+    assert sizes.tolist() == [0, 2, 2, 1, 2, 1, 5]
+    own = [set(found[b - n : b].tolist()) for n, b in zip(sizes, np.cumsum(sizes))]
+    assert own[1] == own[2] and not own[3] & own[1] and own[1] < own[6]
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT_ROWS", 2)
+    rows = rows_of(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = J.linked_components(docs, 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_force(rows, 4, 85)
 
 
 def test_ids_that_are_null_or_repeated(spark):
