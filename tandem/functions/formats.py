@@ -35,3 +35,31 @@ def upload_error(declared: Column, name: Column, size: Column, most: int = MOST_
     """What is wrong with an upload: type, then too large, then empty; null if nothing is."""
     accepted = F.coalesce(declared.isin(*ACCEPTED_TYPES), F.lit(False)) | name.rlike(ACCEPTED_NAME)
     return F.when(~accepted, "type").when(size > most, "too-large").when(size == 0, "empty")
+
+
+def confidence_text(confidence: Column) -> Column:
+    return F.concat(F.floor(confidence * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def score_text(awarded: Column, possible: Column) -> Column:
+    """``a/b``, a dash without either."""
+    return F.coalesce(F.concat(marks_text(awarded), F.lit("/"), marks_text(possible)), F.lit("—"))
+
+
+def entry_date(saved_at: Column) -> Column:
+    return F.date_format(saved_at, "d MMM yyyy, hh:mm a")
+
+
+def ring_offset(percent: Column) -> Column:
+    """What is left of a ring, with the percent held between 0 and 100."""
+    return 100 - F.greatest(F.lit(0), F.least(F.lit(100), percent))
+
+
+def display_label(linked: Column, label: Column) -> Column:
+    """``Q`` and the label of a linked question, empty for one without a label, ``Unmapped`` otherwise."""
+    return F.when(~linked, "Unmapped").otherwise(F.coalesce(F.concat(F.lit("Q"), label), F.lit("")))
+
+
+def opened_later(created_at: Column, saved_at: Column, seconds: int = 60) -> Column:
+    """Whether an entry was opened again more than so many seconds after it was made."""
+    return saved_at - created_at > F.make_dt_interval(secs=F.lit(seconds))

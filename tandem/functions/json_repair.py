@@ -1,76 +1,86 @@
-"""Repair of malformed JSON text: a cascade of fixes, each tried only if the ones before don't parse."""
+"""Repair of malformed JSON text: candidate texts from the least to the most changed; the first that parses wins."""
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A string (also one that is cut off), a bracket or a comma.
+TOKEN = re.compile(r'"(?:[^"\\]|\\.?)*+"?|[{}\[\],]', re.S)
+CLOSER = {"{": "}", "[": "]"}
+
 
 def without_fences(text: Column) -> Column:
-    """Without a code fence around it, and without blanks at both ends."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?i)^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""), r"^\s+|\s+$", "")
+    """Without a code fence at the very start and the end, and then without white space at both ends."""
+    return F.regexp_replace(unfenced(text), r"^\s+|\s+\z", "")
+
+
+def unfenced(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(?i)^```(?:json)?\s*", ""), r"```\s*\z", "")
 
 
 def plain_quotes_no_trailing_commas(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "“”‘’", "\"\"''"), r",\s*([}\]])", "$1")
 
 
-def balanced(text: str) -> str:
-    """Text cut off in the middle, closed: cut at the last comma inside an open bracket, then the brackets open there are closed."""
-    open_, cut, in_string, skip = [], None, False, False
-    for i, c in enumerate(text):
-        if skip:
-            skip = False
-        elif in_string:
-            skip, in_string = c == "\\", c != '"'
-        elif c == '"':
-            in_string = True
-        elif c in "{[":
-            open_.append("}" if c == "{" else "]")
-        elif c in "}]" and open_:
-            open_.pop()
-        elif c == "," and open_:
-            cut = (i, open_[:])
-    if not open_ and not in_string:
-        return text
-    return text[: cut[0]] + "".join(reversed(cut[1])) if cut else text
+def widest_span(text: Column) -> Column:
+    """From the first opening bracket to the last closing one; empty where none follows."""
+    return F.regexp_extract(text, r"(?s)[{\[].*[}\]]", 0)
 
 
-def widest_span(text: str) -> str | None:
-    """From the first opening bracket to the last closing one, or to the end if none follows."""
-    starts = [i for i in (text.find("{"), text.find("[")) if i >= 0]
-    if not starts:
-        return None
-    end = max(text.rfind("}"), text.rfind("]"))
-    return text[min(starts) : end + 1] if end > min(starts) else text[min(starts) :]
+def closed(text: str) -> str:
+    """A text that ends inside a bracket or string, cut at its last comma inside brackets, with those brackets closed.
+
+    The state after each token is the text that would close what is open there,
+    so the closing text of the cut is the state at its comma. Texts that are
+    whole, or have no such comma, stay as they are.
+    """
+    tokens = [(m.start(), m[0]) for m in TOKEN.finditer(text)]
+    closing = list(accumulate((t for _, t in tokens), lambda rest, t: CLOSER[t] + rest if t in CLOSER else rest[1:] if t in "}]" else rest, initial=""))
+    cut_off = tokens and tokens[-1][1][0] == '"' and not re.fullmatch(r'"(?:[^"\\]|\\.)*"', tokens[-1][1], re.S)
+    commas = [(at, rest) for (at, t), rest in zip(tokens, closing) if t == "," and rest]
+    if not commas or not (closing[-1] or cut_off):
+        return text
+    at, rest = commas[-1]
+    return text[:at] + rest
 
 
-def _first_that_parses(candidates) -> str | None:
-    for c in candidates:
-        try:
-            return json.dumps(json.loads(c), separators=(",", ":"), ensure_ascii=False)
-        except (ValueError, TypeError, RecursionError):
-            pass
-    return None
+def _refused(constant: str):
+    raise ValueError(constant)
 
 
-def _repaired(raw: pd.Series, fixed: pd.Series) -> pd.Series:
-    def one(text, clean):
-        if text is None or clean is None:
-            return None
-        span = widest_span(clean)
-        return _first_that_parses([text, clean, balanced(clean), *([span, balanced(span)] if span else [])])
+def _parsed(text: str) -> str | None:
+    """Compact JSON of a strict JSON text (no NaN, no Infinity), null for others."""
+    try:
+        return json.dumps(json.loads(text, parse_constant=_refused), separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
 
-    return pd.Series([one(a, b) for a, b in zip(raw, fixed)], dtype="object")
+
+def _repaired(candidates: list[str | None]) -> str | None:
+    raw, open_, bare, plain, span = candidates
+    if raw is None:
+        return None
+    tries = (lambda: raw, lambda: open_, lambda: bare, lambda: plain, lambda: closed(plain), lambda: span, lambda: closed(span))
+    return next((found for t in tries if (found := _parsed(t())) is not None), None)
 
 
-def _batches(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for raw, fixed in columns:
-        yield _repaired(raw, fixed)
+def _batches(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for own in columns:
+        yield pd.Series(list(map(_repaired, zip(*own))), dtype="object")
 
 
 def repaired(text: Column) -> Column:
-    """Compact JSON of the first repair that parses; null if none does. The bracket scan is the only part in Python."""
-    return F.pandas_udf(_batches, "string")(text, plain_quotes_no_trailing_commas(without_fences(text)))
+    """Compact JSON of the first repair that parses; null if none does.
+
+    In order: the text, without fences, without outer white space, with plain
+    quotes and no trailing commas, that one closed, the widest bracketed span
+    (of the text before quotes were touched), and that one closed. Only parsing
+    and closing are in Python.
+    """
+    bare = without_fences(text)
+    return F.pandas_udf(_batches, "string")(text, unfenced(text), bare, plain_quotes_no_trailing_commas(bare), widest_span(bare))

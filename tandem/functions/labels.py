@@ -28,24 +28,20 @@ def _bare(raw: Column) -> Column:
 
 def canonical(raw: Column) -> Column:
     """The label that equal labels share: ``5``, ``4(a)``, or the lower-cased rest; null for a null or blank label."""
+    return F.when(raw.rlike(r"\S"), F.lower(F.regexp_replace(_bare(raw), SUB_PART, "$1($2)")))
 
-    def of(s: Column) -> Column:
-        with_part = F.concat(F.regexp_extract(s, SUB_PART, 1), F.lit("("), F.lower(F.regexp_extract(s, SUB_PART, 2)), F.lit(")"))
-        return F.when(s.rlike(SUB_PART), with_part).otherwise(F.lower(s))
 
-    return F.when(raw.isNotNull() & (trimmed(raw) != ""), let(_bare(raw), of))
+def order_of(canonical: Column) -> Column:
+    """Order of canonical labels: number * 100 plus the sub-part; labels without a number, and null ones, come last."""
+    part = F.regexp_extract(canonical, r"^\d+\((.)\)$", 1)
+    number = F.regexp_extract(canonical, r"^(\d+)", 1).try_cast("long") * 100
+    offset = F.when(part.rlike("[a-z]"), F.ascii(part) - 96).otherwise(50 + F.ascii(part))
+    return F.coalesce(F.when(canonical.rlike(r"^\d+\(.\)$"), number + offset).when(canonical.rlike(r"^\d+$"), number), F.lit(NO_NUMBER)).cast("long")
 
 
 def sort_key(raw: Column) -> Column:
-    """Order of labels: number * 100 plus the sub-part; labels without a number, and null ones, come last."""
-
-    def of(c: Column) -> Column:
-        part = F.regexp_extract(c, r"^(\d+)\((.)\)$", 2)
-        number = F.regexp_extract(c, r"^(\d+)", 1).cast("long") * 100
-        offset = F.when(part.rlike("[a-z]"), F.ascii(part) - 96).otherwise(50 + F.ascii(part))
-        return F.when(c.rlike(r"^\d+\(.\)$"), number + offset).when(c.rlike(r"^\d+$"), number)
-
-    return F.coalesce(let(canonical(raw), of), F.lit(NO_NUMBER)).cast("long")
+    """Order of raw labels."""
+    return let(canonical(raw), order_of)
 
 
 def same_label(a: Column, b: Column) -> Column:
@@ -53,14 +49,20 @@ def same_label(a: Column, b: Column) -> Column:
     return F.coalesce(canonical(a) == canonical(b), F.lit(False))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length of two canonical labels, which are normalized once more."""
+def compared(label: Column) -> Column:
+    """What of a label is compared: it, normalized (once more, if it is canonical already)."""
+    return F.coalesce(canonical(label), label)
 
-    def of(p: Column) -> Column:
-        longer = F.greatest(F.length(p["x"]), F.length(p["y"]), F.lit(1)).cast("double")
-        return F.when(p["x"] == p["y"], F.lit(1.0)).otherwise(1 - F.levenshtein(p["x"], p["y"]) / longer)
 
-    return let(F.struct(F.coalesce(canonical(a), a).alias("x"), F.coalesce(canonical(b), b).alias("y")), of)
+def closeness(a: Column, b: Column) -> Column:
+    """1 - edit distance / longer length of two labels as they are compared."""
+    longer = F.greatest(F.length(a), F.length(b), F.lit(1)).cast("double")
+    return F.when(a == b, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Closeness of two labels, which are normalized first."""
+    return let(F.struct(compared(a).alias("x"), compared(b).alias("y")), lambda p: closeness(p["x"], p["y"]))
 
 
 def digits(label: Column) -> Column:

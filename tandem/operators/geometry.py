@@ -1,5 +1,6 @@
 """Regions on pages: clipping, padding, spacing. Boxes: session_id, page, answer_id, seq, x, y, w, h."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,6 @@ def padded(boxes: DataFrame) -> DataFrame:
         "*",
         F.max(F.when(is_bottom, F.col("at"))).over(upto).alias("bottom_above"),
         F.min(F.when(is_top, F.col("at"))).over(onward).alias("top_below"),
-        # A box without height would be its own neighbour.
     )
     keys = ["session_id", "page", "answer_id", "seq", "x", "y", "w", "h"]
     wide = seen.groupBy(*keys).agg(F.max(F.when(is_top, F.col("bottom_above"))).alias("above"), F.max(F.when(is_bottom, F.col("top_below"))).alias("below"))
@@ -73,3 +73,83 @@ def shifts(boxes: DataFrame, insertions: DataFrame, pixels: float = PAGE_PIXELS)
     cuts = insertions.select("session_id", "page", F.lit(None).cast("string").alias("answer_id"), F.col("at_y").alias("at"), F.lit(0).alias("kind"), F.floor(F.col("amount") * 1000 + 0.5).alias("e3"))
     upto = _page().orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return tops.unionByName(cuts).withColumn("shift_e3", F.sum("e3").over(upto)).filter("kind = 1").select("session_id", "page", "answer_id", "shift_e3")
+
+
+def run_label(text):
+    """A run's text or a label as they are compared: trimmed, lower-cased, white space folded."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+", " ")
+
+
+def ordered_runs(runs: DataFrame) -> DataFrame:
+    """Runs with text, numbered (``place``, from 0) by page and top within their session."""
+    w = Window.partitionBy("session_id").orderBy("page", "y", "run")
+    return runs.filter(F.trim("text") != "").withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+
+
+def anchors(blocks: DataFrame, placed_runs: DataFrame) -> DataFrame:
+    """session_id, answer_id, place: each block's run, the next unclaimed one that begins with its label.
+
+    Blocks claim in order of ``seq``, so a label may be the beginning of another
+    one. A session is one uploaded document, of bounded size; its labels and
+    runs meet in one group, other columns stay away.
+    """
+    labels = blocks.select("session_id", "answer_id", "seq", run_label(F.col("label")).alias("label")).filter("label <> ''")
+    texts = placed_runs.select("session_id", "place", run_label(F.col("text")).alias("text"))
+
+    def claims(key, labels, texts):
+        texts = texts.sort_values("place")
+        free, found = dict(zip(texts.place.tolist(), texts.text.tolist())), []
+        for answer_id, label in labels.sort_values("seq")[["answer_id", "label"]].itertuples(index=False):
+            place = next((p for p, text in free.items() if text.startswith(label)), None)
+            if place is not None:
+                del free[place]
+                found.append((key[0], answer_id, place))
+        return pd.DataFrame(found, columns=["session_id", "answer_id", "place"])
+
+    return labels.groupBy("session_id").cogroup(texts.groupBy("session_id")).applyInPandas(claims, "session_id long, answer_id string, place long")
+
+
+def anchored_boxes(blocks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Boxes (page, left, right, top, bottom) of blocks from the text runs between their anchor and the next one on its page.
+
+    A block with a diagram reaches down to the next anchor, or to the end of the
+    page, and as wide as its rough box on that page. No box reaches below the
+    rough top of the first later block on its page, if that lies below its own
+    top. Blocks without an anchor have none.
+    """
+    placed = ordered_runs(runs)
+    owned = placed.join(anchors(blocks, placed), ["session_id", "place"], "left")
+    upto = Window.partitionBy("session_id", "page").orderBy("place")
+    later = upto.rowsBetween(1, Window.unboundedFollowing)
+    owned = owned.withColumn("below", F.first(F.when(F.col("answer_id").isNotNull(), F.col("y")), ignorenulls=True).over(later))
+    owned = owned.withColumn("below", F.when(F.col("answer_id").isNotNull(), F.col("below"))).withColumn("answer_id", F.last("answer_id", ignorenulls=True).over(upto)).filter("answer_id is not null")
+    extent = owned.groupBy("session_id", "answer_id").agg(F.first("page").alias("page"), F.min("x").alias("left"), F.max(F.col("x") + F.col("w")).alias("right"), F.min("y").alias("top"), F.max(F.col("y") + F.col("h")).alias("bottom"), F.max("below").alias("below"))
+    seen = extent.join(blocks.drop("label"), ["session_id", "answer_id"])
+    wide = F.col("has_diagram") & (F.col("rough_page") == F.col("page"))
+    tight = seen.select(
+        "session_id", "answer_id", "seq", "page", F.when(wide, F.least("left", "rough_x")).otherwise(F.col("left")).alias("left"), F.when(wide, F.greatest("right", F.col("rough_x") + F.col("rough_w"))).otherwise(F.col("right")).alias("right"),
+        "top", F.when(F.col("has_diagram"), F.coalesce("below", F.lit(1.0))).otherwise(F.col("bottom")).alias("bottom"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("rough_y"),
+    )
+    none = F.lit(None).cast("double")
+    rough = blocks.filter("rough_page is not null").select("session_id", "answer_id", "seq", F.col("rough_page").alias("page"), none.alias("left"), none.alias("right"), none.alias("top"), none.alias("bottom"), F.lit(0).alias("kind"), "rough_y")
+    after = Window.partitionBy("session_id", "page").orderBy("seq", "kind").rowsBetween(1, Window.unboundedFollowing)
+    both = tight.unionByName(rough).withColumn("ceiling", F.first("rough_y", ignorenulls=True).over(after)).filter("kind = 1")
+    bottom = F.when(F.col("ceiling") > F.col("top"), F.least("bottom", "ceiling")).otherwise(F.col("bottom"))
+    return both.select("session_id", "answer_id", "page", "left", "right", "top", bottom.alias("bottom"))
+
+
+# Resolution, points in an inch, longest edge of a page; least edge of an image, and to what it is scaled.
+DPI, POINTS, LONGEST, LEAST_EDGE, SCALED_EDGE = 200.0, 72.0, 2200.0, 900, 1200.0
+
+
+def page_pixels(width, height):
+    """Pixels (struct of width and height) of a page of so many points, at most LONGEST on its longer side."""
+    scale = F.lit(DPI / POINTS)
+    fit = F.when(F.greatest(width, height) * scale > LONGEST, scale * (LONGEST / (F.greatest(width, height) * scale))).otherwise(scale)
+    return F.struct(F.ceil(width * fit).cast("long").alias("width"), F.ceil(height * fit).cast("long").alias("height"))
+
+
+def image_pixels(width, height):
+    """Width of an image after small ones are scaled up so that their shorter side is SCALED_EDGE."""
+    short = F.least(width, height)
+    return F.when(short < LEAST_EDGE, F.floor(width * (SCALED_EDGE / short) + 0.5)).otherwise(width).cast("long")

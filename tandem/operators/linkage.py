@@ -8,8 +8,8 @@ raw_label, text, crossed_out, low_confidence, has_diagram).
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.functions.labels import canonical, similarity, trimmed
-from tandem.functions.text import overlap_ratio, tokens
+from tandem.functions.labels import canonical, closeness, compared, trimmed
+from tandem.functions.text import tokens
 from tandem.sources.tables import written
 
 # Fixed values of the method.
@@ -65,37 +65,52 @@ def keyed(questions: DataFrame) -> DataFrame:
     return questions.select("session_id", "question_id", "ordinal", "marks", F.col("low_confidence").alias("q_low"), canonical(F.col("label")).alias("canonical"), F.col("text").alias("q_text"))
 
 
-def exact(questions: DataFrame, g: DataFrame) -> DataFrame:
+#: What a question gets from its answer.
+LINKED = ["answer_id", "method", "confidence", "n_additional", "full_text", "merged_ids"]
+
+
+def exact(keyed_questions: DataFrame, g: DataFrame) -> DataFrame:
     """Every question with the group of its label, if there is one."""
-    joined = keyed(questions).join(g, ["session_id", "canonical"], "left")
+    joined = keyed_questions.join(g, ["session_id", "canonical"], "left")
     return joined.withColumn("method", F.when(F.col("answer_id").isNotNull(), "number-exact")).withColumn("confidence", F.when(F.col("answer_id").isNotNull(), score(F.lit(EXACT_BASE))))
 
 
-def fuzzy(questions: DataFrame, g: DataFrame) -> DataFrame:
+def fuzzy(keyed_questions: DataFrame, g: DataFrame) -> DataFrame:
     """Questions without a group, with the most similar group of a label that no question has."""
-    q = keyed(questions)
+    q = keyed_questions
     claimed = q.select("session_id", "canonical").distinct()
-    free = g.join(claimed, ["session_id", "canonical"], "left_anti").withColumnRenamed("canonical", "near")
-    open_ = q.filter("canonical is not null").join(g.select("session_id", "canonical"), ["session_id", "canonical"], "left_anti")
-    # An edit distance is at least the difference of lengths.
-    near_length = F.abs(F.length("canonical") - F.length("near")) <= 0.28 * F.greatest(F.length("canonical"), F.length("near")) + 1e-9
-    # Labels are short; those that a second normalization shortens are compared all the same.
-    pairs = open_.join(free, "session_id").filter(near_length | F.col("canonical").rlike("^q") | F.col("near").rlike("^q")).withColumn("similarity", similarity(F.col("canonical"), F.col("near")))
+    free = g.join(claimed, ["session_id", "canonical"], "left_anti").withColumnRenamed("canonical", "near").withColumn("y", compared(F.col("near")))
+    open_ = q.filter("canonical is not null").join(g.select("session_id", "canonical"), ["session_id", "canonical"], "left_anti").withColumn("x", compared(F.col("canonical")))
+    # An edit distance is at least the difference of the lengths of what is compared.
+    near_length = F.abs(F.length("x") - F.length("y")) <= (1 - FUZZY_LEAST) * F.greatest(F.length("x"), F.length("y")) + 1e-9
+    pairs = open_.join(free, "session_id").filter(near_length).withColumn("similarity", closeness(F.col("x"), F.col("y"))).drop("x", "y")
     best = Window.partitionBy("session_id", "question_id").orderBy(F.desc("similarity"), "first_seq")
     found = pairs.filter(F.col("similarity") >= FUZZY_LEAST).withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
     return found.withColumn("method", F.lit("number-fuzzy")).withColumn("confidence", score(0.6 + 0.3 * F.col("similarity")))
 
 
-MAPPING = ["session_id", "question_id", "ordinal", "marks", "canonical", "answer_id", "method", "confidence", "near", "similarity", "n_additional", "full_text", "merged_ids"]
+def by_label(keyed_questions: DataFrame, g: DataFrame) -> DataFrame:
+    """One row per question: matched by exact label, else by near label, else empty."""
+    e = exact(keyed_questions, g)
+    f = fuzzy(keyed_questions, g).select("session_id", "question_id", *[F.col(c).alias(f"f_{c}") for c in LINKED], "near", "similarity")
+    joined = e.join(f, ["session_id", "question_id"], "left")
+    return joined.select("session_id", "question_id", "ordinal", "marks", "canonical", "q_low", "q_text", *[F.coalesce(c, f"f_{c}").alias(c) for c in LINKED], "near", "similarity")
 
 
-def by_label(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """One row per question: matched by exact label, else by near label, else empty."""
-    g = written(groups(answers), "groups")  # probed three times
-    e = exact(questions, g).withColumn("near", F.lit(None).cast("string")).withColumn("similarity", F.lit(None).cast("double"))
-    f = fuzzy(questions, g).select(*[F.col(c).alias(f"f_{c}") for c in ("question_id", "answer_id", "method", "confidence", "near", "similarity", "n_additional", "full_text", "merged_ids", "session_id")])
-    joined = e.join(f, (F.col("session_id") == F.col("f_session_id")) & (F.col("question_id") == F.col("f_question_id")), "left")
-    return joined.select(*[F.coalesce(c, f"f_{c}").alias(c) if f"f_{c}" in joined.columns and c not in ("session_id", "question_id") else F.col(c) for c in MAPPING])
+def candidates(questions: DataFrame, pool: DataFrame) -> DataFrame:
+    """Pairs of a question and an answer of its session whose word overlap is large enough: session_id, question_id, ordinal, answer_id, seq, ratio.
+
+    Pairs meet in their common words, which are counted; other pairs are never formed.
+    """
+    q = questions.select("session_id", "question_id", "ordinal", tokens(F.col("text")).alias("t"))
+    asked = q.select("session_id", "question_id", "ordinal", F.size("t").alias("n"), F.explode("t").alias("token"))
+    given = pool.select("session_id", "answer_id", "seq", F.explode(tokens(F.col("text"))).alias("token"))
+    met = asked.join(given, ["session_id", "token"]).groupBy("session_id", "question_id", "ordinal", "answer_id", "seq").agg((F.count("*") / F.first("n").cast("double")).alias("ratio"))
+    return met.filter((F.col("ratio") > CONTENT_LEAST) & (content_base(F.col("ratio")) > CONTENT_ACCEPT))
+
+
+def content_base(ratio: Column) -> Column:
+    return F.least(ratio * 1.5, F.lit(0.6))
 
 
 def by_content(questions: DataFrame, pool: DataFrame) -> DataFrame:
@@ -103,25 +118,23 @@ def by_content(questions: DataFrame, pool: DataFrame) -> DataFrame:
 
     questions: session_id, question_id, ordinal, text; pool: session_id,
     answer_id, seq, text. Result: session_id, question_id, answer_id, ratio.
-    Only pairs that share a word are formed; a fold per session then walks its
-    questions.
-    """
-    q = questions.select("session_id", "question_id", "ordinal", tokens(F.col("text")).alias("qt"))
-    a = pool.select("session_id", "answer_id", "seq", tokens(F.col("text")).alias("at"))
-    scored = q.join(a, "session_id").filter(F.arrays_overlap("qt", "at")).withColumn("ratio", overlap_ratio(F.col("qt"), F.col("at")))
-    lists = scored.groupBy("session_id", "question_id", "ordinal").agg(F.sort_array(F.collect_list(F.struct((-F.col("ratio")).alias("below"), "seq", "answer_id"))).alias("candidates"))
-    walks = lists.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "question_id", "candidates"))).alias("steps"))
-    start = F.expr("struct(cast(array() as array<string>) as used, cast(array() as array<struct<question_id:string,answer_id:string,ratio:double>>) as picks)")
 
-    def step(state, x):
-        best = F.get(F.filter(x["candidates"], lambda c: ~F.array_contains(state["used"], c["answer_id"])), F.lit(0))
-        ratio = -best["below"]
-        taken = F.coalesce((ratio > CONTENT_LEAST) & (F.least(ratio * 1.5, F.lit(0.6)) > CONTENT_ACCEPT), F.lit(False))
-        pick = F.struct(x["question_id"].alias("question_id"), best["answer_id"].alias("answer_id"), ratio.alias("ratio"))
-        return F.struct(F.when(taken, F.array_append(state["used"], best["answer_id"])).otherwise(state["used"]).alias("used"), F.when(taken, F.array_append(state["picks"], pick)).otherwise(state["picks"]).alias("picks"))
-
-    picks = walks.select("session_id", F.explode(F.aggregate("steps", start, step)["picks"]).alias("p"))
-    return picks.select("session_id", "p.*")
+    Done in rounds for all sessions at once: a question takes its best free
+    answer as soon as no earlier open question could take it. The first open
+    question of a session always can, so rounds end; no session is gathered in
+    one row.
+    """
+    left = written(candidates(questions, pool), "candidates")
+    best = Window.partitionBy("session_id", "question_id").orderBy(F.desc("ratio"), "seq", "answer_id")
+    wanted = Window.partitionBy("session_id", "answer_id").orderBy("ordinal", "question_id")
+    picks = left.select("session_id", "question_id", "answer_id", "ratio").limit(0)
+    while not left.isEmpty():
+        ranked = left.withColumn("place", F.row_number().over(best)).withColumn("turn", F.row_number().over(wanted))
+        taken = written(ranked.filter("place = 1 and turn = 1").select("session_id", "question_id", "answer_id", "ratio"), "taken")
+        picks = picks.union(taken)
+        left = left.join(taken.select("session_id", "question_id"), ["session_id", "question_id"], "left_anti").join(taken.select("session_id", "answer_id"), ["session_id", "answer_id"], "left_anti")
+        left = written(left, "candidates")
+    return picks
 
 
 def residual(open_questions: DataFrame, free_answers: DataFrame) -> DataFrame:
@@ -137,23 +150,27 @@ def consumed(mappings: DataFrame) -> DataFrame:
 
 
 def link(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """All four phases; one row per question (see MAPPING, and needs_review)."""
-    m = written(by_label(questions, answers), "by-label")
-    free = answers.join(consumed(m), ["session_id", "answer_id"], "left_anti")
-    texts = questions.select("session_id", "question_id", "text", F.col("low_confidence").alias("q_low"))
-    open_ = m.filter("answer_id is null").select("session_id", "question_id", "ordinal", "marks").join(texts, ["session_id", "question_id"])
-    picked = written(by_content(open_, free), "by-content")
+    """All four phases; one row per question.
+
+    Columns: session_id, question_id, ordinal, marks, canonical, LINKED (null
+    where nothing was found), near and similarity of a near label, ratio of
+    shared words, needs_review.
+    """
+    m = written(by_label(written(keyed(questions), "keyed"), written(groups(answers), "groups")), "by-label")
+    free = written(answers.join(consumed(m), ["session_id", "answer_id"], "left_anti"), "free")
+    open_ = m.filter("answer_id is null").select("session_id", "question_id", "ordinal", "marks", "q_low", F.col("q_text").alias("text"))
+    picked = by_content(open_, free)
     still = open_.join(picked, ["session_id", "question_id"], "left_anti")
     left = free.join(picked, ["session_id", "answer_id"], "left_anti")
-    pairs = picked.select("*", F.lit("semantic").alias("m2"), F.least(F.col("ratio") * 1.5, F.lit(0.6)).alias("base"))
-    pairs = pairs.unionByName(residual(still, left).select("*", F.lit(None).cast("double").alias("ratio"), F.lit("sequence-fallback").alias("m2"), F.lit(RESIDUAL_BASE).alias("base")))
-    facts = answers.select("session_id", "answer_id", F.col("text").alias("a_text"), F.length(trimmed(F.col("text"))).alias("a_length"), F.col("crossed_out").alias("a_crossed"), F.col("low_confidence").alias("a_low"))
+    pairs = picked.select("*", F.lit("semantic").alias("p_method"), content_base(F.col("ratio")).alias("base"))
+    pairs = pairs.unionByName(residual(still, left).select("*", F.lit(None).cast("double").alias("ratio"), F.lit("sequence-fallback").alias("p_method"), F.lit(RESIDUAL_BASE).alias("base")))
+    facts = free.select("session_id", "answer_id", F.col("text").alias("p_text"), F.length(trimmed(F.col("text"))).alias("a_length"), F.col("crossed_out").alias("a_crossed"), F.col("low_confidence").alias("a_low"))
     scored = pairs.join(facts, ["session_id", "answer_id"]).join(open_.select("session_id", "question_id", "q_low", "marks"), ["session_id", "question_id"])
-    more = scored.select("session_id", "question_id", F.col("answer_id").alias("p_id"), "m2", score(F.col("base")).alias("p_conf"), "a_text")
+    more = scored.select("session_id", "question_id", F.col("answer_id").alias("p_id"), "p_method", score(F.col("base")).alias("p_confidence"), "p_text", "ratio")
     out = m.join(more, ["session_id", "question_id"], "left").select(
-        "session_id", "question_id", "ordinal", "marks", "canonical", F.coalesce("answer_id", "p_id").alias("answer_id"), F.coalesce("method", "m2").alias("method"),
-        F.coalesce("confidence", "p_conf", F.lit(0.0)).alias("confidence"), "near", "similarity", F.coalesce("n_additional", F.lit(0)).alias("n_additional"),
-        F.coalesce("full_text", "a_text").alias("full_text"), F.coalesce("merged_ids", F.when(F.col("p_id").isNotNull(), F.array("p_id"))).alias("merged_ids"),
+        "session_id", "question_id", "ordinal", "marks", "canonical", F.coalesce("answer_id", "p_id").alias("answer_id"), F.coalesce("method", "p_method").alias("method"),
+        F.coalesce("confidence", "p_confidence", F.lit(0.0)).alias("confidence"), F.coalesce("n_additional", F.lit(0)).alias("n_additional"),
+        F.coalesce("full_text", "p_text").alias("full_text"), F.coalesce("merged_ids", F.when(F.col("p_id").isNotNull(), F.array("p_id"))).alias("merged_ids"), "near", "similarity", "ratio",
     )
     review = F.when(F.col("method") == "sequence-fallback", True).when(F.col("answer_id").isNull(), False).otherwise(needs_review(F.col("confidence")))
     return written(out.withColumn("needs_review", review), "links")
@@ -170,8 +187,33 @@ def orphans(mappings: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
+# The words that say why a question got its answer.
+MERGED = " (merged %d additional page block(s) as a multi-page answer)"
+NEAR_HEAD, NEAR_JOIN, NEAR_WRITTEN, NEAR_TAIL = "Matched by fuzzy label similarity (", '%) between "', '" and the student\'s written "', '", likely OCR or numbering noise.'
+CONTENT = "No matching question number found on the answer sheet; matched by content similarity. "
+CONTENT_WORDS = "Keyword-overlap fallback (Gemini unavailable): matched on shared vocabulary."
+RESIDUAL = "Exactly one question and one answer block remained unmatched after number and semantic matching, so they were paired as a last resort. Please verify."
+NOTHING = "No answer found for this question."
+
+
 def reasoning() -> Column:
     """Why a question got its answer, in words."""
-    merged = F.when(F.col("n_additional") > 0, F.format_string(" (merged %d additional page block(s) as a multi-page answer)", "n_additional")).otherwise("")
-    near = F.concat(F.lit("Matched by fuzzy label similarity ("), F.floor(F.col("similarity") * 100 + 0.5).cast("string"), F.lit('%) between "'), F.col("canonical"), F.lit('" and the student\'s written "'), F.col("near"), F.lit('", likely OCR or numbering noise.'))
-    return F.when(F.col("method") == "number-exact", F.concat(F.lit('Matched by exact question-number label "'), F.col("canonical"), F.lit('"'), merged, F.lit("."))).when(F.col("method") == "number-fuzzy", near)
+    merged = F.when(F.col("n_additional") > 0, F.format_string(MERGED, "n_additional")).otherwise("")
+    percent = F.floor(F.col("similarity") * 100 + 0.5).cast("string")
+    method = F.col("method")
+    return (
+        F.when(method == "number-exact", F.concat(F.lit('Matched by exact question-number label "'), "canonical", F.lit('"'), merged, F.lit(".")))
+        .when(method == "number-fuzzy", F.concat(F.lit(NEAR_HEAD), percent, F.lit(NEAR_JOIN), "canonical", F.lit(NEAR_WRITTEN), "near", F.lit(NEAR_TAIL)))
+        .when(method == "semantic", F.lit(CONTENT + CONTENT_WORDS))
+        .when(method == "sequence-fallback", F.lit(RESIDUAL))
+        .otherwise(F.lit(NOTHING))
+    )
+
+
+def captions(orphaned: DataFrame, answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """session_id, answer_id, caption of orphans: their page, and the question they repeat, or the label they bear, or that they have none."""
+    of = orphaned.join(answers.select("session_id", "answer_id", "page", "raw_label"), ["session_id", "answer_id"])
+    named = of.join(questions.select("session_id", F.col("question_id").alias("guess_question_id"), "label"), ["session_id", "guess_question_id"], "left")
+    repeated = (F.col("reason") == "duplicate-of-mapped") & F.col("label").isNotNull()
+    why = F.when(repeated, F.concat(F.lit("Looks like a duplicate/extra attempt at Q"), "label")).when(F.length("raw_label") > 0, F.concat(F.lit('Student wrote "'), "raw_label", F.lit('" but no matching question was found')))
+    return named.select("session_id", "answer_id", F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" • "), F.coalesce(why, F.lit("No question number could be identified"))).alias("caption"))

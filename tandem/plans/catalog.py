@@ -14,11 +14,17 @@ from tandem.operators import history as H
 from tandem.operators import linkage as K
 from tandem.operators import scoring as S
 from tandem.sources import fixtures as D
+from tandem.sources.tables import written
 from tandem.streaming import progress as P
 
 
-def _mappings(spark, d) -> DataFrame:
-    return K.by_label(D.questions(spark, d), D.answers(spark, d))
+def _answers(spark, d) -> DataFrame:
+    """The answers, written: their writing order is a window over all lines."""
+    return written(D.answers(spark, d), "answers")
+
+
+def _mappings(spark, d, answers=None) -> DataFrame:
+    return K.link(D.questions(spark, d), answers or _answers(spark, d))
 
 
 def _grades(spark, d) -> DataFrame:
@@ -26,13 +32,15 @@ def _grades(spark, d) -> DataFrame:
 
 
 def normalize_label(spark, d):
-    return D.answers(spark, d).select("answer_id", "raw_label", L.canonical(F.col("raw_label")).alias("canonical"), L.sort_key(F.col("raw_label")).alias("sort_key"))
+    a = D.answers(spark, d).select("answer_id", "raw_label", L.canonical(F.col("raw_label")).alias("canonical"))
+    return a.withColumn("sort_key", L.order_of(F.col("canonical")))
 
 
 def label_similarity(spark, d):
     q = D.questions(spark, d).select("session_id", F.col("label").alias("a"))
     r = D.answers(spark, d).select("session_id", F.col("raw_label").alias("b")).filter("b is not null")
-    return q.join(r, "session_id").select("a", "b").distinct().withColumn("similarity", L.similarity(F.col("a"), F.col("b")))
+    met = q.join(r, "session_id").select("a", "b").distinct().withColumn("x", L.compared(F.col("a"))).withColumn("y", L.compared(F.col("b")))
+    return met.select("a", "b", L.closeness(F.col("x"), F.col("y")).alias("similarity"))
 
 
 def same_label(spark, d):
@@ -41,7 +49,7 @@ def same_label(spark, d):
 
 def question_order(spark, d):
     w = Window.partitionBy("session_id").orderBy("k", "ordinal")
-    q = D.questions(spark, d).withColumn("k", L.sort_key(F.col("label")))
+    q = D.questions(spark, d).withColumn("c", L.canonical(F.col("label"))).withColumn("k", L.order_of(F.col("c")))
     return q.select("session_id", "question_id", F.row_number().over(w).cast("long").alias("place"))
 
 
@@ -68,12 +76,13 @@ def resolve_groups(spark, d):
 
 
 def map_exact(spark, d):
-    e = K.exact(D.questions(spark, d), K.groups(D.answers(spark, d)))
+    e = K.exact(K.keyed(D.questions(spark, d)), K.groups(D.answers(spark, d)))
     return e.filter("answer_id is not null").select("session_id", "question_id", "answer_id", "confidence")
 
 
 def map_fuzzy(spark, d):
-    return K.fuzzy(D.questions(spark, d), K.groups(D.answers(spark, d))).select("session_id", "question_id", "answer_id", "near", "similarity", "confidence")
+    keyed, groups = written(K.keyed(D.questions(spark, d)), "keyed"), written(K.groups(D.answers(spark, d)), "groups")
+    return K.fuzzy(keyed, groups).select("session_id", "question_id", "answer_id", "near", "similarity", "confidence")
 
 
 def score_mapping(spark, d):
@@ -81,7 +90,7 @@ def score_mapping(spark, d):
 
 
 def needs_review(spark, d):
-    return _mappings(spark, d).select("question_id", (F.col("answer_id").isNotNull() & F.coalesce(K.needs_review(F.col("confidence")), F.lit(False))).alias("needs_review"))
+    return _mappings(spark, d).select("question_id", "needs_review")
 
 
 def reasoning(spark, d):
@@ -97,7 +106,8 @@ def unanswered(spark, d):
 
 
 def orphans(spark, d):
-    return K.orphans(_mappings(spark, d), D.answers(spark, d))
+    a = _answers(spark, d)
+    return K.orphans(_mappings(spark, d, a), a)
 
 
 def method_counts(spark, d):
@@ -113,8 +123,9 @@ def grade_lookup(spark, d):
 
 
 def summary(spark, d):
-    m = _mappings(spark, d)
-    free = D.answers(spark, d).join(K.consumed(m), ["session_id", "answer_id"], "left_anti").groupBy("session_id").agg(F.count("*").alias("orphans"))
+    a = _answers(spark, d)
+    m = _mappings(spark, d, a)
+    free = a.join(K.consumed(m), ["session_id", "answer_id"], "left_anti").groupBy("session_id").agg(F.count("*").alias("orphans"))
     return S.summary(S.grades(m), free)
 
 
@@ -127,8 +138,8 @@ def badge_tiers(spark, d):
 
 
 def result_cards(spark, d):
-    a = D.answers(spark, d).select("session_id", "answer_id", F.col("seq").alias("answer_seq"))
-    g = _grades(spark, d).join(D.questions(spark, d).select("session_id", "question_id", "label"), ["session_id", "question_id"]).join(a, ["session_id", "answer_id"], "left")
+    a = _answers(spark, d)
+    g = S.grades(_mappings(spark, d, a)).join(D.questions(spark, d).select("session_id", "question_id", "label"), ["session_id", "question_id"]).join(a.select("session_id", "answer_id", F.col("seq").alias("answer_seq")), ["session_id", "answer_id"], "left")
     card = F.row_number().over(Window.partitionBy("session_id").orderBy("ordinal")).cast("long")
     return g.select("session_id", "question_id", card.alias("card"), "label", "answer_id", "answer_seq", "marks_awarded", F.col("answer_id").isNull().alias("unanswered"))
 
@@ -173,8 +184,7 @@ def _embedded(spark, d, text) -> DataFrame:
 
 
 def split_labels(spark, d):
-    """Only the first 200 characters of each text, as its SQL has it."""
-    return _embedded(spark, d, F.substring("text", 1, 200))
+    return _embedded(spark, d, F.col("text"))
 
 
 def split_labels_whole(spark, d):
@@ -231,7 +241,7 @@ def history_tiers(spark, d):
 
 
 def history_upsert(spark, d):
-    return H.upserted(D.history(spark, d)).select("owner", "session_id", "percent", (F.col("created_at") == F.col("last_saved")).alias("saved_once"))
+    return H.upserted(D.saves(spark, d)).select("owner", "session_id", "percent", (F.col("created_at") == F.col("last_saved")).alias("saved_once"))
 
 
 def progress_latest(spark, d):
@@ -252,16 +262,19 @@ def format_marks(spark, d):
     return D.table(spark, d, "lineitem").select(x.alias("x"), O.marks_text(x).alias("shown")).distinct()
 
 
+def _declared():
+    return F.get(F.array(F.lit("image/jpg"), F.lit("text/plain"), F.lit(None).cast("string")), (F.col("page_id") % 3).cast("int"))
+
+
 def upload_validation(spark, d):
     name = F.concat("url", F.get(F.array(F.lit(".pdf"), F.lit(".PNG"), F.lit(".jpeg"), F.lit("")), (F.col("page_id") % 4).cast("int")))
     size = F.when(F.col("page_id") % 7 == 0, 0).otherwise(F.length("html") * F.when(F.col("page_id") % 5 == 0, 10_000).otherwise(1))
-    return D.table(spark, d, "pages").select("page_id", O.upload_error(F.lit("text/plain"), name, size).alias("error"))
+    return D.table(spark, d, "pages").select("page_id", O.upload_error(_declared(), name, size).alias("error"))
 
 
 def mime_resolution(spark, d):
     name = F.concat("url", F.get(F.array(F.lit(".pdf"), F.lit(".PNG"), F.lit(".jpeg"), F.lit("")), (F.col("page_id") % 4).cast("int")))
-    declared = F.get(F.array(F.lit("image/jpg"), F.lit("text/plain"), F.lit(None).cast("string")), (F.col("page_id") % 3).cast("int"))
-    return D.table(spark, d, "pages").select("page_id", O.mime_type(declared, name).alias("mime"))
+    return D.table(spark, d, "pages").select("page_id", O.mime_type(_declared(), name).alias("mime"))
 
 
 def box_pad(spark, d):
@@ -283,8 +296,8 @@ def page_boxes(spark, d):
 
 
 def _broken(spark, d):
-    kinds = F.array(F.col("props"), F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.regexp_replace("props", "}$", ",}"), F.concat(F.lit("Here it is: "), "props", F.lit(" as asked.")), F.concat(F.lit('{"items": ['), "props", F.lit(", "), "props", F.lit(", ")))
-    return D.table(spark, d, "events").select("event_id", F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("raw"))
+    kinds = F.array(F.col("props"), F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.regexp_replace("props", "}$", ",}"), F.concat(F.lit("Here it is: "), "props", F.lit(" as asked.")), F.concat(F.lit('{"items": ['), "props", F.lit(", "), "props", F.lit(", ")), F.concat(F.lit("{“note”: ”it‘s it’s“, “p”: ["), "props", F.lit(", ] }")))
+    return D.table(spark, d, "events").select("event_id", F.get(kinds, (F.col("event_id") % 6).cast("int")).alias("raw"))
 
 
 def strip_fences(spark, d):
@@ -321,13 +334,60 @@ def guard_index(spark, d):
 
 
 def orphan_caption(spark, d):
-    text = F.when(F.col("reason") == "duplicate-of-mapped", F.concat(F.lit("Duplicate of "), "guess_question_id")).otherwise("No matching question")
-    return orphans(spark, d).select("session_id", "answer_id", text.alias("caption"))
+    a = _answers(spark, d)
+    return K.captions(K.orphans(_mappings(spark, d, a), a), a, D.questions(spark, d))
 
 
 def union_pages(spark, d):
-    t = D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return t.filter("l_linenumber % 2 = 0").unionByName(t.filter("l_linenumber % 2 = 1"))
+    named = lambda t, key, name, nation: D.table(spark, d, t).select(F.lit(t).alias("source"), F.col(key).alias("key"), F.col(name).alias("name"), F.col(nation).alias("nation"))
+    return named("customer", "c_custkey", "c_name", "c_nationkey").unionByName(named("supplier", "s_suppkey", "s_name", "s_nationkey"))
+
+
+def merge_answers(spark, d):
+    """The texts of a question's answers, looked up by the ids of its mapping, in order."""
+    a = _answers(spark, d)
+    ids = _mappings(spark, d, a).filter("answer_id is not null").select("session_id", "question_id", F.posexplode("merged_ids").alias("pos", "answer_id"))
+    texts = ids.join(a.select("session_id", "answer_id", "text"), ["session_id", "answer_id"]).groupBy("session_id", "question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("t"))
+    return texts.select("session_id", "question_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("merged"))
+
+
+def anchor_runs(spark, d):
+    placed = written(G.ordered_runs(D.text_runs(spark, d)), "runs")
+    return G.anchors(D.blocks(spark, d), placed)
+
+
+def run_spans(spark, d):
+    return G.anchored_boxes(written(D.blocks(spark, d), "blocks"), D.text_runs(spark, d))
+
+
+def render_dims(spark, d):
+    w, h = F.col("p_size") * 30.0, F.col("p_retailprice")
+    p = D.table(spark, d, "part").select("p_partkey", G.page_pixels(w, h).alias("p"), G.image_pixels(F.col("p_size") * 40, F.floor("p_retailprice").cast("long")).alias("image_width"))
+    return p.select("p_partkey", "p.width", "p.height", "image_width")
+
+
+def entry_formats(spark, d):
+    h = H.upserted(D.saves(spark, d))
+    return h.select(
+        "session_id", O.entry_date(F.col("last_saved")).alias("saved"), O.opened_later(F.col("created_at"), F.col("last_saved")).alias("opened_later"), O.confidence_text(F.col("percent") / 101.0).alias("confidence"),
+        O.score_text(F.when(F.col("percent") % 10 > 0, F.col("percent") / 2.0), F.lit(50.0)).alias("score"), O.ring_offset(F.col("percent") * 2 - 20).cast("long").alias("offset"),
+    )
+
+
+def display_labels(spark, d):
+    a = _answers(spark, d)
+    m = _mappings(spark, d, a)
+    q = D.questions(spark, d).select("session_id", "question_id", "label")
+    answered = m.filter("answer_id is not null").select("session_id", "question_id", "answer_id")
+    shown = a.join(answered, ["session_id", "answer_id"], "left").join(q, ["session_id", "question_id"], "left")
+    return shown.select("session_id", "answer_id", O.display_label(F.col("question_id").isNotNull(), F.col("label")).alias("shown"))
+
+
+def warnings(spark, d):
+    """Notes of a session's pages, in order of pages and lines."""
+    a = D.answers(spark, d).select("session_id", "page", "seq", F.when(F.col("low_confidence"), F.concat(F.lit("low confidence: "), "answer_id")).alias("a"), F.when(F.col("crossed_out"), F.concat(F.lit("crossed out: "), "answer_id")).alias("b"))
+    own = a.withColumn("notes", F.array_compact(F.array("a", "b"))).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("page", "seq", "notes"))).alias("n"))
+    return own.select("session_id", F.array_join(F.flatten(F.transform("n", lambda x: x["notes"])), "; ").alias("warnings"))
 
 
 def array_ops(spark, d):
@@ -357,6 +417,6 @@ QUERIES = {
         keyword_overlap, map_semantic, map_residual, merge_text, clamp_marks, split_labels, split_labels_whole, segment_lines,
         box_clip, block_extent, gap_insertions, answer_span, page_count, history_topk, history_window, history_page, most_recent, history_stats, history_tiers, history_upsert,
         sse_parse, highlight_boxes, box_pad, page_growth, gap_remap, page_boxes, strip_fences, fix_commas, json_repair, progress_percent, ttl_sweep, session_latest, guard_index, orphan_caption, union_pages, array_ops,
-        progress_latest, json_props, format_bytes, format_marks, upload_validation, mime_resolution,
+        merge_answers, anchor_runs, run_spans, render_dims, entry_formats, display_labels, warnings, progress_latest, json_props, format_bytes, format_marks, upload_validation, mime_resolution,
     )
 }

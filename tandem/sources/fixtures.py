@@ -23,7 +23,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-a"), F.col("seq").cast("string")).alias("answer_id"),
         "seq",
         F.get(F.array(*labels), kind).alias("raw_label"),
-        F.repeat(F.lit("x"), (F.col("l_quantity").cast("int") * 5)).alias("text"),
+        F.concat(F.repeat(F.lit("x"), F.col("l_quantity").cast("int") * 5), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" about subject"), (F.col("l_suppkey") % 7).cast("string"))).otherwise("")).alias("text"),
         (F.col("l_suppkey") % 3 + 1).alias("page"),
         (F.col("l_returnflag") == "R").alias("crossed_out"),
         ((F.col("l_linestatus") == "F") & (F.col("l_suppkey") % 5 == 0)).alias("low_confidence"),
@@ -46,10 +46,32 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n <= 7, F.concat(F.lit("Q"), n.cast("string"))).otherwise(F.concat((n - 7).cast("string"), F.lit("(a)"))).alias("label"),
         F.when(rest != 0, rest + 1).cast("long").alias("marks"),
         ((F.col("o_orderkey") + n) % 13 == 0).alias("low_confidence"),
-        F.lit("").alias("text"),
+        F.concat(F.lit("describe subject"), ((F.col("o_orderkey") + n) % 7).cast("string"), F.lit(" briefly")).alias("text"),
     )
 
 
+def saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves of results (orders): every third session is saved again two days later, with another percent."""
+    first = history(spark, sf_dir)
+    again = first.filter("session_id % 3 = 0").withColumn("saved_at", F.col("saved_at") + F.expr("interval 2 days")).withColumn("percent", (F.col("percent") + 7) % 101)
+    return first.unionByName(again)
+
+
+def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text runs on the pages of a session (an order): one per line, beginning with a label, and one below it."""
+    a = answers(spark, sf_dir).select("session_id", "page", "x", "y", "w", (F.col("h") / 8).alias("h"), "seq", (F.col("seq") % 4 + 1).cast("string").alias("n"))
+    head = a.select("session_id", "page", "x", "y", "w", "h", F.concat(F.lit("Ans  "), "n", F.lit(". words")).alias("text"), (F.col("seq") * 2).alias("run"))
+    body = a.select("session_id", "page", (F.col("x") / 2).alias("x"), (F.col("y") + F.col("h")).alias("y"), "w", "h", F.lit("more words").alias("text"), (F.col("seq") * 2 + 1).alias("run"))
+    return head.unionByName(body)
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer blocks in reading order with the labels they were seen with and rough boxes."""
+    a = answers(spark, sf_dir)
+    label = F.when(F.col("seq") % 5 != 4, F.concat(F.lit("ANS "), (F.col("seq") % 4 + 1).cast("string"), F.lit(".")))
+    return a.select("session_id", "answer_id", "seq", label.alias("label"), "has_diagram", F.when(F.col("seq") % 3 != 2, F.col("page")).alias("rough_page"), F.col("x").alias("rough_x"), (F.col("y") + 0.01).alias("rough_y"), F.col("w").alias("rough_w"))
+
+
 def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").filter("role = 'user'")
     return t.select(F.col("conv_id").alias("session_id"), F.concat(F.col("conv_id").cast("string"), F.lit("-q"), F.col("turn").cast("string")).alias("question_id"), F.col("turn").alias("ordinal"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("long").alias("marks"), F.lit(False).alias("low_confidence"), "text")

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
-#: Where intermediates go when the session names no shared folder (tests).
-LOCAL_DIR = "/tmp/checkpoints"
-
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: computed once, with no lineage to repeat when an executor is lost."""
+    """``df`` written as Parquet and read again: computed once, with no lineage to repeat when an executor is lost.
+
+    The folder is the session's ``spark.checkpoint.dir``, which driver and
+    executors share. Only in local mode, where there are no other machines, may
+    it be unset.
+    """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
     path = f"{root.rstrip('/')}/tandem/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,8 +4,25 @@ from pyspark.sql import functions as F
 from tandem.functions import json_repair as J
 
 CASES = [
-    ('```json\n{"a": 1}\n```', '{"a":1}'), ('{"a": 1,}', '{"a":1}'), ("{“a”: 1}", '{"a":1}'), ('Sure: {"a": [1, 2]} done', '{"a":[1,2]}'),
-    ('[{"x":1},{"x":2},{"x":', '[{"x":1},{"x":2}]'), ('{"items": [{"k": 1}, {"k": 2}, ', '{"items":[{"k":1},{"k":2}]}'), ('[{"x":1,"y":', '[{"x":1}]'), ("not json", None), ("", None), (None, None), ('{"a": "b, {"}', '{"a":"b, {"}'),
+    ('{"k": [true, null]}', '{"k":[true,null]}'),
+    ('```JSON\n{"score": 7.5}\n```  ', '{"score":7.5}'),
+    ('```json\n{"said": "he said “hi”"}\n```', '{"said":"he said “hi”"}'),  # parses before quotes are touched
+    ('```\n{"t": "it’s"}\n```', '{"t":"it’s"}'),
+    ("{“key”: ‘x’}", None),
+    ("{“key”: 3,}", '{"key":3}'),
+    ('[3, 4, ]', "[3,4]"),
+    ('The result is [5, {"u": "“q”"}] as wished', '[5,{"u":"“q”"}]'),  # the span of the unchanged text
+    ('[{"p":"a,b"},{"p":"c', '[{"p":"a,b"}]'),
+    ('{"rows": [[1, 2], [3, ', '{"rows":[[1,2],[3]]}'),
+    ('{"p": "back\\\\", "q": "cut \\" here', '{"p":"back\\\\"}'),
+    ('{"p": NaN}', None),
+    ('[1, Infinity, 2', None),
+    ("words } only {", None),
+    ("{", None),
+    ('{"a": "b, {"}', '{"a":"b, {"}'),
+    ('x [1, 2] ] y', None),
+    ("", None),
+    (None, None),
 ]
 
 
@@ -15,6 +32,9 @@ def test_cascade(spark):
     assert [got[i] for i in range(len(CASES))] == [b for _, b in CASES]
 
 
-@pytest.mark.parametrize("text", ["[1, [2, 3", '{"a": "x'])
-def test_balanced_closes_or_leaves(text):
-    assert J.balanced(text) in ("[1, [2]]", text)
+@pytest.mark.parametrize(
+    "text, want",
+    [("[7, [8, 9", "[7, [8]]"), ('{"a": "x', '{"a": "x'), ('{"a": 1, "b": "x, y', '{"a": 1}'), ("[1, 2]", "[1, 2]"), ("1, 2", "1, 2"), ("] [1, 2", "] [1]"), ('"open, [', '"open, ['), ('[1, "a\\', "[1]")],
+)
+def test_closed(text, want):
+    assert J.closed(text) == want
