@@ -39,6 +39,14 @@ def crc32_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Memo(dict):
     """A bounded memo of ``make(key)`` for the keys of one Python worker.
 

@@ -6,8 +6,11 @@ for each, and every two terms of a document add the product of their vectors:
 so an insult next to a mention of a group can count for more than both alone.
 
 The machine is fitted on the driver from a bounded sample of labelled rows
-(``SAMPLE_ROWS``); it keeps at most ``MOST_TERMS`` buckets, which bounds the
-broadcast. Scoring is a map over all rows without a shuffle.
+(``SAMPLE_ROWS``). It keeps the buckets for which the sample has evidence: terms
+that are toxic or clean by themselves, both terms of pairs that are so together
+although their terms do not say it, and the most frequent terms. There are at
+most BUCKETS of them, which bounds the broadcast. Scoring is a map over all rows
+without a shuffle.
 """
 
 import re
@@ -21,12 +24,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm._shared import Memo, batches, crc32_mod, per_worker, texts_of
+from tandem.llm.vocabularies import gathered
 
 #: Labelled rows that a machine is fitted on, at most; those of lowest xxhash64(doc_id) are taken.
 SAMPLE_ROWS = 12_000
 BUCKETS = 1 << 20
-#: Buckets that the machine keeps: those whose share of toxic rows is off by Z or more, then frequent ones.
-MOST_TERMS, FREQUENT_TERMS, LEAST_ROWS, Z = 1_024, 128, 3, 4.0
+#: Evidence for a term: rows that have it, and standard deviations that its share of toxic rows is off.
+LEAST_ROWS, Z = 3, 4.0
+FREQUENT_TERMS = 128
+#: Evidence for a pair: rows that have both terms, and nats by which its share of toxic rows contradicts its terms' shares.
+#: (Chance reaches NATS with a probability of exp(-NATS) at most, so hardly ever in all pairs of a sample.)
+PAIR_ROWS, NATS = 12, 25.0
+#: Counters of pairs in memory at a time, and pairs that are counted together.
+PAIR_COUNTERS, PAIRS_TOGETHER = 1 << 22, 1 << 21
 FACTORS, EPOCHS, BATCH, RATE = 4, 20, 256, 0.05
 WORD = re.compile(r"\w+")
 
@@ -55,6 +65,42 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
+def nats(hits, n, expected):
+    """What it tells against a share ``expected`` that of n rows so many are toxic (Chernoff's bound)."""
+    q = hits / np.maximum(n, 1)
+    part = lambda x, y: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / y), 0.0)
+    return n * (part(q, expected) + part(1 - q, 1 - expected))
+
+
+def telling_pairs(flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, rates: np.ndarray, share: float) -> np.ndarray:
+    """Terms of the pairs whose rows are toxic more or less often than their terms' rates, added as log-odds, let expect.
+
+    ``flat``: the numbers of the terms of every row in ascending order, end to
+    end. All pairs of terms with PAIR_ROWS rows or more in common are counted, a
+    block of first terms at a time.
+    """
+    m, odds = len(rates), np.log(rates / (1 - rates))
+    partners = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat)) - 1
+    label, order = np.repeat(toxic, lengths) > 0, np.argsort(flat, kind="stable")
+    block, found = max(1, PAIR_COUNTERS // max(1, m)), [np.zeros(0, np.int64)]
+    for low in range(0, m, block):
+        own = order[np.searchsorted(flat, low, sorter=order) : np.searchsorted(flat, low + block, sorter=order)]
+        counts = []
+        for places in (own[label[own]], own[~label[own]]):
+            count, n = np.zeros(block * m, np.int64), partners[places]
+            for part in np.split(np.arange(len(places)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS_TOGETHER)) + 1):
+                second = flat[gathered(np.arange(len(flat)), places[part] + 1, n[part])]
+                count += np.bincount(np.repeat(flat[places[part]] - low, n[part]) * m + second, minlength=block * m)
+            counts.append(count)
+        hits, total = counts[0], counts[0] + counts[1]
+        at = np.flatnonzero(total >= PAIR_ROWS)
+        a, b = at // m + low, at % m
+        expected = 1 / (1 + np.exp(-np.clip(odds[a] + odds[b] - np.log(share / (1 - share)), -9, 9)))
+        told = nats(hits[at], total[at], expected) >= NATS
+        found += [a[told], b[told]]
+    return np.unique(np.concatenate(found))
+
+
 def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
     """A machine from the term sets of the sample; without rows of both labels it scores the share of toxic rows."""
     n, share = len(rows), float(np.mean(toxic)) if len(toxic) else 0.0
@@ -68,16 +114,20 @@ def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Mac
     hits = np.bincount(column, weights=toxic[of], minlength=len(buckets))
     off = np.abs(hits - df * share) / np.sqrt(df * share * (1 - share))
     strong = np.flatnonzero((df >= LEAST_ROWS) & (off >= Z))
-    strong = strong[np.argsort(-off[strong], kind="stable")][: MOST_TERMS - FREQUENT_TERMS]
     frequent = np.argsort(-df, kind="stable")[:FREQUENT_TERMS]
-    kept = np.unique(np.r_[strong, frequent])
-    # Terms kept for being frequent get a firm penalty, so that they act in pairs and don't take over the bias.
+    # Only terms with enough rows can be in a pair with enough rows.
+    common = df >= PAIR_ROWS
+    number, in_pair = np.cumsum(common) - 1, common[column]
+    rates = (hits[common] + share) / (df[common] + 1)
+    paired = np.flatnonzero(common)[telling_pairs(number[column[in_pair]], np.bincount(of[in_pair], minlength=n), toxic, rates, share)]
+    kept = np.unique(np.r_[strong, frequent, paired])
+    # Terms that say little by themselves get a firm penalty, so that they act in pairs and don't take over the bias.
     penalty = np.where(np.isin(kept, strong), 1e-5, 3e-2).astype(np.float32)
     place = np.full(len(buckets), -1)
     place[kept] = np.arange(len(kept))
     use = place[column] >= 0
-    x = np.zeros((n, len(kept)), np.float32)
-    x[of[use], place[column[use]]] = 1
+    terms, n_terms = place[column[use]], np.bincount(of[use], minlength=n)
+    starts = np.cumsum(n_terms) - n_terms
     # Adam on the logistic loss, with L2 on both parts.
     rng = np.random.default_rng(seed)
     params = [np.array([np.log(share / (1 - share))]), np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))]
@@ -88,7 +138,8 @@ def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Mac
         order = rng.permutation(n)
         for a in range(0, n, BATCH):
             own = order[a : a + BATCH]
-            xb, step = x[own], step + 1
+            xb, step = np.zeros((len(own), len(kept)), np.float32), step + 1
+            xb[np.repeat(np.arange(len(own)), n_terms[own]), gathered(terms, starts[own], n_terms[own])] = 1
             w0, w, v = params
             xv = xb @ v
             z = w0 + xb @ w + 0.5 * ((xv**2).sum(1) - (xb @ (v**2)).sum(1))
@@ -108,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Machine:
     """A machine from the labelled rows of ``docs`` (doc_id, text) that ``usable`` (on doc_id) admits.
 
     Rows without doc_id or without label 0 or 1 are not used; a doc_id that is
-    labelled twice takes its higher label.
+    labelled twice takes its higher label, one that several rows share their least text.
     """
     labelled = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
@@ -121,13 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Machine:
             yield from batches(schema, ((d, t, sorted(terms_of(text, memo))) for (d, text), t in zip(texts_of(batch), toxic)))
 
     # SAMPLE_ROWS bounds the broadcast side and what the driver gets.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))
     got = rows.mapInArrow(terms, "doc_id long, toxic int, terms array<int>").toPandas().sort_values("doc_id", kind="stable")
     return fit_machine([np.array(t, np.int64) for t in got.terms], got.toxic.to_numpy(dtype=float))
 
 
-def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with a column ``toxicity`` (double, 0 to 1); all columns and rows stay.
+def score_documents(docs: DataFrame, machine: Machine, column: str = "toxicity") -> DataFrame:
+    """``docs`` with a further ``column`` (double, 0 to 1), in place of one of that name; other columns and all rows stay.
 
     A null or empty text has no terms and gets the score of the bias alone.
     """
@@ -143,7 +194,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 
     score = F.pandas_udf(scores, "double")
 
-    return docs.withColumn("toxicity", score("text"))
+    return docs.withColumn(column, score("text"))
 
 
 def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

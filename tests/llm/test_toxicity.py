@@ -23,6 +23,46 @@ def test_interaction_that_linear_weights_miss():
     assert right > 0.95
 
 
+def test_interaction_among_commoner_words():
+    """Exclusive or of two words that say nothing alone, among 200 words that are more frequent."""
+    rng = np.random.default_rng(3)
+    has = rng.random((6000, 202)) < np.r_[np.full(200, 0.7), 0.5, 0.5]
+    rows, y = [np.flatnonzero(r) for r in has], (has[:, -1] != has[:, -2]).astype(float)
+    machine = X.fit_machine(rows[:4800], y[:4800])
+    assert {200, 201} <= set(machine.buckets.tolist())
+    assert np.mean([(machine.score(r) >= 0.5) == t for r, t in zip(rows[4800:], y[4800:])]) > 0.95
+
+
+def test_telling_pairs_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(9)
+    has = rng.random((900, 40)) < 0.4
+    toxic = (has[:, 3] & has[:, 7] | (rng.random(900) < 0.1)).astype(float)
+    share, rates = toxic.mean(), (toxic @ has + toxic.mean()) / (has.sum(0) + 1)
+    monkeypatch.setattr(X, "PAIR_COUNTERS", 300)
+    monkeypatch.setattr(X, "PAIRS_TOGETHER", 500)
+    monkeypatch.setattr(X, "NATS", 4.0)
+    want = set()
+    odds = np.log(rates / (1 - rates))
+    for a in range(40):
+        for b in range(a + 1, 40):
+            both = has[:, a] & has[:, b]
+            expected = 1 / (1 + np.exp(-(odds[a] + odds[b] - np.log(share / (1 - share)))))
+            if both.sum() >= X.PAIR_ROWS and X.nats(toxic[both].sum(), both.sum(), expected) >= 4.0:
+                want |= {a, b}
+    found = X.telling_pairs(np.concatenate([np.flatnonzero(r) for r in has]), has.sum(1), toxic, rates, share)
+    assert set(found.tolist()) == want and {3, 7} <= want
+
+
+def test_score_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(2)
+    machine = X.Machine(np.arange(10) * 3, 0.2, rng.normal(0, 1, 10), rng.normal(0, 1, (10, X.FACTORS)))
+    terms = [0, 6, 9, 27, 1, 500]
+    own = [0, 2, 3, 9]
+    z = 0.2 + sum(machine.w[i] for i in own) + sum(float(machine.v[i] @ machine.v[j]) for i in own for j in own if i < j)
+    assert machine.score(terms) == pytest.approx(1 / (1 + np.exp(-z)))
+    assert machine.score([]) == pytest.approx(1 / (1 + np.exp(-0.2)))
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     rng = random.Random(5)
@@ -44,6 +84,8 @@ def test_rows_stay_and_hard_texts_score(spark, small):
     scores = {(r.doc_id, r.text): r.toxicity for r in got.collect()}
     assert got.count() == 5 and scores[(2, "SCOUNDREL!")] > 0.5 > scores[(1, None)] == scores[(None, "")]
     assert X.score_documents(spark.createDataFrame([], SCHEMA), machine).count() == 0
+    clash = spark.createDataFrame(hard, SCHEMA).withColumn("toxicity", F.lit("mine"))
+    assert X.score_documents(clash, machine, "score").select("toxicity").distinct().collect()[0][0] == "mine"
 
 
 def test_without_labels_nothing_is_toxic(spark, small):
