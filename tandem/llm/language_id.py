@@ -8,7 +8,9 @@ score of the best language is its posterior with the log-likelihoods divided by
 the root of the number of words, as neighbouring words are not independent.
 
 A word is a run of letters of the lower-cased text; a run of more than
-``WORD_CHARS`` letters counts as several words of that length.
+``WORD_CHARS`` letters counts as several words of that length. All pieces that
+can stand in such a word take part: pieces with capitals or other characters
+than letters never can.
 """
 
 import re
@@ -18,24 +20,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm._shared import BatchMemo, batches, crc32_mod, per_worker, sliced, texts_of
+from tandem.llm._shared import BatchMemo, batches, crc32_mod, per_worker, sliced, texts_of, unused
 
 WORD_CHARS = 64
-LONGEST_PIECE = 12
-#: Documents of a language that are learned from, about: those of lowest hashed doc_id.
-SAMPLE_ROWS = 400
-#: The most frequent words of a language's sample that the fit looks at, and languages at most (the most frequent).
-SAMPLE_WORDS, MOST_LANGUAGES, ROUNDS = 20_000, 256, 3
+#: The sample that a language is learned from: about so many documents, those of lowest hashed doc_id, and so many words of
+#: them at most, the most frequent ones.
+SAMPLE_ROWS, SAMPLE_WORDS = 400, 20_000
+ROUNDS = 3
+#: Languages that are fitted and scored together; a broadcast holds no more.
+LANGUAGES_TOGETHER = 256
 #: Share of a language's probability that is spread evenly over all pieces.
 SPREAD = 0.05
 #: Factor per character that keeps products of probabilities within range.
 SCALE = 1_000.0
 UNDETERMINED = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of numerals such as ² or Ⅷ, which letters() takes out.
+RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters of a text."""
+    return [w for run in RUNS.findall(text) for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def pieces_of(path: str) -> list[str]:
@@ -44,7 +53,7 @@ def pieces_of(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return sorted({p for p in every if len(p) <= LONGEST_PIECE and (rest := p.removeprefix("▁")) == rest.lower() and (LETTERS.fullmatch(rest) or p == "▁")})
+    return sorted({p for p in every if (rest := p.removeprefix("▁")) == rest.lower() and (rest.isalpha() or p == "▁")})
 
 
 class Lattice:
@@ -55,7 +64,7 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
         self.powers = np.cumprod(np.r_[np.uint64(1), np.full(WORD_CHARS + 2, self.BASE)], dtype=np.uint64)
-        self.longest = max(map(len, pieces), default=1)
+        self.lengths = sorted({1, *map(len, pieces)})
         self.keys = np.array([self._key(p) for p in pieces], np.uint64)
         self.table = np.full(1 << self.SLOT_BITS, -1, np.int32)
         self.more: dict[int, int] = {}
@@ -98,7 +107,9 @@ class Lattice:
         steps = []
         for end in range(1, width + 1):
             live = np.flatnonzero(lengths >= end)
-            for n in range(1, min(end, self.longest) + 1):
+            for n in self.lengths:
+                if n > end:
+                    break
                 found = self._find(prefix[live, end] - prefix[live, end - n] * self.powers[n])
                 hit = found >= 0
                 if n == 1:
@@ -159,7 +170,7 @@ def fit_pieces(lattice: Lattice, counts: dict[str, dict[str, int]], languages: l
 
 
 def words_of(text: str) -> list[str]:
-    return [w[i : i + WORD_CHARS] for w in LETTERS.findall(text.lower()) for i in range(0, len(w), WORD_CHARS)]
+    return [w[i : i + WORD_CHARS] for w in letters(text.lower()) for i in range(0, len(w), WORD_CHARS)]
 
 
 class Model:
@@ -186,10 +197,8 @@ class Model:
         sums = np.vstack([np.zeros((1, len(self.languages))), np.cumsum(rows, 0)])[stops]
         return [np.r_[a, n].tobytes() for a, n in zip(np.diff(sums, axis=0), np.diff(stops))]
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, score) of each text."""
-        if not self.languages:
-            return [(UNDETERMINED, 0.0)] * len(texts)
+    def tell(self, texts: list[str]) -> list[tuple[str | None, float, float]]:
+        """(best language, its scaled log-likelihood, log of the sum over languages) of each text; null without a word."""
         split = [t.split() for t in texts]
         values = self.chunks.values([c for own in split for c in own])
         out, at = [], 0
@@ -198,29 +207,25 @@ class Model:
             at += len(own)
             sums = rows.sum(0)
             if not sums[-1]:
-                out.append((UNDETERMINED, 0.0))
+                out.append((None, 0.0, 0.0))
                 continue
             z = sums[:-1] / np.sqrt(sums[-1])
-            z = np.exp(z - z.max())
             best = int(z.argmax())
-            out.append((self.languages[best], float(z[best] / z.sum())))
+            out.append((self.languages[best], float(z[best]), float(z[best] + np.log(np.exp(z - z[best]).sum()))))
         return out
 
 
-def train(docs: DataFrame, usable: Column, vocabulary: str) -> Model:
-    """A model from doc_id, text and lang of the rows that ``usable`` admits; rows without doc_id or lang are left out.
+def train(docs: DataFrame, usable: Column, vocabulary: str) -> list[Model]:
+    """Models from doc_id, text and lang of the rows that ``usable`` admits; rows without doc_id or lang are left out.
 
-    Two passes: rows per language (a column scan), then the word counts of about
-    ``SAMPLE_ROWS`` documents of each language, which are what the driver gets.
+    Each holds up to LANGUAGES_TOGETHER languages; languages are fitted on their
+    own, so it makes no difference which ones are together. Two passes: rows per
+    language (a column scan), then the word counts of each language's sample,
+    which are what the driver gets, some languages at a time.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable)
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy("lang").collect()
     pieces = pieces_of(vocabulary)
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_ROWS / r["count"]))])
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def count(arrow):
         per_worker("language-count", dict)
@@ -230,31 +235,59 @@ def train(docs: DataFrame, usable: Column, vocabulary: str) -> Model:
                 found.update((lang, w) for w in words_of(text))
         yield from batches(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]), ((*k, n) for k, n in found.items()), 20_000)
 
-    words = drawn.select("doc_id", "text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict = {lang: {} for lang in languages}
-    got = words.toPandas().sort_values(["lang", "n", "word"], ascending=[True, False, True])
-    for lang, own in got.groupby("lang"):
-        counts[lang] = dict(zip(own.word[:SAMPLE_WORDS], own.n[:SAMPLE_WORDS].tolist()))
-    return Model(languages, pieces, fit_pieces(Lattice(pieces), counts, languages))
+    models = []
+    for at in range(0, len(sizes), LANGUAGES_TOGETHER):
+        own = sizes[at : at + LANGUAGES_TOGETHER]
+        share = F.create_map(*[F.lit(x) for r in own for x in (r["lang"], min(1.0, SAMPLE_ROWS / r["count"]))])
+        drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+        words = drawn.select("doc_id", "text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+        got = words.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE_WORDS).select("lang", "word", "n").toPandas()
+        languages = [r["lang"] for r in own]
+        counts: dict = {lang: {} for lang in languages}
+        for lang, rows in got.groupby("lang"):
+            counts[lang] = dict(zip(rows.word, rows.n.tolist()))
+        models.append(Model(languages, pieces, fit_pieces(Lattice(pieces), counts, languages)))
+    return models
+
+
+def _teller(shared):
+    """What a broadcast model tells of texts."""
+
+    def tell(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        name, *content = shared.value
+        model = per_worker(("language", name), lambda: Model(*content))
+        for own in texts:
+            rows = [r for part in sliced((i, t or "") for i, t in enumerate(own)) for r in model.tell([t for _, t in part])]
+            yield pd.DataFrame(rows, columns=["lang", "top", "total"])
+
+    return tell
 
 
-def predict_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``language`` (struct of lang and score); all columns and rows stay.
+def predict_documents(docs: DataFrame, models: list[Model], column: str = "language") -> DataFrame:
+    """``docs`` with a further ``column`` (struct of lang and score), in place of one of that name; other columns and all rows stay.
 
     A null or empty text, or one without a letter, is ``und`` with score 0; so is
     every text where no language was learned.
     """
-    name = hash((tuple(model.languages), model.p.tobytes()))
-    shared = docs.sparkSession.sparkContext.broadcast((name, model.languages, model.pieces, model.p))
-
-    def predictions(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        name, *content = shared.value
-        model = per_worker(("language", name), lambda: Model(*content))
-        for own in texts:
-            rows = [r for part in sliced((i, t or "") for i, t in enumerate(own)) for r in model.predict([t for _, t in part])]
-            yield pd.DataFrame(rows, columns=["lang", "score"])
-
-    return docs.withColumn("language", F.pandas_udf(predictions, "lang string, score double")("text"))
+    told = []
+    for model in models:
+        name = hash((tuple(model.languages), model.p.tobytes()))
+        shared = docs.sparkSession.sparkContext.broadcast((name, model.languages, model.pieces, model.p))
+
+        told.append(F.pandas_udf(_teller(shared), "lang string, top double, total double")("text"))
+    if len(told) < 2:
+        found = told[0] if told else F.struct(F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("top"), F.lit(0.0).alias("total"))
+    else:
+        # The best of the models' best; their totals add up.
+        best = F.array_max(F.array(*[F.struct(t["top"].alias("top"), t["lang"].alias("lang")) for t in told]))
+        most = F.greatest(*[t["total"] for t in told])
+        total = most + F.log(sum((F.exp(t["total"] - most) for t in told), F.lit(0.0)))
+        found = F.struct(best["lang"].alias("lang"), best["top"].alias("top"), total.alias("total"))
+    name = unused(docs, "told")
+    t = F.col(name)
+    language = F.struct(F.coalesce(t["lang"], F.lit(UNDETERMINED)).alias("lang"), F.when(t["lang"].isNotNull(), F.least(F.lit(1.0), F.exp(t["top"] - t["total"]))).otherwise(0.0).alias("score"))
+    return docs.withColumn(name, found).withColumn(column, language).drop(name)
 
 
 def op6_segmentation_marginalised_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +295,8 @@ def op6_segmentation_marginalised_language(spark: SparkSession, sf_dir: str) ->
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs, crc32_mod(F.col("doc_id"), 4) != 2, public_tokenizers.path("piece_bpe_32k.model"))
-    found = predict_documents(docs.select("doc_id", "text"), model)
+    models = train(docs, crc32_mod(F.col("doc_id"), 4) != 2, public_tokenizers.path("piece_bpe_32k.model"))
+    found = predict_documents(docs.select("doc_id", "text"), models)
     return found.select(
         "doc_id",
         F.coalesce(crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),

@@ -39,6 +39,48 @@ def test_forward_sums_all_segmentations():
             assert row[k] == pytest.approx(brute_force(w, {x: i for i, x in enumerate(pieces)}, p[:, k]))
 
 
+def segmentations(marked, pieces):
+    """All ways to cut a word into pieces or single unknown characters (number -1)."""
+    if not marked:
+        return [[]]
+    return [[pieces.get(marked[:j], -1), *rest] for j in range(1, len(marked) + 1) if marked[:j] in pieces or j == 1 for rest in segmentations(marked[j:], pieces)]
+
+
+def test_expected_uses_equal_brute_force():
+    """One step of the fit: every piece is used as often as the segmentations that hold it are likely."""
+    pieces = sorted(["▁", "▁t", "▁th", "t", "h", "e", "he", "the", "er", "r", "é"])
+    number, rng = {x: i for i, x in enumerate(pieces)}, np.random.default_rng(4)
+    p = rng.random((len(pieces) + 1, 2)) / 10
+    words, counts = ["the", "there", "thxé", "here"], np.array([[1.0, 3.0], [2.0, 0.0], [5.0, 1.0], [1.0, 1.0]])
+    want = np.zeros_like(p)
+    for w, own in zip(words, counts):
+        ways = segmentations("▁" + w, number)
+        likely = np.array([[np.prod(p[way, k]) for k in range(2)] for way in ways])
+        for way, share in zip(ways, likely / likely.sum(0)):
+            for piece in way:
+                want[piece] += own * share
+    assert L.Lattice(pieces).expected(words, counts, p) == pytest.approx(want)
+
+
+def test_posterior_equals_brute_force(spark, model):
+    text = "The house, und Hund"
+    rows = np.array([[brute_force(w, {x: i for i, x in enumerate(model[0].pieces)}, model[0].p[:, k]) for k in range(2)] for w in ("the", "house", "und", "hund")])
+    z = rows.sum(0) / 2  # the root of four words
+    want = np.exp(z) / np.exp(z).sum()
+    got = L.predict_documents(spark.createDataFrame([(text,)], "text string"), model).first().language
+    assert got.lang == ["de", "en"][int(want.argmax())] and got.score == pytest.approx(want.max())
+
+
+def test_languages_in_several_models(spark, model, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES_TOGETHER", 1)
+    rows = [(i, "the cat and the dog of the house this is", "en") for i in range(30)] + [(100 + i, "der hund und die katze in dem haus ist", "de") for i in range(30)]
+    apart = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), VOCABULARY)
+    assert [m.languages for m in apart] == [["de"], ["en"]]
+    texts = spark.createDataFrame([("the house",), ("und die katze",), ("",), ("xqz the",)], "text string")
+    one, two = (sorted((r.text, r.language.lang, round(r.language.score, 9)) for r in L.predict_documents(texts, m).collect()) for m in (model, apart))
+    assert one == two
+
+
 def test_vocabulary_lookup_is_exact():
     pieces = L.pieces_of(VOCABULARY)
     lattice = L.Lattice(pieces)
@@ -54,15 +96,16 @@ def model(spark):
 
 
 def test_hard_rows(spark, model):
-    assert model.languages == ["de", "en"]
-    rows = [(1, "the house", 1), (2, "UND DIE KATZE!", 1), (3, None, 1), (4, "", 1), (5, "12 $$ 3_", None), (6, "the" * 50_000, 1), (None, "the dog", 1), (1, "the house", 1)]
+    assert [m.languages for m in model] == [["de", "en"]]
+    rows = [(1, "the house", 1), (2, "UND DIE KATZE!", 1), (3, None, 1), (4, "", 1), (5, "12 $$ 3_", None), (8, "² ½ Ⅷ", None), (9, "x²the½dog", 1), (6, "the" * 50_000, 1), (None, "the dog", 1), (1, "the house", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang int")
     got = L.predict_documents(docs, model)
     assert got.columns == ["doc_id", "text", "lang", "language"]
     found = {r.text: (r.language.lang, r.language.score) for r in got.collect()}
-    assert got.count() == 8
+    assert got.count() == 10
     assert found["the house"][0] == found["the dog"][0] == "en" and found["UND DIE KATZE!"][0] == "de"
-    assert found[None] == found[""] == found["12 $$ 3_"] == ("und", 0.0)
+    assert found[None] == found[""] == found["12 $$ 3_"] == found["² ½ Ⅷ"] == ("und", 0.0)
+    assert L.letters("x²the½dog Ⅷ é") == ["x", "the", "dog", "é"]
     assert L.predict_documents(docs.limit(0), model).count() == 0
 
 
