@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import jaccard_join, language_id, packing, toxicity
-from tandem.llm._shared import written
+from tandem.llm._shared import unused, written
 
 #: A document stays if its language is told with at least this score.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -18,15 +18,17 @@ LEAST_LANGUAGE_SCORE = 0.4
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half; the machine is fitted on the labelled ones."""
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return toxicity.score_documents(docs, machine).filter("toxicity < 0.5").drop("toxicity")
+    score = unused(docs, "toxicity")
+    return toxicity.score_documents(docs, machine, score).filter(F.col(score) < 0.5).drop(score)
 
 
 def keep_told_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; undetermined ones and uncertain ones go."""
-    model = language_id.train(docs, F.lit(True), public_tokenizers.path("piece_bpe_32k.model"))
-    found = language_id.predict_documents(docs, model)
-    told = (F.col("language.lang") != language_id.UNDETERMINED) & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)
-    return found.filter(told).drop("language")
+    models = language_id.train(docs, F.lit(True), public_tokenizers.path("piece_bpe_32k.model"))
+    language = unused(docs, "language")
+    found = language_id.predict_documents(docs, models, language)
+    told = (F.col(language)["lang"] != language_id.UNDETERMINED) & (F.col(language)["score"] >= LEAST_LANGUAGE_SCORE)
+    return found.filter(told).drop(language)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
