@@ -254,8 +254,7 @@ def _possible(a: str, b: str, threshold: int):
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, threshold: int, repeated: bool) -> DataFrame:
     """Those of the pairs (a, b) of heads whose sets reach the threshold, compared as sets; ``repeated`` says that rows repeat."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads, "node").select("doc_id", "node", "set_a", "set_b")
-    wanted = written(wanted, "wanted")
-    if wanted.count() <= MOST_BROADCAST:
+    if 2 * pairs.count() <= MOST_BROADCAST:
         # Few documents are compared, so the texts need not be shuffled to find them.
         wanted = F.broadcast(wanted)
     sets = shingle_sets(docs, wanted, words)
@@ -274,7 +273,6 @@ def joined_keys(texts: DataFrame, heads: DataFrame, words: int, threshold: int,
     """
     sampled = texts.sample(min(1.0, HOT_SAMPLE / max(1, n_rows)), 7)
     hot = keys_of(sampled, words, threshold).groupBy("key").count().filter(F.col("count") >= HOT_ROWS).orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key", F.lit(True).alias("hot"))
-    hot = written(hot, "hot-keys")
     keyed = keys_of(texts, words, threshold).join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     salt = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SALTS))).otherwise(0)
     counted = keyed.withColumn("salt", salt).withColumn("n", F.count("*").over(Window.partitionBy("key", "salt")))
@@ -328,10 +326,10 @@ def with_nodes(every: DataFrame) -> DataFrame:
     every = every.withColumn("node", placed)
     same = ["n_shingles", "set_a", "set_b"]
     per_id = every.filter("node is not null").groupBy("doc_id").agg(*[F.min(c).alias(f"lo_{c}") for c in same], *[F.max(c).alias(f"hi_{c}") for c in same])
-    clashing = written(per_id.filter(" or ".join(f"lo_{c} < hi_{c}" for c in same)).select("doc_id", F.lit(True).alias("clashes")), "clashing")
+    clashing = per_id.filter(" or ".join(f"lo_{c} < hi_{c}" for c in same)).select("doc_id", F.lit(True).alias("clashes"))
     if clashing.isEmpty():
         return every
-    marked = every.join(clashing, "doc_id", "left")
+    marked = every.join(written(clashing, "clashing"), "doc_id", "left")
     for salt in itertools.count():
         found = marked.withColumn("node", F.when(F.col("clashes") & F.col("node").isNotNull(), F.xxhash64("doc_id", *same, F.lit(salt))).otherwise(F.col("node")))
         if found.filter("node is not null").select("node", "doc_id", *same).distinct().groupBy("node").count().filter("count > 1").isEmpty():
@@ -348,19 +346,19 @@ def grouped_rows(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFr
     every = with_nodes(written(sketches(docs, words, threshold), "sketches"))
     full = every.filter("node is not null")
     firsts = [F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("set_a").alias("set_a"), F.min("set_b").alias("set_b"), F.first("sketch").alias("sketch"), F.first("slack").alias("slack"), F.count("*").alias("rows")]
-    chosen = written(full.groupBy("node").agg(*firsts), "nodes")
-    n_rows, n_nodes = chosen.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
+    chosen = full.groupBy("node").agg(*firsts)
     same_set = ["n", "set_a", "set_b"]
     classes = chosen.groupBy(same_set).agg(F.min("node").alias("head"), F.min("doc_id").alias("class_id"), F.count("*").alias("nodes")).filter("nodes > 1").drop("nodes")
     member = chosen.join(written(classes, "classes"), same_set, "left")
     member = written(member.withColumn("head", F.coalesce("head", "node")).withColumn("class_id", F.coalesce("class_id", "doc_id")), "members")
+    n_rows, n_nodes = member.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
     heads = member.filter("node = head")
     sketch = heads.select("node", "n", "sketch")
     texts = docs.select("doc_id", "text").filter("doc_id is not null").withColumn("node", F.col("doc_id"))
     placed = every.filter("node <> doc_id").select("doc_id", "text_hash", F.col("node").alias("other")).distinct()
-    placed = written(placed, "placed")
     n_placed = placed.count()
     if n_placed:
+        placed = written(placed, "placed")
         texts = texts.withColumn("text_hash", text_hash()).join(F.broadcast(placed) if n_placed <= MOST_BROADCAST else placed, ["doc_id", "text_hash"], "left").withColumn("node", F.coalesce("other", "node"))
     groups = joined_keys(texts, heads, words, threshold, n_rows, n_rows > n_nodes)
 
@@ -374,11 +372,13 @@ def grouped_rows(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFr
     parts = components(found)
 
     # Groups that still hold more than one component.
-    placed = written(groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    placed = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_rows = written(placed.join(written(spread, "spread"), "key"), "open-groups")
+    open_rows = placed.join(written(spread, "spread"), "key").join(heads.select("node", "n"), "node")
+    open_rows = written(open_rows, "open-groups")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes)
     more = links(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     if not more.isEmpty():
         parts = components(found.union(more))
