@@ -36,7 +36,7 @@ FREQUENT_TERMS = 128
 #: (Chance reaches NATS with a probability of exp(-NATS) at most, so hardly ever in all pairs of a sample.)
 PAIR_ROWS, NATS = 12, 25.0
 #: Counters of pairs in memory at a time, and pairs that are counted together.
-PAIR_COUNTERS, PAIRS_TOGETHER = 1 << 22, 1 << 21
+PAIR_COUNTERS, PAIRS_TOGETHER = 1 << 20, 1 << 18
 FACTORS, EPOCHS, BATCH, RATE = 4, 20, 256, 0.05
 WORD = re.compile(r"\w+")
 
@@ -80,8 +80,8 @@ def telling_pairs(flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, rate
     block of first terms at a time.
     """
     m, odds = len(rates), np.log(rates / (1 - rates))
-    partners = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat)) - 1
-    label, order = np.repeat(toxic, lengths) > 0, np.argsort(flat, kind="stable")
+    partners = (np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat)) - 1).astype(np.int32)
+    label, order = np.repeat(toxic > 0, lengths), np.argsort(flat, kind="stable").astype(np.int32)
     block, found = max(1, PAIR_COUNTERS // max(1, m)), [np.zeros(0, np.int64)]
     for low in range(0, m, block):
         own = order[np.searchsorted(flat, low, sorter=order) : np.searchsorted(flat, low + block, sorter=order)]
@@ -89,8 +89,8 @@ def telling_pairs(flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, rate
         for places in (own[label[own]], own[~label[own]]):
             count, n = np.zeros(block * m, np.int64), partners[places]
             for part in np.split(np.arange(len(places)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS_TOGETHER)) + 1):
-                second = flat[gathered(np.arange(len(flat)), places[part] + 1, n[part])]
-                count += np.bincount(np.repeat(flat[places[part]] - low, n[part]) * m + second, minlength=block * m)
+                second = gathered(flat, places[part] + 1, n[part])
+                count += np.bincount(np.repeat(flat[places[part]].astype(np.int64) - low, n[part]) * m + second, minlength=block * m)
             counts.append(count)
         hits, total = counts[0], counts[0] + counts[1]
         at = np.flatnonzero(total >= PAIR_ROWS)
@@ -107,19 +107,27 @@ def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Mac
     if not n or share in (0.0, 1.0):
         return Machine(np.zeros(0, np.int64), 9.0 if share == 1.0 else -9.0, np.zeros(0), np.zeros((0, FACTORS)))
     lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int64)
-    buckets, column = np.unique(flat, return_inverse=True)
-    of = np.repeat(np.arange(n), lengths)
+    buckets, column = np.unique(np.concatenate(rows).astype(np.int32), return_inverse=True)
+    column, of = column.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), lengths)
     df = np.bincount(column, minlength=len(buckets))
-    hits = np.bincount(column, weights=toxic[of], minlength=len(buckets))
-    off = np.abs(hits - df * share) / np.sqrt(df * share * (1 - share))
-    strong = np.flatnonzero((df >= LEAST_ROWS) & (off >= Z))
+    # Copies and near copies tell nothing new: of rows whose rarer terms have the same least hash one is evidence.
+    rare = np.where(df > n / 20, 1 << 32, np.random.default_rng(5).integers(0, 1 << 32, len(df)))
+    least = np.full(n, 1 << 32)
+    some = lengths > 0
+    least[some] = np.minimum.reduceat(rare[column], (np.cumsum(lengths) - lengths)[some]) if some.any() else 0
+    evidence = least == 1 << 32
+    evidence[np.unique(least, return_index=True)[1]] = True
+    told = evidence[of]
+    seen = np.bincount(column[told], minlength=len(buckets))
+    hits = np.bincount(column[told], weights=toxic[of[told]], minlength=len(buckets))
+    off = np.abs(hits - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+    strong = np.flatnonzero((seen >= LEAST_ROWS) & (off >= Z))
     frequent = np.argsort(-df, kind="stable")[:FREQUENT_TERMS]
     # Only terms with enough rows can be in a pair with enough rows.
-    common = df >= PAIR_ROWS
-    number, in_pair = np.cumsum(common) - 1, common[column]
-    rates = (hits[common] + share) / (df[common] + 1)
-    paired = np.flatnonzero(common)[telling_pairs(number[column[in_pair]], np.bincount(of[in_pair], minlength=n), toxic, rates, share)]
+    common = seen >= PAIR_ROWS
+    number, told = (np.cumsum(common) - 1).astype(np.int32), told & common[column]
+    rates = (hits[common] + share) / (seen[common] + 1)
+    paired = np.flatnonzero(common)[telling_pairs(number[column[told]], np.bincount(of[told], minlength=n), toxic, rates, share)]
     kept = np.unique(np.r_[strong, frequent, paired])
     # Terms that say little by themselves get a firm penalty, so that they act in pairs and don't take over the bias.
     penalty = np.where(np.isin(kept, strong), 1e-5, 3e-2).astype(np.float32)
@@ -174,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Machine:
     # SAMPLE_ROWS bounds the broadcast side and what the driver gets.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))
     got = rows.mapInArrow(terms, "doc_id long, toxic int, terms array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return fit_machine([np.array(t, np.int64) for t in got.terms], got.toxic.to_numpy(dtype=float))
+    return fit_machine([np.asarray(t, np.int32) for t in got.terms], got.toxic.to_numpy(dtype=float))
 
 
 def score_documents(docs: DataFrame, machine: Machine, column: str = "toxicity") -> DataFrame:
