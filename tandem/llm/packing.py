@@ -25,7 +25,7 @@ LENGTH = 1024
 END_ID = 0
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-UNIT_TOKENS = 1 << 21
+UNIT_TOKENS = 1 << 20
 #: Pieces in one Arrow batch.
 PIECES_TOGETHER = 5_000
 

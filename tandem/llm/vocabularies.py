@@ -47,7 +47,7 @@ def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return values[np.repeat(starts - (stops - lengths), lengths) + np.arange(total)]
 
 
-def text_slices(texts: pa.Array, most_bytes: int = 1 << 22):
+def text_slices(texts: pa.Array, most_bytes: int = 1 << 21):
     """Slices of a string array with about ``most_bytes`` each; null texts become empty."""
     texts = pc.fill_null(texts, "")
     stops, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
@@ -94,7 +94,7 @@ class ChunkEncoder:
     tuple of one str is the first chunk of a text.
     """
 
-    def __init__(self, content: bytes, drops_space: bool, most_bytes: int = 56 << 20):
+    def __init__(self, content: bytes, drops_space: bool, most_bytes: int = 28 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
