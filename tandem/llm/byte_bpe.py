@@ -28,14 +28,24 @@ from tandem.llm._shared import BatchMemo, batches, per_worker, sliced, texts_of
 from tandem.llm.vocabularies import load, spaced_chunks
 
 
+#: Ids that a leaf of the decoding tree holds.
+LEAF = 256
+
+
 class TreeBpe:
-    """Encoder and decoder for a file of ranks and a pattern of matches that are encoded separately."""
+    """Encoder and decoder for a file of ranks and a pattern of matches that are encoded separately.
 
-    def __init__(self, content: bytes, pattern: str):
+    ``cut_at_blanks`` says that no match of the pattern reaches across the place
+    before a single blank between other characters, nor depends on what is on
+    the other side; texts are then encoded by such chunks, which repeat.
+    """
+
+    def __init__(self, content: bytes, pattern: str, cut_at_blanks: bool = False):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.pattern = regex.compile(pattern)
+        self.cut_at_blanks = cut_at_blanks
         self.stable_pairs: dict = {}
         self.subtrees: dict = {}
         self.memo = BatchMemo(lambda chunks: [self._chunk(c) for c in chunks])
@@ -111,7 +121,7 @@ class TreeBpe:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [spaced_chunks(text) for text in texts]
+        split = [spaced_chunks(text) if self.cut_at_blanks else [text] for text in texts]
         values = self.memo.values([c for own in split for c in own])
         out, at = [], 0
         for own in split:
@@ -120,20 +130,26 @@ class TreeBpe:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of the ids: the monoid's other side, a plain concatenation."""
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of the ids, concatenated up the tree of halves."""
+        return self._concatenated(np.frombuffer(ids, "<u4").tolist())
+
+    def _concatenated(self, ids: list[int]) -> bytes:
+        if len(ids) <= LEAF:
+            return b"".join(map(self.table.__getitem__, ids))
+        half = len(ids) // 2
+        return self._concatenated(ids[:half]) + self._concatenated(ids[half:])
 
 
-def encoder(broadcast, pattern: str) -> TreeBpe:
+def encoder(broadcast, pattern: str, cut_at_blanks: bool) -> TreeBpe:
     """The worker's encoder for a broadcast of ``load()``."""
     name, content = broadcast.value
-    return per_worker(("tree", name, pattern), lambda: TreeBpe(content, pattern))
+    return per_worker(("tree", name, pattern, cut_at_blanks), lambda: TreeBpe(content, pattern, cut_at_blanks))
 
 
 CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, cut_at_blanks: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian u32) and decoded (binary) of every row of ``docs``.
 
     A null or empty text has no ids; rows are independent, so repeated rows,
@@ -142,7 +158,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
     vocab = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def rows(arrow):
-        bpe = encoder(vocab, pattern)
+        bpe = encoder(vocab, pattern, cut_at_blanks)
         for part in sliced(row for batch in arrow for row in texts_of(batch)):
             for (doc_id, _), ids in zip(part, bpe.encode_many([text for _, text in part])):
                 yield doc_id, len(ids) // 4, ids, bpe.decode(ids)
@@ -155,5 +171,5 @@ def op4_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes decoded from them."""
     import public_tokenizers as P
 
-    coded = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    coded = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, cut_at_blanks=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

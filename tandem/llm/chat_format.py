@@ -3,11 +3,13 @@ r"""Chat formatting with a checked grammar round trip, in DataFrame functions on
 A turn is rendered as ``### role: text </turn>`` and a line feed. The parser
 cuts at ``### `` and at ``</turn>`` + line feed unless a backslash stands before
 them, takes the role up to the first bare colon, and replaces each of
-``\\ \# \< \:`` by its second character. Every turn is first rendered as it is
-and parsed; where the recovered turn differs from the source, its text is
-escaped (a backslash before each ``\``, ``#`` and ``<``), after which it is
-identical. Roles are always escaped, colons too. The loss mask holds the spans
-(in code points) of the assistant's texts.
+``\\ \# \< \:`` by its second character. Every turn is rendered as it is and
+parsed; while the recovered turn differs from the source, the next step of
+escaping is taken (a backslash before each ``\``, ``#`` and ``<``), after which
+it is identical. Whole conversations are parsed again in the end; a turn or
+conversation that is not recovered raises an error. Roles are always escaped,
+colons too. The loss mask holds the spans (in code points) of the assistant's
+texts.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from tandem.llm._shared import written
 
 START, END = "### ", " </turn>\n"
+#: Where the parser cuts.
+BOUNDS = r"(?<!\\)### |(?<!\\)</turn>\n"
 LOSS_ROLE = "assistant"
 
 
@@ -27,6 +31,10 @@ def escaped_role(role: Column) -> Column:
     return F.regexp_replace(role, r"([\\#<:])", r"\\$1")
 
 
+#: What of a text is escaped, from step to step, until its turn is recovered.
+STEPS = [lambda text: text, escaped]
+
+
 def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\#<:])", "$1")
 
@@ -37,7 +45,7 @@ def rendered(role: Column, text: Column) -> Column:
 
 def parsed(rendered: Column) -> Column:
     """Turns (array of role, text) of rendered text; other text than turns makes extra or empty turns."""
-    pieces = F.split(rendered, r"(?<!\\)### |(?<!\\)</turn>\n")
+    pieces = F.split(rendered, BOUNDS)
     bodies = F.filter(pieces, lambda _, i: i % 2 == 1)
     body = r"(?s)\A([^\\:]*(?:\\.[^\\:]*)*): (.*) \z"
     turns = F.transform(bodies, lambda b: F.struct(unescaped(F.regexp_extract(b, body, 1)).alias("role"), unescaped(F.regexp_extract(b, body, 2)).alias("text")))
@@ -46,19 +54,25 @@ def parsed(rendered: Column) -> Column:
     return F.when(between & (F.size(pieces) % 2 == 1), turns)
 
 
+def recoverable(role: Column, text: Column) -> Column:
+    """The text with as little escaped as its turn needs to be recovered."""
+    found = F.raise_error(F.concat(F.lit("no escape recovers the turn: "), role, F.lit(": "), text)).cast("string")
+    for step in reversed(STEPS):
+        same = F.coalesce(parsed(rendered(role, step(text))) == F.array(F.struct(role.alias("role"), text.alias("text"))), F.lit(False))
+        found = F.when(same, step(text)).otherwise(found)
+    return found
+
+
 def formatted_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, formatted, loss_spans (array of start, length), exact, of rows conv_id, turn, role, text.
+    """conv_id, n_turns, formatted, loss_spans (array of start, length) of rows conv_id, turn, role, text.
 
     Rows go by turn (null first), ties by role and text. A null text or role is
     empty; rows with a null conv_id are one conversation; other columns are
-    ignored; an empty table has no conversations. ``exact`` says that the parser
-    recovers every turn; it always holds.
+    ignored; an empty table has no conversations. A conversation that the parser
+    does not recover raises an error.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    plain = rows.withColumn("plain", rendered(F.col("role"), F.col("text")))
-    same = F.coalesce(parsed(F.col("plain")) == F.array(F.struct("role", "text")), F.lit(False))
-    shown = plain.withColumn("shown", F.when(same, F.col("text")).otherwise(escaped(F.col("text"))))
-    shown = shown.withColumn("line", rendered(F.col("role"), F.col("shown")))
+    shown = rows.withColumn("shown", recoverable(F.col("role"), F.col("text"))).withColumn("line", rendered(F.col("role"), F.col("shown")))
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     placed = shown.withColumn("before", F.coalesce(F.sum(F.length("line")).over(order), F.lit(0)))
     start = F.col("before") + F.length("line") - F.length("shown") - len(END)
@@ -71,7 +85,34 @@ def formatted_conversations(turns: DataFrame) -> DataFrame:
         F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
         F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"),
     )
-    return made.withColumn("exact", F.coalesce(parsed(F.col("formatted")) == F.col("source"), F.lit(False))).drop("source")
+    exact = F.coalesce(parsed(F.col("formatted")) == F.col("source"), F.lit(False))
+    checked = F.when(exact, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("conversation not recovered: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string"))
+    return made.withColumn("formatted", checked).drop("source")
+
+
+def loss_texts(formatted: Column, loss_spans: Column) -> Column:
+    """The unescaped texts under the loss mask, in order.
+
+    Turns are walked once, so that long conversations take time in proportion:
+    a span must end where a turn of the loss role does, and reach back to its
+    text's start.
+    """
+    bodies = F.filter(F.split(formatted, BOUNDS), lambda _, i: i % 2 == 1)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.lit(True).alias("ok"))
+
+    def walk(a, body):
+        mine = F.startswith(body, F.lit(LOSS_ROLE + ": "))
+        span = F.get(loss_spans, a["k"])
+        begins = a["at"] + len(START) + len(LOSS_ROLE) + 2
+        right = (span["start"] == begins) & (span["length"] == F.length(body) - len(LOSS_ROLE) - 3)
+        return F.struct(
+            (a["at"] + len(START) + F.length(body) + len(END) - 1).cast("long").alias("at"), F.when(mine, a["k"] + 1).otherwise(a["k"]).alias("k"), (a["ok"] & (~mine | F.coalesce(right, F.lit(False)))).alias("ok")
+        )
+
+    ends = F.aggregate(bodies, start, walk)
+    own = F.filter(bodies, lambda b: F.startswith(b, F.lit(LOSS_ROLE + ": ")))
+    texts = F.transform(own, lambda b, i: unescaped(F.substring(b, F.lit(len(LOSS_ROLE) + 3), F.get(loss_spans, i)["length"].cast("int"))))
+    return F.when(ends["ok"] & (ends["k"] == F.size(loss_spans)), texts).otherwise(F.raise_error(F.lit("the loss mask does not fit the turns")).cast("array<string>"))
 
 
 def op2_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +121,7 @@ def op2_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     out = written(formatted_conversations(rows.unionByName(more)), "conversations")
-    read = out.withColumn("turns", parsed(F.col("formatted"))).withColumn(
-        "loss", F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", s["start"].cast("int") + 1, s["length"].cast("int")))), "")
-    )
+    read = out.withColumn("turns", parsed(F.col("formatted"))).withColumn("loss", F.array_join(loss_texts(F.col("formatted"), F.col("loss_spans")), ""))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
         "conv_id",

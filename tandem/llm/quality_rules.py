@@ -3,12 +3,12 @@
 Each rule rejects documents whose rate (in thousandths) is above a cutoff. The
 cutoff of a rule in a stratum (a band of length) is chosen on labelled holdout
 rows: going from the mildest cutoff to stricter ones, a cutoff is certified
-while an exact binomial test rejects "more than RISK of the good documents are
-rejected", that is while P(Binomial(good rows, RISK) <= rejected good rows) is at
-most CONFIDENCE / (rules * strata). The fixed order needs no correction along
-the cutoffs, the division corrects for the other tests, so with probability
-1 - CONFIDENCE no rule rejects more than RISK of the good documents in any
-stratum. Of the certified cutoffs the one that rejects most bad rows less good
+while an exact binomial test rejects "the rule rejects more than its share of
+the risk of the good documents", that is while P(Binomial(good rows, RISK /
+rules) <= rejected good rows) is at most CONFIDENCE / (rules * strata). The fixed
+order needs no correction along the cutoffs, the division corrects for the other
+tests, so with probability 1 - CONFIDENCE all rules together reject at most RISK
+of the good documents in every stratum. Of the certified cutoffs the one that rejects most bad rows less good
 rows is taken, the mildest on ties; if none gains, the rule stays off there.
 """
 
@@ -88,9 +88,9 @@ def log_factorial(n: Column) -> Column:
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(Binomial(n, p) <= k), from its largest term downwards; 1 where k is not below the mean (the test fails there anyway)."""
+    """P(Binomial(n, p) <= k), all terms from the largest one downwards; 1 where k is not below the mean (the test fails there anyway)."""
     top = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
-    terms = F.sequence(F.lit(0).cast("long"), F.least(k, (40 * F.sqrt(n)).cast("long") + 100))
+    terms = F.sequence(F.lit(0).cast("long"), k)
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
 
     def step(a, t):
@@ -121,7 +121,7 @@ def choose_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, co
     tried = totals.select("stratum", "rule", "n", "levels", F.posexplode(grid[F.col("rule")]).alias("step", "cutoff"))
     above = lambda what: F.aggregate(F.filter("levels", lambda x: x["level"] >= F.size(grid[F.col("rule")]) - F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x[what])
     tested = tried.select("stratum", "rule", "step", "cutoff", "n", above("good").alias("k"), above("bad").alias("bad"))
-    tested = tested.withColumn("ok", binomial_tail(F.col("n"), F.col("k"), risk) <= confidence / (len(RULES) * STRATA))
+    tested = tested.withColumn("ok", binomial_tail(F.col("n"), F.col("k"), risk / len(RULES)) <= confidence / (len(RULES) * STRATA))
     in_order = Window.partitionBy("stratum", "rule").orderBy("step")
     certified = tested.withColumn("so_far", F.min("ok").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).filter("so_far and bad - k > 0")
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc(F.col("bad") - F.col("k")), "step")

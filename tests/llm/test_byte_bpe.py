@@ -13,7 +13,7 @@ from tandem.llm.vocabularies import load
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-TREE = B.TreeBpe(load(PATH)[1], P.PATTERN)
+TREE, WHOLE = (B.TreeBpe(load(PATH)[1], P.PATTERN, cut) for cut in (True, False))
 
 
 def ids(text):
@@ -25,6 +25,7 @@ def ids(text):
 def test_same_as_the_library(text):
     assert ids(text) == LIBRARY.encode_ordinary(text)
     assert TREE.decode(TREE.encode_many([text])[0]) == text.encode()
+    assert WHOLE.encode_many([text]) == TREE.encode_many([text])
 
 
 @settings(max_examples=200, deadline=None)

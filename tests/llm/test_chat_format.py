@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -17,11 +18,12 @@ def run(spark, rows):
 
 
 def check(out, rows):
-    for r in out.withColumn("turns", C.parsed(F.col("formatted"))).collect():
+    for r in out.withColumn("turns", C.parsed(F.col("formatted"))).withColumn("loss", C.loss_texts(F.col("formatted"), F.col("loss_spans"))).collect():
         own = sorted(((t is not None, t or 0), role or "", text or "") for c, t, role, text in rows if c == r.conv_id)
-        assert r.exact and [(t.role, t.text) for t in r.turns] == [(role, text) for _, role, text in own]
+        assert [(t.role, t.text) for t in r.turns] == [(role, text) for _, role, text in own]
         loss = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
-        assert len(loss) == sum(role == "assistant" for _, role, _ in own)
+        assert r.loss == [text for _, role, text in own if role == "assistant"] and len(loss) == len(r.loss)
+        assert all(a.startswith(b[:1]) or a.startswith("\\") for a, b in zip(loss, r.loss))
 
 
 def test_hard_texts_and_roles(spark):
@@ -52,3 +54,17 @@ def test_query_has_the_hard_conversation(spark):
     assert len(r) == 1 and r[0].n_turns == 2 and r[0].loss_chars == len(text)
     assert r[0].turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert r[0].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_mask_that_does_not_fit_is_refused(spark):
+    good = run(spark, [(1, 0, "user", "x"), (1, 1, "assistant", "a ## b")])
+    moved = good.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"))))
+    assert good.select(C.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("t")).first().t == ["a ## b"]
+    with pytest.raises(Exception, match="the loss mask does not fit the turns"):
+        moved.select(C.loss_texts(F.col("formatted"), F.col("loss_spans"))).collect()
+
+
+def test_a_long_conversation_takes_time_in_proportion(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"text {k} # " * 3) for k in range(30_000)]
+    r = run(spark, rows).select(F.size(C.loss_texts(F.col("formatted"), F.col("loss_spans"))).alias("n")).first()
+    assert r.n == 15_000

@@ -50,9 +50,9 @@ def corpus(spark, n):
 
 
 def test_clean_rows_stay_and_bad_rows_go(spark):
-    docs, labels = corpus(spark, 4000)
+    docs, labels = corpus(spark, 8000)
     got = Q.judged(docs, labels).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
-    assert {(r.quality, r.kept): r["count"] for r in got} == {(1, True): 3600, (0, False): 400}
+    assert {(r.quality, r.kept): r["count"] for r in got} == {(1, True): 7200, (0, False): 800}
 
 
 def test_too_few_labels_certify_nothing(spark):
@@ -64,7 +64,48 @@ def test_too_few_labels_certify_nothing(spark):
 
 def test_false_rejections_stay_below_the_risk(spark):
     """Labels at random: nothing tells good from bad, so rejections must stay within the bound."""
-    docs, _ = corpus(spark, 3000)
-    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(2))).cast("int").alias("quality"))
+    docs, _ = corpus(spark, 8000)
+    labels = spark.range(8000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(2))).cast("int").alias("quality"))
     out = Q.judged(docs, labels).join(labels, "doc_id").filter("quality = 1").agg(F.avg((~F.col("kept")).cast("double"))).first()[0]
-    assert out <= len(Q.RULES) * Q.RISK
+    assert out <= Q.RISK
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Cutoffs and verdicts of all rules, chosen again row by row."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(9000):
+        bad, words = rng.random() < 0.3, []
+        for _ in range(rng.choice([60, 200])):
+            w = rng.choice("bcdfg") + str(rng.randrange(5000))
+            words.append(w.upper() * 4 if bad and rng.random() < 0.4 else w + "#" * (bad and rng.random() < 0.3))
+        rows.append((i, " ".join(words)))
+        if rng.random() < 0.97:
+            labels.append((i, int(not bad) if rng.random() < 0.9995 else int(bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in Q.judged(docs, marks).collect()}
+    quality = dict(labels)
+    rate = lambda r, rule: 1000 * r[Q.RULES[rule][0]] // r[Q.RULES[rule][1]] if r[Q.RULES[rule][1]] else 0
+    stratum = lambda r: 0 if r.n_words < 150 else 1 if r.n_words < 600 else 2
+
+    def tail(n, k, p):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p)) for j in range(k + 1))
+
+    cutoffs = {}
+    for s in range(Q.STRATA):
+        own = [(r, quality[i]) for i, r in got.items() if i in quality and not r.base_failed and stratum(r) == s]
+        n = sum(q for _, q in own)
+        for rule, tried in Q.CUTOFFS.items():
+            best = None
+            for c in tried:
+                k, hit = (sum(q == good and rate(r, rule) > c for r, q in own) for good in (1, 0))
+                if not n or k >= n * Q.RISK / len(Q.RULES) or tail(n, k, Q.RISK / len(Q.RULES)) > Q.CONFIDENCE / (len(Q.RULES) * Q.STRATA):
+                    break
+                if hit > k and (best is None or hit - k > best[0]):
+                    best = (hit - k, c)
+            if best:
+                cutoffs[s, rule] = best[1]
+    assert {rule for _, rule in cutoffs} >= {"symbols", "capitals"}
+    for r in got.values():
+        assert r.kept == (not r.base_failed and not any(rate(r, rule) > cutoffs.get((stratum(r), rule), 10**9) for rule in Q.RULES))
+    assert 0 < sum(not r.kept for r in got.values()) < 5000
