@@ -50,25 +50,52 @@ def responses_from_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select("page_id", record_id(F.lit("response"), url, F.coalesce(F.col("page_id").cast("string"), F.lit("")), body).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("date"), made_header(body).alias("http_header"), body.alias("body"))
 
 
+#: Named character references that are decoded.
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "middot": "·", "amp": "&"}
+#: A numeric or named reference; the group is what stands between ampersand and semicolon.
+REFERENCE = f"&(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{'|'.join(NAMED)});"
+
+
 def decoded_entities(text: Column) -> Column:
-    """The common character references; the ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Numeric and the common named character references decoded, each once; numbers that are no character become U+FFFD."""
+
+    def char(name: Column) -> Column:
+        digits = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7))
+        code = digits.cast("int")
+        good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        numeric = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+        return F.when(F.startswith(name, F.lit("#")), numeric).otherwise(named[name])
+
+    chars = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), char)
+    joined = F.array_join(F.zip_with(F.split(text, REFERENCE), chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: blocks on lines of their own, blanks folded, no empty lines."""
+def one_line(value: Column) -> Column:
+    """A value without line breaks, which would end its field."""
+    return F.regexp_replace(value, "[\r\n]+", "")
+
+
+def stripped(html: Column) -> Column:
+    """Text without markup, blocks on lines of their own; references as they are."""
     t = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>", " ")
     t = F.regexp_replace(t, r"[ \t\r\n\f]+", " ")
     t = F.regexp_replace(t, r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", "\n")
-    t = decoded_entities(F.regexp_replace(t, r"<[!/?A-Za-z][^>]*>", ""))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" *\n[ \n]*", "\n"), r"\A[ \n]+", ""), r"[ \n]+\z", "")
+    return F.regexp_replace(t, r"<[!/?A-Za-z][^>]*>", "")
+
 
+def tidied(text: Column) -> Column:
+    """No blanks at the ends of lines, no empty lines."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" *\n[ \n]*", "\n"), r"\A[ \n]+", ""), r"[ \n]+\z", "")
 
-def title_of(html: Column) -> Column:
-    t = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return F.trim(F.regexp_replace(decoded_entities(t), r"[ \t\r\n\f]+", " "))
+
+def raw_title(html: Column) -> Column:
+    return F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+
+
+def folded(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
 
 
 #: A link up to its target: attributes other than href, then href with its value in either quotes or none. Possessive, so that long tags need no stack.
@@ -76,9 +103,9 @@ LINK = r"""(?i)<a(?=[\s/])(?:[\s/]*+(?!href\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?
 
 
 def outlinks_of(html: Column) -> Column:
-    """Targets of links as written, each once, in order of appearance; href may stand anywhere in the tag, in either quotes or none."""
+    """Targets of links as written, less tabs and line breaks, each once, in order of appearance; href may stand anywhere in the tag, in either quotes or none."""
     bare = lambda u: F.when(F.substring(u, 1, 1).isin('"', "'"), F.substring(u, F.lit(2), F.length(u) - 2)).otherwise(u)
-    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(LINK), 1), bare))
+    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(LINK), 1), lambda u: F.regexp_replace(bare(u), "[\t\r\n]+", "")))
 
 
 def record_bytes(fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -94,20 +121,25 @@ def derivatives(responses: DataFrame) -> DataFrame:
     ``responses`` have a column ``warc_header`` (version line and named fields as
     in the file). Metadata name all of them but those that ``made_header`` gave a
     page. Null headers, body, target or date are empty; every row of a response is taken, also repeated ones (their records
-    have equal ids); other columns are ignored; no responses, no records.
+    have equal ids); line breaks in a target, id, date or link are left out; other
+    columns are ignored; no responses, no records.
     """
     names = ("record_id", "target_uri", "date", "http_header", "body")
     warc_header = F.coalesce("warc_header", F.lit("")) if "warc_header" in responses.columns else F.lit("")
-    source = responses.select("page_id", *[F.coalesce(n, F.lit("")).alias(n) for n in names], warc_header.alias("warc_header"))
+    fields = {"record_id", "target_uri", "date"}
+    source = responses.select("page_id", *[(one_line if n in fields else lambda x: x)(F.coalesce(n, F.lit(""))).alias(n) for n in names], warc_header.alias("warc_header"))
     source = source.select(
         "*",
         digest(F.concat("http_header", "body")).alias("source_block_digest"),
         digest(F.col("body")).alias("source_payload_digest"),
-        plain_text(F.col("body")).alias("text"),
-        title_of(F.col("body")).alias("title"),
+        stripped(F.col("body")).alias("text"),
+        raw_title(F.col("body")).alias("title"),
         outlinks_of(F.col("body")).alias("outlinks"),
     )
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
+    # A step of its own, as references are looked at more than once.
+    source = source.withColumns({"text": decoded_entities(F.col("text")), "title": decoded_entities(F.col("title"))})
+    source = source.withColumns({"text": tidied(F.col("text")), "title": folded(F.col("title"))})
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), F.replace(value, F.lit("\r"), F.lit("")), F.lit(CRLF))
     status = F.regexp_extract("http_header", r"\A([^\r\n]*)", 1)
     content_type = F.regexp_extract("http_header", r"(?i)\r\ncontent-type: *([^\r\n]*)", 1)
     meta = F.concat(
@@ -147,7 +179,18 @@ def _uuid(parts: str) -> str:
     return f"'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
 
-_ENTITIES = "replace(replace(replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_NAMED = " ".join(f"WHEN '{name}' THEN '{char.replace(chr(39), chr(39) * 2)}'" for name, char in NAMED.items())
+_CODE = "(CASE WHEN lower(substr(e, 2, 1)) = 'x' THEN ('0x' || substr(e, 3))::INT ELSE substr(e, 2)::INT END)"
+_CHAR = f"""(CASE WHEN e[1] = '#' THEN CASE WHEN {_CODE} BETWEEN 1 AND 55295 OR {_CODE} BETWEEN 57344 AND 1114111 THEN chr({_CODE}) ELSE chr(65533) END ELSE CASE e {_NAMED} END END)"""
+#: References decoded; the argument stands once.
+_ENTITIES = f"""(SELECT array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(c[i], '')), '') FROM (
+      SELECT regexp_split_to_array(t, '{REFERENCE}') AS p, list_transform(regexp_extract_all(t, '{REFERENCE}', 1), lambda e: {_CHAR}) AS c FROM (SELECT @ AS t)))"""
+
+
+def _decoded(sql: str) -> str:
+    return _ENTITIES.replace("@", sql)
+
+
 _STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'gis'),
     '[ \t\r\n\f]+', ' ', 'g'), '</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'gi'), '<[!/?A-Za-z][^>]*>', '', 'g')"""
 
@@ -160,8 +203,8 @@ WITH source AS (
 parts AS (
   SELECT *, {_uuid("'response' || chr(10) || uri || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || body")} AS refers_to,
     'sha256:' || sha256(header || body) AS source_block_digest, 'sha256:' || sha256(body) AS source_payload_digest,
-    regexp_replace(regexp_replace(regexp_replace({_ENTITIES.format(_STRIPPED)}, ' *\n[ \n]*', chr(10), 'g'), '\A[ \n]+', ''), '[ \n]+\z', '') AS txt,
-    trim(regexp_replace({_ENTITIES.format(r"regexp_extract(body, '<title\b[^>]*>(.*?)</title\s*>', 1, 'is')")}, '[ \t\r\n\f]+', ' ', 'g')) AS title,
+    regexp_replace(regexp_replace(regexp_replace({_decoded(_STRIPPED)}, ' *\n[ \n]*', chr(10), 'g'), '\A[ \n]+', ''), '[ \n]+\z', '') AS txt,
+    trim(regexp_replace({_decoded(r"regexp_extract(body, '<title\b[^>]*>(.*?)</title\s*>', 1, 'is')")}, '[ \t\r\n\f]+', ' ', 'g')) AS title,
     regexp_extract_all(body, '<a\s+href="([^"]*)"', 1, 'i') AS links
   FROM source),
 blocks AS (

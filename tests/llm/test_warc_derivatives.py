@@ -41,3 +41,20 @@ def test_hard_rows(spark):
     assert {r.block for r in got if r.page_id == 1 and r.record_type == "conversion"} == {""}
     assert len({r.record_id for r in got}) == 2 * (len(rows) - 1)
     assert made(spark, []) == []
+
+
+def test_references_are_decoded_once(spark):
+    cases = {
+        "a &lt;b&gt; &amp;lt; &#38;lt; &amp;#39;": "a <b> &lt; &lt; &#39;", "&#39;&#x27;&#X1F600;&#233;&nbsp;&copy;": "''😀é ©", "&#0;&#xD800;&#9999999;": "\ufffd" * 3,
+        "&unknown; & &; &#; &#x; x&amp": "&unknown; & &; &#; &#x; x&amp", "": "", "no": "no", "&amp;": "&",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.d for r in df.select("t", W.decoded_entities(df.t).alias("d")).collect()} == cases
+
+
+def test_line_breaks_end_no_field(spark):
+    got = {r.record_type: r for r in made(spark, [(1, "http://a/\r\nWARC-Type: x\n/b", '<a href="/x\r\noutlink: /no"><title>a\r\nb</title>')])}
+    for r in got.values():
+        head = r.record.partition("\r\n\r\n")[0].split("\r\n")
+        assert len(head) == 10 and "WARC-Target-URI: http://a/WARC-Type: x/b" in head
+    assert "outlink: /xoutlink: /no\r\n" in got["metadata"].block and "title: a b\r\n" in got["metadata"].block and got["metadata"].block.count("outlink: /") == 2
