@@ -22,9 +22,9 @@ ORACLES: dict[str, str] = {
     "op2_grammar_round_trip": chat_format.ORACLE,
     "op8_block_max_top_k": r"""WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (
-  SELECT q.vec_id AS query_id, d.vec_id, list_sum([q.v[i] * d.v[i] FOR i IN range(1, len(d.v) + 1)])::BIGINT AS score
+  SELECT q.vec_id AS query_id, d.vec_id, coalesce(list_sum([q.v[i] * d.v[i] FOR i IN range(1, len(d.v) + 1)]), 0)::BIGINT AS score
   FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores)
 SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5

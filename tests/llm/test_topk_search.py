@@ -6,7 +6,7 @@ from tandem.llm import topk_search as S
 
 def brute_force(rows, asked, k):
     def whole(v):
-        if not v or any(x is None or not math.isfinite(x) for x in v):
+        if v is None or any(x is None or not math.isfinite(x) for x in v):
             return None
         return [math.floor(256 * x) for x in v]
 
@@ -42,16 +42,22 @@ def test_numbers_beyond_doubles(spark):
     assert run(spark, rows, rows[:3], 4) == brute_force(rows, rows[:3], 4)
 
 
-def test_pruning_skips_blocks_and_stays_exact():
-    import numpy as np
+def test_pruning_skips_blocks_and_stays_exact(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 50)
+    monkeypatch.setattr(S, "GROUP", 200)
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 0.1) + 4 * (j == i // 250) for j in range(8)]) for i in range(2000)]
+    asked = rows[::100]
+    assert run(spark, rows, asked) == brute_force(rows, asked, 5)
+    make = lambda x: spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    told = S.pruning(make(rows), make(asked)).first()
+    assert told.pairs >= 20 * 40 and told.scored < 0.3 * told.pairs
+
 
-    rng = np.random.default_rng(3)
-    m = (rng.normal(0, 5, (2000, 8)) + 200 * np.eye(8)[np.arange(2000) // 250]).astype(np.int64)
-    ids = np.arange(2000)
-    got = S.best_of_cell(ids, m, ids[::100], m[::100], 5, block=250)
-    for q in range(0, 2000, 100):
-        scores = sorted((-int(m[i] @ m[q]), i) for i in range(2000) if i != q)[:5]
-        assert [(q, i, -s) for s, i in scores] == [g for g in got if g[0] == q]
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, []), (5, [])]
+    got = run(spark, rows, [(2, [0.5, 0.5]), (4, [])], 3)
+    assert got == [(2, 1, 3, 256 * 256), (2, 2, 3, 256 * 256), (2, 3, 1, 128 * 256), (4, 1, 5, 0)]
 
 
 def test_empty(spark):
