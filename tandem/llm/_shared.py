@@ -26,9 +26,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tandem/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
+
+    ``small`` says that the rows are few for the tasks that make them; they are
+    then gathered in as few files as their size asks for.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.hint("rebalance")
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -258,7 +258,7 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, th
         # Few documents are compared, so the texts need not be shuffled to find them.
         wanted = F.broadcast(wanted)
     sets = shingle_sets(docs, wanted, words)
-    sets = written(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
+    sets = written(sets.dropDuplicates(["node"]) if repeated else sets, "sets", small=True)
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -301,7 +301,7 @@ def components(edges: DataFrame) -> DataFrame:
     is written to the shared folder. Hot nodes cost no more than their edges:
     a step groups by node only to find the smallest neighbour.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges", small=True)
     while True:
         # Large star: each larger neighbour is linked to the smallest of node and neighbours.
         both = now.union(now.select("v", "u")).toDF("u", "v")
@@ -310,7 +310,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: node and its smaller neighbours are linked to the smallest one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = written(small.filter("u > v").distinct(), "edges")
+        new = written(small.filter("u > v").distinct(), "edges", small=True)
         if _digest(new) == _digest(now):
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(new.select("v", "v")).distinct()
         now = new
@@ -349,8 +349,8 @@ def grouped_rows(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFr
     chosen = full.groupBy("node").agg(*firsts)
     same_set = ["n", "set_a", "set_b"]
     classes = chosen.groupBy(same_set).agg(F.min("node").alias("head"), F.min("doc_id").alias("class_id"), F.count("*").alias("nodes")).filter("nodes > 1").drop("nodes")
-    member = chosen.join(written(classes, "classes"), same_set, "left")
-    member = written(member.withColumn("head", F.coalesce("head", "node")).withColumn("class_id", F.coalesce("class_id", "doc_id")), "members")
+    member = chosen.join(written(classes, "classes", small=True), same_set, "left")
+    member = written(member.withColumn("head", F.coalesce("head", "node")).withColumn("class_id", F.coalesce("class_id", "doc_id")), "members", small=True)
     n_rows, n_nodes = member.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
     heads = member.filter("node = head")
     sketch = heads.select("node", "n", "sketch")
@@ -364,18 +364,18 @@ def grouped_rows(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFr
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node"))
-        pairs = written(pairs.filter(_possible("x", "y", threshold)).select("a", "b"), "pairs")
-        return written(verified(pairs, heads, docs, words, threshold, n_rows > n_nodes), "links")
+        pairs = written(pairs.filter(_possible("x", "y", threshold)).select("a", "b"), "pairs", small=True)
+        return written(verified(pairs, heads, docs, words, threshold, n_rows > n_nodes), "links", small=True)
 
-    least = written(groups.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least"), "least")
+    least = written(groups.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least"), "least", small=True)
     found = links(groups.join(least, "key").filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     parts = components(found)
 
     # Groups that still hold more than one component.
     placed = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_rows = placed.join(written(spread, "spread"), "key").join(heads.select("node", "n"), "node")
-    open_rows = written(open_rows, "open-groups")
+    open_rows = placed.join(written(spread, "spread", small=True), "key").join(heads.select("node", "n"), "node")
+    open_rows = written(open_rows, "open-groups", small=True)
     x, y = open_rows.alias("x"), open_rows.alias("y")
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes)
