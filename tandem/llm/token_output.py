@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.llm._shared import per_worker, shared_dir
-from tandem.llm.vocabularies import chunk_encoder, load
+from tandem.llm.vocabularies import chunk_encoder, gathered, load
 
 END_ID = 1
 #: Characters of a text that tell tasks apart where rows share an id.
@@ -34,9 +34,11 @@ BLOCK_IDS = 1 << 20
 #: A pair that is used less often in a block gets no rule.
 LEAST_USES = 2
 #: The floor of a round is the one before divided by this.
-STEP = 8
+STEP = 16
 #: Binary logarithm of the number of hash buckets that count pairs, at most.
 MOST_BITS = 20
+#: Bytes of either generation of the encoder's memo.
+MEMO_BYTES = 96 << 20
 #: Nonterminals are numbered from here on; token ids are below.
 BASE = 1 << 24
 #: Parts (tasks that wrote blocks) whose first ids are broadcast at most; their number is that of shuffle partitions.
@@ -64,9 +66,9 @@ def _buckets(left: np.ndarray, right: np.ndarray, bits: int, turn: int) -> np.nd
     return mixed.astype(np.intp)
 
 
-def _first_alike(s: np.ndarray, at: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    """Whether each place has the pair that stands first in its bucket."""
-    stands = np.empty(1 << bits, np.intp)
+def _first_alike(s: np.ndarray, at: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Whether each place has the pair that stands first in its bucket, of n buckets."""
+    stands = np.empty(n, np.intp)
     stands[h[::-1]] = at[::-1]
     first = stands[h]
     return (s[at] == s[first]) & (s[at + 1] == s[first + 1])
@@ -99,9 +101,11 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, least: int = LEAST_USES, s
         counts = np.bincount(h, minlength=1 << bits)
         if floor is None:
             floor = max(least, int(counts.max()) // step)
-        may = (counts >= floor)[h]
-        at, h = at[may], h[may]
-        alike = _first_alike(s, at, h, bits)
+        frequent = counts >= floor
+        may = frequent[h]
+        # From here on only the frequent buckets are numbered.
+        at, h, n = at[may], (np.cumsum(frequent, dtype=np.int32) - 1)[h[may]].astype(np.intp), int(frequent.sum())
+        alike = _first_alike(s, at, h, n)
         waiting = at[~alike]
         at, h = at[alike], h[alike]
         # Of a pair's overlapping places (as in a a a) every second one goes, from the left.
@@ -112,7 +116,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, least: int = LEAST_USES, s
             odd = (place - np.maximum.accumulate(np.where(run, 0, place))) & 1 == 1
             waiting = np.concatenate([waiting, at[odd]])
             at, h = at[~odd], h[~odd]
-        uses = np.bincount(h, minlength=1 << bits)
+        uses = np.bincount(h, minlength=n)
         enough = (uses >= (least if last else floor))[h]
         at, h = at[enough], h[enough]
         # Of overlapping pairs the more frequent one goes.
@@ -123,13 +127,13 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, least: int = LEAST_USES, s
         lower[:-1] |= beside & (worth[:-1] < worth[1:])
         waiting = np.concatenate([waiting, at[lower]])
         at, h = at[~lower], h[~lower]
-        uses = np.bincount(h, minlength=1 << bits)
+        uses = np.bincount(h, minlength=n)
         used = np.flatnonzero(uses >= least)
         good = (uses >= least)[h]
         waiting = np.concatenate([waiting, at[~good]])
         at, h = at[good], h[good]
         if len(at):
-            number = np.empty(1 << bits, np.intp)
+            number = np.empty(n, np.intp)
             number[used] = np.arange(len(used))
             rule = number[h]
             first = np.empty(len(used), np.intp)
@@ -167,9 +171,8 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, least: int = LEAST_USES, s
     return s, cat(lefts), cat(rights), sizes[:made].copy(), doc_symbols
 
 
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The token ids of ``symbols``, by opening every rule level by level."""
-    s = symbols
+def _opened(s: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The token ids of symbols, by opening every rule level by level."""
     while len(s):
         nonterminal = s >= BASE
         if not nonterminal.any():
@@ -184,6 +187,19 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
     return s
 
 
+def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The token ids of ``symbols``: every rule is opened once and then copied, unless that is more than the symbols hold."""
+    nonterminal = symbols >= BASE
+    lengths = np.ones(len(symbols), np.int64)
+    lengths[nonterminal] = size[symbols[nonterminal] - BASE]
+    if size.sum(dtype=np.int64) > lengths.sum():
+        return _opened(symbols, left, right)
+    rules = _opened(np.arange(BASE, BASE + len(left), dtype=np.uint32), left, right)
+    starts = len(rules) + np.cumsum(~nonterminal) - 1
+    starts[nonterminal] = (np.cumsum(size, dtype=np.int64) - size)[symbols[nonterminal] - BASE]
+    return gathered(np.concatenate([rules, symbols[~nonterminal]]), starts, lengths)
+
+
 def decode_range(block: dict, doc_index: int, start: int, length: int) -> np.ndarray:
     """Ids ``start`` to ``start + length`` of one document of a block: only the symbols that cover them are opened."""
     left, right, size, symbols = (np.frombuffer(block[c], "<u4") for c in ("rule_left", "rule_right", "rule_tokens", "symbols"))
@@ -194,7 +210,7 @@ def decode_range(block: dict, doc_index: int, start: int, length: int) -> np.nda
     lengths[nonterminal] = size[own[nonterminal] - BASE]
     stop = np.cumsum(lengths)
     a, b = np.searchsorted(stop, start, "right"), np.searchsorted(stop, start + length, "left") + 1
-    ids = expand(own[a:b], left, right)
+    ids = _opened(own[a:b], left, right)
     skip = start - int(stop[a - 1] if a else 0)
     return ids[skip : skip + length]
 
@@ -213,7 +229,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int
     ordered = rows.repartitionByRange(n, "doc_id", "begins").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
 
     def encode(arrow):
-        encoder, part = chunk_encoder(vocab, drops_space=True), TaskContext.get().partitionId()
+        encoder, part = chunk_encoder(vocab, drops_space=True, most_bytes=MEMO_BYTES), TaskContext.get().partitionId()
         ids, lengths, doc_ids, start, block = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0, 0
 
         def packed(n):
@@ -252,8 +268,8 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
         for batch in arrow:
             for k in range(len(batch)):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
-                left, right, symbols = (np.frombuffer(row[c].as_buffer(), "<u4") for c in ("rule_left", "rule_right", "symbols"))
-                ids, n = expand(symbols, left, right).astype("<u4"), row["doc_tokens"].values.to_numpy()
+                left, right, size, symbols = (np.frombuffer(row[c].as_buffer(), "<u4") for c in ("rule_left", "rule_right", "rule_tokens", "symbols"))
+                ids, n = expand(symbols, left, right, size).astype("<u4"), row["doc_tokens"].values.to_numpy()
                 stops = np.cumsum(n)
                 at = 0
                 while at < len(n):  # some documents at a time, as an array of binaries holds less than 2 GB
@@ -265,7 +281,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([row["doc_ids"].values.slice(at, end - at), pa.array(starts), pa.array(n[at:end]), binaries], schema=schema)
                     at = end
 
-    columns = ["doc_ids", "doc_tokens", "rule_left", "rule_right", "symbols"]
+    columns = ["doc_ids", "doc_tokens", "rule_left", "rule_right", "rule_tokens", "symbols"]
     placed = blocks.join(F.broadcast(parts), "part").select((F.col("part_start") + F.col("block_start")).alias("block_start"), *columns)
     return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 

@@ -220,7 +220,7 @@ class ChunkEncoder:
                 at += len(texts)
 
 
-def chunk_encoder(broadcast, drops_space: bool) -> ChunkEncoder:
+def chunk_encoder(broadcast, drops_space: bool, most_bytes: int = 28 << 20) -> ChunkEncoder:
     """The worker's encoder for a broadcast of ``load()``."""
     name, content = broadcast.value
-    return per_worker(("chunks", name, drops_space), lambda: ChunkEncoder(content, drops_space))
+    return per_worker(("chunks", name, drops_space), lambda: ChunkEncoder(content, drops_space, most_bytes))
