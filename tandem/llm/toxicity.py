@@ -29,8 +29,9 @@ from tandem.llm.vocabularies import gathered
 #: Labelled rows that a machine is fitted on, at most; those of lowest xxhash64(doc_id) are taken.
 SAMPLE_ROWS = 12_000
 BUCKETS = 1 << 20
-#: Evidence for a term: rows that have it, and standard deviations that its share of toxic rows is off.
-LEAST_ROWS, Z = 3, 4.0
+#: Evidence for a term: rows that have it, how many of them at least are no copies, and standard deviations that its share of
+#: toxic rows is off.
+LEAST_ROWS, LEAST_EVIDENCE, Z = 3, 2, 4.0
 FREQUENT_TERMS = 128
 #: Evidence for a pair: rows that have both terms, and nats by which its share of toxic rows contradicts its terms' shares.
 #: (Chance reaches NATS with a probability of exp(-NATS) at most, so hardly ever in all pairs of a sample.)
@@ -119,15 +120,17 @@ def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Mac
     evidence[np.unique(least, return_index=True)[1]] = True
     told = evidence[of]
     seen = np.bincount(column[told], minlength=len(buckets))
-    hits = np.bincount(column[told], weights=toxic[of[told]], minlength=len(buckets))
-    off = np.abs(hits - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
-    strong = np.flatnonzero((seen >= LEAST_ROWS) & (off >= Z))
+    hits = np.bincount(column, weights=toxic[of], minlength=len(buckets))
+    off = np.abs(hits - df * share) / np.sqrt(df * share * (1 - share))
+    strong = np.flatnonzero((df >= LEAST_ROWS) & (seen >= LEAST_EVIDENCE) & (off >= Z))
     frequent = np.argsort(-df, kind="stable")[:FREQUENT_TERMS]
     # Only terms with enough rows can be in a pair with enough rows.
     common = seen >= PAIR_ROWS
-    number, told = (np.cumsum(common) - 1).astype(np.int32), told & common[column]
-    rates = (hits[common] + share) / (seen[common] + 1)
-    paired = np.flatnonzero(common)[telling_pairs(number[column[told]], np.bincount(of[told], minlength=n), toxic, rates, share)]
+    told &= common[column]
+    number = (np.cumsum(common) - 1).astype(np.int32)[column[told]]
+    hits = np.bincount(number, weights=toxic[of[told]], minlength=int(common.sum()))
+    rates = (hits + share) / (np.bincount(number, minlength=int(common.sum())) + 1)
+    paired = np.flatnonzero(common)[telling_pairs(number, np.bincount(of[told], minlength=n), toxic, rates, share)]
     kept = np.unique(np.r_[strong, frequent, paired])
     # Terms that say little by themselves get a firm penalty, so that they act in pairs and don't take over the bias.
     penalty = np.where(np.isin(kept, strong), 1e-5, 3e-2).astype(np.float32)
