@@ -1,6 +1,10 @@
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from tandem.llm import jaccard_join, language_id
-from tandem.llm._shared import written
+from tandem.llm import jaccard_join, language_id, toxicity
+from tandem.llm._shared import Memo, written
 from tests.llm.test_jaccard_join import brute_force
 
 SF = "/root/testdata/sf0.01"
@@ -65,3 +69,53 @@ def test_a_text_without_letters_goes(spark):
 def test_run(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
+
+
+#: Rows with nulls, empty and long texts, repeats, ids that clash, and columns that the stages use names of themselves.
+HARD = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, language string, text_hash int, place string, node long, extra map<string,int>"
+TEXT = "the house of the dog and the garden of the cat in the sun"
+
+
+def hard(spark):
+    rows = [(1, TEXT, "en"), (1, TEXT, "en"), (2, TEXT.upper(), "en"), (3, None, None), (None, TEXT, "en"), (None, None, None), (4, "", "en"), (5, "short", "en"), (5, "other short text here", "en"), (6, "le chat et la maison " * 5_000, "fr"), (7, "12 $$", None)]
+    return spark.createDataFrame([(i, t, lang, "s", 1, "mine", "mine", 7, "mine", 8, {"k": 1}) for i, t, lang in rows], HARD)
+
+
+def told(df):
+    return sorted(((r.doc_id, r.text, r.toxicity, r.language, r.text_hash, r.place, r.node, r.extra["k"]) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in P.STAGES[:-1]])
+def test_hard_rows_and_clashing_columns(spark, stage):
+    docs = hard(spark)
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    every = told(docs)
+    assert all(r in every for r in told(got))
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_one_of_hard_rows_stays(spark):
+    got = [(r[0], r[1] and r[1][:5]) for r in told(P.one_of_each_group(spark, hard(spark), SF))]
+    assert sorted(got, key=str) == sorted([(1, TEXT[:5]), (3, None), (None, TEXT[:5]), (None, None), (4, ""), (5, "short"), (5, "other"), (6, "le ch"), (7, "12 $$")], key=str)
+
+
+def test_scores_decide(spark):
+    """The stages keep what their models, asked row by row, tell them to."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    machine, memo = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True)), Memo(toxicity.term_buckets)
+    want = {i for i, t in rows if machine.score(toxicity.terms_of(t, memo)) < 0.5}
+    assert {r.doc_id for r in P.drop_toxic(spark, docs, SF).select("doc_id").collect()} == want and 0 < len(rows) - len(want) < 0.2 * len(rows)
+    (model,) = language_id.train(docs, F.lit(True), public_tokenizers.path("piece_bpe_32k.model"))
+    import math
+
+    found = zip(rows, model.tell([t for _, t in rows]))
+    want = {i for (i, _), (lang, top, total) in found if lang is not None and math.exp(top - total) >= P.LEAST_LANGUAGE_SCORE}
+    assert {r.doc_id for r in P.keep_told_languages(spark, docs, SF).select("doc_id").collect()} == want
+
+
+def test_packing_of_hard_rows(spark):
+    pieces = P.pack(spark, hard(spark), SF).toPandas()
+    assert (pieces.doc_tokens > 0).all() and pieces[pieces.start == 0].shape[0] == 11 and pieces.length.sum() == pieces[pieces.start == 0].doc_tokens.sum()
+    assert P.pack(spark, hard(spark).limit(0), SF).count() == 0
