@@ -45,13 +45,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated = written(repeated.select("doc_id", "group_id", "kept"), "repeated")
     key = ["doc_id", "text_hash"]
     others = rows.filter("doc_id > component_id").select(key).union(first.join(repeated, ["doc_id", "group_id"]).filter("text_hash <> kept").select(key)).distinct()
-    stay = docs.withColumn("text_hash", jaccard_join.text_hash()).join(others, key, "left_anti")
+    text_hash, place = unused(docs, "text_hash"), unused(docs, "place")
+    key = ["doc_id", text_hash]
+    stay = docs.withColumn(text_hash, jaccard_join.text_hash()).join(others.toDF(*key), key, "left_anti")
     if repeated.isEmpty():
         return stay.select(docs.columns)
-    # The same text under the same id more than once: the first of the rows, in the order of their columns.
-    again = repeated.select("doc_id", F.col("kept").alias("text_hash"))
-    order = Window.partitionBy(key).orderBy(docs.columns)
-    one = stay.join(again, key, "left_semi").withColumn("row", F.row_number().over(order)).filter("row = 1")
+    # The same text under the same id more than once: the first of the rows, in the order of their JSON text.
+    again = repeated.select("doc_id", F.col("kept").alias(text_hash))
+    order = Window.partitionBy(key).orderBy(F.to_json(F.struct(*docs.columns)))
+    one = stay.join(again, key, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
     return stay.join(again, key, "left_anti").select(docs.columns).union(one.select(docs.columns))
 
 
