@@ -26,6 +26,8 @@ def padded(boxes: DataFrame) -> DataFrame:
 
     The nearest bottom above is a running maximum over bottoms, the nearest top
     below the next larger top: sorted windows over edges instead of a self join.
+    Boxes without height, whose own edges would be the nearest, are compared with
+    the other boxes of their page.
     """
     edges = boxes.select("*", F.explode(F.array(F.struct((F.col("y") + F.col("h")).alias("at"), F.lit(1).alias("kind")), F.struct(F.col("y").alias("at"), F.lit(0).alias("kind")))).alias("e")).select("*", "e.*").drop("e")
     by_edge = _page().orderBy("at")
@@ -38,7 +40,12 @@ def padded(boxes: DataFrame) -> DataFrame:
         F.min(F.when(is_top, F.col("at"))).over(onward).alias("top_below"),
     )
     keys = ["session_id", "page", "answer_id", "seq", "x", "y", "w", "h"]
-    wide = seen.groupBy(*keys).agg(F.max(F.when(is_top, F.col("bottom_above"))).alias("above"), F.max(F.when(is_bottom, F.col("top_below"))).alias("below"))
+    wide = seen.filter("h > 0").groupBy(*keys).agg(F.max(F.when(is_top, F.col("bottom_above"))).alias("above"), F.max(F.when(is_bottom, F.col("top_below"))).alias("below"))
+    others = boxes.select("session_id", "page", F.col("answer_id").alias("o_id"), F.col("seq").alias("o_seq"), F.col("y").alias("o_top"), (F.col("y") + F.col("h")).alias("o_bottom"))
+    flat = boxes.select(keys).filter("h <= 0").join(others, ["session_id", "page"], "left")
+    other = (F.col("o_id") != F.col("answer_id")) | (F.col("o_seq") != F.col("seq"))
+    flat = flat.groupBy(*keys).agg(F.max(F.when(other & (F.col("o_bottom") <= F.col("y")), F.col("o_bottom"))).alias("above"), F.min(F.when(other & (F.col("o_top") >= F.col("y") + F.col("h")), F.col("o_top"))).alias("below"))
+    wide = wide.unionByName(flat)
     top = F.least(F.lit(PAD_Y), F.coalesce((F.col("y") - F.col("above")) / 2, F.lit(PAD_Y)))
     bottom = F.least(F.lit(PAD_Y), F.coalesce((F.col("below") - (F.col("y") + F.col("h"))) / 2, F.lit(PAD_Y)))
     return wide.select(

@@ -259,7 +259,7 @@ ORACLES = {
         SELECT page_id, CASE WHEN page_id % 3 <> 0 AND NOT regexp_matches(name, '\\.(pdf|png|jpe?g)$', 'i') THEN 'type' WHEN size > 10485760 THEN 'too-large' WHEN size = 0 THEN 'empty' END AS error FROM u""",
     "mime_resolution": """WITH u AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpeg' ELSE '' END AS name, CASE page_id % 3 WHEN 0 THEN 'image/jpg' WHEN 1 THEN 'text/plain' END AS declared FROM pages)
         SELECT page_id, CASE WHEN declared = 'image/jpg' THEN declared WHEN regexp_matches(name, '\\.pdf$', 'i') THEN 'application/pdf' WHEN regexp_matches(name, '\\.png$', 'i') THEN 'image/png' WHEN regexp_matches(name, '\\.jpe?g$', 'i') THEN 'image/jpeg' ELSE coalesce(declared, 'application/octet-stream') END AS mime FROM u""",
-    "box_pad": f"""WITH {ANSWERS}, g AS (SELECT a.session_id, a.page, a.answer_id, a.seq, a.x, a.y, a.w, a.h, min(a.y - (b.y + b.h)) FILTER (b.y + b.h <= a.y) AS above, min(b.y - (a.y + a.h)) FILTER (b.y >= a.y + a.h) AS below
+    "box_pad": f"""WITH {ANSWERS}, g AS (SELECT a.session_id, a.page, a.answer_id, a.seq, a.x, a.y, a.w, a.h, min(a.y - (b.y + b.h)) FILTER (b.y + b.h <= a.y AND a.answer_id <> b.answer_id) AS above, min(b.y - (a.y + a.h)) FILTER (b.y >= a.y + a.h AND a.answer_id <> b.answer_id) AS below
           FROM answers a JOIN answers b ON a.session_id = b.session_id AND a.page = b.page GROUP BY ALL)
         SELECT session_id, page, answer_id, seq, greatest(0::DOUBLE, x - 0.01::DOUBLE) AS left, least(1::DOUBLE, x + w + 0.01::DOUBLE) AS right, greatest(0::DOUBLE, y - least(0.012::DOUBLE, coalesce(above / 2, 0.012::DOUBLE))) AS top,
           least(1::DOUBLE, y + h + least(0.012::DOUBLE, coalesce(below / 2, 0.012::DOUBLE))) AS bottom FROM g""",

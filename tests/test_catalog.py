@@ -53,6 +53,18 @@ def test_clipping_and_padding_by_hand(spark):
     assert p["a"] == (0.09, 0.088, 0.25) and p["b"] == (0.09, 0.25, 0.355) and p["c"] == (0.0, 0.355, 1.0)
 
 
+def test_boxes_without_height_are_padded_by_the_others(spark):
+    boxes = spark.createDataFrame([(1, 1, "a", 0, 0.1, 0.1, 0.5, 0.1), (1, 1, "flat", 1, 0.1, 0.206, 0.5, 0.0), (2, 1, "alone", 0, 0.1, 0.5, 0.5, 0.0)], "session_id long, page long, answer_id string, seq long, x double, y double, w double, h double")
+    p = {r.answer_id: (round(r.top, 6), round(r.bottom, 6)) for r in geometry.padded(boxes).collect()}
+    assert p == {"a": (0.088, 0.203), "flat": (0.203, 0.218), "alone": (0.488, 0.512)}
+
+
+def test_page_and_image_pixels(spark):
+    df = spark.createDataFrame([(612.0, 792.0, 800, 1000), (595.2, 1684.0, 900, 950), (10.0, 20.0, 300, 1000)], "w double, h double, iw long, ih long")
+    got = [(r.p.width, r.p.height, r.i) for r in df.select(geometry.page_pixels(df.w, df.h).alias("p"), geometry.image_pixels(df.iw, df.ih).alias("i")).collect()]
+    assert got == [(1700, 2200, 1200), (778, 2200, 900), (28, 56, 1200)]
+
+
 def test_history_keeps_the_newest(spark):
     rows = [(1, i, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i), i) for i in range(25)]
     got = history.newest(spark.createDataFrame(rows, "owner long, session_id long, saved_at timestamp, percent long")).collect()
