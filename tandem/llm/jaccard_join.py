@@ -27,8 +27,10 @@ Steps, none of which forms all pairs of a group:
    pairs whose sizes and folded sketches allow a link are verified on the sets;
    links make components (large star, small star);
 4. groups whose members are now in different components join those across
-   components only; what the sizes and sketches leave is verified, and
-   components are made again. Pairs within a component need no check.
+   components only; members of large groups meet in their rarest shingles
+   instead, as many as linked sets must share one of. What the sizes and
+   sketches leave is verified, and components are made again. Pairs within a
+   component need no check.
 
 So every link between documents of different components is found or excluded by
 a lower bound or by verification. Nothing is dropped or capped.
@@ -55,6 +57,8 @@ MOST_BROADCAST = 1 << 20
 #: Documents (about) whose keys tell which keys are hot, and how many of them must have a key for that. So there are never
 #: many hot keys; a key that is missed only makes one task larger.
 HOT_SAMPLE, HOT_ROWS, MOST_HOT, HOT_SALTS = 2_000, 20, 1 << 16, 64
+#: Members of a group that are paired directly, across its components; larger groups are split by their rarest shingles.
+LARGE_GROUP = 32
 #: The lowest bits of a key are its band.
 BAND_BITS = 6
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -251,20 +255,48 @@ def _possible(a: str, b: str, threshold: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (apart * (100 + threshold) <= (n + m) * (100 - threshold))
 
 
-def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, threshold: int, repeated: bool) -> DataFrame:
-    """Those of the pairs (a, b) of heads whose sets reach the threshold, compared as sets; ``repeated`` says that rows repeat."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads, "node").select("doc_id", "node", "set_a", "set_b")
-    if 2 * pairs.count() <= MOST_BROADCAST:
+def sets_of(nodes: DataFrame, most: int, heads: DataFrame, docs: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """The sets (node, shingles) of ``nodes``, of which there are at most ``most``; ``repeated`` says that rows repeat."""
+    wanted = nodes.distinct().join(heads, "node").select("doc_id", "node", "set_a", "set_b")
+    if most <= MOST_BROADCAST:
         # Few documents are compared, so the texts need not be shuffled to find them.
         wanted = F.broadcast(wanted)
     sets = shingle_sets(docs, wanted, words)
-    sets = written(sets.dropDuplicates(["node"]) if repeated else sets, "sets", small=True)
+    return written(sets.dropDuplicates(["node"]) if repeated else sets, "sets", small=True)
+
+
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, threshold: int, repeated: bool) -> DataFrame:
+    """Those of the pairs (a, b) of heads whose sets reach the threshold, compared as sets."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * pairs.count(), heads, docs, words, repeated)
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * threshold).select("a", "b")
 
 
+def across(x: DataFrame, y: DataFrame, on: str, threshold: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that are alike in ``on`` and near enough in size."""
+    x, y = x.alias("x"), y.alias("y")
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
+    met = x.join(y, (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.component") < F.col("y.component")) & sizes)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def rarest_shingles(placed: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """shingle, node, component, n: of each set so many of its rarest shingles that linked sets share one.
+
+    Linked sets share at least threshold percent of either, so one that they share
+    is among all but that many, less one, in an order that is the same for all.
+    What a group has in common is frequent and comes last.
+    """
+    every = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = every.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = every.join(written(often, "often"), "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "shingle")))
+    # Shingles of one set alone come first in the order and pair with nothing; places count from the order's end.
+    kept = ranked.filter(F.col("place") >= F.ceil(F.col("size") * threshold / 100.0)).select("shingle", "node")
+    return written(kept.join(placed, "node"), "rarest")
+
+
 def joined_keys(texts: DataFrame, heads: DataFrame, words: int, threshold: int, n_rows: int, repeated: bool) -> DataFrame:
     """key and node of the keys that heads are joined on: those of several documents, less the most frequent ones by slack.
 
@@ -373,13 +405,17 @@ def grouped_rows(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFr
 
     # Groups that still hold more than one component.
     placed = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).filter("lo < hi").select("key", (F.col("rows") > LARGE_GROUP).alias("large"))
     open_rows = placed.join(written(spread, "spread", small=True), "key").join(heads.select("node", "n"), "node")
     open_rows = written(open_rows, "open-groups", small=True)
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes)
-    more = links(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    small, large = open_rows.filter("not large"), open_rows.filter("large").select("node", "component", "n").distinct()
+    pairs = across(small, small, "key", threshold)
+    n_large = large.count()
+    if n_large:
+        # Of large groups not all pairs are formed: their members meet anew in the shingles that set them apart.
+        apart = rarest_shingles(large, sets_of(large.select("node"), n_large, heads, docs, words, n_rows > n_nodes), threshold)
+        pairs = pairs.union(across(apart, apart, "shingle", threshold)).distinct()
+    more = links(pairs)
     if not more.isEmpty():
         parts = components(found.union(more))
 

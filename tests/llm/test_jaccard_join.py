@@ -75,6 +75,14 @@ def kept_keys(shingles, frequency, bands):
     return kept
 
 
+def test_large_groups_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(J, "LARGE_GROUP", 1)
+    for seed, words, threshold in ((7, 4, 85), (8, 5, 80)):
+        rows = rows_of(seed)
+        got = J.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), words, threshold).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == brute_force(rows, words, threshold)
+
+
 def test_sketch_bounds():
     """Bit sketches never show more than the symmetric difference, and linked sets share keys whichever keys are frequent."""
     rng, bands = np.random.default_rng(4), J.Memo(lambda n: J.bands_of(n, 85))
