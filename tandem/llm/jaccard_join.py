@@ -275,25 +275,28 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, th
 
 
 def across(x: DataFrame, y: DataFrame, on: str, threshold: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that are alike in ``on`` and near enough in size."""
+    """Pairs (a, b) of nodes of different components that are alike in ``on`` and near enough in size; x is the smaller set."""
     x, y = x.alias("x"), y.alias("y")
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
-    met = x.join(y, (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.component") < F.col("y.component")) & sizes)
+    sizes = (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") * 100 >= F.col("y.n") * threshold)
+    met = x.join(y, (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.component") != F.col("y.component")) & sizes)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def rarest_shingles(placed: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """shingle, node, component, n: of each set so many of its rarest shingles that linked sets share one.
+    """shingle, node, component, n, short: of each set so many of its rarest shingles that linked sets share one.
 
-    Linked sets share at least threshold percent of either, so one that they share
-    is among all but that many, less one, in an order that is the same for all.
+    In an order that is the same for all sets, rarest first, two sets that share
+    o shingles have one in common that is not among the last o - 1 of either.
+    Linked sets share at least threshold percent of the larger one, and 2 t / (1 + t)
+    of the smaller one; ``short`` says that a shingle will do for a smaller set.
     What a group has in common is frequent and comes last.
     """
     every = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     often = every.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     ranked = every.join(written(often, "often"), "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "shingle")))
     # Shingles of one set alone come first in the order and pair with nothing; places count from the order's end.
-    kept = ranked.filter(F.col("place") >= F.ceil(F.col("size") * threshold / 100.0)).select("shingle", "node")
+    as_smaller = F.col("place") >= F.ceil(F.col("size") * (2 * threshold) / F.lit(100.0 + threshold))
+    kept = ranked.filter(F.col("place") >= F.ceil(F.col("size") * threshold / 100.0)).select("shingle", "node", as_smaller.alias("short"))
     return written(kept.join(placed, "node"), "rarest")
 
 
@@ -414,7 +417,7 @@ def grouped_rows(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFr
     if n_large:
         # Of large groups not all pairs are formed: their members meet anew in the shingles that set them apart.
         apart = rarest_shingles(large, sets_of(large.select("node"), n_large, heads, docs, words, n_rows > n_nodes), threshold)
-        pairs = pairs.union(across(apart, apart, "shingle", threshold)).distinct()
+        pairs = pairs.union(across(apart.filter("short"), apart, "shingle", threshold)).distinct()
     more = links(pairs)
     if not more.isEmpty():
         parts = components(found.union(more))
