@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tandem.llm import byte_bpe, chat_format, jaccard_join, language_id, packing, quality_rules, token_output, topk_search, toxicity, warc_derivatives
+from tandem.llm import byte_bpe, chat_format, hard_negatives, jaccard_join, language_id, packing, quality_rules, secret_scan, token_output, topk_search, toxicity, turn_repair, warc_derivatives
 
 QUERIES = {
     "op1_grammar_token_output": token_output.op1_grammar_token_output,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_block_max_top_k": topk_search.op8_block_max_top_k,
     "op9_parity_sketch_join": jaccard_join.op9_parity_sketch_join,
     "op10_warc_derivatives": warc_derivatives.op10_warc_derivatives,
+    "op11_assignment_secrets": secret_scan.op11_assignment_secrets,
+    "op12_tight_arc_repair": turn_repair.op12_tight_arc_repair,
+    "op13_dual_tree_negatives": hard_negatives.op13_dual_tree_negatives,
 }
 
 ORACLES: dict[str, str] = {
+    "op12_tight_arc_repair": turn_repair.ORACLE,
+    "op13_dual_tree_negatives": hard_negatives.ORACLE,
     "op10_warc_derivatives": warc_derivatives.ORACLE,
     "op2_grammar_round_trip": chat_format.ORACLE,
     "op8_block_max_top_k": r"""WITH v AS (
