@@ -6,22 +6,35 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: computed once, with no lineage to repeat when an executor is lost.
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the session's ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``, which driver and
-    executors share. Only in local mode, where there are no other machines, may
-    it be unset.
+    Only in local mode, where there are no other machines, may that be unset.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{root.rstrip('/')}/tandem/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tandem/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read again: computed once, with no lineage to repeat when an executor is lost."""
+    path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    try:
+        spark.read.format("binaryFile").load(path).limit(0).count()
+        return True
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
