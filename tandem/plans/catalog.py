@@ -13,6 +13,7 @@ from tandem.operators import geometry as G
 from tandem.operators import history as H
 from tandem.operators import linkage as K
 from tandem.operators import scoring as S
+from tandem.plans import flows
 from tandem.sources import fixtures as D
 from tandem.sources.tables import written
 from tandem.streaming import progress as P
@@ -420,3 +421,4 @@ QUERIES = {
         merge_answers, anchor_runs, run_spans, render_dims, entry_formats, display_labels, warnings, progress_latest, json_props, format_bytes, format_marks, upload_validation, mime_resolution,
     )
 }
+QUERIES |= flows.QUERIES

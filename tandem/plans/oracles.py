@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tandem.plans import flow_oracles
+
 # Patterns, limits and wordings must be those of the DataFrame code.
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -320,3 +322,4 @@ ORACLES["highlight_boxes"] = f"""{LINK}, used AS (SELECT *, row_number() OVER (P
     SELECT m.session_id, m.question_id, u.pos, u.answer_id, u.page, u.y, u.h FROM mappings m JOIN used u ON m.session_id = u.session_id AND coalesce(m.near, m.canonical) = u.canonical WHERE m.by_number
     UNION ALL SELECT m.session_id, m.question_id, 0, a.answer_id, a.page, a.y, a.h FROM mappings m JOIN answers a ON m.session_id = a.session_id AND m.answer_id = a.answer_id WHERE m.answer_id IS NOT NULL AND NOT m.by_number"""
 ORACLES["split_labels_whole"] = ORACLES["split_labels"]
+ORACLES |= flow_oracles.ORACLES

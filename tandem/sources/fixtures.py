@@ -93,3 +93,72 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = {"signup": "idle", "view": "extracting-questions", "click": "extracting-answers", "purchase": "done", "error": "error"}
     stage = F.create_map(*[F.lit(x) for kv in stages.items() for x in kv])[F.col("event_type")]
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id", F.coalesce(stage, F.lit("error")).alias("stage"), F.get_json_object("props", "$.k").cast("long").alias("percent"), "props")
+
+
+def epoch_ms(ts):
+    """Milliseconds since 1970 of a time without zone."""
+    days = F.datediff(F.to_date(ts), F.to_date(F.lit("1970-01-01"))).cast("long")
+    return days * 86_400_000 + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + F.floor(F.extract(F.lit("SECONDS"), ts) * 1000).cast("long")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of users (events), in time that runs ten thousand times as fast, so that they crowd; errors and clicks fail, errors for too many calls."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("session_id"), "event_id", F.floor(epoch_ms(F.col("ts")) / 10_000).cast("long").alias("at_ms"), F.col("event_type").isin("error", "click").alias("failed"), (F.col("event_type") == "error").alias("limited"))
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of users' snapshots (events) as JSON."""
+    k = F.get_json_object("props", "$.k")
+    kind = F.col("event_type")
+    patch = (
+        F.when(kind == "signup", F.lit("{}"))
+        .when(kind == "view", F.concat(F.lit('{"stage": "extracting-questions", "questions": '), k, F.lit("}")))
+        .when(kind == "click", F.concat(F.lit('{"stage": "extracting-answers", "percent": null, "answers": '), k, F.lit("}")))
+        .when(kind == "purchase", F.concat(F.lit('{"stage": "done", "error": null, "percent": '), k, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"stage": "error", "error": "e'), k, F.lit('"}')))
+    )
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), patch.alias("patch"))
+
+
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of subscribers (customers) on users' sessions: on, off five days later, some on again, some twice."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subscriber"), (F.col("c_custkey") * 7 % 100).alias("session_id"), (F.col("c_custkey") % 20).cast("int").alias("day"))
+    steps = [(0, "subscribe", F.lit(True)), (2, "subscribe", F.col("subscriber") % 4 == 0), (5, "unsubscribe", F.lit(True)), (6, "unsubscribe", F.col("subscriber") % 5 == 0), (8, "subscribe", F.col("subscriber") % 3 == 0)]
+    action = lambda n, step: F.when(step[2], F.struct(F.lit(step[0]).alias("later"), F.lit(step[1]).alias("action"), F.lit(n).cast("long").alias("seq")))
+    rows = c.select("*", F.explode(F.array_compact(F.array(*[action(n, s) for n, s in enumerate(steps)]))).alias("a"))
+    start = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    return rows.select("subscriber", "session_id", "a.action", (start + F.make_dt_interval(F.col("day") + F.col("a.later"))).alias("at"), "a.seq")
+
+
+#: Largest upload of the pages, in bytes.
+MOST_UPLOAD = 8_000
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads: names and declared types of all sorts, some of no known kind, some empty."""
+    i = F.col("page_id")
+    name = F.concat(i.cast("string"), F.lit("-"), "url", F.get(F.array(F.lit(".pdf"), F.lit(".PNG"), F.lit(".jpeg"), F.lit("")), (i % 4).cast("int")))
+    declared = F.get(F.array(F.lit("image/jpg"), F.lit("text/plain"), F.lit(None).cast("string")), (i % 3).cast("int"))
+    kind = F.when(i % 9 == 0, "cover").when(i % 2 == 0, "questionPaper").otherwise("answerSheet")
+    content = F.when(i % 7 == 0, F.lit("")).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("s"), (i % 50).cast("string")).alias("session_id"), kind.alias("kind"), name.alias("name"), declared.alias("declared"), F.encode(content, "UTF-8").alias("content"))
+
+
+def page_stores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pages with images, sessions in memory, patches of snapshots (all from orders), and requests (lines)."""
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"))
+    kinds = F.explode(F.array(F.lit("questionPaper"), F.lit("answerSheet"))).alias("kind")
+    text, at = F.col("session_id").cast("string"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    images = s.filter("session_id % 3 = 0").select("session_id", kinds).select("*", F.expr("explode(sequence(1L, 2L))").alias("page"))
+    images = images.select("*", F.concat_ws("/", F.lit("img"), text, "kind", F.col("page").cast("string")).alias("url"))
+    memory = s.filter("session_id % 5 < 2").select("session_id", kinds)
+    memory = memory.select("*", F.when((F.col("kind") == "answerSheet") | (F.col("session_id") % 5 == 0), F.concat(F.lit("mem/"), text)).alias("stored_path"))
+    meta = lambda name: F.concat(F.lit(f'{{"storedPath": "{name}/'), text, F.lit('"}'))
+    paper = F.when(F.col("session_id") % 4 == 0, F.lit("null")).otherwise(meta("paper"))
+    kept = s.filter("session_id % 7 <> 0").select("session_id", at.alias("at"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit('{"answerSheet": '), meta("sheet"), F.lit(', "questionPaper": '), paper, F.lit("}")).alias("patch"))
+    n, p = F.col("l_linenumber"), F.col("l_suppkey")
+    kind = F.when(n % 4 == 0, "questionPaper").when(n % 4 == 3, "cover").otherwise("answerSheet")
+    page = F.get(F.array(F.lit("1"), F.lit(" 2.0 "), F.lit("3"), F.lit("0"), F.lit("1.5"), F.lit("x")), (p % 6).cast("int"))
+    asked = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("request_id"), F.col("l_orderkey").alias("session_id"), kind.alias("kind"), page.alias("page"))
+    return images, memory, kept, asked
