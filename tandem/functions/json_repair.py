@@ -1,6 +1,7 @@
 """Repair of malformed JSON text: candidate texts from the least to the most changed; the first that parses wins."""
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from itertools import accumulate
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tandem.functions.fixed import SPACE
+from tandem.functions.labels import trimmed
+
 #: A string (also one that is cut off), a bracket or a comma.
 TOKEN = re.compile(r'"(?:[^"\\]|\\.?)*+"?|[{}\[\],]', re.S)
 CLOSER = {"{": "}", "[": "]"}
@@ -16,15 +20,15 @@ CLOSER = {"{": "}", "[": "]"}
 
 def without_fences(text: Column) -> Column:
     """Without a code fence at the very start and the end, and then without white space at both ends."""
-    return F.regexp_replace(unfenced(text), r"^\s+|\s+\z", "")
+    return trimmed(unfenced(text))
 
 
 def unfenced(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?i)^```(?:json)?\s*", ""), r"```\s*\z", "")
+    return F.regexp_replace(F.regexp_replace(text, f"(?i)^```(?:json)?{SPACE}*", ""), f"```{SPACE}*\\z", "")
 
 
 def plain_quotes_no_trailing_commas(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, "“”‘’", "\"\"''"), r",\s*([}\]])", "$1")
+    return F.regexp_replace(F.translate(text, "“”‘’", "\"\"''"), f",{SPACE}*([}}\\]])", "$1")
 
 
 def widest_span(text: Column) -> Column:
@@ -53,10 +57,25 @@ def _refused(constant: str):
     raise ValueError(constant)
 
 
+#: Half of a pair of code units: no text by itself, so it stays escaped.
+LONE = re.compile("[\ud800-\udfff]")
+
+
+def _float(digits: str) -> float | None:
+    """A number, null if it is beyond the range of doubles."""
+    x = float(digits)
+    return x if math.isfinite(x) else None
+
+
+def _int(digits: str) -> int | None:
+    return int(digits) if _float(digits) is not None else None
+
+
 def _parsed(text: str) -> str | None:
-    """Compact JSON of a strict JSON text (no NaN, no Infinity), null for others."""
+    """Compact JSON of a strict JSON text (no NaN, no Infinity), null for others; numbers beyond doubles are null in it."""
     try:
-        return json.dumps(json.loads(text, parse_constant=_refused), separators=(",", ":"), ensure_ascii=False)
+        value = json.loads(text, parse_constant=_refused, parse_float=_float, parse_int=_int)
+        return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, separators=(",", ":"), ensure_ascii=False))
     except (ValueError, RecursionError):
         return None
 

@@ -3,11 +3,13 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tandem.functions.fixed import OUTER, SPACE, SPACES
+
 # What counts as a prefix, as punctuation around a label, and as a label with a sub-part.
-PREFIX = r"(?i)^(ans|answer|question|qn|q)\.?\s*"
-SECOND_PREFIX = r"(?i)^q\.?\s*"
+PREFIX = rf"(?i)^(ans|answer|question|qn|q)\.?{SPACE}*"
+SECOND_PREFIX = rf"(?i)^q\.?{SPACE}*"
 LEADING, TRAILING = r"^[.\-:]+", r"[.\-:)]+$"
-SUB_PART = r"^(\d+)\s*[.(\-\s]*\(?\s*([a-zA-Z0-9])\)?\s*$"
+SUB_PART = rf"^(\d+){SPACE}*[.(\-{SPACES}]*\(?{SPACE}*([a-zA-Z0-9])\)?{SPACE}*$"
 NO_NUMBER = 9007199254740991
 
 
@@ -18,7 +20,7 @@ def let(value: Column, use) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, OUTER, "")
 
 
 def _bare(raw: Column) -> Column:
@@ -28,7 +30,7 @@ def _bare(raw: Column) -> Column:
 
 def canonical(raw: Column) -> Column:
     """The label that equal labels share: ``5``, ``4(a)``, or the lower-cased rest; null for a null or blank label."""
-    return F.when(raw.rlike(r"\S"), F.lower(F.regexp_replace(_bare(raw), SUB_PART, "$1($2)")))
+    return F.when(raw.rlike(f"[^{SPACES}]"), F.lower(F.regexp_replace(_bare(raw), SUB_PART, "$1($2)")))
 
 
 def order_of(canonical: Column) -> Column:

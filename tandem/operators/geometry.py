@@ -4,6 +4,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.functions.fixed import SPACE
+from tandem.functions.labels import trimmed
+from tandem.sources.tables import written
+
 # Horizontal and vertical padding, least gap and page height in pixels.
 PAD_X, PAD_Y, LEAST_GAP, PAGE_PIXELS = 0.01, 0.012, 50.0, 2000.0
 
@@ -84,24 +88,39 @@ def shifts(boxes: DataFrame, insertions: DataFrame, pixels: float = PAGE_PIXELS)
 
 def run_label(text):
     """A run's text or a label as they are compared: trimmed, lower-cased, white space folded."""
-    return F.regexp_replace(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+", " ")
+    return F.regexp_replace(F.lower(trimmed(text)), f"{SPACE}+", " ")
 
 
 def ordered_runs(runs: DataFrame) -> DataFrame:
     """Runs with text, numbered (``place``, from 0) by page and top within their session."""
     w = Window.partitionBy("session_id").orderBy("page", "y", "run")
-    return runs.filter(F.trim("text") != "").withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+    return runs.filter(trimmed(F.col("text")) != "").withColumn("place", (F.row_number().over(w) - 1).cast("long"))
 
 
 def anchors(blocks: DataFrame, placed_runs: DataFrame) -> DataFrame:
     """session_id, answer_id, place: each block's run, the next unclaimed one that begins with its label.
 
-    Blocks claim in order of ``seq``, so a label may be the beginning of another
-    one. A session is one uploaded document, of bounded size; its labels and
-    runs meet in one group, other columns stay away.
+    Runs meet labels in their beginnings of the labels' lengths. Where every run of
+    a session begins with one label at most, labels do not compete, and the n-th
+    block of a label has its n-th run. In other sessions, as with ``ans 1`` and
+    ``ans 10``, blocks claim one after the other in order of ``seq``; only those
+    sessions' matching runs go through Python, a session (one document) at a time.
     """
-    labels = blocks.select("session_id", "answer_id", "seq", run_label(F.col("label")).alias("label")).filter("label <> ''")
+    labels = written(blocks.select("session_id", "answer_id", "seq", run_label(F.col("label")).alias("label")).filter("label <> ''"), "labels")
     texts = placed_runs.select("session_id", "place", run_label(F.col("text")).alias("text"))
+    lengths = labels.select("session_id", F.length("label").alias("n")).distinct()
+    begun = texts.join(lengths, "session_id").filter(F.length("text") >= F.col("n")).select("session_id", "place", "text", F.left("text", F.col("n")).alias("label"))
+    met = written(begun.join(labels.select("session_id", "label").distinct(), ["session_id", "label"]), "met")
+    competing = met.groupBy("session_id", "place").agg(F.count("*").alias("labels")).filter("labels > 1").select("session_id").distinct()
+    nth = lambda order: F.row_number().over(Window.partitionBy("session_id", "label").orderBy(order))
+    free = met.join(competing, "session_id", "left_anti").withColumn("r", nth("place"))
+    asking = labels.join(competing, "session_id", "left_anti").withColumn("r", nth("seq"))
+    alone = asking.join(free, ["session_id", "label", "r"]).select("session_id", "answer_id", "place")
+    return alone.unionByName(_claimed(labels.join(competing, "session_id", "left_semi"), met.join(competing, "session_id", "left_semi").select("session_id", "place", "text").distinct()))
+
+
+def _claimed(labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """session_id, answer_id, place: labels claim the first free run that begins with them, one after the other."""
 
     def claims(key, labels, texts):
         texts = texts.sort_values("place")

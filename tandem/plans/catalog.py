@@ -297,8 +297,8 @@ def page_boxes(spark, d):
 
 
 def _broken(spark, d):
-    kinds = F.array(F.col("props"), F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.regexp_replace("props", "}$", ",}"), F.concat(F.lit("Here it is: "), "props", F.lit(" as asked.")), F.concat(F.lit('{"items": ['), "props", F.lit(", "), "props", F.lit(", ")), F.concat(F.lit("{“note”: ”it‘s it’s“, “p”: ["), "props", F.lit(", ] }")))
-    return D.table(spark, d, "events").select("event_id", F.get(kinds, (F.col("event_id") % 6).cast("int")).alias("raw"))
+    kinds = F.array(F.col("props"), F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.regexp_replace("props", "}$", ",}"), F.concat(F.lit("Here it is: "), "props", F.lit(" as asked.")), F.concat(F.lit('{"items": ['), "props", F.lit(", "), "props", F.lit(", ")), F.concat(F.lit("{“note”: ”it‘s it’s“, “p”: ["), "props", F.lit(", ] }")), F.concat(F.lit('{"a": "\\ud800", "p": '), "props", F.lit("}")), F.concat(F.lit('\ufeff{"a": [1e400, -9], "p": '), "props", F.lit("}\u00a0")))
+    return D.table(spark, d, "events").select("event_id", F.get(kinds, (F.col("event_id") % 8).cast("int")).alias("raw"))
 
 
 def strip_fences(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from tandem.functions.fixed import SPACE, SPACES
 from tandem.plans import flow_oracles
 
 # Patterns, limits and wordings must be those of the DataFrame code.
@@ -41,9 +44,10 @@ lines AS (
   FROM lineitem),
 answers AS (
   SELECT l_orderkey AS session_id, l_orderkey || '-a' || seq AS answer_id, seq,
-    CASE l_partkey % 8 WHEN 0 THEN 'Ans ' || l_linenumber WHEN 1 THEN 'Q.' || l_linenumber WHEN 2 THEN l_linenumber || '.' WHEN 3 THEN 'Question ' || l_linenumber
+    CASE l_partkey % 8 WHEN 0 THEN CASE WHEN l_suppkey % 4 = 0 THEN 'Ans' || chr(160) ELSE 'Ans ' END || l_linenumber WHEN 1 THEN CASE WHEN l_suppkey % 4 = 0 THEN 'Q.' || chr(8201) ELSE 'Q.' END || l_linenumber
+      WHEN 2 THEN CASE WHEN l_suppkey % 4 = 0 THEN chr(65279) ELSE '' END || l_linenumber || '.' WHEN 6 THEN CASE WHEN l_suppkey % 4 = 0 THEN chr(160) END WHEN 3 THEN 'Question ' || l_linenumber
       WHEN 4 THEN l_linenumber || '(a)' WHEN 5 THEN l_linenumber || '(o)' WHEN 7 THEN 'Ans ' || (l_linenumber + 10) END AS raw_label,
-    repeat('x', l_quantity::INT * 5) || CASE WHEN l_partkey % 3 = 0 THEN ' about subject' || (l_suppkey % 7) ELSE '' END AS text, l_suppkey % 3 + 1 AS page, l_returnflag = 'R' AS crossed_out,
+    repeat('x', l_quantity::INT * 5) || CASE WHEN l_partkey % 3 = 0 THEN ' about subject' || (l_suppkey % 7) ELSE chr(160) END AS text, l_suppkey % 3 + 1 AS page, l_returnflag = 'R' AS crossed_out,
     l_linestatus = 'F' AND l_suppkey % 5 = 0 AS low_confidence, l_suppkey % 11 = 0 AS has_diagram,
     (l_linenumber - 1) / 8.0::DOUBLE AS y, l_quantity / 200.0::DOUBLE AS h, l_tax AS x, l_discount + 0.5::DOUBLE AS w
   FROM lines)"""
@@ -57,7 +61,7 @@ GROUPS = f"""
 answer_labels AS MATERIALIZED (SELECT raw_label, {canonical('raw_label')} AS canonical FROM (SELECT DISTINCT raw_label FROM answers WHERE raw_label IS NOT NULL)),
 labelled AS (SELECT a.*, c.canonical FROM answers a LEFT JOIN answer_labels c ON a.raw_label = c.raw_label),
 ranked AS (
-  SELECT *, seq - lag(seq) OVER g AS gap, length(text) * CASE WHEN crossed_out THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN low_confidence THEN 0.7::DOUBLE ELSE 1 END AS worth, row_number() OVER g AS first
+  SELECT *, seq - lag(seq) OVER g AS gap, length({trim('text')}) * CASE WHEN crossed_out THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN low_confidence THEN 0.7::DOUBLE ELSE 1 END AS worth, row_number() OVER g AS first
   FROM labelled WHERE canonical IS NOT NULL WINDOW g AS (PARTITION BY session_id, canonical ORDER BY seq)),
 bested AS (
   SELECT *, row_number() OVER (PARTITION BY session_id, canonical ORDER BY worth DESC, seq) AS best,
@@ -67,7 +71,7 @@ resolved AS MATERIALIZED (
   SELECT *, CASE WHEN merged THEN CASE WHEN first = 1 THEN 'primary' ELSE 'additional' END ELSE CASE WHEN best = 1 THEN 'primary' ELSE 'duplicate' END END AS role FROM bested),
 groups AS MATERIALIZED (
   SELECT session_id, canonical, min(seq) AS first_seq, max(answer_id) FILTER (role = 'primary') AS answer_id, bool_or(role = 'primary' AND crossed_out) AS a_crossed,
-    bool_or(role = 'primary' AND low_confidence) AS a_low, max(length(text)) FILTER (role = 'primary') AS a_length, count(*) FILTER (role = 'additional') AS n_additional,
+    bool_or(role = 'primary' AND low_confidence) AS a_low, max(length({trim('text')})) FILTER (role = 'primary') AS a_length, count(*) FILTER (role = 'additional') AS n_additional,
     string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (role <> 'duplicate') AS full_text
   FROM resolved GROUP BY 1, 2)"""
 
@@ -80,7 +84,8 @@ def score(base: str) -> str:
 
 
 def similarity(a: str, b: str) -> str:
-    x, y = f"coalesce({canonical(a)}, {a})", f"coalesce({canonical(b)}, {b})"
+    # levenshtein counts bytes here; the one label beyond ASCII is a no-break space.
+    x, y = (f"replace(coalesce({canonical(v)}, {v}), chr(160), chr(26))" for v in (a, b))
     return f"(CASE WHEN {x} = {y} THEN 1::DOUBLE ELSE 1 - levenshtein({x}, {y}) / greatest(length({x}), length({y}), 1)::DOUBLE END)"
 
 
@@ -133,7 +138,7 @@ more AS MATERIALIZED (
   SELECT session_id, question_id, answer_id, 'semantic' AS method, least(ratio * 1.5::DOUBLE, 0.6::DOUBLE) AS base FROM picked
   UNION ALL SELECT q.session_id, q.question_id, a.answer_id, 'sequence-fallback', 0.35::DOUBLE FROM rest_q q JOIN rest_a a ON q.session_id = a.session_id WHERE q.n = 1 AND a.n = 1),
 scored AS (
-  SELECT m.session_id, m.question_id, m.answer_id, m.method, m.base, u.text AS full_text, u.crossed_out AS a_crossed, u.low_confidence AS a_low, length(u.text) AS a_length, n.q_low, n.marks
+  SELECT m.session_id, m.question_id, m.answer_id, m.method, m.base, u.text AS full_text, u.crossed_out AS a_crossed, u.low_confidence AS a_low, length({trim('u.text')}) AS a_length, n.q_low, n.marks
   FROM more m JOIN unused u ON m.session_id = u.session_id AND m.answer_id = u.answer_id JOIN numbered n ON m.session_id = n.session_id AND m.question_id = n.question_id),
 added AS (SELECT *, {score('base')} AS confidence FROM scored),
 mappings AS MATERIALIZED (
@@ -175,8 +180,9 @@ SAVES = """saves AS (
 INSERTIONS = f"""WITH {ANSWERS}, e AS (SELECT session_id, page, answer_id, min(y) * 2000::DOUBLE AS top, max(y + h) * 2000::DOUBLE AS bottom FROM answers GROUP BY 1, 2, 3),
 n AS (SELECT *, 50::DOUBLE - (lead(top) OVER (PARTITION BY session_id, page ORDER BY top, answer_id) - bottom) AS amount FROM e),
 ins AS (SELECT *, floor(amount * 1000 + 0.5)::BIGINT AS amount_e3 FROM n WHERE amount > 0)"""
-BROKEN = r"""WITH broken AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN regexp_replace(props, '}$', ',}')
-  WHEN 3 THEN 'Here it is: ' || props || ' as asked.' WHEN 4 THEN '{"items": [' || props || ', ' || props || ', ' ELSE '{“note”: ”it‘s it’s“, “p”: [' || props || ', ] }' END AS raw FROM events)"""
+BROKEN = r"""WITH broken AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN regexp_replace(props, '}$', ',}')
+  WHEN 3 THEN 'Here it is: ' || props || ' as asked.' WHEN 4 THEN '{"items": [' || props || ', ' || props || ', ' WHEN 5 THEN '{“note”: ”it‘s it’s“, “p”: [' || props || ', ] }'
+  WHEN 6 THEN '{"a": "\ud800", "p": ' || props || '}' ELSE chr(65279) || '{"a": [1e400, -9], "p": ' || props || '}' || chr(160) END AS raw FROM events)"""
 
 ORACLES = {
     "normalize_label": f"WITH {ANSWERS}, c AS (SELECT *, {canonical('raw_label')} AS canonical FROM answers) SELECT answer_id, raw_label, canonical, {sort_key('canonical')} AS sort_key FROM c",
@@ -278,14 +284,10 @@ ORACLES = {
     "array_ops": """WITH g AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS a FROM lineitem GROUP BY 1)
         SELECT l_orderkey, len(list_distinct(a))::BIGINT AS n_distinct, list_min(a) > 1 AS all_above_1, list_contains(a, 3) AS has_3, array_to_string(a[2:], ',') AS rest, coalesce(list_position(a, 2), 0)::BIGINT AS at_2 FROM g""",
 }
-ORACLES["orphan_caption"] = f"""SELECT o.session_id, o.answer_id, 'Page ' || (l.l_suppkey % 3 + 1) || ' • ' || CASE
+ORACLES["orphan_caption"] = f"""SELECT o.session_id, o.answer_id, 'Page ' || l.page || ' • ' || CASE
       WHEN o.reason = 'duplicate-of-mapped' THEN 'Looks like a duplicate/extra attempt at Q' || (SELECT any_value(CASE WHEN n <= 7 THEN 'Q' || n ELSE (n - 7) || '(a)' END) FROM range(1, 11) t(n) WHERE o.guess_question_id = o.session_id || '-q' || n)
-      WHEN l.kind = 6 THEN 'No question number could be identified'
-      ELSE 'Student wrote "' || CASE l.kind WHEN 0 THEN 'Ans ' || l_linenumber WHEN 1 THEN 'Q.' || l_linenumber WHEN 2 THEN l_linenumber || '.' WHEN 3 THEN 'Question ' || l_linenumber WHEN 4 THEN l_linenumber || '(a)' WHEN 5 THEN l_linenumber || '(o)'
-        ELSE 'Ans ' || (l_linenumber + 10) END || '" but no matching question was found' END AS caption
-    FROM ({ORACLES['orphans']}) o JOIN (
-      SELECT *, l_partkey % 8 AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS seq FROM lineitem) l
-    ON l.l_orderkey = o.session_id AND l.seq = o.seq"""
+      WHEN l.raw_label IS NULL THEN 'No question number could be identified' ELSE 'Student wrote "' || l.raw_label || '" but no matching question was found' END AS caption
+    FROM ({ORACLES['orphans']}) o JOIN (WITH {ANSWERS} SELECT answer_id, page, raw_label FROM answers) l ON l.answer_id = o.answer_id"""
 ORACLES["merge_answers"] = f"""{LINK} SELECT session_id, question_id, full_text AS merged FROM mappings WHERE answer_id IS NOT NULL"""
 ORACLES["display_labels"] = f"""{LINK}, named AS (SELECT m.session_id, m.answer_id, q.label FROM mappings m JOIN questions q ON m.question_id = q.question_id WHERE m.answer_id IS NOT NULL)
     SELECT a.session_id, a.answer_id, CASE WHEN n.answer_id IS NULL THEN 'Unmapped' ELSE 'Q' || n.label END AS shown FROM answers a LEFT JOIN named n ON a.session_id = n.session_id AND a.answer_id = n.answer_id"""
@@ -293,7 +295,8 @@ ORACLES["warnings"] = f"""WITH {ANSWERS}, n AS (
       SELECT session_id, page, seq, 0 AS k, 'low confidence: ' || answer_id AS note FROM answers WHERE low_confidence UNION ALL SELECT session_id, page, seq, 1, 'crossed out: ' || answer_id FROM answers WHERE crossed_out)
     SELECT s.session_id, coalesce(string_agg(n.note, '; ' ORDER BY n.page, n.seq, n.k), '') AS warnings FROM (SELECT DISTINCT session_id FROM answers) s LEFT JOIN n ON s.session_id = n.session_id GROUP BY 1"""
 ORACLES["json_repair"] = BROKEN + r""", p AS (SELECT e.event_id, replace(e.props, ' ', '') AS one FROM events e)
-    SELECT event_id, CASE WHEN event_id % 6 < 4 THEN one WHEN event_id % 6 = 4 THEN '{"items":[' || one || ',' || one || ']}' ELSE '{"note":"it''s it''s","p":[' || one || ']}' END AS value FROM p"""
+    SELECT event_id, CASE WHEN event_id % 8 < 4 THEN one WHEN event_id % 8 = 4 THEN '{"items":[' || one || ',' || one || ']}' WHEN event_id % 8 = 5 THEN '{"note":"it''s it''s","p":[' || one || ']}'
+      WHEN event_id % 8 = 6 THEN '{"a":"\ud800","p":' || one || '}' ELSE '{"a":[null,-9],"p":' || one || '}' END AS value FROM p"""
 ORACLES["entry_formats"] = f"""WITH {SAVES}, u AS (SELECT session_id, min(saved_at) AS created_at, max(saved_at) AS last_saved, arg_max(percent, saved_at) AS percent FROM saves GROUP BY session_id)
     SELECT session_id, strftime(last_saved, '%-d %b %Y, %I:%M %p') AS saved, last_saved - created_at > INTERVAL 60 SECOND AS opened_later, floor(percent / 101.0::DOUBLE * 100 + 0.5)::BIGINT || '%' AS confidence,
       CASE WHEN percent % 10 = 0 THEN '—' WHEN percent % 2 = 0 THEN (percent // 2) || '/50' ELSE (percent // 2) || '.5/50' END AS score, 100 - greatest(0, least(100, percent * 2 - 20)) AS offset FROM u"""
@@ -323,3 +326,11 @@ ORACLES["highlight_boxes"] = f"""{LINK}, used AS (SELECT *, row_number() OVER (P
     UNION ALL SELECT m.session_id, m.question_id, 0, a.answer_id, a.page, a.y, a.h FROM mappings m JOIN answers a ON m.session_id = a.session_id AND m.answer_id = a.answer_id WHERE m.answer_id IS NOT NULL AND NOT m.by_number"""
 ORACLES["split_labels_whole"] = ORACLES["split_labels"]
 ORACLES |= flow_oracles.ORACLES
+
+
+def any_space(sql: str) -> str:
+    """White space in patterns, spelled out: ``\\s`` is ASCII in DuckDB."""
+    return re.sub(r"(?<=[-9])\\s(?=\])", lambda _: SPACES, sql).replace(r"\s", SPACE)
+
+
+ORACLES = {name: any_space(sql) for name, sql in ORACLES.items()}

@@ -15,7 +15,13 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses of a session (an order): its lines in writing order."""
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     n = F.col("l_linenumber").cast("string")
-    labels = [F.concat(F.lit("Ans "), n), F.concat(F.lit("Q."), n), F.concat(n, F.lit(".")), F.concat(F.lit("Question "), n), F.concat(n, F.lit("(a)")), F.concat(n, F.lit("(o)")), F.lit(None).cast("string"), F.concat(F.lit("Ans "), (F.col("l_linenumber") + 10).cast("string"))]
+    # Every fourth label has other white space than blanks, or nothing else.
+    odd = F.col("l_suppkey") % 4 == 0
+    either = lambda strange, plain: F.when(odd, strange).otherwise(F.lit(plain) if plain is not None else F.lit(None).cast("string"))
+    labels = [
+        F.concat(either("Ans\u00a0", "Ans "), n), F.concat(either("Q.\u2009", "Q."), n), F.concat(either("\ufeff", ""), n, F.lit(".")), F.concat(F.lit("Question "), n), F.concat(n, F.lit("(a)")), F.concat(n, F.lit("(o)")),
+        either("\u00a0", None), F.concat(F.lit("Ans "), (F.col("l_linenumber") + 10).cast("string")),
+    ]
     kind = (F.col("l_partkey") % 8).cast("int")
     rows = table(spark, sf_dir, "lineitem").withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
     return rows.select(
@@ -23,7 +29,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-a"), F.col("seq").cast("string")).alias("answer_id"),
         "seq",
         F.get(F.array(*labels), kind).alias("raw_label"),
-        F.concat(F.repeat(F.lit("x"), F.col("l_quantity").cast("int") * 5), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" about subject"), (F.col("l_suppkey") % 7).cast("string"))).otherwise("")).alias("text"),
+        F.concat(F.repeat(F.lit("x"), F.col("l_quantity").cast("int") * 5), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" about subject"), (F.col("l_suppkey") % 7).cast("string"))).otherwise("\u00a0")).alias("text"),
         (F.col("l_suppkey") % 3 + 1).alias("page"),
         (F.col("l_returnflag") == "R").alias("crossed_out"),
         ((F.col("l_linestatus") == "F") & (F.col("l_suppkey") % 5 == 0)).alias("low_confidence"),

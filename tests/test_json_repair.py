@@ -23,6 +23,12 @@ CASES = [
     ('x [1, 2] ] y', None),
     ("", None),
     (None, None),
+    # Half a pair of code units, numbers beyond doubles, and white space of any kind.
+    ('{"a": "\\ud800", "b": "\\ud83d\\ude00"}', '{"a":"\\ud800","b":"😀"}'),
+    ('{"a": 1e400, "b": [-1e999, 2.5]}', '{"a":null,"b":[null,2.5]}'),
+    (f'[{"9" * 400}, 12]', "[null,12]"),
+    ("\ufeff\u00a0[1,\u2003]\u3000", "[1]"),
+    ("```json\u00a0[1]\u00a0```\u00a0", "[1]"),
 ]
 
 
