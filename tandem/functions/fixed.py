@@ -1,9 +1,8 @@
 """Fixed values that the DataFrame code and the SQL state alike."""
 
-# White space of labels and texts, as the inside of a pattern's class, which RE2 and Java both read; the class; and
-# the pattern for what is cut at both ends.
+# White space of labels and texts, as characters, as the inside of a pattern's class, which RE2 and Java both read, and as the class.
+SPACE_CHARS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACES = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 SPACE = f"[{SPACES}]"
-OUTER = f"^{SPACE}+|{SPACE}+$"
 # White space between words.
 BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"

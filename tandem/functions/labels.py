@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tandem.functions.fixed import OUTER, SPACE, SPACES
+from tandem.functions.fixed import SPACE, SPACE_CHARS, SPACES
 
 # What counts as a prefix, as punctuation around a label, and as a label with a sub-part.
 PREFIX = rf"(?i)^(ans|answer|question|qn|q)\.?{SPACE}*"
@@ -20,7 +20,7 @@ def let(value: Column, use) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, OUTER, "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def _bare(raw: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.functions.fixed import SPACE, SPACES
+from tandem.functions.fixed import SPACE
 from tandem.functions.labels import digits, trimmed
 
 # Stop words of the overlap score.
@@ -17,8 +17,8 @@ REFERENCE = rf"(?:diagram|figure|table|chart)?{SPACE}*(?:for{SPACE}+)?(?:ans(?:w
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case words of three letters or digits and more that are no stop words."""
-    words = F.split(F.regexp_replace(F.lower(text), f"[^a-z0-9{SPACES}]", " "), f"{SPACE}+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    return F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
 
 
 def overlap_ratio(asked: Column, given: Column) -> Column:

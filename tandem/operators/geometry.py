@@ -179,3 +179,42 @@ def image_pixels(width, height):
     """Width of an image after small ones are scaled up so that their shorter side is SCALED_EDGE."""
     short = F.least(width, height)
     return F.when(short < LEAST_EDGE, F.floor(width * (SCALED_EDGE / short) + 0.5)).otherwise(width).cast("long")
+
+
+# How far a glyph reaches above and below its baseline, in font heights.
+ASCENT, DESCENT = 0.82, 0.28
+
+
+def run_fractions(runs: DataFrame) -> DataFrame:
+    """Text runs in page units as fractions of their page, from the top left: x, y_top, y_bottom, width; blank ones are left out.
+
+    runs: a, b, c, d, e, f (the matrix that places the run, from the bottom left),
+    run_width (null: as wide as so many letters of the matrix), text, page_width,
+    page_height, and others, which stay.
+    """
+    wide = F.hypot("a", "b")
+    upright = F.hypot("c", "d")
+    height = F.when(upright > 0, upright).otherwise(wide)
+    own = F.coalesce(F.col("run_width"), wide * F.length("text"))
+    down = lambda y: (F.col("page_height") - y) / F.col("page_height")
+    kept = runs.filter(trimmed(F.col("text")) != "")
+    placed = kept.select("*", (F.col("e") / F.col("page_width")).alias("x"), down(F.col("f") + height * ASCENT).alias("y_top"), down(F.col("f") - height * DESCENT).alias("y_bottom"), (own / F.col("page_width")).alias("width"))
+    return placed.drop("a", "b", "c", "d", "e", "f", "run_width", "page_width", "page_height")
+
+
+def word_fractions(words: DataFrame) -> DataFrame:
+    """Boxes of words in pixels (x0, y0, x1, y1 of an image of image_width by image_height) as fractions: x, y, width, height."""
+    w, h = F.col("image_width"), F.col("image_height")
+    placed = words.select("*", (F.col("x0") / w).alias("x"), (F.col("y0") / h).alias("y"), ((F.col("x1") - F.col("x0")) / w).alias("width"), ((F.col("y1") - F.col("y0")) / h).alias("height"))
+    return placed.drop("x0", "y0", "x1", "y1", "image_width", "image_height")
+
+
+def css(x, y, w, h) -> list:
+    """left, top, width and height of a box in percent of its page, as style sheets have them."""
+    return [F.concat((c * 100).cast("string"), F.lit("%")).alias(n) for c, n in ((x, "left"), (y, "top"), (w, "width"), (h, "height"))]
+
+
+def page_counts(answers: DataFrame, files: DataFrame) -> DataFrame:
+    """session_id, pages: the file's own count (files: session_id, page_count), but no less than the highest page with an answer, and 1."""
+    seen = answers.groupBy("session_id").agg(F.max("page").alias("highest"))
+    return seen.join(files, "session_id", "full").select("session_id", F.greatest(F.coalesce("page_count", F.lit(1)), F.coalesce("highest", F.lit(1)), F.lit(1)).cast("long").alias("pages"))

@@ -32,3 +32,11 @@ def page(entries: DataFrame, number: int, size: int = PAGE) -> DataFrame:
 def statistics(entries: DataFrame) -> DataFrame:
     """Entries, mean and best percent (rounded half up) of each owner."""
     return entries.groupBy("owner").agg(F.count("*").alias("n"), F.floor((2 * F.sum("percent") + F.count("*")) / (2 * F.count("*"))).alias("mean_percent"), F.max("percent").alias("best_percent"))
+
+
+def showing(entries: DataFrame, number: int, size: int = PAGE) -> DataFrame:
+    """owner and what page ``number`` (clamped to the last) shows, as ``Showing a–b of n exams``; null where one page holds all."""
+    kept = newest(entries).groupBy("owner").agg(F.count("*").alias("n"))
+    at = F.least(F.lit(number), F.ceil(F.col("n") / size)).cast("long")
+    text = F.format_string("Showing %d–%d of %d exams", (at - 1) * size + 1, F.least(at * size, F.col("n")), F.col("n"))
+    return kept.select("owner", F.when(F.col("n") > size, text).alias("showing"))

@@ -16,8 +16,24 @@ from tandem.sources.tables import written
 EXACT_BASE, FUZZY_LEAST, CONTENT_LEAST, CONTENT_ACCEPT, RESIDUAL_BASE, REVIEW_BELOW, LARGEST_GAP = 0.95, 0.72, 0.08, 0.25, 0.35, 0.55, 3
 
 
+#: Distinct labels up to which they are broadcast; more are shuffled.
+MOST_LABELS = 50_000
+
+
+def per_label(rows: DataFrame, label: str, name: str, form) -> DataFrame:
+    """``rows`` with the column ``name``: the ``form`` of their ``label``, made once for each distinct label.
+
+    ``rows`` are read twice, so they should be a table.
+    """
+    spelled = rows.select(label).filter(F.col(label).isNotNull()).distinct()
+    forms = written(spelled.select(F.col(label).alias("spelled"), form(F.col(label)).alias(name)), "labels")
+    if forms.limit(MOST_LABELS + 1).count() <= MOST_LABELS:
+        forms = F.broadcast(forms)
+    return rows.join(forms, F.col(label) == F.col("spelled"), "left").drop("spelled")
+
+
 def labelled(answers: DataFrame) -> DataFrame:
-    return answers.withColumn("canonical", canonical(F.col("raw_label"))).filter(F.col("canonical").isNotNull())
+    return per_label(answers, "raw_label", "canonical", canonical).filter("canonical is not null")
 
 
 def resolved(answers: DataFrame) -> DataFrame:
@@ -62,7 +78,7 @@ def needs_review(confidence: Column, below: float = REVIEW_BELOW) -> Column:
 
 
 def keyed(questions: DataFrame) -> DataFrame:
-    return questions.select("session_id", "question_id", "ordinal", "marks", F.col("low_confidence").alias("q_low"), canonical(F.col("label")).alias("canonical"), F.col("text").alias("q_text"))
+    return per_label(questions, "label", "canonical", canonical).select("session_id", "question_id", "ordinal", "marks", F.col("low_confidence").alias("q_low"), "canonical", F.col("text").alias("q_text"))
 
 
 #: What a question gets from its answer.
@@ -75,26 +91,44 @@ def exact(keyed_questions: DataFrame, g: DataFrame) -> DataFrame:
     return joined.withColumn("method", F.when(F.col("answer_id").isNotNull(), "number-exact")).withColumn("confidence", F.when(F.col("answer_id").isNotNull(), score(F.lit(EXACT_BASE))))
 
 
-def fuzzy(keyed_questions: DataFrame, g: DataFrame) -> DataFrame:
-    """Questions without a group, with the most similar group of a label that no question has."""
-    q = keyed_questions
-    claimed = q.select("session_id", "canonical").distinct()
-    free = g.join(claimed, ["session_id", "canonical"], "left_anti").withColumnRenamed("canonical", "near").withColumn("y", compared(F.col("near")))
-    open_ = q.filter("canonical is not null").join(g.select("session_id", "canonical"), ["session_id", "canonical"], "left_anti").withColumn("x", compared(F.col("canonical")))
+def _nearest(open_: DataFrame, free: DataFrame) -> DataFrame:
+    """Open questions with the most similar of the free groups of their session, those with none that is similar enough left out."""
+    q = per_label(open_.filter("canonical is not null"), "canonical", "x", compared)
+    g = per_label(free.withColumnRenamed("canonical", "near"), "near", "y", compared)
     # An edit distance is at least the difference of the lengths of what is compared.
     near_length = F.abs(F.length("x") - F.length("y")) <= (1 - FUZZY_LEAST) * F.greatest(F.length("x"), F.length("y")) + 1e-9
-    pairs = open_.join(free, "session_id").filter(near_length).withColumn("similarity", closeness(F.col("x"), F.col("y"))).drop("x", "y")
+    pairs = q.join(g, "session_id").filter(near_length).withColumn("similarity", closeness(F.col("x"), F.col("y"))).drop("x", "y")
     best = Window.partitionBy("session_id", "question_id").orderBy(F.desc("similarity"), "first_seq")
     found = pairs.filter(F.col("similarity") >= FUZZY_LEAST).withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
     return found.withColumn("method", F.lit("number-fuzzy")).withColumn("confidence", score(0.6 + 0.3 * F.col("similarity")))
 
 
+def fuzzy(keyed_questions: DataFrame, g: DataFrame) -> DataFrame:
+    """Questions without a group, with the most similar group of a label that no question has."""
+    claimed = keyed_questions.select("session_id", "canonical").distinct()
+    free = g.join(claimed, ["session_id", "canonical"], "left_anti")
+    open_ = keyed_questions.join(g.select("session_id", "canonical"), ["session_id", "canonical"], "left_anti")
+    return _nearest(open_, free)
+
+
 def by_label(keyed_questions: DataFrame, g: DataFrame) -> DataFrame:
-    """One row per question: matched by exact label, else by near label, else empty."""
-    e = exact(keyed_questions, g)
-    f = fuzzy(keyed_questions, g).select("session_id", "question_id", *[F.col(c).alias(f"f_{c}") for c in LINKED], "near", "similarity")
-    joined = e.join(f, ["session_id", "question_id"], "left")
-    return joined.select("session_id", "question_id", "ordinal", "marks", "canonical", "q_low", "q_text", *[F.coalesce(c, f"f_{c}").alias(c) for c in LINKED], "near", "similarity")
+    """One row per question: matched by exact label, else by near label, else empty.
+
+    Questions and groups meet once: what that leaves on either side are the open
+    questions and the free groups.
+    """
+    own = ["question_id", "ordinal", "marks", "q_low", "q_text"]
+    of_group = [c for c in g.columns if c not in ("session_id", "canonical")]
+    met = written(keyed_questions.join(g, ["session_id", "canonical"], "full"), "met")
+    found = F.col("answer_id").isNotNull()
+    e = met.filter("question_id is not null").withColumn("method", F.when(found, "number-exact")).withColumn("confidence", F.when(found, score(F.lit(EXACT_BASE))))
+    open_ = met.filter("question_id is not null and answer_id is null").select("session_id", "canonical", *own)
+    free = met.filter("question_id is null").select("session_id", "canonical", *of_group)
+    f = written(_nearest(open_, free), "near")
+    columns = ["session_id", "question_id", "ordinal", "marks", "canonical", "q_low", "q_text"]
+    nothing = [F.lit(None).cast("string").alias("near"), F.lit(None).cast("double").alias("similarity")]
+    still = e.filter("answer_id is null").join(f.select("session_id", "question_id"), ["session_id", "question_id"], "left_anti")
+    return e.filter("answer_id is not null").unionByName(still).select(*columns, *LINKED, *nothing).unionByName(f.select(*columns, *LINKED, "near", "similarity"))
 
 
 def candidates(questions: DataFrame, pool: DataFrame) -> DataFrame:
@@ -102,7 +136,8 @@ def candidates(questions: DataFrame, pool: DataFrame) -> DataFrame:
 
     Pairs meet in their common words, which are counted; other pairs are never formed.
     """
-    q = questions.select("session_id", "question_id", "ordinal", tokens(F.col("text")).alias("t"))
+    able = questions.join(pool.select("session_id").distinct(), "session_id", "left_semi")
+    q = able.select("session_id", "question_id", "ordinal", tokens(F.col("text")).alias("t"))
     asked = q.select("session_id", "question_id", "ordinal", F.size("t").alias("n"), F.explode("t").alias("token"))
     given = pool.select("session_id", "answer_id", "seq", F.explode(tokens(F.col("text"))).alias("token"))
     met = asked.join(given, ["session_id", "token"]).groupBy("session_id", "question_id", "ordinal", "answer_id", "seq").agg((F.count("*") / F.first("n").cast("double")).alias("ratio"))

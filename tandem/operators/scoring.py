@@ -61,3 +61,13 @@ def badge_tier(awarded: Column, total: Column) -> Column:
 
 def history_tier(percent: Column) -> Column:
     return F.when(percent >= 80, "Excellent").when(percent >= 50, "Average").otherwise("Needs work")
+
+
+def clamp01(value):
+    """A confidence held between 0 and 1; null and NaN become 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(F.coalesce(value, F.lit(0.0)), F.lit(0.0))))
+
+
+def guarded_index(index, candidates):
+    """A candidate's index (double) if it is whole and one of ``candidates`` many, else null."""
+    return F.when((index == F.floor(index)) & (index >= 0) & (index < candidates), index.cast("long"))

@@ -40,7 +40,7 @@ def normalize_label(spark, d):
 def label_similarity(spark, d):
     q = D.questions(spark, d).select("session_id", F.col("label").alias("a"))
     r = D.answers(spark, d).select("session_id", F.col("raw_label").alias("b")).filter("b is not null")
-    met = q.join(r, "session_id").select("a", "b").distinct().withColumn("x", L.compared(F.col("a"))).withColumn("y", L.compared(F.col("b")))
+    met = q.distinct().join(r.distinct(), "session_id").select("a", "b").distinct().withColumn("x", L.compared(F.col("a"))).withColumn("y", L.compared(F.col("b")))
     return met.select("a", "b", L.closeness(F.col("x"), F.col("y")).alias("similarity"))
 
 
@@ -189,7 +189,11 @@ def split_labels(spark, d):
 
 
 def split_labels_whole(spark, d):
-    return _embedded(spark, d, F.col("text"))
+    """Turns of conversations, which bear their turn's number, cut where they refer to another one."""
+    n = F.col("turn").cast("string")
+    body = F.concat(F.lit("Q"), n, F.lit(": "), F.regexp_replace("text", "\n", " "), F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" figure for question "), (F.col("turn") - 1).cast("string"), F.lit("b"))).otherwise(""))
+    blocks = D.table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), n).alias("block_id"), F.concat(F.lit("Q"), n, F.lit(":")).alias("raw_label"), n.alias("number"), body.alias("body_text"), (F.col("role") == "assistant").alias("has_diagram"))
+    return X.split_embedded(blocks)
 
 
 def segment_lines(spark, d):

@@ -72,3 +72,33 @@ SELECT t.doc_id, CASE WHEN t.rest IS NOT NULL THEN coalesce(l.n_lines, 0) ELSE -
     "nested_orders": """SELECT l_orderkey AS session_id, strftime(o_orderdate, '%Y-%m-%d') AS placed, l_linenumber::BIGINT AS number, l_quantity AS quantity, l_returnflag AS label
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE (l_orderkey // 500) % 7 <> 3""",
 }
+
+
+def late_oracles(answers: str, canonical, history: str) -> dict[str, str]:
+    """SQL that is built on the fixtures of the catalogue."""
+    hyp = lambda x, y: f"sqrt({x} * {x} + {y} * {y})"
+    e9 = lambda x, n: f"floor(({x}) * 1000000000 + 0.5)::BIGINT AS {n}_e9"
+    return {
+        "question_records": """WITH r AS (
+  SELECT o_orderkey AS s, o_orderkey % 3 + 1 AS page, n, 10 - n AS pos, CASE WHEN n <= 7 THEN 'Q' || n ELSE (n - 7) || '(a)' END AS label, CASE WHEN n <= 7 THEN n * 100 ELSE (n - 7) * 100 + 1 END AS k FROM orders, range(1, 11) t(n) WHERE o_orderkey % 11 <> 0)
+SELECT s AS session_id, s || '-q' || page || '-0-' || pos AS question_id, row_number() OVER (PARTITION BY s ORDER BY k, pos) AS place, k::BIGINT AS sort_key, label, 'describe ' || n AS text, page, CASE WHEN (s + n) % 5 <> 0 THEN (s + n) % 5 + 1 END::DOUBLE AS marks,
+  CASE WHEN (s + n) % 3 <> 0 THEN page END AS region_page, CASE WHEN (s + n) % 3 <> 0 THEN n / 32.0::DOUBLE END AS region_y, (s + n) % 13 = 0 AND (s + n) % 4 <> 0 AS low_confidence FROM r""",
+        "answer_records": f"""WITH {answers}, r AS (SELECT *, unnest(CASE WHEN has_diagram THEN [0, 1] ELSE [0] END) AS pos FROM answers)
+SELECT session_id, session_id || '-a' || page || '-' || seq || '-' || pos AS answer_id, row_number() OVER (PARTITION BY session_id ORDER BY page, seq, pos) - 1 AS sequence_index, {canonical('raw_label')} AS canonical,
+  CASE pos WHEN 0 THEN 'text ' || seq ELSE 'drawn' END AS text, CASE WHEN seq % 5 = 0 THEN seq + 1 ELSE page END AS page, (seq % 4 <> 3)::BIGINT AS n_boxes, CASE WHEN seq % 4 <> 3 THEN CASE WHEN seq % 5 = 0 THEN seq + 1 ELSE page END END AS box_page,
+  has_diagram AS contains_diagram, false AS contains_table, crossed_out, low_confidence FROM r""",
+        "run_fractions": f"""WITH m AS (
+  SELECT *, CASE WHEN l_suppkey % 5 = 0 THEN 5.0::DOUBLE ELSE 12.0 END AS wide, 'Ans ' || l_linenumber AS text, 32.0::DOUBLE * l_linenumber AS e, 64.0::DOUBLE * l_linenumber AS f FROM lineitem WHERE l_suppkey % 7 <> 0),
+h AS (SELECT *, CASE WHEN l_suppkey % 3 <> 0 THEN 10.0::DOUBLE + l_suppkey % 2 ELSE wide END AS high FROM m)
+SELECT l_orderkey, l_linenumber, l_suppkey, text, {e9('e / 612::DOUBLE', 'x')}, {e9('(792::DOUBLE - (f + high * 0.82::DOUBLE)) / 792::DOUBLE', 'y_top')}, {e9('(792::DOUBLE - (f - high * 0.28::DOUBLE)) / 792::DOUBLE', 'y_bottom')},
+  {e9('CASE WHEN l_suppkey % 4 <> 0 THEN l_quantity ELSE wide * length(text) END / 612::DOUBLE', 'width')} FROM h""",
+        "word_fractions": """SELECT l_orderkey, l_linenumber, l_suppkey, (l_suppkey % 100) / 256::DOUBLE AS x, l_linenumber * 10 / 128::DOUBLE AS y, floor(l_quantity) / 256::DOUBLE AS width, 8 / 128::DOUBLE AS height FROM lineitem""",
+        "box_style": f"""WITH {answers}, s AS (SELECT session_id, answer_id, floor(x * 64) / 64 * 100 AS l, floor(y * 64) / 64 * 100 AS t, floor(h * 64) / 64 * 100 AS h FROM answers)
+SELECT session_id, answer_id, l::VARCHAR || '%' AS "left", t::VARCHAR || '%' AS top, '50.0%' AS width, h::VARCHAR || '%' AS height FROM s""",
+        "file_pages": f"""WITH {answers}, a AS (SELECT session_id, max(page) AS highest FROM answers GROUP BY 1)
+SELECT coalesce(a.session_id, o_orderkey) AS session_id, greatest(coalesce(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 4 END, 1), coalesce(highest, 1), 1)::BIGINT AS pages FROM a FULL JOIN orders ON a.session_id = o_orderkey""",
+        "history_showing": f"""{history}, k AS (SELECT owner, count(*) AS n FROM placed WHERE place <= 20 GROUP BY 1), p AS (SELECT *, least(2, (n + 5) // 6) AS nr FROM k)
+SELECT owner, CASE WHEN n > 6 THEN 'Showing ' || ((nr - 1) * 6 + 1) || '–' || least(nr * 6, n) || ' of ' || n || ' exams' END AS showing FROM p""",
+        "guarded_matches": """SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::BIGINT % 4 = 0 AND json_extract_string(props, '$.k')::BIGINT // 4 BETWEEN 0 AND 6 THEN json_extract_string(props, '$.k')::BIGINT // 4 END AS index,
+  CASE WHEN event_id % 9 = 0 THEN 0 ELSE greatest(0::DOUBLE, least(1::DOUBLE, value / 100 - 0.25::DOUBLE)) END::DOUBLE AS confidence FROM events""",
+    }

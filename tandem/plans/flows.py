@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.wrapping import wrapped
-from tandem.operators import lookup, snapshots, spacing
+from tandem.operators import extraction, geometry, history, lookup, scoring, snapshots, spacing
 from tandem.operators.scans import Layout
 from tandem.sources import blobs, nested
 from tandem.sources import fixtures as D
@@ -159,4 +159,55 @@ def nested_orders(spark, d):
     return nested.flat(nested.read_lists(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (call_spacing, call_backoff, session_snapshots, snapshot_store, event_sink, resumed_sink, delivered_events, landed_uploads, page_lookup, blob_files, wrapped_text, nested_orders)}
+def question_records(spark, d):
+    """The questions that readers of pages returned."""
+    q = extraction.questions_of(D.question_documents(spark, d))
+    return q.select("session_id", "question_id", "place", F.col("order").alias("sort_key"), "label", "text", "page", "marks", F.col("region")["page"].alias("region_page"), F.col("region")["y"].alias("region_y"), "low_confidence")
+
+
+def answer_records(spark, d):
+    """The answers that readers of pages returned."""
+    a = extraction.answers_of(D.answer_documents(spark, d))
+    return a.select("session_id", "answer_id", "sequence_index", "canonical", "text", "page", F.size("boxes").cast("long").alias("n_boxes"), F.get("boxes", F.lit(0))["page"].alias("box_page"), "contains_diagram", "contains_table", "crossed_out", "low_confidence")
+
+
+def run_fractions(spark, d):
+    """Text runs as fractions of their page."""
+    r = geometry.run_fractions(D.placed_runs(spark, d))
+    e9 = lambda c: F.floor(F.col(c) * 1_000_000_000 + 0.5).cast("long").alias(f"{c}_e9")
+    return r.select("l_orderkey", "l_linenumber", "l_suppkey", "text", e9("x"), e9("y_top"), e9("y_bottom"), e9("width"))
+
+
+def word_fractions(spark, d):
+    """Boxes of words in pixels as fractions of their image."""
+    s, n = F.col("l_suppkey") % 100, F.col("l_linenumber")
+    words = D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", s.alias("x0"), (n * 10).alias("y0"), (s + F.floor("l_quantity")).alias("x1"), (n * 10 + 8).alias("y1"), F.lit(256).alias("image_width"), F.lit(128).alias("image_height"))
+    return geometry.word_fractions(words)
+
+
+def box_style(spark, d):
+    """Boxes as a style sheet has them."""
+    a = D.answers(spark, d).withColumn("w", F.lit(0.5))
+    x, y, w, h = (F.floor(F.col(c) * 64) / 64.0 for c in "xywh")
+    return a.select("session_id", "answer_id", *geometry.css(x, y, w, h))
+
+
+def file_pages(spark, d):
+    """Pages of each session's sheet, by its file and by its answers."""
+    files = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 4).alias("page_count"))
+    return geometry.page_counts(D.answers(spark, d), files)
+
+
+def history_showing(spark, d):
+    """What the second page of each owner's history says that it shows."""
+    return history.showing(D.history(spark, d), 2)
+
+
+def guarded_matches(spark, d):
+    """What a matcher said, guarded: its index among seven candidates, and its confidence."""
+    k = F.get_json_object("props", "$.k").cast("double") / 4
+    said = F.when(F.col("event_id") % 9 != 0, F.col("value") / 100 - 0.25)
+    return D.table(spark, d, "events").select("event_id", scoring.guarded_index(k, F.lit(7)).alias("index"), scoring.clamp01(said).alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (question_records, answer_records, run_fractions, word_fractions, box_style, file_pages, history_showing, guarded_matches, call_spacing, call_backoff, session_snapshots, snapshot_store, event_sink, resumed_sink, delivered_events, landed_uploads, page_lookup, blob_files, wrapped_text, nested_orders)}

@@ -324,8 +324,14 @@ ORACLES["sse_parse"] = """SELECT user_id AS session_id, row_number() OVER (PARTI
 ORACLES["highlight_boxes"] = f"""{LINK}, used AS (SELECT *, row_number() OVER (PARTITION BY session_id, canonical ORDER BY seq) - 1 AS pos FROM resolved WHERE role <> 'duplicate')
     SELECT m.session_id, m.question_id, u.pos, u.answer_id, u.page, u.y, u.h FROM mappings m JOIN used u ON m.session_id = u.session_id AND coalesce(m.near, m.canonical) = u.canonical WHERE m.by_number
     UNION ALL SELECT m.session_id, m.question_id, 0, a.answer_id, a.page, a.y, a.h FROM mappings m JOIN answers a ON m.session_id = a.session_id AND m.answer_id = a.answer_id WHERE m.answer_id IS NOT NULL AND NOT m.by_number"""
-ORACLES["split_labels_whole"] = ORACLES["split_labels"]
-ORACLES |= flow_oracles.ORACLES
+# The same rules over turns: other blocks, which bear a label of their own.
+_blocks, _rules = ORACLES["split_labels"].split(" FROM documents),", 1)
+ORACLES["split_labels_whole"] = (
+    r"""WITH b AS (SELECT conv_id || '-' || turn AS block_id, 'Q' || turn || ':' AS raw_label, turn::VARCHAR AS number,
+          ' ' || replace(text, chr(10), ' ') || CASE WHEN turn % 2 = 1 THEN ' figure for question ' || (turn - 1) || 'b' ELSE '' END AS body, role = 'assistant' AS has_diagram FROM conversations),"""
+    + _rules
+)
+ORACLES |= flow_oracles.ORACLES | flow_oracles.late_oracles(ANSWERS, canonical, HISTORY)
 
 
 def any_space(sql: str) -> str:

@@ -168,3 +168,37 @@ def page_stores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     page = F.get(F.array(F.lit("1"), F.lit(" 2.0 "), F.lit("3"), F.lit("0"), F.lit("1.5"), F.lit("x")), (p % 6).cast("int"))
     asked = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("request_id"), F.col("l_orderkey").alias("session_id"), kind.alias("kind"), page.alias("page"))
     return images, memory, kept, asked
+
+
+def question_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader returned for each session's (order's) page: ten questions as JSON, some without marks or box, some broken off."""
+    s = F.col("o_orderkey")
+    q = lambda n: F.struct(
+        F.when(n <= 7, F.concat(F.lit("Q"), n.cast("string"))).otherwise(F.concat((n - 7).cast("string"), F.lit("(a)"))).alias("questionNumber"),
+        F.concat(F.lit("describe "), n.cast("string")).alias("questionText"),
+        F.when((s + n) % 5 != 0, (s + n) % 5 + 1).alias("totalMarks"),
+        F.when((s + n) % 3 != 0, F.struct((n / F.lit(16.0)).alias("x"), (n / F.lit(32.0)).alias("y"), F.lit(0.5).alias("width"), F.lit(0.25).alias("height"))).alias("boundingBox"),
+        F.when((s + n) % 4 != 0, (s + n) % 13 == 0).alias("lowConfidence"),
+    )
+    raw = F.to_json(F.struct(F.transform(F.sequence(F.lit(10), F.lit(1)), q).alias("questions")))
+    return table(spark, sf_dir, "orders").select(s.alias("session_id"), (s % 3 + 1).alias("page"), F.lit(0).alias("doc"), F.when(s % 11 == 0, F.left(raw, F.lit(40))).otherwise(raw).alias("raw"))
+
+
+def answer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader returned for each line's part of a page: its answer, and a second one where it has a diagram."""
+    a = answers(spark, sf_dir)
+    box = F.when(F.col("seq") % 4 != 3, F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height")))
+    first = F.struct(F.col("raw_label").alias("detectedQuestionNumber"), F.col("raw_label").alias("detectedNumberRawText"), F.concat(F.lit("text "), F.col("seq").cast("string")).alias("answerText"), F.when(F.col("seq") % 5 == 0, F.col("seq") + 1).alias("pageNumber"), box.alias("boundingBox"), "has_diagram", F.col("crossed_out").alias("crossedOut"), F.col("low_confidence").alias("lowConfidence"))
+    first = first.withField("containsDiagram", F.col("has_diagram")).dropFields("has_diagram")
+    both = F.filter(F.array(first, first.withField("answerText", F.lit("drawn"))), lambda _, i: (i == 0) | F.col("has_diagram"))
+    return a.select("session_id", "page", F.col("seq").alias("doc"), F.to_json(F.struct(both.alias("answers"))).alias("raw"))
+
+
+def placed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text runs (lines) as a page's reader places them, on pages of 612 by 792."""
+    n, s = F.col("l_linenumber"), F.col("l_suppkey")
+    zero = F.lit(0.0)
+    upright = s % 3 != 0
+    matrix = [F.when(s % 5 == 0, F.lit(3.0)).otherwise(12.0).alias("a"), F.when(s % 5 == 0, F.lit(4.0)).otherwise(zero).alias("b"), zero.alias("c"), F.when(upright, 10.0 + s % 2).otherwise(zero).alias("d"), (n * 32.0).alias("e"), (n * 64.0).alias("f")]
+    text = F.when(s % 7 == 0, "\u00a0 ").otherwise(F.concat(F.lit("Ans "), n.cast("string")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", *matrix, F.when(s % 4 != 0, F.col("l_quantity")).alias("run_width"), text.alias("text"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
