@@ -1,23 +1,35 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Each rule rejects documents whose rate (in thousandths) is above a cutoff. The
-cutoff of a rule in a stratum (a band of length) is chosen on labelled holdout
-rows: going from the mildest cutoff to stricter ones, a cutoff is certified
-while an exact binomial test rejects "the rule rejects more than its share of
-the risk of the good documents", that is while P(Binomial(good rows, RISK /
-rules) <= rejected good rows) is at most CONFIDENCE / (rules * strata). The fixed
-order needs no correction along the cutoffs, the division corrects for the other
-tests, so with probability 1 - CONFIDENCE all rules together reject at most RISK
-of the good documents in every stratum. Of the certified cutoffs the one that rejects most bad rows less good
-rows is taken, the mildest on ties; if none gains, the rule stays off there.
+Each rule rejects documents whose rate (in thousandths) is above a cutoff. In each
+stratum (a band of length) the cutoffs of all rules are chosen together, on
+labelled rows that are parted by the checksum of their id:
+
+1. On the first part all pairs of a rule and a cutoff are put in one order, the
+   path, by what they cost: rejected good rows for each rejected bad one. A stricter
+   cutoff of a rule never stands before a milder one. Walking along the path, a
+   document is rejected from the first of its pairs on.
+2. On the other part each place of the path is tested: it is certified while an
+   exact binomial test rejects "more than RISK of the good documents are rejected
+   by all rules together", that is while P(Binomial(good rows, RISK) <= rejected
+   good rows) is at most CONFIDENCE / strata. The order is fixed before the test,
+   so it needs no correction along the path and ends at the first place that
+   fails; the division corrects for testing several strata.
+
+So with probability 1 - CONFIDENCE all rules together reject at most RISK of the
+good documents in every stratum. Of the certified places the one that rejects most
+bad rows less good rows is taken, the first on ties; if none gains, all rules stay
+off there. A place without a rejected good row needs 408 good rows in the second
+part (RISK 0.01, CONFIDENCE 0.05, three strata); with fewer nothing can be certified.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm._shared import written
+from tandem.llm._shared import crc32_mod, written
 
 RISK, CONFIDENCE = 0.01, 0.05
+#: One of so many parts of the labelled rows is for the path, the others are for the tests.
+PARTS = 3
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rates, per thousand: rule -> (numerator, denominator). A zero denominator gives rate 0.
 RULES = {
@@ -103,29 +115,41 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def choose_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
     """stratum, rule, cutoff of the rules that are switched on: at most len(RULES) * STRATA rows.
 
-    Holdout rows: documents that pass the base rules and have one quality label
+    Labelled rows: documents that pass the base rules and have one quality label
     (0 or 1; a doc_id labelled twice counts with its lower label).
     """
     labelled = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = counted.filter(~base_failed()).join(labelled, "doc_id").select("quality", stratum().alias("stratum"), *[rate(r).alias(r) for r in RULES])
-    # One row per rule, with the number of its cutoffs that would reject the document.
-    passed = [F.struct(F.lit(r).alias("rule"), sum(((F.col(r) > c).cast("int") for c in CUTOFFS[r]), F.lit(0)).alias("level")) for r in RULES]
-    tallied = (
-        held.select("stratum", "quality", F.explode(F.array(*passed)).alias("x"))
-        .groupBy("stratum", "x.rule", "x.level")
-        .agg(F.sum("quality").cast("long").alias("good"), F.sum(1 - F.col("quality")).cast("long").alias("bad"))
-    )
-    # Level i says that the first cutoffs (the mildest) down to number i - 1 let the document pass: it is above the last `level` ones.
-    totals = tallied.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("level", "good", "bad")).alias("levels"))
-    grid = F.create_map(*[x for r, cs in CUTOFFS.items() for x in (F.lit(r), F.array(*map(F.lit, cs)))])
-    tried = totals.select("stratum", "rule", "n", "levels", F.posexplode(grid[F.col("rule")]).alias("step", "cutoff"))
-    above = lambda what: F.aggregate(F.filter("levels", lambda x: x["level"] >= F.size(grid[F.col("rule")]) - F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x[what])
-    tested = tried.select("stratum", "rule", "step", "cutoff", "n", above("good").alias("k"), above("bad").alias("bad"))
-    tested = tested.withColumn("ok", binomial_tail(F.col("n"), F.col("k"), risk / len(RULES)) <= confidence / (len(RULES) * STRATA))
-    in_order = Window.partitionBy("stratum", "rule").orderBy("step")
-    certified = tested.withColumn("so_far", F.min("ok").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).filter("so_far and bad - k > 0")
-    best = Window.partitionBy("stratum", "rule").orderBy(F.desc(F.col("bad") - F.col("k")), "step")
-    return certified.withColumn("r", F.row_number().over(best)).filter("r = 1").select("stratum", "rule", "cutoff")
+    # Of each rule the first step (from 0, mildest cutoff) that would reject the row; as many as there are cutoffs if none would.
+    first = [F.struct(F.lit(r).alias("rule"), sum(((F.col(r) <= c).cast("int") for c in CUTOFFS[r]), F.lit(0)).alias("step")) for r in RULES]
+    held = counted.filter(~base_failed()).join(labelled, "doc_id").select("doc_id", "quality", stratum().alias("stratum"), *[rate(r).alias(r) for r in RULES])
+    held = held.select("quality", "stratum", (crc32_mod(F.col("doc_id"), PARTS) == 0).alias("for_path"), F.array(*first).alias("steps"))
+
+    grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff")) for r, cs in CUTOFFS.items() for i, c in enumerate(cs)])).alias("g")
+    pairs = counted.sparkSession.range(STRATA).select(F.col("id").cast("int").alias("stratum"), grid).select("stratum", "g.*")
+    tallied = held.filter("for_path").select("stratum", "quality", F.explode("steps").alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+    so_far = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    rejected = pairs.join(tallied, ["stratum", "rule", "step"], "left").select("stratum", "rule", "step", "cutoff", *[F.sum(F.coalesce(c, F.lit(0))).over(so_far).alias(c) for c in ("good", "bad")])
+    useful = rejected.filter("bad > 0").withColumn("cost", F.max((F.col("good") + 1) / (F.col("bad") + 1)).over(so_far))
+    path = useful.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("cost", "step", "rule")))
+    path = written(path.select("stratum", "rule", "step", "cutoff", "place"), "path", small=True)
+
+    # At most STRATA rows with the places of as many pairs as there are cutoffs.
+    key = lambda s: F.concat_ws(":", s["rule"], s["step"])
+    places = path.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct(key({"rule": F.col("rule"), "step": F.col("step")}), "place"))).alias("places"))
+    # Where a rule's own step is not on the path, as no bad row tells for it, the next stricter one that is rejects the row.
+    steps = lambda s: F.transform(F.sequence(s["step"], F.lit(most_steps)), lambda i: F.col("places")[F.concat_ws(":", s["rule"], i)])
+    most_steps = max(map(len, CUTOFFS.values()))
+    gone = F.array_min(F.transform("steps", lambda s: F.array_min(steps(s))))
+    tested = held.filter("not for_path").join(F.broadcast(places), "stratum", "left").groupBy("stratum", gone.alias("place")).agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+    sizes = tested.groupBy("stratum").agg(F.sum("good").cast("long").alias("n"))
+    walked = Window.partitionBy("stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    every = path.select("stratum", "place").join(tested, ["stratum", "place"], "left").join(sizes, "stratum")
+    every = every.select("stratum", "place", "n", F.sum(F.coalesce("good", F.lit(0))).over(walked).cast("long").alias("k"), F.sum(F.coalesce("bad", F.lit(0))).over(walked).alias("bad"))
+    ok = every.withColumn("ok", binomial_tail(F.col("n"), F.col("k"), risk) <= confidence / STRATA)
+    certified = ok.withColumn("certified", F.min("ok").over(walked)).filter("certified and bad - k > 0")
+    best = Window.partitionBy("stratum").orderBy(F.desc(F.col("bad") - F.col("k")), "place")
+    taken = certified.withColumn("r", F.row_number().over(best)).filter("r = 1").select("stratum", F.col("place").alias("last"))
+    return path.join(taken, "stratum").filter("place <= last").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
