@@ -119,10 +119,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
     ``record`` is the whole record as text. The source's headers are whole in
     ``source_http_header`` and ``source_warc_header``; the latter is empty unless
     ``responses`` have a column ``warc_header`` (version line and named fields as
-    in the file). Metadata name all of them but those that ``made_header`` gave a
-    page. Null headers, body, target or date are empty; every row of a response is taken, also repeated ones (their records
-    have equal ids); line breaks in a target, id, date or link are left out; other
-    columns are ignored; no responses, no records.
+    in the file). Metadata name all of them, in order. Null headers, body, target
+    or date are empty; every row of a response is taken, also repeated ones (their
+    records have equal ids); line breaks in a target, id, date or link are left out;
+    other columns are ignored; no responses, no records.
     """
     names = ("record_id", "target_uri", "date", "http_header", "body")
     warc_header = F.coalesce("warc_header", F.lit("")) if "warc_header" in responses.columns else F.lit("")
@@ -148,7 +148,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
         line("http-status", status),
         line("http-content-type", content_type),
         F.array_join(F.transform(header_lines(F.col("warc_header")), lambda x: line("warc-header", x)), ""),
-        F.when(F.col("http_header") == made_header(F.col("body")), "").otherwise(F.array_join(F.transform(header_lines(F.col("http_header")), lambda x: line("http-header", x)), "")),
+        F.array_join(F.transform(header_lines(F.col("http_header")), lambda x: line("http-header", x)), ""),
         line("title", F.col("title")),
         F.array_join(F.transform("outlinks", lambda u: line("outlink", u)), ""),
     )
@@ -166,10 +166,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids, links and digests of the derivatives of all pages."""
+    """Ids, links, source headers and digests of the derivatives of all pages."""
     made = derivatives(responses_from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return made.select(
-        "page_id", "record_type", "record_id", "refers_to", "target_uri", "source_block_digest", "source_payload_digest", "block_digest",
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "source_http_header", "source_block_digest", "source_payload_digest", "block_digest",
         F.length("block").cast("long").alias("block_chars"), F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"),
     )
 
@@ -194,6 +194,11 @@ def _decoded(sql: str) -> str:
 _STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'gis'),
     '[ \t\r\n\f]+', ' ', 'g'), '</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'gi'), '<[!/?A-Za-z][^>]*>', '', 'g')"""
 
+#: An attribute of a tag and a tag of links, for SQL: all attributes are read, then the first href is taken.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*))?"""
+_HREFS = rf"""list_filter([list_filter(regexp_extract_all(tag[3:], '{_ATTRIBUTE}'), lambda a: regexp_matches(a, '^href\s*=\s*[^\s>]', 'i'))[1]
+      FOR tag IN regexp_extract_all(body, '<a[\s/](?:[\s/]*{_ATTRIBUTE})*', 0, 'i')], lambda a: a IS NOT NULL)"""
+
 ORACLE = rf"""
 WITH source AS (
   SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS body,
@@ -205,17 +210,18 @@ parts AS (
     'sha256:' || sha256(header || body) AS source_block_digest, 'sha256:' || sha256(body) AS source_payload_digest,
     regexp_replace(regexp_replace(regexp_replace({_decoded(_STRIPPED)}, ' *\n[ \n]*', chr(10), 'g'), '\A[ \n]+', ''), '[ \n]+\z', '') AS txt,
     trim(regexp_replace({_decoded(r"regexp_extract(body, '<title\b[^>]*>(.*?)</title\s*>', 1, 'is')")}, '[ \t\r\n\f]+', ' ', 'g')) AS title,
-    regexp_extract_all(body, '<a\s+href="([^"]*)"', 1, 'i') AS links
+    [regexp_replace(regexp_replace(regexp_replace(a, '^href\s*=\s*', '', 'i'), '^"(.*)"$|^''(.*)''$', '\1\2', 's'), '[\t\r\n]+', '', 'g') FOR a IN {_HREFS}] AS links
   FROM source),
 blocks AS (
   SELECT *, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS content_type, txt AS block FROM parts
   UNION ALL
   SELECT *, 'metadata', 'application/warc-fields', 'source-block-digest: ' || source_block_digest || crlf || 'source-payload-digest: ' || source_payload_digest || crlf
-    || 'http-status: HTTP/1.1 200 OK' || crlf || 'http-content-type: text/html; charset=utf-8' || crlf || 'title: ' || title || crlf
+    || 'http-status: HTTP/1.1 200 OK' || crlf || 'http-content-type: text/html; charset=utf-8' || crlf
+    || 'http-header: Content-Type: text/html; charset=utf-8' || crlf || 'http-header: Content-Length: ' || strlen(body) || crlf || 'title: ' || title || crlf
     || array_to_string([ 'outlink: ' || u || crlf FOR u, i IN links IF list_position(links, u) = i ], '') FROM parts),
 ided AS (SELECT *, 'sha256:' || sha256(block) AS block_digest FROM blocks),
 named AS (SELECT *, {_uuid("refers_to || chr(10) || record_type || chr(10) || block_digest")} AS record_id FROM ided)
-SELECT page_id, record_type, record_id, refers_to, uri AS target_uri, source_block_digest, source_payload_digest, block_digest, length(block)::BIGINT AS block_chars,
+SELECT page_id, record_type, record_id, refers_to, uri AS target_uri, header AS source_http_header, source_block_digest, source_payload_digest, block_digest, length(block)::BIGINT AS block_chars,
   sha256('WARC/1.1' || crlf || 'WARC-Type: ' || record_type || crlf || 'WARC-Record-ID: ' || record_id || crlf || 'WARC-Refers-To: ' || refers_to || crlf || 'WARC-Target-URI: ' || uri || crlf
     || 'WARC-Date: {DATE}' || crlf || 'WARC-Block-Digest: ' || block_digest || crlf || 'WARC-Source-Payload-Digest: ' || source_payload_digest || crlf || 'Content-Type: ' || content_type || crlf
     || 'Content-Length: ' || strlen(block) || crlf || crlf || block || crlf || crlf) AS record_sha256
