@@ -7,10 +7,12 @@ pieces, by the forward algorithm; a text's is the product over its words. The
 score of the best language is its posterior with the log-likelihoods divided by
 the root of the number of words, as neighbouring words are not independent.
 
-A word is a run of letters of the lower-cased text; a run of more than
-``WORD_CHARS`` letters counts as several words of that length. All pieces that
+A word is a run of letters of the lower-cased text, of any length. All pieces that
 can stand in such a word take part: pieces with capitals or other characters
-than letters never can.
+than letters never can. Words of more than ``WORD_CHARS`` letters (scripts without
+blanks) are summed over all their segmentations too, in blocks of ends whose sums
+are brought back to one at each block's start; only for the root above such a word
+counts as one for every ``WORD_CHARS`` letters.
 """
 
 import re
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tandem.llm._shared import BatchMemo, batches, crc32_mod, per_worker, sliced, texts_of, unused
 
-WORD_CHARS = 64
+#: Longer words are summed in blocks of ends, of so many ends each.
+WORD_CHARS, BLOCK_ENDS = 64, 32
 #: The sample that a language is learned from: about so many documents, those of lowest hashed doc_id, and so many words of
 #: them at most, the most frequent ones.
 SAMPLE_ROWS, SAMPLE_WORDS = 400, 20_000
@@ -63,8 +66,9 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
-        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(WORD_CHARS + 2, self.BASE)], dtype=np.uint64)
+        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(max(WORD_CHARS, *map(len, pieces), 0) + 2, self.BASE)], dtype=np.uint64)
         self.lengths = sorted({1, *map(len, pieces)})
+        self.reach = self.lengths[-1]
         self.keys = np.array([self._key(p) for p in pieces], np.uint64)
         self.table = np.full(1 << self.SLOT_BITS, -1, np.int32)
         self.more: dict[int, int] = {}
@@ -129,16 +133,86 @@ class Lattice:
 
     def log_probabilities(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log-probability of each word in each language, summed over its segmentations."""
-        alpha, lengths, _, _ = self.forward(words, p)
-        return np.log(alpha[np.arange(len(words)), lengths]) - (lengths * np.log(SCALE))[:, None]
+        out = np.zeros((len(words), p.shape[1]))
+        short = [i for i, w in enumerate(words) if len(w) <= WORD_CHARS]
+        if short:
+            alpha, lengths, _, _ = self.forward([words[i] for i in short], p)
+            out[short] = np.log(alpha[np.arange(len(short)), lengths]) - (lengths * np.log(SCALE))[:, None]
+        for i in set(range(len(words))) - set(short):
+            *_, (_, alpha, offset) = self.long_forward(words[i], p)
+            out[i] = np.log(alpha[self.reach + len(words[i]) % BLOCK_ENDS]) + offset - (len(words[i]) + 1) * np.log(SCALE)
+        return out
+
+    def _block(self, word: str, start: int, p: np.ndarray):
+        """Pieces (end, length) that end in a block of a marked word, none as size + 1, and their scaled probabilities."""
+        text = word[max(0, start - self.reach) : start + BLOCK_ENDS]
+        before = min(start, self.reach)
+        prefix = [0]
+        for c in text:
+            prefix.append((prefix[-1] * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF)
+        prefix, n = np.array(prefix, np.uint64), np.array(self.lengths)
+        ends = np.arange(before + 1, len(text) + 1)[:, None]
+        keys = prefix[ends] - prefix[np.maximum(ends - n, 0)] * self.powers[n]
+        found = self._find(keys.ravel()).reshape(keys.shape)
+        found[(found < 0) | (ends < n)] = self.size + 1
+        found[:, 0] = np.minimum(found[:, 0], self.size)
+        return found, np.vstack([p, np.zeros(p.shape[1])])[found] * (SCALE**n)[:, None]
+
+    def long_forward(self, word: str, p: np.ndarray):
+        """Per block of ends of a long word: its start, alpha of the ``reach`` ends up to there and of its own, and the logarithm they are divided by."""
+        marked, n = "▁" + word, np.array(self.lengths)
+        alpha, offset = np.zeros((self.reach + BLOCK_ENDS, p.shape[1])), np.zeros(p.shape[1])
+        alpha[self.reach - 1] = 1
+        for start in range(0, len(marked), BLOCK_ENDS):
+            _, weight = self._block(marked, start, p)
+            alpha[self.reach :] = 0
+            for i, w in enumerate(weight, self.reach):
+                alpha[i] = (alpha[i - n] * w).sum(0)
+            yield start, alpha.copy(), offset
+            alpha[: self.reach] = alpha[BLOCK_ENDS:].copy()
+            top = alpha[: self.reach].max(0)
+            top[top == 0] = 1
+            alpha[: self.reach] /= top
+            offset = offset + np.log(top)
+
+    def long_expected(self, word: str, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in a long word that is met ``counts`` (language) times."""
+        marked, n = "▁" + word, np.array(self.lengths)
+        blocks = list(self.long_forward(word, p))
+        beta, back = np.zeros((self.reach + BLOCK_ENDS, p.shape[1])), np.zeros(p.shape[1])
+        last = self.reach + len(word) % BLOCK_ENDS
+        beta[last] = 1
+        total = np.log(blocks[-1][1][last]) + blocks[-1][2]
+        uses = np.zeros((len(p) + 1, p.shape[1]))
+        for start, alpha, offset in reversed(blocks):
+            found, weight = self._block(marked, start, p)
+            for i in range(self.reach + len(found) - 1, self.reach - 1, -1):
+                beta[i - n] += weight[i - self.reach] * beta[i]
+            at = np.arange(self.reach, self.reach + len(found))[:, None]
+            np.add.at(uses, found, counts * alpha[at - n] * weight * beta[at] * np.exp(offset + back - total))
+            beta[BLOCK_ENDS:] = beta[: self.reach].copy()
+            beta[:BLOCK_ENDS] = 0
+            top = beta.max(0)
+            top[top == 0] = 1
+            beta /= top
+            back = back + np.log(top)
+        return uses[:-1]
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece; counts (word, language) says how often each word is met."""
+        uses = np.zeros_like(p)
+        for w, own in zip(words, counts):
+            if len(w) > WORD_CHARS:
+                met = np.flatnonzero(own)
+                uses[:, met] += self.long_expected(w, own[met], p[:, met])
+        short = [i for i, w in enumerate(words) if len(w) <= WORD_CHARS]
+        if not short:
+            return uses
+        words, counts = [words[i] for i in short], counts[short]
         alpha, lengths, width, steps = self.forward(words, p)
         beta = np.zeros_like(alpha)
         beta[np.arange(len(words)), lengths] = 1
         total = alpha[np.arange(len(words)), lengths]
-        uses = np.zeros_like(p)
         for end, n, at, piece in reversed(steps):
             weight = p[piece] * SCALE**n
             np.add.at(uses, piece, counts[at] * alpha[at, end - n] * weight * beta[at, end] / total[at])
@@ -170,7 +244,7 @@ def fit_pieces(lattice: Lattice, counts: dict[str, dict[str, int]], languages: l
 
 
 def words_of(text: str) -> list[str]:
-    return [w[i : i + WORD_CHARS] for w in letters(text.lower()) for i in range(0, len(w), WORD_CHARS)]
+    return letters(text.lower())
 
 
 class Model:
@@ -190,12 +264,13 @@ class Model:
         return out
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """The sum over a chunk's words and, last, their number."""
+        """The sum over a chunk's words and, last, their number (long words count more than once)."""
         own = [words_of(c) for c in chunks]
         rows = np.frombuffer(b"".join(self.words.values([w for x in own for w in x])), float).reshape(-1, len(self.languages))
         stops = np.cumsum([0, *map(len, own)])
         sums = np.vstack([np.zeros((1, len(self.languages))), np.cumsum(rows, 0)])[stops]
-        return [np.r_[a, n].tobytes() for a, n in zip(np.diff(sums, axis=0), np.diff(stops))]
+        numbers = [sum(-(-len(w) // WORD_CHARS) for w in x) for x in own]
+        return [np.r_[a, n].tobytes() for a, n in zip(np.diff(sums, axis=0), numbers)]
 
     def tell(self, texts: list[str]) -> list[tuple[str | None, float, float]]:
         """(best language, its scaled log-likelihood, log of the sum over languages) of each text; null without a word."""

@@ -39,6 +39,38 @@ def test_forward_sums_all_segmentations():
             assert row[k] == pytest.approx(brute_force(w, {x: i for i, x in enumerate(pieces)}, p[:, k]))
 
 
+def summed(word, pieces, p):
+    """The same by one sum per end, in logarithms."""
+    marked, logs = "▁" + word, [0.0]
+    longest = max(map(len, pieces))
+    for end in range(1, len(marked) + 1):
+        ways = [logs[i] + math.log(p[pieces.get(marked[i:end], -1)]) for i in range(max(0, end - longest), end) if marked[i:end] in pieces or i == end - 1]
+        logs.append(max(ways) + math.log(sum(math.exp(x - max(ways)) for x in ways)))
+    return logs[-1]
+
+
+def test_long_runs_sum_all_segmentations():
+    pieces = sorted(["▁", "▁t", "▁th", "t", "h", "e", "he", "the", "er", "r", "é", "therethe"])
+    p = np.random.default_rng(6).random((len(pieces) + 1, 3)) / 20
+    p[-1] = 1e-7
+    words = ["there" * n + "x" * (n % 3) for n in (12, 13, 40, 1_000)] + ["t" * n for n in (62, 63, 64, 65, 95, 96, 97)] + ["日本" * 300, "the"]
+    got = L.Lattice(pieces).log_probabilities(words, p)
+    for w, row in zip(words, got):
+        for k in range(3):
+            assert row[k] == pytest.approx(summed(w, {x: i for i, x in enumerate(pieces)}, p[:, k]), rel=1e-9), w[:20]
+
+
+def test_long_runs_are_fitted_like_short_ones(monkeypatch):
+    pieces = sorted(["▁", "▁t", "▁th", "t", "h", "e", "he", "the", "er", "r", "é", "therethe"])
+    p = np.random.default_rng(7).random((len(pieces) + 1, 2)) / 10
+    words, counts = ["there" * n + "xé" * (n % 2) for n in range(1, 30)], np.random.default_rng(8).integers(0, 3, (29, 2)).astype(float)
+    monkeypatch.setattr(L, "SCALE", 5.0)
+    monkeypatch.setattr(L, "WORD_CHARS", 10_000)
+    want = L.Lattice(pieces).expected(words, counts, p)
+    monkeypatch.setattr(L, "WORD_CHARS", 3)
+    assert L.Lattice(pieces).expected(words, counts, p) == pytest.approx(want)
+
+
 def segmentations(marked, pieces):
     """All ways to cut a word into pieces or single unknown characters (number -1)."""
     if not marked:
@@ -104,6 +136,10 @@ def test_hard_rows(spark, model):
     found = {r.text: (r.language.lang, r.language.score) for r in got.collect()}
     assert got.count() == 10
     assert found["the house"][0] == found["the dog"][0] == "en" and found["UND DIE KATZE!"][0] == "de"
+    lang, score = found["the" * 50_000]
+    number = {x: i for i, x in enumerate(model[0].pieces)}
+    de, en = (summed("the" * 50_000, number, model[0].p[:, k]) / math.sqrt(-(-150_000 // L.WORD_CHARS)) for k in range(2))
+    assert lang == "en" and score == pytest.approx(1 / (1 + math.exp(de - en)))
     assert found[None] == found[""] == found["12 $$ 3_"] == found["² ½ Ⅷ"] == ("und", 0.0)
     assert L.letters("x²the½dog Ⅷ é") == ["x", "the", "dog", "é"]
     assert L.predict_documents(docs.limit(0), model).count() == 0
