@@ -28,7 +28,8 @@ Steps, none of which forms all pairs of a group:
    links make components (large star, small star);
 4. groups whose members are now in different components join those across
    components only; members of large groups meet in their rarest shingles
-   instead, as many as linked sets must share one of. What the sizes and
+   instead, as many as linked sets must share one of, and only where enough
+   shingles follow in both sets for a link. What the sizes and
    sketches leave is verified, and components are made again. Pairs within a
    component need no check.
 
@@ -275,28 +276,37 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, th
 
 
 def across(x: DataFrame, y: DataFrame, on: str, threshold: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that are alike in ``on`` and near enough in size; x is the smaller set."""
+    """Pairs (a, b) of nodes of different components that are alike in ``on`` and near enough in size; x is the smaller set.
+
+    Where rows have a ``place`` (see ``rarest_shingles``), a meeting counts only
+    if the sets could still link were it their first: they share at most the
+    shingles from there on, the fewer of the two places. Of linked sets the
+    first meeting always counts.
+    """
     x, y = x.alias("x"), y.alias("y")
-    sizes = (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") * 100 >= F.col("y.n") * threshold)
-    met = x.join(y, (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.component") != F.col("y.component")) & sizes)
+    near = (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") * 100 >= F.col("y.n") * threshold)
+    if "place" in x.columns:
+        near &= F.least("x.place", "y.place") * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold
+    met = x.join(y, (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.component") != F.col("y.component")) & near)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def rarest_shingles(placed: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """shingle, node, component, n, short: of each set so many of its rarest shingles that linked sets share one.
+    """shingle, node, component, n, place, short: of each set so many of its rarest shingles that linked sets share one.
 
     In an order that is the same for all sets, rarest first, two sets that share
     o shingles have one in common that is not among the last o - 1 of either.
     Linked sets share at least threshold percent of the larger one, and 2 t / (1 + t)
     of the smaller one; ``short`` says that a shingle will do for a smaller set.
-    What a group has in common is frequent and comes last.
+    What a group has in common is frequent and comes last. ``place`` is how many
+    shingles of the set there are from this one on.
     """
     every = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     often = every.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     ranked = every.join(written(often, "often"), "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "shingle")))
     # Shingles of one set alone come first in the order and pair with nothing; places count from the order's end.
     as_smaller = F.col("place") >= F.ceil(F.col("size") * (2 * threshold) / F.lit(100.0 + threshold))
-    kept = ranked.filter(F.col("place") >= F.ceil(F.col("size") * threshold / 100.0)).select("shingle", "node", as_smaller.alias("short"))
+    kept = ranked.filter(F.col("place") >= F.ceil(F.col("size") * threshold / 100.0)).select("shingle", "node", "place", as_smaller.alias("short"))
     return written(kept.join(placed, "node"), "rarest")
 
 

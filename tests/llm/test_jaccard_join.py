@@ -83,6 +83,31 @@ def test_large_groups_are_split_without_loss(spark, monkeypatch):
         assert sorted(map(tuple, got)) == brute_force(rows, words, threshold)
 
 
+def test_unlike_documents_of_one_passage_do_not_pair(spark, monkeypatch):
+    """Many documents share most of their words and differ just beyond the threshold: no square of them, and no link lost."""
+    monkeypatch.setattr(J, "LARGE_GROUP", 1)
+    rng = random.Random(9)
+    passage, texts = [f"p{i}" for i in range(90)], []
+    for i in range(150):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(9, 15))]
+        texts.append(passage + own)
+        if i % 10 == 0:  # a near copy of it, which links
+            texts.append([*passage, *own[:-1], "changed"])
+    rows = [(7 * i + 2, " ".join(t)) for i, t in enumerate(texts)]
+    met, form = [], J.across
+
+    def counted(x, y, on, threshold):
+        pairs = form(x, y, on, threshold)
+        if on == "shingle":
+            met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(J, "across", counted)
+    got = J.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_force(rows, 4, 85)
+    assert sum(met) < 10 * len(rows)
+
+
 def test_sketch_bounds():
     """Bit sketches never show more than the symmetric difference, and linked sets share keys whichever keys are frequent."""
     rng, bands = np.random.default_rng(4), J.Memo(lambda n: J.bands_of(n, 85))
