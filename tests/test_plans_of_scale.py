@@ -4,7 +4,9 @@ import re
 
 import pytest
 
+from tandem.operators import linkage as K
 from tandem.plans import catalog
+from tandem.sources import fixtures as D
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,8 +25,19 @@ def broadcast_parts(plan: str) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["label_similarity"])
+@pytest.mark.parametrize("name", ["label_similarity", "orphan_caption", "display_labels", "result_cards", "strong_weak"])
 def test_questions_are_not_broadcast(spark, capsys, name):
     """Ten rows are made of each order, so their size is not that of the orders."""
     catalog.QUERIES[name](spark, SF).explain()
     assert not any("explode(" in part for part in broadcast_parts(capsys.readouterr().out))
+
+
+def test_sessions_are_dealt_once(spark, capsys):
+    """Neither the questions nor the tables in buckets of sessions are dealt again by session and further columns."""
+    a = catalog._answers(spark, SF)
+    K.by_label(K.keyed(D.questions(spark, SF)), K.groups(a)).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(o_orderkey" in plan and "hashpartitioning(session_id" not in plan
+    catalog._mappings(spark, SF, a).explain()
+    dealt = re.findall(r"Exchange hashpartitioning\([^)]*\), (\w+)", capsys.readouterr().out)
+    assert all(x == "REPARTITION_BY_COL" for x in dealt)
