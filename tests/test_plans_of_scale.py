@@ -41,3 +41,14 @@ def test_sessions_are_dealt_once(spark, capsys):
     catalog._mappings(spark, SF, a).explain()
     dealt = re.findall(r"Exchange hashpartitioning\([^)]*\), (\w+)", capsys.readouterr().out)
     assert all(x == "REPARTITION_BY_COL" for x in dealt)
+
+
+def test_runs_and_blocks_are_dealt_once(spark, capsys):
+    """What anchors are made of stays dealt by session up to the anchors themselves."""
+    from tandem.operators import geometry as G
+
+    D.text_runs(spark, SF).explain()
+    assert "Union" not in capsys.readouterr().out
+    runs = catalog.by_key(G.ordered_runs(D.text_runs(spark, SF)), "runs")
+    runs.join(catalog.by_key(D.blocks(spark, SF), "blocks").hint("merge"), "session_id").explain()
+    assert "Exchange" not in capsys.readouterr().out
