@@ -110,3 +110,11 @@ def test_nested_lists(spark, tmp_path):
     assert sum(r._corrupt_record is not None for r in read.select("session_id", "_corrupt_record").collect()) == 1
     got = sorted((tuple(r) for r in nested.flat(read).collect()), key=str)
     assert got == sorted(((s, d, n, q, x) for s, _, d, n, q, x in rows if s // 3 != 1), key=str)
+
+
+def test_deletion_lists_keys_once(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "blobs")
+    blobs.write_texts(spark.createDataFrame([("s", f"{i}", "x") for i in range(5)] + [("t", "0", "x")], "session_id string, file_id string, text string"), root)
+    monkeypatch.setattr(blobs, "keys_below", lambda *_: pytest.fail("keys are listed page by page"))
+    assert blobs.delete_prefix(spark, root, "s", most=2) == 5
+    assert [(r.session_id, r.file_id) for r in blobs.read_blobs(spark, root).collect()] == [("t", "0")]
