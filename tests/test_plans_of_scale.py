@@ -52,3 +52,18 @@ def test_runs_and_blocks_are_dealt_once(spark, capsys):
     runs = catalog.by_key(G.ordered_runs(D.text_runs(spark, SF)), "runs")
     runs.join(catalog.by_key(D.blocks(spark, SF), "blocks").hint("merge"), "session_id").explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("name", ["result_cards", "summary", "highlight_boxes"])
+def test_only_labels_are_broadcast(spark, capsys, monkeypatch, name):
+    """Tables of sessions and what is made of them have millions of rows in small files; of no step they may go through the driver."""
+    from tandem.sources import tables
+
+    def shown(write):
+        return lambda df, *more: df.explain() or write(df, *more)
+
+    monkeypatch.setattr(K, "by_key", shown(tables.by_key))
+    monkeypatch.setattr(K, "written", shown(tables.written))
+    catalog.QUERIES[name](spark, SF).explain()
+    parts = broadcast_parts(capsys.readouterr().out)
+    assert parts and all("spelled" in part for part in parts)
