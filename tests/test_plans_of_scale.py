@@ -54,7 +54,7 @@ def test_runs_and_blocks_are_dealt_once(spark, capsys):
     assert "Exchange" not in capsys.readouterr().out
 
 
-@pytest.mark.parametrize("name", ["result_cards", "summary", "highlight_boxes"])
+@pytest.mark.parametrize("name", ["result_cards", "orphan_caption", "summary", "highlight_boxes"])
 def test_only_labels_are_broadcast(spark, capsys, monkeypatch, name):
     """Tables of sessions and what is made of them have millions of rows in small files; of no step they may go through the driver."""
     from tandem.sources import tables
