@@ -67,3 +67,23 @@ def test_only_labels_are_broadcast(spark, capsys, monkeypatch, name):
     catalog.QUERIES[name](spark, SF).explain()
     parts = broadcast_parts(capsys.readouterr().out)
     assert parts and all("spelled" in part for part in parts)
+
+
+def test_parts_grow_with_the_rows(spark, capsys, monkeypatch):
+    """A table that is dealt once has parts of about the same size, however large it is, and still is dealt once."""
+    from tandem.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_OF_PART", 500)
+    n = D.parts(spark, SF)
+    assert n > 4 and n == tables.parts_of(spark, 500 * n) == tables.parts_of(spark, 500 * n - 499)
+    assert tables.parts_of(spark, 4 * 500) is None
+    a = catalog._answers(spark, SF)
+    m = catalog._mappings(spark, SF, a)
+    m.explain()
+    plan = capsys.readouterr().out
+    assert {int(x) for x in re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", plan)} == {n}
+    assert set(re.findall(r"Exchange hashpartitioning\(\w+#\w+, (\d+)\), (\w+)", plan)) == {(str(n), "REPARTITION_BY_NUM")}
+    rows = sorted(repr(r) for r in K.orphans(m, a).collect())
+    monkeypatch.undo()
+    b = catalog._answers(spark, SF)
+    assert rows == sorted(repr(r) for r in K.orphans(catalog._mappings(spark, SF, b), b).collect())
