@@ -33,3 +33,12 @@ def test_page_counts(spark):
     answers = spark.createDataFrame([(1, 4), (1, 2), (2, 1), (4, 0)], "session_id long, page long")
     files = spark.createDataFrame([(1, 3), (2, 5), (3, None)], "session_id long, page_count long")
     assert {tuple(r) for r in geometry.page_counts(answers, files).collect()} == {(1, 4), (2, 5), (3, 1), (4, 1)}
+
+
+def test_documents_are_parsed_once(spark, capsys):
+    """No filter on what a document holds parses it again; documents without records give none."""
+    docs = spark.createDataFrame([(1, 1, 0, '{"answers": [{"answerText": "x"}, null]}'), (1, 1, 1, '{"answers": []}'), (1, 1, 2, "no JSON"), (1, 1, 3, None)], "session_id long, page long, doc long, raw string")
+    rows = extraction._records(docs, extraction.ANSWERS, "answers")
+    rows.explain(True)
+    assert capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("from_json") == 1
+    assert [(r.doc, r.pos, r.r.answerText) for r in rows.collect()] == [(0, 0, "x")]
