@@ -87,3 +87,24 @@ def test_parts_grow_with_the_rows(spark, capsys, monkeypatch):
     monkeypatch.undo()
     b = catalog._answers(spark, SF)
     assert rows == sorted(repr(r) for r in K.orphans(catalog._mappings(spark, SF, b), b).collect())
+
+
+#: Queries that are made of mappings, each with its own last step.
+OF_MAPPINGS = ["merge_answers"]
+
+
+@pytest.mark.parametrize("name", OF_MAPPINGS)
+def test_all_steps_of_mappings_grow_in_parts(spark, capsys, monkeypatch, name):
+    """From the answers to a query's last step, what is dealt by session is in parts of bounded size, and dealt once."""
+    from tandem.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_OF_PART", 1000)
+    n = str(D.parts(spark, SF))
+    write = tables.by_key
+    for module in (catalog, K):
+        monkeypatch.setattr(module, "by_key", lambda df, *more, **named: df.explain() or write(df, *more, **named))
+    catalog.QUERIES[name](spark, SF).explain()
+    plans = capsys.readouterr().out
+    assert set(re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", plans)) == {n}
+    dealt = re.findall(r"Exchange hashpartitioning\((?:session_id|[lo]_orderkey)#[^)]*, (\d+)\), (\w+)", plans)
+    assert dealt and set(dealt) == {(n, "REPARTITION_BY_NUM")}
