@@ -90,7 +90,7 @@ def test_parts_grow_with_the_rows(spark, capsys, monkeypatch):
 
 
 #: Queries that are made of mappings, each with its own last step.
-OF_MAPPINGS = ["merge_answers", "orphans", "grade_length", "unanswered", "grade_lookup", "consumed_ids", "badge_tiers", "needs_review"]
+OF_MAPPINGS = ["merge_answers", "orphans", "grade_length", "unanswered", "grade_lookup", "consumed_ids", "badge_tiers", "needs_review", "score_mapping"]
 
 
 @pytest.mark.parametrize("name", OF_MAPPINGS)
