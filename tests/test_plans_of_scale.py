@@ -7,6 +7,7 @@ import pytest
 from tandem.operators import linkage as K
 from tandem.plans import catalog
 from tandem.sources import fixtures as D
+from tandem.sources import nested
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,3 +109,12 @@ def test_all_steps_of_mappings_grow_in_parts(spark, capsys, monkeypatch, name):
     assert set(re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", plans)) == {n}
     dealt = re.findall(r"Exchange hashpartitioning\((?:session_id|[lo]_orderkey)#[^)]*, (\d+)\), (\w+)", plans)
     assert dealt and set(dealt) == {(n, "REPARTITION_BY_NUM")}
+
+
+def test_nested_orders_are_dealt_once(spark, capsys, monkeypatch):
+    """Lines and orders are dealt by file; numbering, records, their join and the lists use that."""
+    write = nested.write_lists
+    monkeypatch.setattr(nested, "write_lists", lambda rows, path, *more: nested.lists(rows, *more).explain() or write(rows, path, *more))
+    catalog.QUERIES["nested_orders"](spark, SF)
+    dealt = re.findall(r"Exchange (\w+)\((\w+)#\w+, \d+\), (\w+)", capsys.readouterr().out)
+    assert dealt == [("hashpartitioning", "file", "REPARTITION_BY_COL")] * 2

@@ -112,6 +112,23 @@ def test_nested_lists(spark, tmp_path):
     assert got == sorted(((s, d, n, q, x) for s, _, d, n, q, x in rows if s // 3 != 1), key=str)
 
 
+def test_lines_of_large_sessions_are_numbered_into_parts(spark):
+    rows = [(0, s, n, 1.0, "a") for s, size in ((1, 2 * nested.MOST_LINES + 3), (2, nested.MOST_LINES), (3, 1)) for n in range(size)]
+    got = nested.numbered(spark.createDataFrame(rows, "file long, session_id long, number long, quantity double, label string").orderBy("label", F.desc("number")))
+    assert {(r.session_id, r.number): r.part for r in got.collect()} == {(s, n): n // nested.MOST_LINES for _, s, n, _, _ in rows}
+
+
+def test_folders_are_listed_some_to_a_task(spark, tmp_path):
+    lines = spark.range(50).selectExpr("id as session_id", "0L as part", "'d' as placed", "1L as number", "1D as quantity", "'a' as label")
+    nested.write_lists(nested.records(lines), str(tmp_path / "json"), F.col("session_id"))
+    before = spark.conf.get(nested.LISTING)
+    spark.sparkContext.setJobGroup("listing", "")
+    assert nested.read_lists(spark, str(tmp_path / "json")).count() == 50 and spark.conf.get(nested.LISTING) == before
+    status = spark.sparkContext.statusTracker()
+    listing = min(status.getJobIdsForGroup("listing"))
+    assert status.getStageInfo(status.getJobInfo(listing).stageIds[0]).numTasks <= 4 * spark.sparkContext.defaultParallelism < 50
+
+
 def test_deletion_lists_keys_once(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "blobs")
     blobs.write_texts(spark.createDataFrame([("s", f"{i}", "x") for i in range(5)] + [("t", "0", "x")], "session_id string, file_id string, text string"), root)
