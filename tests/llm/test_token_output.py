@@ -1,9 +1,14 @@
+import random
+import unicodedata
+
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tandem.llm import token_output as T
+from tandem.llm import vocabularies as V
 from tandem.llm._shared import shared_dir
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -62,3 +67,33 @@ def test_query_against_the_library(spark):
 
     want = [(d, s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, s, i in reference(rows)]
     assert sorted(map(tuple, T.op1_grammar_token_output(spark, sf).collect())) == want
+
+
+#: Letters of either case, composed and not, marks that compose with one case only, contractions, control strings, runs of punctuation, white space.
+PARTS = [*"aJzKHTWYAéÉßÿŸÀ×÷ÞñÑİıſKÅΣς中한1٣²", *"\u0301\u030c\u0331\u0308\u0338\u0591\u0327\u0345", *".,'’-_(&~<>|=\"ªº\u200d\x00", *" \n\t\r\x1c\x85\xa0\u2028", "  ", "word", "Word", "'s", "'RE", "'ll", "''", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "</w>", "\U0001f600"]
+
+
+def test_finer_chunks_against_the_library():
+    library, encoder, rng = Tokenizer.from_file(VOCABULARY), V.ChunkEncoder(V.load(VOCABULARY)[1], True, 1 << 16), random.Random(5)
+    assert encoder.words
+    for _ in range(30):
+        texts = [None if rng.random() < 0.02 else "".join(rng.choices(PARTS, k=rng.randrange(0, 14))) for _ in range(300)]
+        ids, lengths = encoder.ids(V.pc.fill_null(pa.array(texts, pa.string()).slice(rng.randrange(3)), ""))
+        own = np.split(ids, np.cumsum(lengths)[:-1])
+        for text, got in zip(texts[-len(own) :], own):
+            assert got.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_capitals_of_finer_chunks_compose_with_combining_marks_alone():
+    small = [*map(chr, range(0xC0, 0x100)), *map(chr, range(128))]
+    for c in map(chr, range(0x110000)):
+        pair = unicodedata.decomposition(c).split()
+        if len(pair) == 2 and pair[0][0] != "<" and chr(int(pair[0], 16)) in small:
+            assert 0x300 <= int(pair[1], 16) < 0x370
+
+
+def test_spellings_of_a_word_are_one_chunk():
+    encoder = V.ChunkEncoder(V.load(VOCABULARY)[1], True)
+    words = [a + b + c for a in ("ker", "mél", "sto") for b in "aeiou" for c in ("", "nd", "ß")]
+    encoder.ids(pa.array([" ".join(["so", *(x for w in words for x in (w, w.capitalize(), w.upper().replace("SS", "ß"), w + ",", w + ".\n", w + "-", f"{w}'s"))])]))
+    assert len(encoder.young.number) < 2 * len(words) + 10
