@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.llm._shared import per_worker, shared_dir
-from tandem.llm.vocabularies import chunk_encoder, gathered, load
+from tandem.llm.vocabularies import chunk_encoder, load
 
 END_ID = 1
 #: Characters of a text that tell tasks apart where rows share an id.
@@ -66,6 +66,12 @@ def _buckets(left: np.ndarray, right: np.ndarray, bits: int, turn: int) -> np.nd
     return mixed.astype(np.intp)
 
 
+def _where(mask: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """What the arrays hold where the mask is set: by place, as irregular masks are slow."""
+    at = np.flatnonzero(mask)
+    return [x[at] for x in arrays]
+
+
 def _first_alike(s: np.ndarray, at: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """Whether each place has the pair that stands first in its bucket, of n buckets."""
     stands = np.empty(n, np.intp)
@@ -104,34 +110,35 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, least: int = LEAST_USES, s
         frequent = counts >= floor
         may = frequent[h]
         # From here on only the frequent buckets are numbered.
-        at, h, n = at[may], (np.cumsum(frequent, dtype=np.int32) - 1)[h[may]].astype(np.intp), int(frequent.sum())
+        at, h = _where(may, at, h)
+        h, n = (np.cumsum(frequent, dtype=np.int32) - 1)[h].astype(np.intp), int(frequent.sum())
         alike = _first_alike(s, at, h, n)
-        waiting = at[~alike]
-        at, h = at[alike], h[alike]
+        (waiting,) = _where(~alike, at)
+        at, h = _where(alike, at, h)
         # Of a pair's overlapping places (as in a a a) every second one goes, from the left.
         run = np.zeros(len(at), bool)
         run[1:] = (np.diff(at) == 1) & (h[1:] == h[:-1])
         if run.any():
             place = np.arange(len(at))
             odd = (place - np.maximum.accumulate(np.where(run, 0, place))) & 1 == 1
-            waiting = np.concatenate([waiting, at[odd]])
-            at, h = at[~odd], h[~odd]
+            waiting = np.concatenate([waiting, *_where(odd, at)])
+            at, h = _where(~odd, at, h)
         uses = np.bincount(h, minlength=n)
         enough = (uses >= (least if last else floor))[h]
-        at, h = at[enough], h[enough]
+        at, h = _where(enough, at, h)
         # Of overlapping pairs the more frequent one goes.
         worth = uses[h] << np.int64(32) | h
         beside = np.diff(at) == 1
         lower = np.zeros(len(at), bool)
         lower[1:] = beside & (worth[1:] < worth[:-1])
         lower[:-1] |= beside & (worth[:-1] < worth[1:])
-        waiting = np.concatenate([waiting, at[lower]])
-        at, h = at[~lower], h[~lower]
+        waiting = np.concatenate([waiting, *_where(lower, at)])
+        at, h = _where(~lower, at, h)
         uses = np.bincount(h, minlength=n)
         used = np.flatnonzero(uses >= least)
         good = (uses >= least)[h]
-        waiting = np.concatenate([waiting, at[~good]])
-        at, h = at[good], h[good]
+        waiting = np.concatenate([waiting, *_where(~good, at)])
+        at, h = _where(good, at, h)
         if len(at):
             number = np.empty(n, np.intp)
             number[used] = np.arange(len(used))
@@ -163,8 +170,11 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, least: int = LEAST_USES, s
         if len(at):
             stay = np.ones(len(s), bool)
             stay[at + 1] = False
-            s, ends = s[stay], ends[stay]
-            again = None if again is None else again[stay]
+            # A mask that is set almost everywhere is fast.
+            few = len(at) < len(s) >> 5
+            s, ends = (s[stay], ends[stay]) if few else _where(stay, s, ends)
+            if again is not None:
+                (again,) = [again[stay]] if few else _where(stay, again)
         at = None if again is None else np.flatnonzero(again[:-1])
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
     doc_symbols = np.diff(np.r_[0, np.flatnonzero(ends) + 1])
@@ -173,31 +183,49 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, least: int = LEAST_USES, s
 
 def _opened(s: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The token ids of symbols, by opening every rule level by level."""
-    while len(s):
+    while True:
         nonterminal = s >= BASE
-        if not nonterminal.any():
-            break
-        at = np.cumsum(1 + nonterminal) - (1 + nonterminal)
-        out = np.empty(int(at[-1]) + 1 + int(nonterminal[-1]), np.uint32)
-        k = s[nonterminal] - BASE
-        out[at[~nonterminal]] = s[~nonterminal]
-        out[at[nonterminal]] = left[k]
-        out[at[nonterminal] + 1] = right[k]
-        s = out
-    return s
+        at = np.flatnonzero(nonterminal)
+        if not len(at):
+            return s
+        k = s[at] - np.uint32(BASE)
+        s = np.repeat(s, nonterminal + np.int8(1))
+        at += np.arange(len(at))
+        s[at], s[at + 1] = left[k], right[k]
+
+
+def _copied(s: np.ndarray, held: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The token ids of symbols, given those of the rules that they name: ``size`` from ``starts`` on in ``held``."""
+    big = np.flatnonzero(s >= BASE)
+    k = s[big] - np.uint32(BASE)
+    lengths, own = np.ones(len(s), np.int64), size[k].astype(np.int64)
+    lengths[big] = own
+    stops = np.cumsum(lengths)
+    out = np.empty(int(stops[-1]) if len(s) else 0, np.uint32)
+    first = stops - lengths
+    out[first] = s
+    inside = np.arange(int(own.sum()))
+    shift = np.cumsum(own) - own
+    out[np.repeat(first[big] - shift, own) + inside] = held[np.repeat(starts[k] - shift, own) + inside]
+    return out
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The token ids of ``symbols``: every rule is opened once and then copied, unless that is more than the symbols hold."""
-    nonterminal = symbols >= BASE
-    lengths = np.ones(len(symbols), np.int64)
-    lengths[nonterminal] = size[symbols[nonterminal] - BASE]
-    if size.sum(dtype=np.int64) > lengths.sum():
+    """The token ids of ``symbols``: every rule is opened once and then copied, unless that is more than the symbols hold.
+
+    Rules in a row that name none of each other are opened together, as those of one turn of ``compress``.
+    """
+    total = int(size.sum(dtype=np.int64))
+    if total > len(symbols) + int((size[symbols[symbols >= BASE] - BASE].astype(np.int64) - 1).sum()):
         return _opened(symbols, left, right)
-    rules = _opened(np.arange(BASE, BASE + len(left), dtype=np.uint32), left, right)
-    starts = len(rules) + np.cumsum(~nonterminal) - 1
-    starts[nonterminal] = (np.cumsum(size, dtype=np.int64) - size)[symbols[nonterminal] - BASE]
-    return gathered(np.concatenate([rules, symbols[~nonterminal]]), starts, lengths)
+    starts, held = np.cumsum(size, dtype=np.int64) - size, np.empty(total, np.uint32)
+    highest, a = np.maximum.accumulate(np.maximum(left, right)), 0
+    while a < len(left):
+        b = int(np.searchsorted(highest, np.uint32(BASE + a)))
+        ids = _copied(np.stack([left[a:b], right[a:b]], 1).ravel(), held, starts, size)
+        held[starts[a] : starts[a] + len(ids)] = ids
+        a = b
+    return _copied(symbols, held, starts, size)
 
 
 def decode_range(block: dict, doc_index: int, start: int, length: int) -> np.ndarray:

@@ -97,3 +97,17 @@ def test_spellings_of_a_word_are_one_chunk():
     words = [a + b + c for a in ("ker", "mél", "sto") for b in "aeiou" for c in ("", "nd", "ß")]
     encoder.ids(pa.array([" ".join(["so", *(x for w in words for x in (w, w.capitalize(), w.upper().replace("SS", "ß"), w + ",", w + ".\n", w + "-", f"{w}'s"))])]))
     assert len(encoder.young.number) < 2 * len(words) + 10
+
+
+def test_expansion_of_every_rule_and_of_copies():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((1, 1), (2, 1), (700, 1), (900, 2), (5000, 9), (4000, 4000), (300, 40)):
+        ids = rng.integers(0, kinds, n).astype(np.uint32)
+        lengths = np.diff([0, *np.unique(rng.integers(1, n, 5) if n > 1 else []).astype(int), n])
+        s, left, right, size, doc_symbols = T.compress(ids, lengths)
+        assert T.expand(s, left, right, size).tolist() == ids.tolist() == T._opened(s, left, right).tolist()
+        assert len(doc_symbols) == len(lengths)
+        # More than one rule holds: they are opened for themselves; each rule twice: they are copied.
+        every = np.arange(T.BASE, T.BASE + len(left), dtype=np.uint32)
+        assert len(T.expand(every[:1], left, right, size)) == size[:1].sum()
+        assert T.expand(np.tile(every, 2), left, right, size).tolist() == 2 * T._opened(every, left, right).tolist()
