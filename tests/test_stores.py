@@ -135,3 +135,24 @@ def test_deletion_lists_keys_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(blobs, "keys_below", lambda *_: pytest.fail("keys are listed page by page"))
     assert blobs.delete_prefix(spark, root, "s", most=2) == 5
     assert [(r.session_id, r.file_id) for r in blobs.read_blobs(spark, root).collect()] == [("t", "0")]
+
+
+def test_files_pass_the_driver_a_bounded_number_at_a_time(spark, tmp_path, monkeypatch):
+    """No write and no listing has more keys than a pass, whatever the number of files; the rest is as in one pass."""
+    root, most = str(tmp_path / "blobs"), 16
+    texts = {(s, f"{f} é"): f"{s}\n{f}" for s in ("a", "b c") for f in range(40)}
+    wrote, listed, write, listing = [], [], blobs._write, blobs._listed
+    monkeypatch.setattr(blobs, "KEYS_OF_PASS", most)
+    monkeypatch.setattr(blobs, "_write", lambda files, path: wrote.append(files.count()) or write(files, path))
+    monkeypatch.setattr(blobs, "_listed", lambda *a: listed.append(len(listing(*a).inputFiles())) or listing(*a))
+    blobs.write_texts(spark.createDataFrame([(*k, v) for k, v in texts.items()], "session_id string, file_id string, text string"), root)
+    assert len(wrote) > 1 and sum(wrote) == 80 and max(wrote) < 2 * most
+    got = blobs.read_blobs(spark, root, "session_id", "file_id", "length", F.sha2("content", 256).alias("sha256"))
+    want = spark.createDataFrame([(*k, len(v.encode()), v.encode()) for k, v in texts.items()], "session_id string, file_id string, length long, content binary")
+    assert sorted(got.collect()) == sorted(want.select("session_id", "file_id", "length", F.sha2("content", 256).alias("sha256")).collect())
+    assert len(listed) > 4 and sum(listed) == 80 and max(listed) <= most
+    monkeypatch.setattr(spark.read.__class__, "load", lambda *_: pytest.fail("files are listed for a deletion"))
+    assert blobs.delete_prefix(spark, root, "a") == 40
+    monkeypatch.undo()
+    assert {r.session_id for r in blobs.read_blobs(spark, root).collect()} == {"b c"}
+    assert blobs.delete_prefix(spark, root, "b c") == 40 and blobs.read_blobs(spark, root).collect() == []
